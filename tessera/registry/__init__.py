@@ -8,6 +8,9 @@ from tessera.registry.base import REGISTRY, Query  # noqa: F401
 
 _MODULES = [
     "profile_q",
+    "cleaning_q",
+    "numeric_q",
+    "category_q",
 ]
 
 _loaded = False

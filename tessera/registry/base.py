@@ -43,7 +43,9 @@ def fin(df: DataFrame, d: int = DEC) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append((F.round(F.col(f"`{f.name}`").cast("double"), d) + F.lit(0.0)).alias(f.name))
+            scale = float(10 ** d)
+            x = F.col(f"`{f.name}`").cast("double")
+            cols.append((F.round(x * scale, 0) / scale + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
@@ -53,7 +55,7 @@ def rsql(inner: str, cols: list[str], d: int = DEC) -> str:
     """Wrap SQL so the listed double columns are rounded like ``fin``."""
     if not cols:
         return inner
-    rep = ", ".join(f'round("{x}"::DOUBLE, {d}) + 0.0 AS "{x}"' for x in cols)
+    rep = ", ".join(f'round("{x}"::DOUBLE * {float(10 ** d)}) / {float(10 ** d)} + 0.0 AS "{x}"' for x in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({inner}) AS _q"
 
 
