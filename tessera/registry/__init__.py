@@ -11,6 +11,7 @@ _MODULES = [
     "cleaning_q",
     "numeric_q",
     "category_q",
+    "dates_q",
 ]
 
 _loaded = False
