@@ -34,8 +34,11 @@ def union_all(*dfs: DataFrame) -> DataFrame:
 
 
 def sort_by(df: DataFrame, cols, ascending: bool | Sequence[bool] = True, absolute: bool = False,
-            value_order: Sequence | None = None) -> DataFrame:
-    """Sort by columns; by |x|; or by a user order of values (unknown values last)."""
+            value_order: Sequence | None = None, then_by: Sequence[str] = ()) -> DataFrame:
+    """Sort by columns; by |x|; or by a user order of values (unknown values last).
+
+    ``then_by`` adds ascending tie-break columns so the order is total.
+    """
     cols = as_list(cols)
     asc = ascending if isinstance(ascending, (list, tuple)) else [ascending] * len(cols)
     keys = []
@@ -45,9 +48,10 @@ def sort_by(df: DataFrame, cols, ascending: bool | Sequence[bool] = True, absolu
             m = F.create_map(*[y for i, v in enumerate(value_order) for y in (F.lit(v), F.lit(i))])
             e = F.coalesce(m[c(x)], F.lit(len(value_order)))
         keys.append(e.asc_nulls_last() if a else e.desc_nulls_last())
-    return df.orderBy(*keys)
+    return df.orderBy(*keys, *[c(t) for t in then_by])
 
 
-def top_k(df: DataFrame, col: str, k: int, largest: bool = True) -> DataFrame:
-    """Top / bottom k rows by value (a distributed take-ordered)."""
-    return df.orderBy(c(col).desc_nulls_last() if largest else c(col).asc_nulls_last()).limit(k)
+def top_k(df: DataFrame, col: str, k: int, largest: bool = True, then_by: Sequence[str] = ()) -> DataFrame:
+    """Top / bottom k rows by value (a distributed take-ordered: per-task top-k, then merge)."""
+    key = c(col).desc_nulls_last() if largest else c(col).asc_nulls_last()
+    return df.orderBy(key, *[c(t) for t in then_by]).limit(k)

@@ -12,6 +12,7 @@ _MODULES = [
     "numeric_q",
     "category_q",
     "dates_q",
+    "rows_q",
 ]
 
 _loaded = False
