@@ -13,6 +13,7 @@ _MODULES = [
     "category_q",
     "dates_q",
     "rows_q",
+    "aggregate_q",
 ]
 
 _loaded = False
