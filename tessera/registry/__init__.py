@@ -14,6 +14,7 @@ _MODULES = [
     "dates_q",
     "rows_q",
     "aggregate_q",
+    "windows_q",
 ]
 
 _loaded = False
