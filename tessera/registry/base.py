@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEC = 6
+# Decimal data puts many exact results on rounding ties (x.xxxxxx5); the two
+# engines may land one ulp apart there.  Scaling by 1 + 1e-12 before rounding
+# moves the rounding boundary off the decimal ties, identically in both.
+NUDGE = 1.0 + 1e-12
 
 
 @dataclass
@@ -45,7 +49,7 @@ def fin(df: DataFrame, d: int = DEC) -> DataFrame:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             scale = float(10 ** d)
             x = F.col(f"`{f.name}`").cast("double")
-            cols.append((F.round(x * scale, 0) / scale + F.lit(0.0)).alias(f.name))
+            cols.append((F.round(x * F.lit(NUDGE) * scale, 0) / scale + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
@@ -55,7 +59,8 @@ def rsql(inner: str, cols: list[str], d: int = DEC) -> str:
     """Wrap SQL so the listed double columns are rounded like ``fin``."""
     if not cols:
         return inner
-    rep = ", ".join(f'round("{x}"::DOUBLE * {float(10 ** d)}) / {float(10 ** d)} + 0.0 AS "{x}"' for x in cols)
+    rep = ", ".join(f'round("{x}"::DOUBLE * {NUDGE!r}::DOUBLE * {float(10 ** d)}) / {float(10 ** d)} + 0.0 AS "{x}"'
+                    for x in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({inner}) AS _q"
 
 
