@@ -542,19 +542,8 @@ def _cdf_column(dist: str, x: Column, p: list[float]) -> Column | None:
 
 
 def _cdf_udf(dist: str, p: list[float]):
-    import pandas as pd
-
-    @F.pandas_udf("double")
-    def cdf(v: pd.Series) -> pd.Series:
-        arr = v.to_numpy(dtype="float64")
-        if dist == "gamma":
-            return pd.Series(S.gammainc_vec(p[0], np.clip(arr / p[1], 0, None)))
-        if dist == "beta":
-            return pd.Series(S.betainc_vec(p[0], p[1], np.clip((arr - p[2]) / p[3], 0, 1)))
-        if dist == "t":
-            return pd.Series(S.t_cdf_vec((arr - p[1]) / p[2], p[0]))
-        raise ValueError(dist)
-    return cdf
+    from tessera.functions.udfs import cdf_udf
+    return cdf_udf(dist, p)
 
 
 def fit_distribution(df: DataFrame, col: str, dist: str = "normal", **kw) -> DataFrame:

@@ -139,25 +139,16 @@ def adf(df: DataFrame, value: str, order_by, maxlag: int | None = None, autolag:
     cols = {"__dy": y - F.lag(y, 1).over(w), "__ylag": F.lag(y, 1).over(w), "__one": F.lit(1.0)}
     for k in range(1, L + 1):
         cols[f"__d{k}"] = F.lag(y, k).over(w) - F.lag(y, k + 1).over(w)
-    full = full.withColumns(cols).where(~F.col("__halo"))
+    full = full.withColumns(cols).where(~F.col("__halo")).cache()  # read by the two cross-product passes
     names = ["__one", "__ylag"] + [f"__d{k}" for k in range(1, L + 1)]
 
     def moments(min_t: int):
-        """Cross products of all regressors over rows t >= min_t: one aggregate."""
+        """Cross products of all regressors over rows t >= min_t (Arrow batches, summed by Spark)."""
+        from tessera.plans.linalg import cross_products
         sub = full.where(F.col("__i") >= min_t)
-        aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col("__dy") * F.col("__dy")).alias("yy")]
-        for i, a in enumerate(names):
-            aggs.append(F.sum(F.col(a) * F.col("__dy")).alias(f"xy{i}"))
-            for j2, b in enumerate(names[:i + 1]):
-                aggs.append(F.sum(F.col(a) * F.col(b)).alias(f"xx{i}_{j2}"))
-        r = sub.agg(*aggs).first()
+        n, G = cross_products(sub, names + ["__dy"])
         p = len(names)
-        XtX = np.zeros((p, p))
-        for i in range(p):
-            for j2 in range(i + 1):
-                XtX[i, j2] = XtX[j2, i] = r[f"xx{i}_{j2}"]
-        Xty = np.array([r[f"xy{i}"] for i in range(p)])
-        return r["n"], XtX, Xty, r["yy"]
+        return n, G[:p, :p], G[:p, p], G[p, p]
 
     def ols(n, XtX, Xty, yy):
         beta = np.linalg.solve(XtX, Xty)
@@ -183,6 +174,7 @@ def adf(df: DataFrame, value: str, order_by, maxlag: int | None = None, autolag:
     q = 2 + usedlag
     beta, cov, _ = ols(n, XtX[:q, :q], Xty[:q], yy)
     stat = float(beta[1] / math.sqrt(cov[1, 1]))
+    full.unpersist()
     crit = S.adf_critical(n)
     row = (stat, S.adf_pvalue(stat), usedlag, n, crit["1%"], crit["5%"], crit["10%"])
     return df.sparkSession.createDataFrame([row], "statistic double, p_value double, lags int, nobs long, "

@@ -58,17 +58,11 @@ def add_blocks(df: DataFrame, order_by: Sequence[str], rows_per_block: int | Non
     rpb = rows_per_block or ROWS_PER_BLOCK
     key = order_by[0]
     kd = _key_double(df, key)
-    grid = 1024
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile_approx(kd, [i / grid for i in range(1, grid)], 20 * grid).alias("g")).first()
-    n, g = row["n"], row["g"] or []
-    nblocks = max(1, math.ceil(n / rpb))
-    if nblocks <= 1 or not g:
+    splits = _block_splits(df, key, kd, rpb)
+    if splits is None:
         return df.withColumn(_BLK, F.lit(0)), 1
-    bounds = sorted({g[min(len(g) - 1, int(round(j * grid / nblocks)) - 1)] for j in range(1, nblocks)})
     from pyspark.ml.feature import Bucketizer
 
-    splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
     tmp = "__kd"
     d = df.withColumn(tmp, kd)
     d = Bucketizer(splits=splits, inputCol=tmp, outputCol=_BLK + "_d", handleInvalid="keep").transform(d)
@@ -76,6 +70,35 @@ def add_blocks(df: DataFrame, order_by: Sequence[str], rows_per_block: int | Non
     return d, len(splits) - 1
 
 
+_SPLITS_MEMO: dict = {}
+
+
+def _block_splits(df: DataFrame, key: str, kd: Column, rpb: int):
+    """Block boundaries of ``key`` (None = one block), memoised per plan so that
+    chained ordered operators on the same input scan it once."""
+    try:
+        memo_key = (df.semanticHash(), key, rpb)
+    except Exception:  # noqa: BLE001 - plans without a semantic hash are not memoised
+        memo_key = None
+    if memo_key is not None and memo_key in _SPLITS_MEMO:
+        return _SPLITS_MEMO[memo_key]
+    grid = 1024
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 F.percentile_approx(kd, [i / grid for i in range(1, grid)], 20 * grid).alias("g")).first()
+    n, g = row["n"], row["g"] or []
+    nblocks = max(1, math.ceil(n / rpb))
+    if nblocks <= 1 or not g:
+        splits = None
+    else:
+        bounds = sorted({g[min(len(g) - 1, int(round(j * grid / nblocks)) - 1)] for j in range(1, nblocks)})
+        splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
+    if memo_key is not None:
+        if len(_SPLITS_MEMO) > 256:
+            _SPLITS_MEMO.clear()
+        _SPLITS_MEMO[memo_key] = splits
+    return splits
+
+
 def _order_cols(order_by):
     return [c(o) for o in order_by]
 

@@ -15,6 +15,8 @@ _MODULES = [
     "rows_q",
     "aggregate_q",
     "windows_q",
+    "stats_q",
+    "features_q",
 ]
 
 _loaded = False
