@@ -17,6 +17,7 @@ _MODULES = [
     "windows_q",
     "stats_q",
     "features_q",
+    "io_q",
 ]
 
 _loaded = False
