@@ -14,6 +14,10 @@ module computes the same numbers (pandas ``quantile`` / DuckDB
    aggregation collapses hot values) and a running sum over at most
    ``max_bracket_rows`` distinct values locates the exact order statistics.
 
+When every group already has at most ``max_bracket_rows`` rows (checked by
+the first aggregate), the built-in exact ``percentile`` aggregate is used
+directly: its per-group value map is then bounded by that size.
+
 Targets sharing a bracket share one window, so the common small case runs one
 running-sum window per group with no row duplication.
 """
@@ -113,12 +117,23 @@ def exact_quantiles(df: DataFrame, value: str, ps: Sequence[float], by: Sequence
     if not by:
         base = base.withColumn(_G, F.lit(0))
     stats = base.groupBy(*gby).agg(F.count(F.lit(1)).alias("_n"))
-    targets = _targets(stats, gby, ps).cache()
+    biggest = stats.agg(F.max("_n")).first()[0]
+    if biggest is None or biggest <= max_bracket_rows:
+        # every group is small enough for the exact percentile aggregate: its value map per
+        # group is bounded by max_bracket_rows, and partial aggregation runs per task
+        pct = base.groupBy(*gby).agg(F.percentile(_V, F.array(*[F.lit(p) for p in ps])).alias("_qs"))
+        items = F.array(*[F.struct(F.lit(p).alias("p"), F.col("_qs")[i].alias("q")) for i, p in enumerate(ps)])
+        return pct.select(*[c(b) for b in by], F.explode(items).alias("_t")).select(*[c(b) for b in by], "_t.p", "_t.q")
+    from tessera.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    # the target table is small (groups x 2|ps| rows); checkpointing it each round keeps
+    # the plan from growing with the number of refinement rounds
+    targets = _targets(stats, gby, ps).checkpoint()
     for _ in range(max_rounds):
         biggest = targets.agg(F.max("_inside")).first()[0]
         if biggest is None or biggest <= max_bracket_rows:
             break
-        targets = _refine(base, targets, gby, grid, accuracy).cache()
+        targets = _refine(base, targets, gby, grid, accuracy).checkpoint()
 
     brs = _brackets_per_group(targets, gby)
     vc = base.groupBy(*gby, _V).agg(F.count(F.lit(1)).alias("_c"))
