@@ -179,7 +179,7 @@ def ptukey(q: float, k: int, df: float) -> float:
     for s, w in zip(xs, ws):
         dens = math.exp(logc + (df - 1) * math.log(s) - df * s * s / 2)
         tot += w * dens * _range_cdf_inf(q * s, k)
-    return min(1.0, max(0.0, tot))
+    return float(min(1.0, max(0.0, tot)))
 
 
 def qtukey(p: float, k: int, df: float) -> float:

@@ -244,7 +244,8 @@ def tukey_hsd(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> Dat
             se = math.sqrt(msw / 2 * (1 / a["n"] + 1 / b["n"]))
             q = abs(diff) / se
             p = 1 - S.ptukey(q, k, N - k)
-            out.append((str(a["g"]), str(b["g"]), diff, diff - qcrit * se, diff + qcrit * se, p, bool(p < alpha)))
+            out.append((str(a["g"]), str(b["g"]), float(diff), float(diff - qcrit * se), float(diff + qcrit * se), float(p),
+                        bool(p < alpha)))
     return df.sparkSession.createDataFrame(
         out, "group_a string, group_b string, meandiff double, lower double, upper double, p_adj double, reject boolean")
 
