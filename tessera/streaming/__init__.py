@@ -1,0 +1,3 @@
+"""Streaming: the reference has no streaming operators (no watermark, window,
+state or late-data rule), so nothing is built here.  Every operator in
+``tessera.operators`` is a batch DataFrame transform."""
