@@ -129,9 +129,21 @@ def _moments_struct(x: str):
     ).alias(x)
 
 
+# Moment aggregates keep ~18 buffer fields per column; whole-stage codegen is
+# dropped for an aggregate with more than spark.sql.codegen.maxFields (100)
+# fields, so wide tables are summarised in chunks of columns (each chunk reads
+# only its own columns) and the results are unioned.
+_MOMENT_CHUNK = 4
+
+
 def _moments_long(df: DataFrame, cols: list[str]) -> DataFrame:
-    row = df.agg(F.count(F.lit(1)).alias("__rows"), *[_moments_struct(x) for x in cols])
-    return row.unpivot(["__rows"], cols, "__c", "s").select("__rows", "s.*")
+    out = None
+    for i in range(0, len(cols), _MOMENT_CHUNK):
+        part = cols[i:i + _MOMENT_CHUNK]
+        row = df.agg(F.count(F.lit(1)).alias("__rows"), *[_moments_struct(x) for x in part])
+        long = row.unpivot(["__rows"], part, "__c", "s").select("__rows", "s.*")
+        out = long if out is None else out.unionByName(long)
+    return out
 
 
 def summary_statistics(df: DataFrame, cols: Sequence[str] | None = None, biased: bool = False,

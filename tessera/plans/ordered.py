@@ -175,9 +175,11 @@ def _fill(d: DataFrame, nb: int, values: dict[str, Column], order_by, parts, for
             .rowsBetween(Window.unboundedPreceding, 0)
         local = {k: F.last(v, ignorenulls=True).over(w) for k, v in values.items()}
     else:
-        w = Window.partitionBy(*[c(p) for p in parts], _BLK).orderBy(*_order_cols(order_by)) \
-            .rowsBetween(0, Window.unboundedFollowing)
-        local = {k: F.first(v, ignorenulls=True).over(w) for k, v in values.items()}
+        # reversed running frame: Spark evaluates "current row .. unbounded following" frames
+        # quadratically, "unbounded preceding .. current row" frames in one pass
+        w = Window.partitionBy(*[c(p) for p in parts], _BLK).orderBy(*[c(o).desc() for o in order_by]) \
+            .rowsBetween(Window.unboundedPreceding, 0)
+        local = {k: F.last(v, ignorenulls=True).over(w) for k, v in values.items()}
     names = list(values)
     tmp = {f"__v{i}": values[k] for i, k in enumerate(names)}
     d = d.withColumns(tmp)
@@ -191,8 +193,9 @@ def _fill(d: DataFrame, nb: int, values: dict[str, Column], order_by, parts, for
             wc = Window.partitionBy(*[c(p) for p in parts]).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
             cexpr = {f"__c{i}": F.last(f"__s{i}", ignorenulls=True).over(wc) for i in range(len(names))}
         else:
-            wc = Window.partitionBy(*[c(p) for p in parts]).orderBy(_BLK).rowsBetween(1, Window.unboundedFollowing)
-            cexpr = {f"__c{i}": F.first(f"__s{i}", ignorenulls=True).over(wc) for i in range(len(names))}
+            wc = Window.partitionBy(*[c(p) for p in parts]).orderBy(F.col(_BLK).desc()) \
+                .rowsBetween(Window.unboundedPreceding, -1)
+            cexpr = {f"__c{i}": F.last(f"__s{i}", ignorenulls=True).over(wc) for i in range(len(names))}
         carry = summ.select(*[c(p) for p in parts], _BLK, *[e.alias(k) for k, e in cexpr.items()])
         d = _join_carry(d, carry, parts, nb)
         d = d.withColumns({k: F.coalesce(F.col(f"__l{i}"), F.col(f"__c{i}")) for i, k in enumerate(names)})

@@ -105,10 +105,12 @@ def _refine(base: DataFrame, targets: DataFrame, by: list[str], grid: int, accur
 
 def exact_quantiles(df: DataFrame, value: str, ps: Sequence[float], by: Sequence[str] | str = (),
                     max_bracket_rows: int = 2_000_000, grid: int = 1000, accuracy: int = 10000,
-                    max_rounds: int = 6) -> DataFrame:
+                    max_rounds: int = 6, max_group_rows: int | None = None) -> DataFrame:
     """Exact quantiles of ``value`` per group -> DataFrame[by..., p, q].
 
-    Nulls are skipped; groups with no non-null value are absent.
+    Nulls are skipped; groups with no non-null value are absent.  A caller that
+    already knows the largest group size passes ``max_group_rows`` and saves
+    the counting pass.
     """
     by = as_list(by)
     ps = [float(p) for p in ps]
@@ -117,7 +119,7 @@ def exact_quantiles(df: DataFrame, value: str, ps: Sequence[float], by: Sequence
     if not by:
         base = base.withColumn(_G, F.lit(0))
     stats = base.groupBy(*gby).agg(F.count(F.lit(1)).alias("_n"))
-    biggest = stats.agg(F.max("_n")).first()[0]
+    biggest = max_group_rows if max_group_rows is not None else stats.agg(F.max("_n")).first()[0]
     if biggest is None or biggest <= max_bracket_rows:
         # every group is small enough for the exact percentile aggregate: its value map per
         # group is bounded by max_bracket_rows, and partial aggregation runs per task
@@ -164,6 +166,10 @@ def quantile_long(df: DataFrame, cols: Sequence[str], ps: Sequence[float], by: S
         .unpivot([c(b) for b in by] if by else [], cols, "column", "value") if cols else None
     if long is None:
         raise ValueError("no columns")
+    if not by and "max_group_rows" not in kw:
+        # group sizes are the per-column non-null counts: one pass over the wide frame
+        counts = df.agg(*[F.count(c(x)).alias(f"n{i}") for i, x in enumerate(cols)]).first()
+        kw["max_group_rows"] = max(counts[f"n{i}"] for i in range(len(cols)))
     return exact_quantiles(long, "value", ps, by + ["column"], **kw)
 
 
