@@ -288,3 +288,37 @@ def adf_pvalue(stat: float) -> float:
 
 def adf_critical(nobs: int) -> dict[str, float]:
     return {k: v[0] + v[1] / nobs + v[2] / nobs ** 2 + v[3] / nobs ** 3 for k, v in ADF_CRIT.items()}
+
+
+# -- inversion counting (Kendall) --------------------------------------------------------------------
+def count_inversions(seq) -> int:
+    """Pairs i < j with seq[i] > seq[j] (strict), by a vectorised bottom-up merge sort."""
+    a = np.asarray(seq, dtype=np.int64)
+    n = len(a)
+    if n < 2:
+        return 0
+    a = a - a.min()
+    m = int(a.max()) + 1
+    total = 0
+    s = 1
+    idx = np.arange(n)
+    while s < n:
+        pair = idx // (2 * s)
+        is_left = (idx % (2 * s)) < s
+        left_keys = pair[is_left] * m + a[is_left]
+        pr = pair[~is_left]
+        le = np.searchsorted(left_keys, pr * m + a[~is_left], side="right")
+        end = np.searchsorted(left_keys, pr * m + m, side="left")
+        total += int(np.sum(end - le))
+        a = a[np.lexsort((a, pair))]
+        s *= 2
+    return total
+
+
+def discordant_pairs(x, y) -> int:
+    """Pairs with x_i < x_j and y_i > y_j (ties in either are not discordant)."""
+    x = np.asarray(x, dtype="float64")
+    y = np.asarray(y, dtype="float64")
+    order = np.lexsort((y, x))
+    _, ry = np.unique(y[order], return_inverse=True)
+    return count_inversions(ry)

@@ -90,15 +90,15 @@ def type_counts(df: DataFrame) -> DataFrame:
 
 # -- PRF5 ---------------------------------------------------------------------------
 def sample_values(df: DataFrame, n: int = 3) -> DataFrame:
-    """Type and first ``n`` non-null values of every column (one bounded scan)."""
-    aggs = [F.slice(F.collect_list(c(x).cast("string")), 1, n).alias(x) for x in df.columns]
-    # collect_list is bounded by limiting the rows scanned per column first
-    limited = df.limit(max(1000, n * 100))
-    row = limited.agg(*aggs)
-    out = row.unpivot([], df.columns, "column_name", "sample_values")
-    types = df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields],
-                                            "column_name string, dtype string")
-    return types.join(out, "column_name")
+    """Type and the first ``n`` non-null values of every column (a take of n rows per column)."""
+    spark = df.sparkSession
+    parts = [df.where(c(x).isNotNull()).limit(n).agg(F.collect_list(c(x).cast("string")).alias("sample_values"))
+             .select(F.lit(x).alias("column_name"), F.lit(df.schema[x].dataType.simpleString()).alias("dtype"),
+                     "sample_values") for x in df.columns]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 # -- PRF6 / PRF7 / PRF8 / PRF18 -------------------------------------------------------

@@ -76,8 +76,15 @@ def correlation(df: DataFrame, cols: Sequence[str], method: str = "pearson") ->
         for x in cols:
             data = average_ranks(data, x, f"__r_{x}")
         names = {x: f"__r_{x}" for x in cols}
+    elif method == "kendall":
+        rows = []
+        for a, b in _pairs(cols):
+            t = kendall_tau(df, a, b).first()["tau"]
+            rows += [(a, b, t), (b, a, t)]
+        rows += [(x, x, 1.0) for x in cols]
+        return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, correlation double")
     else:
-        raise ValueError(f"method {method}: pearson | spearman (kendall: kendall_tau)")
+        raise ValueError(f"method {method}: pearson | spearman | kendall")
     pairs = _pairs(cols)
     row = data.agg(*[F.corr(c(names[a]).cast("double"), c(names[b]).cast("double")).alias(f"p{i}")
                      for i, (a, b) in enumerate(pairs)])
@@ -102,6 +109,67 @@ def _spearman_pairwise(df, cols):
     return out.unionByName(sym).unionByName(diag)
 
 
+def kendall_tau(df: DataFrame, a: str, b: str, blocks: int | None = None, **kw) -> DataFrame:
+    """Kendall tau-b over pairwise-complete rows, exact, without enumerating pairs.
+
+    x is cut into range blocks and y into range buckets.  Discordant pairs in
+    different blocks *and* different buckets come from the (small) block x
+    bucket count grid; pairs sharing a block, or sharing a bucket, are counted
+    per group by a merge-sort inversion count in Arrow batches, and pairs that
+    share both (a grid cell) are subtracted once.  Tie counts come from grouped
+    counts.  Returns (tau, n, concordant_minus_discordant).
+    """
+    import pandas as pd
+    x, y = c(a).cast("double"), c(b).cast("double")
+    d = df.where(x.isNotNull() & y.isNotNull()).select(x.alias("__x"), y.alias("__y"))
+    n = d.count()
+    if n < 2:
+        return df.sparkSession.createDataFrame([(None, n, None)], "tau double, n long, s double")
+    nb = blocks or max(1, min(2048, -(-n // 1_000_000)))
+    ties = lambda keys: d.groupBy(*keys).count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
+    n1, n2, n3 = ties(["__x"]), ties(["__y"]), ties(["__x", "__y"])
+
+    from pyspark.ml.feature import Bucketizer
+
+    g = d
+    for col, name in (("__x", "__bx"), ("__y", "__by")):
+        edges = [] if nb <= 1 else sorted(set(
+            d.agg(F.percentile_approx(col, [i / nb for i in range(1, nb)], 10000)).first()[0]))
+        if not edges:
+            g = g.withColumn(name, F.lit(0))
+        else:  # range buckets assigned by binary search
+            g = Bucketizer(splits=[float("-inf")] + [float(e) for e in edges] + [float("inf")], inputCol=col,
+                           outputCol=name + "_d").transform(g).withColumn(name, F.col(name + "_d").cast("int")) \
+                .drop(name + "_d")
+    # cross-cell discordant pairs on the dense nb x nb grid (generated, not joined), kept in Spark:
+    # D(i, j) = rows in cells (i' < i, j' > j); cross = sum cnt(i, j) * D(i, j)
+    counts = g.groupBy("__bx", "__by").agg(F.count(F.lit(1)).alias("cnt"))
+    K = nb
+    dense = df.sparkSession.range(K).select(F.col("id").cast("int").alias("__bx")) \
+        .select("__bx", F.explode(F.sequence(F.lit(0), F.lit(K - 1))).alias("__by"))
+    cells = dense.join(counts, ["__bx", "__by"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+    wx = Window.partitionBy("__by").orderBy("__bx").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("__c", F.coalesce(F.sum("cnt").over(wx), F.lit(0)))
+    wy = Window.partitionBy("__bx").orderBy(F.col("__by").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("__d", F.coalesce(F.sum("__c").over(wy), F.lit(0)))
+    cross = cells.agg(F.sum(F.col("cnt") * F.col("__d"))).first()[0] or 0
+
+    def per_group(keys):
+        def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"d": [S.discordant_pairs(pdf["__x"].to_numpy(), pdf["__y"].to_numpy())]})
+        res = g.groupBy(*keys).applyInPandas(fn, "d long")
+        return res.agg(F.sum("d")).first()[0] or 0
+    same_x = per_group(["__bx"])
+    same_y = per_group(["__by"])
+    same_cell = per_group(["__bx", "__by"])
+    nd = cross + same_x + same_y - same_cell
+    n0 = n * (n - 1) / 2
+    s_ = n0 - n1 - n2 + n3 - 2 * nd
+    den = math.sqrt((n0 - n1) * (n0 - n2))
+    tau = s_ / den if den > 0 else None
+    return df.sparkSession.createDataFrame([(tau, n, float(s_))], "tau double, n long, s double")
+
+
 def strength_label(r: Column) -> Column:
     a = F.abs(r)
     return F.when(a >= 0.7, "strong").when(a >= 0.3, "moderate").otherwise("weak")
@@ -128,6 +196,16 @@ def correlation_edges(df: DataFrame, cols: Sequence[str], threshold: float = 0.1
 def correlation_test(df: DataFrame, a: str, b: str, method: str = "pearson", alpha: float = 0.05) -> DataFrame:
     """r, p (t with n-2 dof), R^2, direction and strength label."""
     d = df.where(c(a).isNotNull() & c(b).isNotNull())
+    if method == "kendall":
+        k = kendall_tau(df, a, b).first()
+        tau, n = k["tau"], k["n"]
+        # normal approximation of the tau statistic (no tie correction of the variance)
+        z = 3 * tau * math.sqrt(n * (n - 1)) / math.sqrt(2 * (2 * n + 5)) if tau is not None else None
+        p = 2 * S.norm_sf(abs(z)) if z is not None else None
+        lab = None if tau is None else ("strong" if abs(tau) >= 0.7 else "moderate" if abs(tau) >= 0.3 else "weak") + \
+            (" positive" if tau >= 0 else " negative")
+        return _test_row(df.sparkSession, "kendall correlation", tau, p, None, n, alpha,
+                         None if tau is None else tau * tau, lab, {"t": z})
     if method == "spearman":
         d = average_ranks(average_ranks(d, a, "__ra"), b, "__rb")
         xa, xb = F.col("__ra"), F.col("__rb")

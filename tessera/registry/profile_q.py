@@ -189,3 +189,21 @@ def q_outlier_summary(spark, sf):
                                     ["span_days", "top_year_pct", "top_month_pct", "top_weekday_pct"]))
 def q_datetime_profile(spark, sf):
     return fin(P.datetime_profile(tbl(spark, sf, "orders"), "o_orderdate"))
+
+
+@register("type_counts")
+def q_type_counts(spark, sf):
+    return P.type_counts(tbl(spark, sf, "lineitem"))
+
+
+@register("sample_values")
+def q_sample_values(spark, sf):
+    return P.sample_values(tbl(spark, sf, "orders"))
+
+
+@register("missing_matrix", f"""SELECT (o_orderkey IS NULL)::INTEGER AS o_orderkey, (o_custkey IS NULL)::INTEGER AS o_custkey,
+  (o_orderstatus IS NULL)::INTEGER AS o_orderstatus, (o_totalprice IS NULL)::INTEGER AS o_totalprice,
+  (o_orderdate IS NULL)::INTEGER AS o_orderdate, (o_orderpriority IS NULL)::INTEGER AS o_orderpriority
+  FROM {ORDERS_NULLS} AS o ORDER BY o.o_orderkey LIMIT 100""")
+def q_missing_matrix(spark, sf):
+    return P.missing_matrix(orders_nulls(spark, sf), 100, "o_orderkey")

@@ -367,3 +367,17 @@ def q_seasonality_grid(spark, sf):
   avg(value) AS mean FROM events GROUP BY 1, 2""", ["mean"]))
 def q_seasonality_grid_week(spark, sf):
     return fin(TS.seasonality_grid(tbl(spark, sf, "events"), "ts", "value", "week", "weekday"))
+
+
+@register("correlation_kendall", rsql("""WITH d AS (SELECT c_acctbal AS x, c_nationkey::DOUBLE AS y, c_custkey AS id FROM customer),
+  p AS (SELECT sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM d AS a JOIN d AS b ON a.id < b.id)
+  SELECT (count_if(sx * sy > 0) - count_if(sx * sy < 0)) / sqrt((count(*) - count_if(sx = 0)) * (count(*) - count_if(sy = 0))) AS tau,
+    (SELECT count(*) FROM d) AS n, (count_if(sx * sy > 0) - count_if(sx * sy < 0))::DOUBLE AS s FROM p""", ["tau", "s"]))
+def q_correlation_kendall(spark, sf):
+    # the oracle enumerates all pairs (fine for the customer table); the Spark side never does
+    return fin(ST.kendall_tau(tbl(spark, sf, "customer"), "c_acctbal", "c_nationkey", blocks=4))
+
+
+@register("correlation_test_kendall")
+def q_correlation_test_kendall(spark, sf):
+    return fin(ST.correlation_test(tbl(spark, sf, "customer"), "c_acctbal", "c_nationkey", "kendall"))

@@ -169,3 +169,39 @@ def test_timeseries(spark):
     sd = TS.seasonal_decompose(spark.createDataFrame(season, "t long, y double"), "y", "t", 4).orderBy("index").collect()
     assert [r["seasonal"] for r in sd[:4]] == pytest.approx([3, -1, -2, 0], abs=1e-9)
     assert sd[0]["trend"] is None and sd[2]["trend"] == pytest.approx(0.2)
+
+
+def _tau_b_brute(x, y):
+    c = d = tx = ty = 0
+    n = len(x)
+    for i in range(n):
+        for j in range(i + 1, n):
+            sx, sy = np.sign(x[i] - x[j]), np.sign(y[i] - y[j])
+            if sx == 0 and sy == 0:
+                continue
+            if sx == 0:
+                tx += 1
+            elif sy == 0:
+                ty += 1
+            elif sx * sy > 0:
+                c += 1
+            else:
+                d += 1
+    return (c - d) / math.sqrt((c + d + tx) * (c + d + ty))
+
+
+@pytest.mark.parametrize("blocks", [1, 4, 9])
+def test_kendall_exact_any_block_count(spark, blocks):
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 15, 250).astype(float)
+    y = (x * 0.5 + rng.integers(0, 6, 250)).astype(float)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    got = ST.kendall_tau(df, "x", "y", blocks=blocks).first()["tau"]
+    assert got == pytest.approx(_tau_b_brute(x, y), abs=1e-12)
+
+
+def test_inversions_brute():
+    rng = np.random.default_rng(13)
+    for n in (0, 1, 2, 17, 64, 100):
+        a = rng.integers(0, 9, n)
+        assert S.count_inversions(a) == sum(1 for i in range(n) for j in range(i + 1, n) if a[i] > a[j])
