@@ -192,3 +192,20 @@ def q_convert_type(spark, sf):
     d = C.convert_type(d, "price_text", "float", out="price_float")
     d = C.convert_type(d, "o_orderstatus", "boolean", out="status_bool")
     return d.select("o_orderkey", "d", "price_int", "price_float", "status_bool")
+
+
+@register("outliers_log", rsql(f"""SELECT event_id, ln(value + (SELECT CASE WHEN min(value) <= 0 THEN abs(min(value)) + 1 ELSE 0.0 END
+  FROM {EO})) AS value FROM {EO}""", ["value"]))
+def q_outliers_log(spark, sf):
+    return fin(C.handle_outliers(events_outliers(spark, sf), "value", "iqr", action="log").select("event_id", "value"))
+
+
+@register("drop_missing_any_column", f"SELECT * FROM {ON} WHERE o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL")
+def q_drop_missing_any_column(spark, sf):
+    return C.drop_missing(orders_nulls(spark, sf))
+
+
+@register("outlier_flag_zscore", f"""SELECT event_id, coalesce(value < b.lo OR value > b.hi, false) AS value_outlier
+  FROM {EO}, {_Z_B} AS b""")
+def q_outlier_flag_zscore(spark, sf):
+    return C.outlier_flag(events_outliers(spark, sf), "value", "zscore").select("event_id", "value_outlier")

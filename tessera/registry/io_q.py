@@ -225,3 +225,23 @@ def q_dashboard_table(spark, sf):
             "tables": [{"name": "top", "columns": ["o_orderkey", "o_totalprice", "o_orderpriority"], "max_rows": 25,
                         "order_by": [F.col("o_totalprice").desc(), "o_orderkey"]}]}
     return run_dashboard(tbl(spark, sf, "orders"), spec)["top"]
+
+
+@register("normalise_types", "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def q_normalise_types(spark, sf):
+    return TY.normalise_types(tbl(spark, sf, "customer"))
+
+
+@register("geo_columns")
+def q_geo_columns(spark, sf):
+    c = tbl(spark, sf, "customer")
+    return TY.geo_columns(c.select((F.col("c_acctbal") / 200.0).alias("latitude"),
+                                   (F.col("c_custkey") % 360 - 180).alias("lon"), "c_custkey"))
+
+
+@register("detect_sniffed_delimiter")
+def q_detect_sniffed_delimiter(spark, sf):
+    p = tbl(spark, sf, "part")
+    path = scratch_path(spark, "pipe")
+    W.write_csv(p, path, sep="|")
+    return spark.createDataFrame([(RD.sniff_delimiter(spark, path),)], "delimiter string")

@@ -227,3 +227,8 @@ def q_top_k(spark, sf):
     t = J.top_k(li, "l_extendedprice", 10, True, tie)
     b = J.top_k(li, "l_extendedprice", 10, False, tie)
     return t.withColumn("side", F.lit("top")).unionByName(b.withColumn("side", F.lit("bottom")))
+
+
+@register("preview_sample")
+def q_preview_sample(spark, sf):
+    return P.preview(tbl(spark, sf, "orders"), "sample", 5, cols=["o_orderkey", "o_totalprice"])

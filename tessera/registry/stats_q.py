@@ -381,3 +381,23 @@ def q_correlation_kendall(spark, sf):
 @register("correlation_test_kendall")
 def q_correlation_test_kendall(spark, sf):
     return fin(ST.correlation_test(tbl(spark, sf, "customer"), "c_acctbal", "c_nationkey", "kendall"))
+
+
+@register("adf_differenced")
+def q_adf_differenced(spark, sf):
+    return fin(TS.adf(tbl(spark, sf, "events"), "value", "event_id", diff=1))
+
+
+@register("decomposition_components", rsql("""WITH b AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS idx, value AS observed FROM events),
+  t AS (SELECT idx, observed, CASE WHEN count(observed) OVER w = 13 THEN (sum(observed) OVER w
+        - 0.5 * (first_value(observed) OVER w + last_value(observed) OVER w)) / 12 END AS trend FROM b
+        WINDOW w AS (ORDER BY idx ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)),
+  s AS (SELECT idx % 12 AS pos, avg(observed - trend) AS sm FROM t GROUP BY 1),
+  c AS (SELECT pos, sm - (SELECT avg(sm) FROM s) AS seasonal FROM s),
+  d AS (SELECT observed, trend, seasonal, observed - trend - seasonal AS resid FROM t JOIN c ON t.idx % 12 = c.pos)
+  SELECT 'observed' AS component, avg(observed) AS mean, stddev_samp(observed) AS std, min(observed) AS "min", max(observed) AS "max" FROM d
+  UNION ALL SELECT 'trend', avg(trend), stddev_samp(trend), min(trend), max(trend) FROM d
+  UNION ALL SELECT 'seasonal', avg(seasonal), stddev_samp(seasonal), min(seasonal), max(seasonal) FROM d
+  UNION ALL SELECT 'resid', avg(resid), stddev_samp(resid), min(resid), max(resid) FROM d""", ["mean", "std", "min", "max"], 5))
+def q_decomposition_components(spark, sf):
+    return fin(TS.component_summary(TS.seasonal_decompose(tbl(spark, sf, "events"), "value", "event_id", 12)), 5)
