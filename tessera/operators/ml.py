@@ -140,61 +140,130 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], trees: int = 100, sampl
 
 # -- DBSCAN -------------------------------------------------------------------------------------
 def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: int = 5, out: str = "dbscan_cluster",
-           key: str | None = None, max_rounds: int = 50) -> DataFrame:
-    """DBSCAN on standardised columns (label -1 = noise).
-
-    Points are hashed to grid cells of side ``eps``; neighbours are searched in
-    the 3^d adjacent cells by an equi-join on cell keys (d <= 4).  Core points
-    have >= ``min_samples`` neighbours (self included); clusters are connected
-    components of core points, found by iterated min-label propagation with a
-    checkpoint every few rounds; border points take the smallest adjacent core
-    label.  Labels are numbered 0.. in order of each cluster's smallest point key.
+           key: str | None = None, max_rounds: int = 100, fine: int = 4) -> DataFrame:
+    """DBSCAN on standardised columns (label -1 = noise), grid based, without all-pairs in dense regions.
+
+    Cells have side eps / sqrt(d), so points sharing a cell are neighbours:
+    a cell with >= ``min_samples`` points makes all of them core with no pair
+    work.  Neighbour counts are enumerated only for points of *sparse* cells
+    (fewer than ``min_samples`` points), which bounds the pairs by
+    ``min_samples x (neighbour cells) x n``.  Core cells are graph nodes; two
+    neighbouring core cells are linked when some core pair is within eps:
+    enumerated when one side is sparse, decided on a ``fine``-times finer
+    grid (box distances) when both are dense, enumerating only the fine-cell
+    pairs that straddle the eps boundary.  Components come from iterated
+    min-label propagation over the cell graph (checkpointed); border points
+    take the smallest adjacent core label; clusters are numbered by their
+    smallest point key.  Supports up to 4 dimensions.
     """
     import itertools
+    import math as _m
 
     cols = list(cols)
-    if len(cols) > 4:
+    d_ = len(cols)
+    if d_ > 4:
         raise ValueError("dbscan grid search supports up to 4 dimensions")
     d, z = standardized(df, cols)
     if key is None:
         d = d.withColumn("__id", F.monotonically_increasing_id())
         key = "__id"
-    pts = d.select(F.col(key).alias("__pid"), *z, *[F.floor(F.col(x) / eps).cast("long").alias(f"__g{i}")
-                                                   for i, x in enumerate(z)])
-    offsets = list(itertools.product([-1, 0, 1], repeat=len(z)))
-    nb = pts.select("__pid", *z, F.explode(F.array(*[F.array(*[F.lit(o) for o in off]) for off in offsets])).alias("__o"))
-    nb = nb.select(F.col("__pid").alias("__qid"), *[F.col(x).alias(f"__q{i}") for i, x in enumerate(z)],
-                   *[(F.floor(F.col(x) / eps).cast("long") + F.col("__o")[i]).alias(f"__g{i}") for i, x in enumerate(z)])
-    pairs = pts.join(nb, [f"__g{i}" for i in range(len(z))])
-    dist2 = sum(((F.col(x) - F.col(f"__q{i}")) ** 2 for i, x in enumerate(z)), F.lit(0.0))
-    pairs = pairs.where(dist2 <= eps * eps).select("__pid", "__qid")
-    counts = pairs.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    core = counts.where(F.col("__n") >= min_samples).select("__pid")
-    core_pairs = pairs.join(core, "__pid", "left_semi").join(
-        core.withColumnRenamed("__pid", "__qid"), "__qid", "left_semi")
-    labels = core.withColumn("__lab", F.col("__pid"))
-    spark = df.sparkSession
+    side = eps / _m.sqrt(d_)
+    reach = int(_m.ceil(_m.sqrt(d_))) + 1
+    offs = [o for o in itertools.product(range(-reach, reach + 1), repeat=d_)
+            if sum(max(abs(v) - 1, 0) ** 2 for v in o) * side * side <= eps * eps]
+    gcols = [f"__g{i}" for i in range(d_)]
+    pts = d.select(F.col(key).alias("__pid"), *[F.col(x).alias(f"__z{i}") for i, x in enumerate(z)],
+                   *[F.floor(F.col(x) / side).cast("long").alias(g) for x, g in zip(z, gcols)])
+    zc = [f"__z{i}" for i in range(d_)]
+    cnt = pts.groupBy(*gcols).agg(F.count(F.lit(1)).alias("__cnt"))
+    pts = pts.join(cnt, gcols)
+    off_arr = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])
+
+    def neighbours(left, right, lname, rname):
+        """Pairs (left point, right point) in offset cells with distance <= eps."""
+        ex = left.select(F.col("__pid").alias(lname), *[F.col(c_).alias(f"{lname}{c_}") for c_ in zc],
+                         *[F.col(g).alias(f"{lname}{g}") for g in gcols], F.explode(off_arr).alias("__o"))
+        ex = ex.select("*", *[(F.col(f"{lname}{g}") + F.col("__o")[i]).alias(g) for i, g in enumerate(gcols)])
+        r = right.select(F.col("__pid").alias(rname), *[F.col(c_).alias(f"{rname}{c_}") for c_ in zc], *gcols)
+        j = ex.join(r, gcols)
+        dist2 = sum(((F.col(f"{lname}{c_}") - F.col(f"{rname}{c_}")) ** 2 for c_ in zc), F.lit(0.0))
+        return j.where(dist2 <= eps * eps)
+
+    sparse = pts.where(F.col("__cnt") < min_samples)
+    sp_pairs = neighbours(sparse, pts, "a", "b").select(
+        "a", "b", *[F.col(f"a{g}").alias(f"ca{i}") for i, g in enumerate(gcols)],
+        *[F.col(g).alias(f"cb{i}") for i, g in enumerate(gcols)]).persist()  # read three times below
+    sp_core = sp_pairs.groupBy("a").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_samples) \
+        .select(F.col("a").alias("__pid"))
+    core = pts.where(F.col("__cnt") >= min_samples).select("__pid").unionByName(sp_core)
+    core_pts = pts.join(core, "__pid", "left_semi")
+    cell_id = F.struct(*[F.col(g) for g in gcols])
+    core_cells = core_pts.select(*gcols, "__cnt").distinct()
+
+    # edges from pairs with at least one sparse side (core-core only)
+    core_ids = core.select(F.col("__pid").alias("__c"))
+    e1 = sp_pairs.join(core_ids.withColumnRenamed("__c", "a"), "a", "left_semi") \
+        .join(core_ids.withColumnRenamed("__c", "b"), "b", "left_semi") \
+        .select(F.struct(*[F.col(f"ca{i}").alias(g) for i, g in enumerate(gcols)]).alias("u"),
+                F.struct(*[F.col(f"cb{i}").alias(g) for i, g in enumerate(gcols)]).alias("v"))
+    # dense-dense neighbours: fine cells, box distances, enumerate only straddling fine pairs
+    dense_pts = pts.where(F.col("__cnt") >= min_samples)
+    fside = side / fine
+    fcols = [f"__f{i}" for i in range(d_)]
+    dense_pts = dense_pts.select("*", *[F.floor(F.col(c_) / fside).cast("long").alias(f) for c_, f in zip(zc, fcols)])
+    fcells = dense_pts.select(*gcols, *fcols).distinct()
+    fa = fcells.select(*[F.col(g).alias(f"a{g}") for g in gcols], *[F.col(f).alias(f"a{f}") for f in fcols],
+                       F.explode(off_arr).alias("__o"))
+    fa = fa.select("*", *[(F.col(f"a{g}") + F.col("__o")[i]).alias(g) for i, g in enumerate(gcols)])
+    fb = fcells.select(*gcols, *[F.col(f).alias(f"b{f}") for f in fcols])
+    fp = fa.join(fb, gcols).where(F.struct(*[F.col(f"a{g}") for g in gcols]) < F.struct(*[F.col(g) for g in gcols]))
+    # box distances between fine cells (index gap k -> min (|k|-1)*fside, max (|k|+1)*fside)
+    gap = [F.abs(F.col(f"b{f}") - F.col(f"a{f}")) for f in fcols]
+    mind2 = sum((F.greatest(g_ - 1, F.lit(0)) * fside) ** 2 for g_ in gap)
+    maxd2 = sum(((g_ + 1) * fside) ** 2 for g_ in gap)
+    fp = fp.where(mind2 <= eps * eps).withColumn("__sure", maxd2 <= eps * eps)
+    uv = [F.struct(*[F.col(f"a{g}").alias(g) for g in gcols]).alias("u"), F.struct(*[F.col(g) for g in gcols]).alias("v")]
+    e2 = fp.where("__sure").select(*uv)
+    edge_fp = fp.where(~F.col("__sure"))
+    pa = dense_pts.select(*[F.col(g).alias(f"a{g}") for g in gcols], *[F.col(f).alias(f"a{f}") for f in fcols],
+                          *[F.col(c_).alias(f"a{c_}") for c_ in zc])
+    pb = dense_pts.select(*gcols, *[F.col(f).alias(f"b{f}") for f in fcols], *[F.col(c_).alias(f"b{c_}") for c_ in zc])
+    straddle = edge_fp.join(pa, [f"a{g}" for g in gcols] + [f"a{f}" for f in fcols]) \
+        .join(pb, gcols + [f"b{f}" for f in fcols])
+    dist2 = sum(((F.col(f"a{c_}") - F.col(f"b{c_}")) ** 2 for c_ in zc), F.lit(0.0))
+    e3 = straddle.where(dist2 <= eps * eps).select(*uv)
+    edges = e1.unionByName(e2).unionByName(e3).where(F.col("u") != F.col("v")).distinct()
+    edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
     from tessera.session import checkpoint_dir
-    checkpoint_dir(spark)
+    checkpoint_dir(df.sparkSession)
+    labels = core_cells.select(cell_id.alias("u"), cell_id.alias("__lab")).checkpoint()
+    edges = edges.checkpoint()
     for r in range(max_rounds):
-        prop = core_pairs.join(labels.withColumnRenamed("__pid", "__qid").withColumnRenamed("__lab", "__ql"), "__qid") \
-            .groupBy("__pid").agg(F.min("__ql").alias("__m"))
-        new = labels.join(prop, "__pid", "left").select(
-            "__pid", F.least(F.col("__lab"), F.coalesce("__m", F.col("__lab"))).alias("__lab"))
-        changed = new.join(labels.withColumnRenamed("__lab", "__old"), "__pid").where(F.col("__lab") != F.col("__old")).count()
-        labels = new.checkpoint() if r % 3 == 2 else new.cache()
+        prop = edges.join(labels.withColumnRenamed("u", "v").withColumnRenamed("__lab", "__vl"), "v") \
+            .groupBy("u").agg(F.min("__vl").alias("__m"))
+        new = labels.join(prop, "u", "left").select("u", F.least("__lab", F.coalesce("__m", "__lab")).alias("__lab"))
+        # pointer jumping: a node takes its label's label, halving label chains each round
+        jump = new.select(F.col("u").alias("__lab"), F.col("__lab").alias("__ll"))
+        new = new.join(jump, "__lab", "left").select("u", F.least("__lab", F.coalesce("__ll", "__lab")).alias("__lab"))
+        new = new.checkpoint()
+        changed = new.join(labels.withColumnRenamed("__lab", "__old"), "u").where(F.col("__lab") != F.col("__old")).count()
+        labels = new
         if changed == 0:
             break
-    border = pairs.join(core.withColumnRenamed("__pid", "__qid"), "__qid", "left_semi") \
-        .join(labels.withColumnRenamed("__pid", "__qid").withColumnRenamed("__lab", "__ql"), "__qid") \
-        .groupBy("__pid").agg(F.min("__ql").alias("__bl"))
-    all_lab = pts.select("__pid").join(labels, "__pid", "left").join(border, "__pid", "left") \
+    core_lab = core_pts.select("__pid", cell_id.alias("u")).join(labels, "u").select("__pid", "__lab")
+    border = sp_pairs.join(core_lab.withColumnRenamed("__pid", "b").withColumnRenamed("__lab", "__bl"), "b") \
+        .groupBy(F.col("a").alias("__pid")).agg(F.min("__bl").alias("__bl"))
+    lab = pts.select("__pid").join(core_lab, "__pid", "left").join(border, "__pid", "left") \
         .select("__pid", F.coalesce("__lab", "__bl").alias("__raw"))
+    firsts = lab.where(F.col("__raw").isNotNull()).groupBy("__raw").agg(F.min("__pid").alias("__first"))
     from tessera.plans.ordered import sorted_codes
-    ids = sorted_codes(all_lab.where(F.col("__raw").isNotNull()).select("__raw").distinct(), ["__raw"], "__cl")
-    lab = all_lab.join(ids, "__raw", "left").select("__pid", F.coalesce(F.col("__cl").cast("int"), F.lit(-1)).alias(out))
+    ids = sorted_codes(firsts, ["__first"], "__cl")
+    lab = lab.join(ids.select("__raw", "__cl"), "__raw", "left").select(
+        "__pid", F.coalesce(F.col("__cl").cast("int"), F.lit(-1)).alias(out))
     res = d.join(lab, d[key] == lab["__pid"], "left").drop("__pid", *z)
-    return res.drop("__id") if key == "__id" else res
+    res = res.drop("__id") if key == "__id" else res
+    return res
 
 
 # -- CLN9 ---------------------------------------------------------------------------------------

@@ -205,3 +205,39 @@ def test_inversions_brute():
     for n in (0, 1, 2, 17, 64, 100):
         a = rng.integers(0, 9, n)
         assert S.count_inversions(a) == sum(1 for i in range(n) for j in range(i + 1, n) if a[i] > a[j])
+
+
+def test_dbscan_matches_brute_force(spark):
+    from tessera.operators import ml as ML
+    rng = np.random.default_rng(3)
+    t = rng.uniform(0, np.pi, 60)
+    a = np.c_[np.cos(t), np.sin(t)] + rng.normal(0, 0.05, (60, 2))
+    b = np.c_[1 - np.cos(t), 0.5 - np.sin(t)] + rng.normal(0, 0.05, (60, 2))
+    X = np.vstack([a, b, rng.uniform(-2, 3, (8, 2)), np.tile([[3.0, 3.0]], (20, 1))])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(X)], "id long, x double, y double")
+    Z = (X - X.mean(0)) / X.std(0)
+    eps, ms = 0.3, 5
+    nb = np.sqrt(((Z[:, None] - Z[None]) ** 2).sum(-1)) <= eps
+    core = nb.sum(1) >= ms
+    lab = -np.ones(len(Z), int)
+    cur = 0
+    for i in range(len(Z)):
+        if core[i] and lab[i] < 0:
+            stack, lab[i] = [i], cur
+            while stack:
+                p = stack.pop()
+                for q in np.where(nb[p] & core)[0]:
+                    if lab[q] < 0:
+                        lab[q] = cur
+                        stack.append(q)
+            cur += 1
+    first = {}
+    for i in range(len(Z)):
+        if core[i]:
+            first.setdefault(lab[i], i)
+    raw = [first[lab[i]] if core[i] else min([first[lab[q]] for q in np.where(nb[i] & core)[0]], default=-1)
+           for i in range(len(Z))]
+    order = sorted({r for r in raw if r >= 0})
+    expect = [order.index(r) if r >= 0 else -1 for r in raw]
+    got = {r["id"]: r["c"] for r in ML.dbscan(df, ["x", "y"], eps, ms, out="c", key="id").collect()}
+    assert [got[i] for i in range(len(Z))] == expect
