@@ -44,7 +44,11 @@ def _attach(df: DataFrame, table: DataFrame, col: str, value: Column, out: str)
 def label_encode(df: DataFrame, col: str, order_by: str, out: str | None = None) -> DataFrame:
     """Codes 0.. in order of first appearance (by ``order_by``); null stays null."""
     firsts = df.where(c(col).isNotNull()).groupBy(c(col).alias("__v")).agg(F.min(c(order_by)).alias("__first"))
-    codes = sorted_codes(firsts, ["__first", "__v"])
+    try:  # numeric / temporal order key: block row index (no Python rows)
+        from tessera.plans.ordered import row_index
+        codes = row_index(firsts, ["__first", "__v"], None, "__code")
+    except TypeError:  # other sortable keys: distributed sort + per-partition offsets
+        codes = sorted_codes(firsts, ["__first", "__v"])
     return _attach(df, codes, col, F.col("__code"), out or col)
 
 
