@@ -407,48 +407,56 @@ def histogram(df: DataFrame, col: str, bins: int = 10, by: str | None = None, no
 
 
 def kde(df: DataFrame, col: str, points: int = 1000, by: str | None = None, fine_bins: int = 10000) -> DataFrame:
-    """Gaussian KDE (Scott bandwidth, like scipy) on ``points`` grid points between min and max.
+    """Gaussian KDE (Scott bandwidth, like scipy) on ``points`` grid points between min and max, per group.
 
-    Values are first linearly binned on a fine grid by an aggregate (bounded by
-    ``fine_bins`` rows per group); densities are then evaluated from the bins.
+    One aggregate gives n, std, min and max per group; one grouped aggregate
+    linearly bins the values on a fine grid (at most ``fine_bins + 1`` rows per
+    group); each group's densities are then evaluated from its bins in an
+    Arrow batch.  Nothing is collected to the driver.
     """
+    import pandas as pd
     x = c(col).cast("double")
     keys = [by] if by else []
     base = df.where(x.isNotNull())
     if by:
         base = base.where(c(by).isNotNull())
-    st = base.groupBy(*[c(k) for k in keys]).agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"),
-                                                  F.min(x).alias("a"), F.max(x).alias("b"))
-    stats = bounded_rows(st, MAX_CATEGORIES, "kde groups")
-    out = []
-    for r in stats:
-        n, sd, a, b = r["n"], r["sd"], r["a"], r["b"]
-        sub = base
-        for kk in keys:
-            sub = sub.where(c(kk) == F.lit(r[kk]))
-        span = (b - a) or 1.0
-        step = span / (fine_bins - 1)
-        pos = (x - a) / step
-        i0 = F.floor(pos)
-        frac = pos - i0
-        binned = sub.select(F.explode(F.array(F.struct(i0.cast("long").alias("i"), (1 - frac).alias("w")),
-                                              F.struct((i0 + 1).cast("long").alias("i"), frac.alias("w")))).alias("s")) \
-            .groupBy("s.i").agg(F.sum("s.w").alias("w"))
-        bw = binned.collect()  # at most fine_bins + 1 rows
-        centres = np.array([a + row["i"] * step for row in bw])
-        weights = np.array([row["w"] for row in bw])
-        h = (sd or 0.0) * n ** (-1 / 5)
-        grid = np.linspace(a, b, points)
+    gk = [c(k) for k in keys] if keys else [F.lit(0).alias("__g")]
+    gnames = keys if keys else ["__g"]
+    base = base.select(*gk, x.alias("__x"))
+    st = base.groupBy(*gnames).agg(F.count("__x").alias("__n"), F.stddev_samp("__x").alias("__sd"),
+                                    F.min("__x").alias("__a"), F.max("__x").alias("__b"))
+    j = base.join(st, gnames)  # one row of statistics per group; AQE broadcasts it when small
+    step = F.when(F.col("__b") > F.col("__a"), (F.col("__b") - F.col("__a")) / (fine_bins - 1)).otherwise(F.lit(1.0))
+    pos = (F.col("__x") - F.col("__a")) / step
+    i0 = F.floor(pos)
+    frac = pos - i0
+    binned = j.select(*gnames, "__n", "__sd", "__a", "__b", step.alias("__st"),
+                      F.explode(F.array(F.struct(i0.cast("long").alias("i"), (1 - frac).alias("w")),
+                                        F.struct((i0 + 1).cast("long").alias("i"), frac.alias("w")))).alias("__s"))
+    bins = binned.groupBy(*gnames, "__n", "__sd", "__a", "__b", "__st", F.col("__s.i").alias("__i")) \
+        .agg(F.sum("__s.w").alias("__w"))
+    key_fields = [df.schema[k] for k in keys] if keys else [T.StructField("__g", T.IntegerType(), False)]
+    schema = T.StructType(key_fields + [T.StructField("x", T.DoubleType()), T.StructField("density", T.DoubleType())])
+    npts = points
+
+    def dens(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, sd, a, b, st_ = (float(pdf[k].iloc[0]) for k in ("__n", "__sd", "__a", "__b", "__st"))
+        centres = a + pdf["__i"].to_numpy(dtype="float64") * st_
+        w = pdf["__w"].to_numpy(dtype="float64")
+        grid = np.linspace(a, b, npts)
+        h = (sd if sd == sd else 0.0) * n ** (-1 / 5)
         if h > 0:
-            dens = np.array([np.sum(weights * np.exp(-0.5 * ((g - centres) / h) ** 2)) for g in grid]) / (
-                n * h * math.sqrt(2 * math.pi))
+            z = (grid[:, None] - centres[None, :]) / h
+            d = (np.exp(-0.5 * z * z) @ w) / (n * h * math.sqrt(2 * math.pi))
         else:
-            dens = np.full(points, np.nan)
-        for g, dv in zip(grid, dens):
-            out.append(tuple([r[kk] for kk in keys]) + (float(g), float(dv)))
-    schema = T.StructType([df.schema[kk] for kk in keys] + [T.StructField("x", T.DoubleType()),
-                                                             T.StructField("density", T.DoubleType())])
-    return df.sparkSession.createDataFrame(out, schema)
+            d = np.full(npts, np.nan)
+        out = pd.DataFrame({k: [pdf[k].iloc[0]] * npts for k in gnames})
+        out["x"] = grid
+        out["density"] = d
+        return out
+
+    res = bins.groupBy(*gnames).applyInPandas(dens, schema)
+    return res.drop("__g") if not keys else res
 
 
 def _ppf(dist: str, p: Column, params: dict) -> Column:
