@@ -245,3 +245,24 @@ def q_detect_sniffed_delimiter(spark, sf):
     path = scratch_path(spark, "pipe")
     W.write_csv(p, path, sep="|")
     return spark.createDataFrame([(RD.sniff_delimiter(spark, path),)], "delimiter string")
+
+
+_KIND_SQL = """CASE WHEN data_type = 'BOOLEAN' THEN 'boolean'
+  WHEN data_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') OR data_type LIKE 'DECIMAL%' THEN 'numeric'
+  WHEN data_type LIKE 'TIMESTAMP%' OR data_type = 'DATE' THEN 'datetime' WHEN data_type = 'VARCHAR' THEN 'categorical'
+  ELSE 'other' END"""
+_SPARK_TYPE_SQL = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+  WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'BOOLEAN' THEN 'boolean' ELSE lower(data_type) END"""
+
+
+@register("column_kinds_catalog", f"""SELECT column_name, {_SPARK_TYPE_SQL} AS dtype, {_KIND_SQL} AS kind
+  FROM information_schema.columns WHERE table_name = 'orders'""")
+def q_column_kinds_catalog(spark, sf):
+    return TY.column_kinds(tbl(spark, sf, "orders"))
+
+
+@register("type_counts_catalog", f"""SELECT {_KIND_SQL} AS kind, count(*) AS "columns"
+  FROM information_schema.columns WHERE table_name = 'lineitem' GROUP BY 1""")
+def q_type_counts_catalog(spark, sf):
+    from tessera.operators import profile as P
+    return P.type_counts(tbl(spark, sf, "lineitem"))

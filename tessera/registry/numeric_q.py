@@ -225,3 +225,9 @@ def q_merge_numeric(spark, sf):
         d = N.merge_numeric(d, ["o_totalprice", "o_custkey"], how, {"sum": "m_sum", "subtract": "m_sub",
                                                                   "product": "m_prod", "divide": "m_div"}[how])
     return fin(d.select("o_orderkey", "m_sum", "m_sub", "m_prod", "m_div"))
+
+
+@register("box_cox_fixed_lambda", rsql(f"""SELECT c_custkey, (pow(c_acctbal + {_SHIFT_LE}, 0.5) - 1) / 0.5 AS bc FROM customer""",
+                                       ["bc"]))
+def q_box_cox_fixed_lambda(spark, sf):
+    return fin(N.box_cox(tbl(spark, sf, "customer"), "c_acctbal", out="bc", lam=0.5).select("c_custkey", "bc"))

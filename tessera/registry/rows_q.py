@@ -212,11 +212,17 @@ def q_sort_abs_top(spark, sf):
     return fin(d.select("c_custkey", "c_acctbal"))
 
 
-@register("sort_value_order", """SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderpriority WHEN '3-MEDIUM' THEN 0
-  WHEN '1-URGENT' THEN 1 ELSE 2 END, o_orderkey LIMIT 50""")
+@register("sort_value_order", """SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY CASE o_orderpriority
+  WHEN '3-MEDIUM' THEN 0 WHEN '1-URGENT' THEN 1 ELSE 2 END, o_orderkey) AS position FROM orders""")
 def q_sort_value_order(spark, sf):
+    # the whole table in the user's value order; the position column makes the order checkable
     o = tbl(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    return J.sort_by(o, ["o_orderpriority"], True, value_order=["3-MEDIUM", "1-URGENT"], then_by=["o_orderkey"]).limit(50)
+    srt = J.sort_by(o, ["o_orderpriority"], True, value_order=["3-MEDIUM", "1-URGENT"], then_by=["o_orderkey"])
+    from tessera.plans.ordered import sorted_codes
+    return sorted_codes(srt.withColumn("__r", F.coalesce(F.create_map(F.lit("3-MEDIUM"), F.lit(0), F.lit("1-URGENT"),
+                                                                      F.lit(1))[F.col("o_orderpriority")], F.lit(2))),
+                        ["__r", "o_orderkey"], "position").select("o_orderkey", "o_orderpriority",
+                                                                  (F.col("position") + 1).alias("position"))
 
 
 @register("top_k", """(SELECT *, 'top' AS side FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 10)

@@ -26,7 +26,6 @@ def q_correlation_pearson(spark, sf):
     return fin(ST.correlation(tbl(spark, sf, "lineitem"), LI, "pearson"))
 
 
-_RANKED = """(SELECT {cols} FROM (SELECT {inner} FROM {table}))"""
 
 
 def _avg_rank(x):

@@ -96,7 +96,18 @@ def q_crossover_sma(spark, sf):
     return d.select("event_id", "signal", "signal_change", "action")
 
 
-@register("crossover_ema")
+def _ema2_sql():
+    a5, a20 = 2.0 / 6.0, 2.0 / 21.0
+    return f"""WITH RECURSIVE b AS (SELECT event_id AS k, value, row_number() OVER (ORDER BY event_id) AS rn FROM events),
+  r AS (SELECT rn, k, value AS y5, value AS y20 FROM b WHERE rn = 1
+        UNION ALL SELECT b.rn, b.k, (1 - {a5!r}) * r.y5 + {a5!r} * b.value, (1 - {a20!r}) * r.y20 + {a20!r} * b.value
+        FROM r JOIN b ON b.rn = r.rn + 1),
+  g AS (SELECT k AS event_id, rn, CASE WHEN y5 > y20 THEN 1 WHEN y5 < y20 THEN -1 ELSE 0 END AS signal FROM r),
+  c AS (SELECT event_id, signal, coalesce(signal - lag(signal) OVER (ORDER BY rn), 0) AS signal_change FROM g)
+  SELECT event_id, signal, signal_change, CASE WHEN signal_change = 2 THEN 'buy' WHEN signal_change = -2 THEN 'sell' END AS action FROM c"""
+
+
+@register("crossover_ema", _ema2_sql())
 def q_crossover_ema(spark, sf):
     d = W.crossover(tbl(spark, sf, "events"), "value", 5, 20, "ema", "event_id")
     return d.select("event_id", "signal", "signal_change", "action")
