@@ -257,8 +257,12 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
     lab = pts.select("__pid").join(core_lab, "__pid", "left").join(border, "__pid", "left") \
         .select("__pid", F.coalesce("__lab", "__bl").alias("__raw"))
     firsts = lab.where(F.col("__raw").isNotNull()).groupBy("__raw").agg(F.min("__pid").alias("__first"))
-    from tessera.plans.ordered import sorted_codes
-    ids = sorted_codes(firsts, ["__first"], "__cl")
+    try:  # numeric point keys: block row index
+        from tessera.plans.ordered import row_index
+        ids = row_index(firsts, ["__first"], None, "__cl")
+    except TypeError:
+        from tessera.plans.ordered import sorted_codes
+        ids = sorted_codes(firsts, ["__first"], "__cl")
     lab = lab.join(ids.select("__raw", "__cl"), "__raw", "left").select(
         "__pid", F.coalesce(F.col("__cl").cast("int"), F.lit(-1)).alias(out))
     res = d.join(lab, d[key] == lab["__pid"], "left").drop("__pid", *z)

@@ -75,7 +75,9 @@ _SPLITS_MEMO: dict = {}
 
 def _block_splits(df: DataFrame, key: str, kd: Column, rpb: int):
     """Block boundaries of ``key`` (None = one block), memoised per plan so that
-    chained ordered operators on the same input scan it once."""
+    chained ordered operators on the same input scan it once.  Boundaries only
+    shape the work; any boundaries give the same results (carries connect the
+    blocks), so a stale entry can cost balance but never correctness."""
     try:
         memo_key = (df.semanticHash(), key, rpb)
     except Exception:  # noqa: BLE001 - plans without a semantic hash are not memoised

@@ -165,10 +165,10 @@ def q_hierarchy_totals(spark, sf):
   g AS (SELECT s AS source, t AS target, sum(v) AS value FROM b WHERE s IN (SELECT s FROM ts) AND t IN (SELECT t FROM tt) GROUP BY 1, 2),
   n AS (SELECT node, (row_number() OVER (ORDER BY node) - 1)::INTEGER AS node_id FROM (SELECT source AS node FROM g UNION SELECT target FROM g))
   SELECT source, target, value, n1.node_id AS source_id, n2.node_id AS target_id FROM g
-  JOIN n AS n1 ON g.source = n1.node JOIN n AS n2 ON g.target = n2.node""", ["value"], 4))
+  JOIN n AS n1 ON g.source = n1.node JOIN n AS n2 ON g.target = n2.node""", ["value"], 2))
 def q_flows(spark, sf):
     j = tbl(spark, sf, "orders").join(tbl(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return fin(A.flows(j, "c_mktsegment", "o_orderpriority", "o_totalprice", 3), 4)
+    return fin(A.flows(j, "c_mktsegment", "o_orderpriority", "o_totalprice", 3), 2)
 
 
 @register("funnel", rsql("""WITH g AS (SELECT event_type AS stage, sum(value) AS value FROM events GROUP BY 1),

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEC = 6
-# Decimal data puts many exact results on rounding ties (x.xxxxxx5); the two
-# engines may land one ulp apart there.  Scaling by 1 + 1e-12 before rounding
-# moves the rounding boundary off the decimal ties, identically in both.
-NUDGE = 1.0 + 1e-12
+# Decimal data puts many exact results on rounding ties (x.xxxxxx5) where the
+# two engines may land one ulp apart.  Adding 1e-4 of a rounding unit (away
+# from zero) before rounding moves the boundary off the decimal ties, with the
+# same floating-point operations in both engines.
+NUDGE_UNITS = 1e-4
 
 
 @dataclass
@@ -42,25 +43,29 @@ def tbl(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def fin(df: DataFrame, d: int = DEC) -> DataFrame:
-    """Round every double column (and turn -0.0 into 0.0)."""
+def fin(df: DataFrame, d: int = DEC, overrides: dict[str, int] | None = None) -> DataFrame:
+    """Round every double column (and turn -0.0 into 0.0); ``overrides`` sets decimals per column."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            scale = float(10 ** d)
-            x = F.col(f"`{f.name}`").cast("double")
-            cols.append((F.round(x * F.lit(NUDGE) * scale, 0) / scale + F.lit(0.0)).alias(f.name))
+            scale = float(10.0 ** (overrides or {}).get(f.name, d))
+            sc = F.col(f"`{f.name}`").cast("double") * F.lit(scale)
+            cols.append((F.round(sc + F.signum(sc) * F.lit(NUDGE_UNITS), 0) / scale + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
 
 
-def rsql(inner: str, cols: list[str], d: int = DEC) -> str:
+def rsql(inner: str, cols: list[str], d: int = DEC, overrides: dict[str, int] | None = None) -> str:
     """Wrap SQL so the listed double columns are rounded like ``fin``."""
     if not cols:
         return inner
-    rep = ", ".join(f'round("{x}"::DOUBLE * {NUDGE!r}::DOUBLE * {float(10 ** d)}) / {float(10 ** d)} + 0.0 AS "{x}"'
-                    for x in cols)
+
+    def one(x):
+        sc = float(10.0 ** (overrides or {}).get(x, d))
+        return (f'round("{x}"::DOUBLE * {sc!r}::DOUBLE + sign("{x}"::DOUBLE * {sc!r}::DOUBLE)::DOUBLE * {NUDGE_UNITS}::DOUBLE)'
+                f' / {sc!r}::DOUBLE + 0.0 AS "{x}"')
+    rep = ", ".join(one(x) for x in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({inner}) AS _q"
 
 
