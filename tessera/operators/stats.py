@@ -86,14 +86,19 @@ def correlation(df: DataFrame, cols: Sequence[str], method: str = "pearson") ->
     else:
         raise ValueError(f"method {method}: pearson | spearman | kendall")
     pairs = _pairs(cols)
-    row = data.agg(*[F.corr(c(names[a]).cast("double"), c(names[b]).cast("double")).alias(f"p{i}")
-                     for i, (a, b) in enumerate(pairs)])
-    items = [F.struct(F.lit(x).alias("column_a"), F.lit(x).alias("column_b"), F.lit(1.0).alias("correlation"))
-             for x in cols]
-    for i, (a, b) in enumerate(pairs):
-        items.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"p{i}").alias("correlation")))
-        items.append(F.struct(F.lit(b).alias("column_a"), F.lit(a).alias("column_b"), F.col(f"p{i}").alias("correlation")))
-    return row.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+    diag = df.sparkSession.createDataFrame([(x, x, 1.0) for x in cols], "column_a string, column_b string, correlation double")
+    out = diag
+    # a corr buffer has 6 fields: chunks of 15 pairs keep each aggregate under the codegen field limit
+    for start in range(0, len(pairs), 15):
+        chunk = pairs[start:start + 15]
+        row = data.agg(*[F.corr(c(names[a]).cast("double"), c(names[b]).cast("double")).alias(f"p{i}")
+                         for i, (a, b) in enumerate(chunk)])
+        items = []
+        for i, (a, b) in enumerate(chunk):
+            items.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"p{i}").alias("correlation")))
+            items.append(F.struct(F.lit(b).alias("column_a"), F.lit(a).alias("column_b"), F.col(f"p{i}").alias("correlation")))
+        out = out.unionByName(row.select(F.explode(F.array(*items)).alias("s")).select("s.*"))
+    return out
 
 
 def _spearman_pairwise(df, cols):
