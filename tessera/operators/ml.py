@@ -32,7 +32,15 @@ def cluster(df: DataFrame, cols: Sequence[str], algorithm: str = "kmeans", k: in
     if algorithm == "dbscan":
         return dbscan(df, cols, params.get("eps", 0.5), params.get("min_samples", 5), out)
     from pyspark.ml.clustering import BisectingKMeans, KMeans
-    v, z = _vectors(df, cols)
+    if algorithm == "kmeans":
+        v, z = _vectors(df, cols)
+    else:
+        # BisectingKMeans splits a cluster by scaling its centre by (1 +/- noise); a centre at the
+        # origin (standardised data) cannot split, so the data is translated (distances unchanged)
+        from pyspark.ml.feature import VectorAssembler
+        d0, z = standardized(df, list(cols))
+        d0 = d0.withColumns({x: F.col(x) + 10.0 for x in z})
+        v = VectorAssembler(inputCols=z, outputCol="__vec").transform(d0)
     est = (KMeans(k=k, seed=seed, featuresCol="__vec", predictionCol=out) if algorithm == "kmeans"
            else BisectingKMeans(k=k, seed=seed, featuresCol="__vec", predictionCol=out))
     model = est.fit(v)
