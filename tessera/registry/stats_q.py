@@ -221,7 +221,31 @@ def q_kde(spark, sf):
     return fin(ST.kde(tbl(spark, sf, "events"), "value", 200))
 
 
-@register("qq_normal")
+def _horner_sql(cs, x):
+    acc = repr(cs[0])
+    for cf in cs[1:]:
+        acc = f"(({acc}) * {x} + {cf!r})"
+    return acc
+
+
+def _norm_ppf_sql(p):
+    """The same rational approximation as tessera.functions.exprs.norm_ppf, written in SQL."""
+    from tessera.functions import exprs as X
+    ql = f"sqrt(-2 * ln({p}))"
+    qu = f"sqrt(-2 * ln(1 - {p}))"
+    q = f"({p} - 0.5)"
+    r = f"({q} * {q})"
+    low = f"({_horner_sql(X._C, ql)} / ({_horner_sql(X._D, ql)} * {ql} + 1))"
+    mid = f"({_horner_sql(X._A, r)} * {q} / ({_horner_sql(X._B, r)} * {r} + 1))"
+    high = f"(-{_horner_sql(X._C, qu)} / ({_horner_sql(X._D, qu)} * {qu} + 1))"
+    return f"CASE WHEN {p} < {X._PLOW!r} THEN {low} WHEN {p} > {1 - X._PLOW!r} THEN {high} ELSE {mid} END"
+
+
+@register("qq_normal", rsql(f"""WITH b AS (SELECT c_acctbal AS sample, row_number() OVER (ORDER BY c_acctbal) - 1 AS r,
+  count(*) OVER () AS n FROM customer WHERE c_acctbal IS NOT NULL),
+  s AS (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS sd FROM customer),
+  pp AS (SELECT sample, CASE WHEN n > 1 THEN 0.01 + 0.98 * r / (n - 1) ELSE 0.5 END AS p FROM b)
+  SELECT p, s.m + s.sd * ({_norm_ppf_sql('p')}) AS theoretical, sample FROM pp, s""", ["p", "theoretical", "sample"]))
 def q_qq_normal(spark, sf):
     return fin(ST.qq(tbl(spark, sf, "customer"), "c_acctbal", "normal"))
 
@@ -401,3 +425,30 @@ def q_adf_differenced(spark, sf):
   UNION ALL SELECT 'resid', avg(resid), stddev_samp(resid), min(resid), max(resid) FROM d""", ["mean", "std", "min", "max"], 5))
 def q_decomposition_components(spark, sf):
     return fin(TS.component_summary(TS.seasonal_decompose(tbl(spark, sf, "events"), "value", "event_id", 12)), 5)
+
+
+
+def _poly_sql(cs, u):
+    return " + ".join(f"{cf!r} * power({u}, {i})" for i, cf in enumerate(cs))
+
+
+def _shapiro_sql(table, col):
+    from tessera.functions import special as SP
+    ppf = _norm_ppf_sql("((r + 1 - 0.375) / (n + 0.25))")
+    return rsql(f"""WITH b AS (SELECT {col} AS x, row_number() OVER (ORDER BY {col}) - 1 AS r, count(*) OVER () AS n
+  FROM {table} WHERE {col} IS NOT NULL),
+  m AS (SELECT x, r, n, {ppf} AS mi FROM b),
+  t AS (SELECT sum(mi * mi) AS mm, max(mi) AS mn, max(CASE WHEN r = n - 2 THEN mi END) AS mn1, any_value(n) AS nn,
+        avg(x) AS mean FROM m),
+  w AS (SELECT *, mn / sqrt(mm) + ({_poly_sql(SP.SW_A_N, "1 / sqrt(nn)")}) AS an,
+        mn1 / sqrt(mm) + ({_poly_sql(SP.SW_A_N1, "1 / sqrt(nn)")}) AS an1 FROM t),
+  ph AS (SELECT *, (mm - 2 * mn * mn - 2 * mn1 * mn1) / (1 - 2 * an * an - 2 * an1 * an1) AS phi FROM w)
+  SELECT 'Shapiro-Wilk' AS test, power(sum(CASE WHEN r = n - 1 THEN an WHEN r = 0 THEN -an WHEN r = n - 2 THEN an1
+    WHEN r = 1 THEN -an1 ELSE mi / sqrt(phi) END * x), 2) / sum((x - mean) * (x - mean)) AS statistic, any_value(n) AS n
+  FROM m, ph""", ["statistic"])
+
+
+@register("shapiro_w_statistic", _shapiro_sql("customer", "c_acctbal"))
+def q_shapiro_w_statistic(spark, sf):
+    # the W statistic is checked by DuckDB; its p-value (normal tail) by pytest
+    return fin(ST.shapiro(tbl(spark, sf, "customer"), "c_acctbal").select("test", "statistic", "n"))
