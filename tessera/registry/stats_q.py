@@ -452,3 +452,60 @@ def _shapiro_sql(table, col):
 def q_shapiro_w_statistic(spark, sf):
     # the W statistic is checked by DuckDB; its p-value (normal tail) by pytest
     return fin(ST.shapiro(tbl(spark, sf, "customer"), "c_acctbal").select("test", "statistic", "n"))
+
+
+
+def _erfc_sql(x):
+    from tessera.functions import exprs as X
+    z = f"abs({x})"
+    t = f"(1.0 / (1.0 + 0.5 * {z}))"
+    poly = repr(X._ERFC[-1])
+    for cf in reversed(X._ERFC[:-1]):
+        poly = f"(({poly}) * {t} + {cf!r})"
+    ans = f"({t} * exp(-{z} * {z} + {poly}))"
+    return f"(CASE WHEN {x} >= 0 THEN {ans} ELSE 2.0 - {ans} END)"
+
+
+def _ncdf_sql(x):
+    return f"(0.5 * {_erfc_sql(f'(-({x}) / sqrt(2.0))')})"
+
+
+def _kolmogorov_sql(d, n):
+    lam = f"((sqrt({n}) + 0.12 + 0.11 / sqrt({n})) * {d})"
+    terms = " + ".join(f"{2.0 * (-1) ** (j - 1)!r} * exp({-2.0 * j * j!r} * {lam} * {lam})" for j in range(1, 41))
+    return f"(CASE WHEN {lam} < 0.001 THEN 1.0 ELSE greatest(0.0, least(1.0, {terms})) END)"
+
+
+def _fit_sql(dist):
+    cdf = {"normal": _ncdf_sql("(x - p1) / p2"), "exponential": "CASE WHEN x > 0 THEN 1 - exp(-x / p1) ELSE 0.0 END",
+           "uniform": "least(greatest((x - p1) / p2, 0.0), 1.0)",
+           "lognormal": f"CASE WHEN x > 0 THEN {_ncdf_sql('(ln(x) - p1) / p2')} ELSE 0.0 END"}[dist]
+    logpdf = {"normal": "-0.5 * ln(2 * pi()) - ln(p2) - 0.5 * power((x - p1) / p2, 2)",
+              "exponential": "-ln(p1) - x / p1",
+              "uniform": "CASE WHEN x >= p1 AND x <= p1 + p2 THEN -ln(p2) END",
+              "lognormal": "-ln(x) - ln(p2) - 0.5 * ln(2 * pi()) - 0.5 * power((ln(x) - p1) / p2, 2)"}[dist]
+    params = {"normal": "avg(x) AS p1, stddev_pop(x) AS p2", "exponential": "avg(x) AS p1, NULL::DOUBLE AS p2",
+              "uniform": "min(x) AS p1, max(x) - min(x) AS p2", "lognormal": "avg(ln(x)) AS p1, stddev_pop(ln(x)) AS p2"}[dist]
+    k = 1 if dist == "exponential" else 2
+    return f"""SELECT '{dist}' AS distribution, p1, p2, ks, {_kolmogorov_sql('ks', 'n')} AS p_value,
+    2 * {k} - 2 * ll AS aic, {k} * ln(n) - 2 * ll AS bic, ll AS loglik FROM (
+    SELECT any_value(p1) AS p1, any_value(p2) AS p2, any_value(n) AS n,
+      max(greatest((r + 1.0) / n - ({cdf}), ({cdf}) - r * 1.0 / n)) AS ks, sum({logpdf}) AS ll
+    FROM (SELECT x, row_number() OVER (ORDER BY x) - 1 AS r FROM b), (SELECT {params}, count(*) AS n FROM b))"""
+
+
+_FIT_DISTS = ["normal", "lognormal", "exponential", "uniform"]
+
+
+@register("fit_closed_form", rsql("WITH b AS (SELECT value AS x FROM events WHERE value IS NOT NULL) " +
+                                  " UNION ALL ".join(_fit_sql(d) for d in _FIT_DISTS),
+                                  ["p1", "p2", "ks", "p_value", "aic", "bic", "loglik"], 5))
+def q_fit_closed_form(spark, sf):
+    out = None
+    for dist in _FIT_DISTS:
+        f = ST.fit_distribution(tbl(spark, sf, "events"), "value", dist).select(
+            "distribution", F.col("params")[0].alias("p1"),
+            (F.col("params")[1] if dist != "exponential" else F.lit(None).cast("double")).alias("p2"),
+            "ks", "p_value", "aic", "bic", "loglik")
+        out = f if out is None else out.unionByName(f)
+    return fin(out, 5)
