@@ -79,3 +79,14 @@ def round_cols(df: DataFrame, decimals: int, cols: Sequence[str] | None = None)
     cols = cols if cols is not None else [f.name for f in df.schema.fields
                                            if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return df.withColumns({n: F.round(c(n), decimals) for n in cols}) if cols else df
+
+
+def scalar_values(agg_row_df: DataFrame) -> dict:
+    """The single row of a global aggregate as Python values (a handful of numbers).
+
+    Used where a plan references the same scalars many times (bin edges,
+    per-column scaling): literals let Catalyst fold them, whereas many
+    scalar-subquery references may each run the aggregate.
+    """
+    row = agg_row_df.first()
+    return row.asDict() if row is not None else {}

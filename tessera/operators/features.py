@@ -46,13 +46,15 @@ def polynomial(df: DataFrame, cols: Sequence[str], degree: int = 2, mode: str =
 
 def standardized(df: DataFrame, cols: Sequence[str], fill: float | None = 0.0) -> tuple[DataFrame, list[str]]:
     """(x - mean) / population std per column (sklearn ``StandardScaler``); nulls -> ``fill`` afterwards."""
-    st = df.agg(*[F.avg(c(x).cast("double")).alias(f"m{i}") for i, x in enumerate(cols)],
-                *[F.stddev_pop(c(x).cast("double")).alias(f"s{i}") for i, x in enumerate(cols)])
+    from tessera.functions.common import scalar_values
+    v = scalar_values(df.agg(*[F.avg(c(x).cast("double")).alias(f"m{i}") for i, x in enumerate(cols)],
+                             *[F.stddev_pop(c(x).cast("double")).alias(f"s{i}") for i, x in enumerate(cols)]))
     out = {}
     names = []
     for i, x in enumerate(cols):
-        m = st.select(f"m{i}").scalar()
-        s = st.select(F.when(F.col(f"s{i}") == 0, 1.0).otherwise(F.col(f"s{i}"))).scalar()
+        m = F.lit(v.get(f"m{i}")).cast("double")
+        sd = v.get(f"s{i}")
+        s = F.lit(1.0 if not sd else float(sd))
         z = (c(x).cast("double") - m) / s
         out[f"__z{i}"] = F.coalesce(z, F.lit(fill)) if fill is not None else z
         names.append(f"__z{i}")

@@ -1,7 +1,9 @@
 """Numeric transforms (NUM*) and arithmetic (MTH*).
 
-Scalars (mean, std, min, max, quantiles, shift) are one-row aggregates used
-as scalar subqueries, so each transform stays a narrow projection that
+Scalars (mean, std, min, max, quantiles, shift) are one-row aggregates: used
+once or twice they stay scalar subqueries (the plan stays lazy); where a plan
+references them many times (bin edges) the few numbers are fetched once and
+inlined as literals.  Either way each transform is a narrow projection that
 whole-stage codegen compiles.
 """
 
@@ -13,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.common import as_list, c, nan_to_null
+from tessera.functions.common import as_list, c, nan_to_null, scalar_values
 from tessera.plans import ordered as O
 from tessera.plans.quantiles import exact_quantiles, quantile_values
 
@@ -32,11 +34,11 @@ def standardize(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 
 def min_max(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """(x - min) / (max - min) in [0, 1]; constant column -> 0; null -> mean of the result."""
-    s = df.agg(F.min(_x(col)).alias("a"), F.max(_x(col)).alias("b"), F.avg(_x(col)).alias("m"))
-    a = s.select("a").scalar()
-    rng = s.select(F.when(F.col("b") == F.col("a"), 1.0).otherwise(F.col("b") - F.col("a"))).scalar()
-    mean_scaled = s.select("m").scalar()
-    return df.withColumn(out or col, F.coalesce((_x(col) - a) / rng, (mean_scaled - a) / rng))
+    v = scalar_values(df.agg(F.min(_x(col)).alias("a"), F.max(_x(col)).alias("b"), F.avg(_x(col)).alias("m")))
+    if v.get("a") is None:
+        return df.withColumn(out or col, F.lit(None).cast("double"))
+    a, rng = v["a"], (1.0 if v["b"] == v["a"] else v["b"] - v["a"])
+    return df.withColumn(out or col, F.coalesce((_x(col) - F.lit(a)) / F.lit(rng), F.lit((v["m"] - a) / rng)))
 
 
 def robust_scale(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -141,19 +143,23 @@ def _bin_from_edges(x: Column, edges: list[Column]) -> Column:
 def bin_equal_width(df: DataFrame, col: str, n: int, out: str | None = None) -> DataFrame:
     """pandas ``cut(x, n)``: equal-width right-closed bins, left edge widened by 0.1% of the range.
 
-    Adds ``out`` (bin index), ``out_lower`` and ``out_upper``.
+    Adds ``out`` (bin index), ``out_lower`` and ``out_upper``.  min and max
+    are fetched once (two numbers) so every edge is a folded literal.
     """
     out = out or f"{col}_bin"
-    s = df.agg(F.min(_x(col)).alias("a"), F.max(_x(col)).alias("b"))
-    a, b = s.select("a").scalar(), s.select("b").scalar()
+    v = scalar_values(df.agg(F.min(_x(col)).alias("a"), F.max(_x(col)).alias("b")))
+    a, b = v.get("a"), v.get("b")
+    if a is None:
+        return df.withColumns({out: F.lit(None).cast("int"), f"{out}_lower": F.lit(None).cast("double"),
+                               f"{out}_upper": F.lit(None).cast("double")})
     step = (b - a) / n
     edges = [a + step * i for i in range(n)] + [b]
     edges[0] = a - (b - a) * 0.001
+    lits = [F.lit(float(e)) for e in edges]
     x = _x(col)
-    idx = _bin_from_edges(x, edges)
-    lower = F.element_at(F.array(*edges[:-1]), idx + 1)
-    upper = F.element_at(F.array(*edges[1:]), idx + 1)
-    return df.withColumns({out: idx, f"{out}_lower": lower, f"{out}_upper": upper})
+    idx = _bin_from_edges(x, lits)
+    return df.withColumns({out: idx, f"{out}_lower": F.element_at(F.array(*lits[:-1]), idx + 1),
+                           f"{out}_upper": F.element_at(F.array(*lits[1:]), idx + 1)})
 
 
 def bin_quantile(df: DataFrame, col: str, n: int, out: str | None = None) -> DataFrame:

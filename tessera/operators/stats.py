@@ -383,9 +383,15 @@ def histogram(df: DataFrame, col: str, bins: int = 10, by: str | None = None, no
     """
     x = c(col).cast("double")
     base = df.where(x.isNotNull()) if by is None else df.where(x.isNotNull() & c(by).isNotNull())
-    s = base.agg(F.min(x).alias("a"), F.max(x).alias("b"))
-    a, b = s.select("a").scalar(), s.select("b").scalar()
-    w = (b - a) / bins
+    from tessera.functions.common import scalar_values
+    v = scalar_values(base.agg(F.min(x).alias("a"), F.max(x).alias("b")))  # two numbers
+    if v.get("a") is None:
+        return df.sparkSession.createDataFrame([], T.StructType(
+            ([df.schema[by]] if by else []) + [T.StructField("bin", T.IntegerType()), T.StructField("count", T.LongType()),
+                                               T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType()),
+                                               T.StructField("value", T.DoubleType())]))
+    a, b = F.lit(float(v["a"])), F.lit(float(v["b"]))
+    w = F.lit((float(v["b"]) - float(v["a"])) / bins)
     edges = F.array(*[a + w * i for i in range(bins)], b)
     raw = F.floor((x - a) / w).cast("int")
     k0 = F.least(F.greatest(F.coalesce(raw, F.lit(0)), F.lit(0)), F.lit(bins - 1))
