@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import exprs as X
 from tessera.functions import special as S
-from tessera.functions.common import MAX_CATEGORIES, as_list, bounded_rows, c
+from tessera.functions.common import MAX_CATEGORIES, bounded_rows, c
 from tessera.plans import ordered as O
 
 TEST_SCHEMA = ("test string, statistic double, p_value double, dof double, n long, alpha double, "

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tessera.operators import features as FE
 from tessera.operators import ml as ML
