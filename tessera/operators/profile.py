@@ -151,11 +151,15 @@ def summary_statistics(df: DataFrame, cols: Sequence[str] | None = None, biased:
     """count, mean, std(n-1), min, 25/50/75 %, max, median, range, missing, missing %,
     skew and kurtosis (bias-corrected like pandas unless ``biased``)."""
     cols = list(cols) if cols else numeric_columns(df)
-    m = _moments_long(df, cols)
+    # the moments are one small row per column: fetching them gives the group sizes the
+    # quantile step needs (no separate counting pass) and keeps the final join tiny
+    m_rows = _moments_long(df, cols).collect()
+    m = df.sparkSession.createDataFrame(m_rows, _moments_long(df, cols).schema)
     n = F.col("n")
     skew = F.col("skew_pop") if biased else corrected_skew(F.col("skew_pop"), n)
     kurt = F.col("kurt_pop") if biased else corrected_kurtosis(F.col("kurt_pop"), n)
-    qs = (quantile_long(df, cols, [0.25, 0.5, 0.75])
+    biggest = max([r["count"] for r in m_rows] or [0])
+    qs = (quantile_long(df, cols, [0.25, 0.5, 0.75], max_group_rows=biggest)
           .groupBy(F.col("column").alias("column_name"))
           .agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(a)
                  for p, a in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]))
