@@ -39,7 +39,9 @@ def register(name: str, sql: str | None = None):
 
 
 def tbl(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from tessera.session import ship_package
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
