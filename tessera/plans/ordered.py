@@ -85,10 +85,11 @@ def _block_splits(df: DataFrame, key: str, kd: Column, rpb: int):
     if memo_key is not None and memo_key in _SPLITS_MEMO:
         return _SPLITS_MEMO[memo_key]
     grid = 1024
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile_approx(kd, [i / grid for i in range(1, grid)], 20 * grid).alias("g")).first()
-    n, g = row["n"], row["g"] or []
+    n = df.count()  # cheap; the boundary sketch below is only built when more than one block is needed
     nblocks = max(1, math.ceil(n / rpb))
+    g = []
+    if nblocks > 1:
+        g = df.agg(F.percentile_approx(kd, [i / grid for i in range(1, grid)], 20 * grid)).first()[0] or []
     if nblocks <= 1 or not g:
         splits = None
     else:
