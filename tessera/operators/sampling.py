@@ -55,3 +55,22 @@ def last_n(df: DataFrame, n: int, order_by) -> DataFrame:
 
 def stratum_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*[c(b) for b in by]).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def sample_chunks(df: DataFrame, fraction: float, seed: int = 42, chunk_rows: int = 10_000) -> DataFrame:
+    """SRC5 workflow variant: keep whole chunks of ``chunk_rows`` consecutive file rows with probability
+    ``fraction``.
+
+    A chunk is (file, row position // chunk_rows) from the Parquet row index;
+    the decision is a seeded hash of the chunk, so a chunk is kept or dropped
+    as a unit and a re-run or retried task makes the same choice.
+    """
+    chunk = F.concat_ws(":", F.col("_metadata.file_path"),
+                        F.floor(F.col("_metadata.row_index") / chunk_rows).cast("string"))
+    keep = (F.abs(F.xxhash64(F.lit(int(seed)), chunk)) % 1_000_000) < int(round(fraction * 1_000_000))
+    return df.where(keep)
+
+
+def sample_on_load(df: DataFrame, n: int, seed: int = 42, key=None) -> DataFrame:
+    """SRC5: an exact-size sample of ``n`` rows taken while loading (seeded hash order)."""
+    return sample_n(df, n, seed, key)

@@ -238,3 +238,13 @@ def q_top_k(spark, sf):
 @register("preview_sample")
 def q_preview_sample(spark, sf):
     return P.preview(tbl(spark, sf, "orders"), "sample", 5, cols=["o_orderkey", "o_totalprice"])
+
+
+@register("sample_chunks")
+def q_sample_chunks(spark, sf):
+    return S.sample_chunks(tbl(spark, sf, "lineitem"), 0.5, seed=11)
+
+
+@register("sample_on_load")
+def q_sample_on_load(spark, sf):
+    return S.sample_on_load(tbl(spark, sf, "lineitem"), 1000, seed=5, key=["l_orderkey", "l_linenumber", "l_partkey"])

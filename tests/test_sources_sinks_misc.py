@@ -120,3 +120,17 @@ def test_convert_and_modulo(spark):
     assert [(r["a"], r["c"]) for r in d.collect()] == [(7, True), (None, False)]
     m = N.arith(spark.createDataFrame([(-7.0, 3.0)], "a double, b double"), "modulo", "a", "b", "m").first()["m"]
     assert m == 2.0
+
+
+def test_sample_chunks_keeps_whole_chunks(spark):
+    from tessera.operators import sampling as SA
+    path = os.path.join(_tmp(), "p")
+    spark.range(0, 5000).withColumnRenamed("id", "v").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    kept = SA.sample_chunks(df, 0.5, seed=3, chunk_rows=100).select("v").collect()
+    chunks = {}
+    for r in kept:
+        chunks.setdefault(r["v"] // 100, 0)
+        chunks[r["v"] // 100] += 1
+    assert chunks and all(n == 100 for n in chunks.values()) and 10 < len(chunks) < 40
+    assert SA.sample_on_load(df, 123, seed=1, key="v").count() == 123
