@@ -351,7 +351,25 @@ def q_acf(spark, sf):
     return fin(TS.acf(tbl(spark, sf, "events"), "value", "event_id", 20))
 
 
-@register("pacf")
+def _pacf_sql(lags):
+    lagcols = ", ".join(f"lag(d, {k}) OVER (ORDER BY event_id) AS l{k}" for k in range(1, lags + 1))
+    gam = ", ".join([f"sum(d * d) / count(*) AS g0"] +
+                    [f"sum(d * l{k}) / (count(*) - {k}) AS g{k}" for k in range(1, lags + 1)])
+    rho = ", ".join(f"g{k} / g0" for k in range(1, lags + 1))
+    return rsql(f"""WITH RECURSIVE b AS (SELECT event_id, value - (SELECT avg(value) FROM events) AS d FROM events),
+  l AS (SELECT d, {lagcols} FROM b),
+  g AS (SELECT {gam}, count(*) AS n FROM l),
+  r AS (SELECT [{rho}] AS rho, n FROM g),
+  dl AS (SELECT 1 AS k, [rho[1]] AS phi, rho[1] AS pkk, rho, n FROM r
+         UNION ALL
+         SELECT k + 1, list_concat(list_transform(phi, lambda x, j: x - p * phi[k + 1 - j]), [p]), p, rho, n
+         FROM (SELECT *, (rho[k + 1] - list_sum(list_transform(phi, lambda x, j: x * rho[k + 1 - j])))
+                         / (1 - list_sum(list_transform(phi, lambda x, j: x * rho[j]))) AS p FROM dl WHERE k < {lags}) AS s)
+  SELECT 0::INTEGER AS lag, 1.0::DOUBLE AS pacf, 1.96 / sqrt((SELECT n FROM r)) AS bound
+  UNION ALL SELECT k::INTEGER, pkk, 1.96 / sqrt(n) FROM dl""", ["pacf", "bound"])
+
+
+@register("pacf", _pacf_sql(10))
 def q_pacf(spark, sf):
     return fin(TS.pacf(tbl(spark, sf, "events"), "value", "event_id", 10))
 
