@@ -106,7 +106,27 @@ def q_bin_kmeans(spark, sf):
     return N.bin_kmeans(tbl(spark, sf, "orders"), "o_totalprice", 4, out="cluster").select("o_orderkey", "cluster")
 
 
-@register("box_cox")
+def _boxcox_sql(rounds=4, points=41):
+    t = "CASE WHEN abs(g.lam) < 1e-12 THEN ln(y.y) ELSE (pow(y.y, g.lam) - 1) / g.lam END"
+    ctes = [f"y AS (SELECT c_acctbal + {_SHIFT_LE} AS y FROM customer WHERE c_acctbal IS NOT NULL)",
+            "st AS (SELECT count(*) AS n, sum(ln(y)) AS sl FROM y)",
+            "r0 AS (SELECT -5.0::DOUBLE AS lo, 5.0::DOUBLE AS hi)"]
+    for r in range(rounds):
+        ctes.append(f"g{r} AS (SELECT lo + (hi - lo) * i / {float(points - 1)} AS lam FROM r{r}, "
+                    f"(SELECT unnest(generate_series(0, {points - 1})) AS i))")
+        ctes.append(f"""a{r} AS (SELECT g.lam, sum({t}) AS s, sum(({t}) * ({t})) AS q FROM g{r} AS g, y GROUP BY g.lam)""")
+        ctes.append(f"""s{r} AS (SELECT lam, (lam - 1) * sl - n / 2.0 * ln(q / n - power(s / n, 2)) AS score FROM a{r}, st
+          WHERE isfinite(s) AND isfinite(q) AND q / n - power(s / n, 2) > 0)""")
+        ctes.append(f"b{r} AS (SELECT lam AS best FROM s{r} ORDER BY score DESC, lam DESC LIMIT 1)")
+        ctes.append(f"r{r + 1} AS (SELECT best - (hi - lo) / {float(points - 1)} AS lo, "
+                    f"best + (hi - lo) / {float(points - 1)} AS hi FROM b{r}, r{r})")
+    last = f"b{rounds - 1}"
+    return rsql("WITH " + ",\n  ".join(ctes) + f"""
+  SELECT c_custkey, CASE WHEN abs(best) < 1e-12 THEN ln(c_acctbal + {_SHIFT_LE})
+    ELSE (pow(c_acctbal + {_SHIFT_LE}, best) - 1) / best END AS bc FROM customer, {last}""", ["bc"])
+
+
+@register("box_cox", _boxcox_sql())
 def q_box_cox(spark, sf):
     return fin(N.box_cox(tbl(spark, sf, "customer"), "c_acctbal", out="bc").select("c_custkey", "bc"))
 
