@@ -352,20 +352,27 @@ def contingency(df: DataFrame, a: str, b: str, max_categories: int = MAX_CATEGOR
 
 
 def chi2_stats(df: DataFrame, a: str, b: str) -> DataFrame:
-    """chi2 (Yates-corrected for 2x2, like scipy), dof, n, cells with expected < 5, Cramer's V - one row."""
-    t = contingency(df, a, b)
-    shape = t.agg(F.count_distinct(c(a)).alias("r"), F.count_distinct(c(b)).alias("k"), F.sum("observed").alias("n"))
-    r, k, n = shape.select("r").scalar(), shape.select("k").scalar(), shape.select("n").scalar()
+    """chi2 (Yates-corrected for 2x2, like scipy), dof, n, cells with expected < 5, Cramer's V - one row.
+
+    The contingency table (one row per category pair, bounded by the category
+    caps) is cached and reduced twice: once for its shape, once for the sums.
+    """
+    t = contingency(df, a, b).cache()
+    shape = t.agg(F.count_distinct(c(a)).alias("r"), F.count_distinct(c(b)).alias("k"),
+                  F.sum("observed").alias("n")).first()
+    r, k, n = shape["r"], shape["k"], shape["n"]
     diff = F.col("expected") - F.col("observed")
-    yates = (r == 2) & (k == 2)
-    adj = F.when(yates, F.col("observed") + F.signum(diff) * F.least(F.lit(0.5), F.abs(diff))).otherwise(F.col("observed"))
-    chi = t.agg(F.sum((adj - F.col("expected")) * (adj - F.col("expected")) / F.col("expected")).alias("chi2"),
-                F.count_if(F.col("expected") < 5).alias("small_expected"), F.count(F.lit(1)).alias("cells"))
-    dof = ((r - 1) * (k - 1)).cast("double")
-    v = F.sqrt(F.col("chi2") / (n * F.least(r - 1, k - 1)))
-    return chi.select("chi2", dof.alias("dof"), n.alias("n"), "small_expected", "cells", v.alias("cramers_v"),
-                      F.when(v < 0.1, "negligible").when(v < 0.3, "small").when(v < 0.5, "medium")
-                      .otherwise("large").alias("effect_label"))
+    adj = (F.col("observed") + F.signum(diff) * F.least(F.lit(0.5), F.abs(diff))) if (r == 2 and k == 2) \
+        else F.col("observed")
+    res = t.agg(F.sum((adj - F.col("expected")) * (adj - F.col("expected")) / F.col("expected")).alias("chi2"),
+                F.count_if(F.col("expected") < 5).alias("small_expected"), F.count(F.lit(1)).alias("cells")).first()
+    t.unpersist()
+    chi = res["chi2"]
+    v = math.sqrt(chi / (n * min(r - 1, k - 1))) if chi is not None and n and min(r, k) > 1 else None
+    label = None if v is None else ("negligible" if v < 0.1 else "small" if v < 0.3 else "medium" if v < 0.5 else "large")
+    return df.sparkSession.createDataFrame(
+        [(chi, float((r - 1) * (k - 1)), n, res["small_expected"], res["cells"], v, label)],
+        "chi2 double, dof double, n long, small_expected long, cells long, cramers_v double, effect_label string")
 
 
 def chi2_test(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFrame:
