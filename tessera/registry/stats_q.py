@@ -435,11 +435,6 @@ def q_correlation_kendall(spark, sf):
     return fin(ST.kendall_tau(tbl(spark, sf, "customer"), "c_acctbal", "c_nationkey", blocks=4))
 
 
-@register("correlation_test_kendall")
-def q_correlation_test_kendall(spark, sf):
-    return fin(ST.correlation_test(tbl(spark, sf, "customer"), "c_acctbal", "c_nationkey", "kendall"))
-
-
 @register("adf_differenced")
 def q_adf_differenced(spark, sf):
     return fin(TS.adf(tbl(spark, sf, "events"), "value", "event_id", diff=1))
@@ -542,3 +537,22 @@ def q_fit_closed_form(spark, sf):
             "ks", "p_value", "aic", "bic", "loglik")
         out = f if out is None else out.unionByName(f)
     return fin(out, 5)
+
+
+def _kendall_test_sql():
+    tau = "(count_if(sx * sy > 0) - count_if(sx * sy < 0)) / sqrt((count(*) - count_if(sx = 0)) * (count(*) - count_if(sy = 0)))"
+    return rsql(f"""WITH d AS (SELECT c_acctbal AS x, c_nationkey::DOUBLE AS y, c_custkey AS id FROM customer),
+  p AS (SELECT sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM d AS a JOIN d AS b ON a.id < b.id),
+  k AS (SELECT {tau} AS tau, (SELECT count(*) FROM d) AS n FROM p),
+  z AS (SELECT tau, n, 3 * tau * sqrt(n * (n - 1.0)) / sqrt(2 * (2 * n + 5.0)) AS z FROM k),
+  pv AS (SELECT *, {_erfc_sql('(abs(z) / sqrt(2.0))')} AS p FROM z)
+  SELECT 'kendall correlation' AS test, tau AS statistic, p AS p_value, NULL::DOUBLE AS dof, n, 0.05 AS alpha,
+    p < 0.05 AS reject, tau * tau AS effect,
+    CASE WHEN abs(tau) >= 0.7 THEN 'strong' WHEN abs(tau) >= 0.3 THEN 'moderate' ELSE 'weak' END
+      || CASE WHEN tau >= 0 THEN ' positive' ELSE ' negative' END AS label, z AS t FROM pv""",
+                ["statistic", "p_value", "effect", "t", "alpha"])
+
+
+@register("correlation_test_kendall", _kendall_test_sql())
+def q_correlation_test_kendall(spark, sf):
+    return fin(ST.correlation_test(tbl(spark, sf, "customer"), "c_acctbal", "c_nationkey", "kendall"))
