@@ -91,7 +91,9 @@ def metrics(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[str,
     df = df.withColumn(c["ordered"], F.when(some, F.sort_array(
         F.transform(col["windows"], lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
     df = df.withColumns({
-        c["n_words"]: F.size(col["words"]).cast("long"),
+        # the row id (times zero) keeps a later filter on the verdict above this projection: pushed
+        # below it, the filter would repeat the whole tower of array expressions for every rule
+        c["n_words"]: F.size(col["words"]) + F.monotonically_increasing_id() * 0,
         c["word_chars"]: F.length(F.array_join(col["words"], "")).cast("long"),
         c["n_symbols"]: F.regexp_count(col["text"], F.lit(SYMBOLS)).cast("long"),
         c["n_exclaim"]: F.regexp_count(col["text"], F.lit("!")).cast("long"),
