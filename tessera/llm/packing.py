@@ -11,7 +11,9 @@ rank within their length, so no step sees all documents at once.
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +27,14 @@ from tessera.llm.common import dense_rank_within, keep, slots_for
 CAPACITY = 2048
 END_ID = 1
 #: Chunks of text whose ids a worker remembers (bounds its memory; results do not depend on it).
-MEMORY = 400_000
+MEMORY = 800_000
+# Fixed value: how the word tokenizer splits a text.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters up to here are their own NFC form and have a one-letter lower case.
+LAST_PLAIN = 0x12F
+PLAIN = chr(LAST_PLAIN)
+#: Trailing signs that form a word of their own after letters.
+PUNCTUATION = ".,;:!?#*$%&|<>()-"
 #: Documents of one length numbered by one task.
 RANK_ROWS = 100_000
 
@@ -33,25 +42,51 @@ RANK_ROWS = 100_000
 class ChunkEncoder:
     """Ids of whole texts by a public tokenizer, one white-space separated chunk at a time.
 
-    The tokenizer drops white space and never joins what it separates, so the
-    ids of a text are the ids of its chunks in order; chunks repeat, so their
-    ids are remembered as little-endian 32-bit bytes.
+    A word tokenizer drops white space and never joins what it separates, so
+    the ids of a text are the ids of its chunks in order; chunks repeat, so
+    their ids are remembered as little-endian 32-bit bytes.  A chunk of plain
+    letters with trailing punctuation is two of the tokenizer's words, whose
+    ids are asked from its model directly.  A tokenizer of another kind (see
+    ``word_level``) gets whole texts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.chunked = word_level(json.loads(self.tokenizer.to_str()))
         self.memory: dict[str, bytes] = {}
-
-    def learn(self, chunks: list[str]) -> None:
-        if len(self.memory) + len(chunks) > MEMORY:
-            self.memory.clear()
-        for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
+        self.words: dict[str, bytes] = {}
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spell(chr(c))[0][0] for c in range(0xA1, LAST_PLAIN + 1)}
+
+    def word(self, lower: str) -> bytes:
+        """Ids of a lower-case run of plain letters or of punctuation."""
+        got = self.words.get(lower)
+        if got is None:
+            spelt = lower if lower.isascii() else lower.translate(self.spelling)
+            got = self.words[lower] = struct.pack(f"<{len(t := self.tokenizer.model.tokenize(spelt))}I", *[x.id for x in t])
+        return got
+
+    def learn(self, chunks: set[str]) -> None:
+        if len(self.words) > MEMORY:
+            self.words.clear()
+        other = []
+        for c in chunks:
+            head = c.rstrip(PUNCTUATION)
+            if head.isalpha() and max(head) <= PLAIN:
+                self.memory[c] = self.word(head.lower()) + (self.word(c[len(head):]) if len(head) < len(c) else b"")
+            else:
+                other.append(c)
+        for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
             self.memory[c] = np.asarray(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        if not self.chunked:
+            for t in texts:
+                yield np.asarray(self.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+            return
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
         at = 0
         while at < len(split):  # as many texts at once as the memory is sure to hold
@@ -61,16 +96,27 @@ class ChunkEncoder:
                 to += 1
             have = self.memory
             new = {c for s in split[at:to] for c in s if c not in have}
-            if new:
-                if len(have) + len(new) > MEMORY:
-                    new = {c for s in split[at:to] for c in s}
-                    have.clear()
-                self.learn(list(new))
+            if len(have) + len(new) > MEMORY:
+                new = {c for s in split[at:to] for c in s}
+                have.clear()
+            self.learn(new)
             for s in split[at:to]:
                 yield b"".join(map(have.__getitem__, s))
             at = to
 
 
+def word_level(config: dict) -> bool:
+    """Whether the tokenizer is the word kind: NFC, white space to spaces, lower case; words of letters, single
+    digits or other signs; byte spelling; no prefix, no unknown token."""
+    normal = config.get("normalizer") or {}
+    kinds = [n.get("type") for n in normal.get("normalizers", [])]
+    split = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    return (kinds == ["NFC", "Replace", "Lowercase"] and normal["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+            and split[0].get("pattern") == {"Regex": WORD_PATTERN} and split[0].get("behavior") == "Removed"
+            and split[0].get("invert") is True and split[-1].get("type") == "ByteLevel"
+            and not split[-1].get("add_prefix_space") and not split[-1].get("use_regex") and len(split) == 2)
+
+
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
