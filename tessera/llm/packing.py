@@ -36,7 +36,7 @@ PLAIN = chr(LAST_PLAIN)
 #: Trailing signs that form a word of their own after letters.
 PUNCTUATION = ".,;:!?#*$%&|<>()-"
 #: Documents of one length numbered by one task.
-RANK_ROWS = 100_000
+RANK_ROWS = 10_000
 
 
 class ChunkEncoder:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, extract, lm, packing, quality, sharding, simhash, substring, warc
+from tessera.llm import exact_dedup, extract, lm, packing, pieces, quality, sharding, simhash, substring, warc
 from tessera.llm.common import Query, table
 from tessera.session import scratch_path
 
@@ -57,9 +57,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_and_check(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_packing, op3_sharding, op4_quality_rules, op5_html_extraction, op6_substring_dedup,
-    op7_warc, op8_lm_scoring, op9_exact_dedup)}
+    op7_warc, op8_lm_scoring, op9_exact_dedup, op10_sentencepiece)}
 
 
 def _op4_sql() -> str:
