@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from tessera.llm.common import dense_rank_within, keep, slots_for
 
 CAPACITY = 2048
 END_ID = 1
-#: Chunks of text whose ids a worker remembers (bounds its memory; results do not depend on it).
-MEMORY = 800_000
+#: Words whose ids a worker remembers (bounds its memory; results do not depend on it).
+MEMORY = 600_000
 # Fixed value: how the word tokenizer splits a text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Letters up to here are their own NFC form and have a one-letter lower case.
@@ -43,10 +44,10 @@ class ChunkEncoder:
     """Ids of whole texts by a public tokenizer, one white-space separated chunk at a time.
 
     A word tokenizer drops white space and never joins what it separates, so
-    the ids of a text are the ids of its chunks in order; chunks repeat, so
-    their ids are remembered as little-endian 32-bit bytes.  A chunk of plain
-    letters with trailing punctuation is two of the tokenizer's words, whose
-    ids are asked from its model directly.  A tokenizer of another kind (see
+    the ids of a text are the ids of its chunks in order, and every distinct
+    chunk of a batch is encoded once.  A chunk of plain letters with trailing
+    punctuation is two of the tokenizer's words, whose ids are asked from its
+    model directly and remembered.  A tokenizer of another kind (see
     ``word_level``) gets whole texts.
     """
 
@@ -56,8 +57,8 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.chunked = word_level(json.loads(self.tokenizer.to_str()))
-        self.memory: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.codes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.spelling = {c: spell(chr(c))[0][0] for c in range(0xA1, LAST_PLAIN + 1)}
 
@@ -65,44 +66,47 @@ class ChunkEncoder:
         """Ids of a lower-case run of plain letters or of punctuation."""
         got = self.words.get(lower)
         if got is None:
-            spelt = lower if lower.isascii() else lower.translate(self.spelling)
-            got = self.words[lower] = struct.pack(f"<{len(t := self.tokenizer.model.tokenize(spelt))}I", *[x.id for x in t])
+            found = self.tokenizer.model.tokenize(lower if lower.isascii() else lower.translate(self.spelling))
+            code = self.codes
+            got = self.words[lower] = b"".join([code[t.id] for t in found])
         return got
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.words) > MEMORY:
-            self.words.clear()
-        other = []
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk as little-endian 32-bit bytes."""
+        words, word = self.words, self.word
+        if len(words) > MEMORY:
+            words.clear()
+        out: list[bytes] = []
+        other: list[int] = []
         for c in chunks:
             head = c.rstrip(PUNCTUATION)
-            if head.isalpha() and max(head) <= PLAIN:
-                self.memory[c] = self.word(head.lower()) + (self.word(c[len(head):]) if len(head) < len(c) else b"")
+            if head.isalpha() and (head.isascii() or max(head) <= PLAIN):
+                low = head.lower()
+                ids = words.get(low) or word(low)
+                out.append(ids + word(c[len(head):]) if len(head) < len(c) else ids)
             else:
-                other.append(c)
-        for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            self.memory[c] = np.asarray(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+                other.append(len(out))
+                out.append(b"")
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([chunks[i] for i in other], add_special_tokens=False)):
+            out[i] = np.asarray(e.ids, "<u4").tobytes()
+        return out
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text (null: none) as little-endian 32-bit bytes."""
+        texts = texts.fill_null("")
         if not self.chunked:
             for t in texts:
-                yield np.asarray(self.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+                yield np.asarray(self.tokenizer.encode(t.as_py(), add_special_tokens=False).ids, "<u4").tobytes()
             return
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        at = 0
-        while at < len(split):  # as many texts at once as the memory is sure to hold
-            to, size = at, 0
-            while to < len(split) and (to == at or size + len(split[to]) <= MEMORY // 4):
-                size += len(split[to])
-                to += 1
-            have = self.memory
-            new = {c for s in split[at:to] for c in s if c not in have}
-            if len(have) + len(new) > MEMORY:
-                new = {c for s in split[at:to] for c in s}
-                have.clear()
-            self.learn(new)
-            for s in split[at:to]:
-                yield b"".join(map(have.__getitem__, s))
-            at = to
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        ids = pa.array(self.chunks(coded.dictionary.to_pylist()), pa.binary()).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        at = np.frombuffer(offsets, np.int32)[:len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+        bounds = at[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        view = memoryview(data) if data is not None else memoryview(b"")
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield bytes(view[a:b])
 
 
 def word_level(config: dict) -> bool:
@@ -138,7 +142,7 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         enc = encoder(tokenizer)
         for b in batches:
             owner, start, length, crc, total, ids = [], [], [], [], [], []
-            for i, data in enumerate(enc.encode(b.column(1).to_pylist())):
+            for i, data in enumerate(enc.encode(b.column(1))):
                 data += end
                 for s in range(0, len(data), step):
                     part = data[s:s + step]
