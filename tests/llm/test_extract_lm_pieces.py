@@ -135,6 +135,7 @@ def brute_scores(data):
 @pytest.mark.parametrize("repeats", [True, False])
 def test_scores_brute_force(spark, repeats, monkeypatch):
     monkeypatch.setattr(lm, "CLASS_SHARE", 1 / 50)
+    monkeypatch.setattr(lm, "BATCH_TOKENS", 700)
     data = rows() if repeats else [(k, t) for k, (_, t) in enumerate(rows())]
     res = got(lm.score_texts(frame(spark, data=data).repartition(3)))
     def key(r):
