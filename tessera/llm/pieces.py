@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -31,10 +33,12 @@ SPACE = "▁"
 CHUNK = 32_768
 #: Matrices multiplied by one task of the scan.
 GROUP = 64
-#: Segments, and pairs of pieces, a worker remembers (bounds its memory; results do not depend on it).
+#: Runs of characters whose ids a worker remembers (bounds its memory; results do not depend on it).
 MEMORY = 600_000
 #: State at a cut that no piece reaches over.
 CLEAN = ""
+#: Marks the cuts between segments while a batch is split; a text that has it is split one by one.
+CUT = "\U0010ffff"
 
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
@@ -59,7 +63,6 @@ class PieceModel:
         # two characters that no piece joins: merges never cross a cut between them
         self.joined = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.by_segment = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
-        self.memory: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
 
@@ -148,13 +151,29 @@ class PieceModel:
     def encode(self, prepared: str) -> bytes:
         """Ids of a whole prepared text."""
         parts = _SEGMENT.findall(prepared) if self.by_segment else [prepared] if prepared else []
-        memory = self.memory
-        if len(memory) > MEMORY:
-            memory.clear()
-        for p in set(parts):
-            if p not in memory:
-                memory[p] = self.segment(p)
-        return b"".join(map(memory.__getitem__, parts))
+        return b"".join(map(self.segment, parts))
+
+    def encode_all(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of every text (null: none); the distinct segments of the batch are encoded once."""
+        texts = texts.fill_null("")
+        if not self.by_segment or pc.any(pc.match_substring(texts, CUT)).as_py():
+            data = [self.encode(prepared(t)) for t in texts.to_pylist()]
+            at = np.cumsum([0, *(len(d) for d in data)])
+            return _ids_list(at, b"".join(data))
+        cut = pc.replace_substring(texts, " ", CUT + SPACE)
+        run = SPACE + CUT + SPACE  # the spaces of a run stay together
+        while pc.any(pc.match_substring(cut, run)).as_py():
+            cut = pc.replace_substring(cut, run, SPACE + SPACE)
+        cut = pc.replace_substring(cut, "\n", CUT + "\n" + CUT)
+        first = pc.if_else(pc.equal(texts, ""), "", pc.if_else(pc.starts_with(texts, " "), SPACE + CUT, SPACE))
+        cut = pc.binary_join_element_wise(first, cut, "")
+        cut = pc.replace_substring(cut, SPACE + CUT + CUT + SPACE, SPACE + SPACE)
+        split = pc.split_pattern(cut, CUT)
+        coded = split.flatten().dictionary_encode()
+        ids = pa.array([self.segment(p) if p else b"" for p in coded.dictionary.to_pylist()], pa.binary()).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        at = np.frombuffer(offsets, np.int32)[:len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+        return _ids_list(at[split.offsets.to_numpy() - split.offsets[0].as_py()], data)
 
     def decode(self, ids: Iterator[int]) -> str:
         out, raw = [], b""
@@ -189,31 +208,56 @@ class PieceModel:
                     out.append(f"{over}:{piece}")
         return out
 
-    def chunk_paths(self, left: str, body: str, right: str, entry: str) -> tuple[str, int, dict[int, str]]:
-        """(text from the chunk's start on, first place, paths from an entry state over the chunk and what reaches over its end)."""
-        text = body + right[:self.longest]
+    def inner_cuts(self, body: str) -> tuple[int, int] | None:
+        """The first and the last place inside a chunk that no piece reaches over."""
+        at = [i for i in range(1, min(len(body), 4 * self.longest)) if body[i - 1:i + 1] not in self.joined]
+        first = at[0] if at else next((i for i in range(1, len(body)) if body[i - 1:i + 1] not in self.joined), None)
+        if first is None:
+            return None
+        return first, next(i for i in range(len(body) - 1, 0, -1) if body[i - 1:i + 1] not in self.joined)
+
+    def _enter(self, text: str, entry: str, stop: int) -> tuple[int, dict[int, str]]:
         over, before = (int(entry.split(":", 1)[0]), entry.split(":", 1)[1]) if entry else (0, "")
-        return text, over, self.paths(text, over, before, min(len(text), len(body) + self.longest - 1))
+        return over, self.paths(text, over, before, stop)
+
+    def _leave(self, last: dict[int, str], first: int, size: int, closed: bool) -> list[str]:
+        """Exit states that the paths reach (``size``: the place of the cut)."""
+        if closed:
+            return [CLEAN] if size in last else []
+        return [f"{end - size}:{piece}" for end, piece in last.items() if end > first and end >= size > end - len(piece)]
 
     def transfer(self, left: str, body: str, right: str) -> dict[tuple[str, str], float]:
-        """The chunk's max-plus matrix: (entry state, exit state) -> weight; absent entries are minus infinity."""
-        size, closed, out = len(body), self.clean(body, right), {}
-        for entry in self.cut_states(left, body):
-            _, first, last = self.chunk_paths(left, body, right, entry)
-            if closed:
-                if size in last:
-                    out[entry, CLEAN] = 0.0
-                continue
-            for end, piece in last.items():
-                if end >= size > end - len(piece) and end > first:
-                    out[entry, f"{end - size}:{piece}"] = 0.0
-        return out
+        """The chunk's max-plus matrix: (entry state, exit state) -> weight; absent entries are minus infinity.
 
-    def chunk_pieces(self, left: str, body: str, right: str, entry: str, leave: str) -> list[str]:
-        """The chunk's own pieces (those that begin in it) between two states."""
-        _, first, last = self.chunk_paths(left, body, right, entry)
-        end = len(body) + (int(leave.split(":", 1)[0]) if leave else 0)
-        return self.trace(last, first, end)
+        Between two inner cuts every path runs through, so only the ends of the chunk are searched.
+        """
+        size, closed, cuts = len(body), self.clean(body, right), self.inner_cuts(body)
+        text = body + right[:self.longest]
+        entries = self.cut_states(left, body)
+        if cuts is None:
+            out = {}
+            for e in entries:
+                first, last = self._enter(text, e, min(len(text), size + self.longest - 1))
+                out |= {(e, x): 0.0 for x in self._leave(last, first, size, closed)}
+            return out
+        a, b = cuts
+        inside = [e for e in entries if a in self._enter(body[:a], e, a)[1]]
+        tail = text[b:]
+        exits = self._leave(self.paths(tail, 0, "", min(len(tail), size - b + self.longest - 1)), 0, size - b, closed)
+        return {(e, x): 0.0 for e in inside for x in exits}
+
+    def chunk_ids(self, left: str, body: str, right: str, entry: str, leave: str) -> bytes:
+        """Ids of the chunk's own pieces (those that begin in it) between two states."""
+        text, over = body + right[:self.longest], int(leave.split(":", 1)[0]) if leave else 0
+        end, cuts = len(body) + over, self.inner_cuts(body)
+        if cuts is None:
+            first, last = self._enter(text, entry, end)
+            return self.packed(self.trace(last, first, end))
+        a, b = cuts
+        first, last = self._enter(body[:a], entry, a)
+        tail = text[b:end]
+        return (self.packed(self.trace(last, first, a)) + self.encode(body[a:b])
+                + self.packed(self.trace(self.paths(tail, 0, "", len(tail)), 0, len(tail))))
 
 
 def product(x: dict, y: dict) -> dict:
@@ -255,8 +299,15 @@ def model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
-def _prepared(text):
-    return F.when(text == "", text).otherwise(F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE))))
+def prepared(text: str) -> str:
+    """A text as the model sees it: a space in front, spaces visible."""
+    return SPACE + text.replace(" ", SPACE) if text else ""
+
+
+def _ids_list(bounds: np.ndarray, data) -> pa.ListArray:
+    """Lists of ids from byte bounds into little-endian 32-bit ids."""
+    flat = np.frombuffer(data, "<u4") if data is not None else np.zeros(0, "<u4")
+    return pa.ListArray.from_arrays(pa.array((np.asarray(bounds) // 4).astype(np.int32)), pa.array(flat[:int(bounds[-1]) // 4].astype(np.int32)))
 
 
 def _matrix(frame: pd.DataFrame) -> list[dict]:
@@ -270,97 +321,83 @@ def _columns(m: dict) -> dict:
     return {"enter": [a for a, _ in m], "leave": [b for _, b in m], "weight": list(m.values())}
 
 
-def _long_texts(texts: DataFrame, path: str, chunk: int, key_type: str) -> DataFrame:
-    """(doc_id, th, ids) of the texts above ``chunk`` characters, by the scan."""
-    spark = texts.sparkSession
-    key = ["doc_id", "th"]
+def _long_texts(src: DataFrame, path: str, chunk: int, id_type: str) -> DataFrame:
+    """(doc_id, ids) of texts above ``chunk`` characters, by the scan."""
+    spark = src.sparkSession
     if chunk < model(path).longest:
         raise ValueError("a chunk has to be at least as long as the longest piece")
 
     def cut(batches):
         m = model(path)
+        row = TaskContext.get().partitionId() * (1 << 32)
         for b in batches:
-            for doc, th, t in zip(b.column(0), b.column(1), b.column(2).to_pylist()):
+            for doc, t in zip(b.column(0), b.column(1)):
+                t = prepared(t.as_py())
                 for i, a in enumerate(range(0, len(t), chunk)):
                     left, body, right = t[max(0, a - m.longest):a], t[a:a + chunk], t[a + chunk:a + chunk + m.longest]
                     x = _columns(m.transfer(left, body, right))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc.as_py()], b.column(0).type), pa.array([th.as_py()], pa.int64()), pa.array([i], pa.int64()),
+                        [pa.array([row]), pa.array([doc.as_py()], b.column(0).type), pa.array([i], pa.int64()),
                          *(pa.array([v], pa.string()) for v in (left, body, right)), pa.array([x["enter"]], pa.list_(pa.string())),
                          pa.array([x["leave"]], pa.list_(pa.string())), pa.array([x["weight"]], pa.list_(pa.float64()))],
-                        names=["doc_id", "th", "i", "left", "body", "right", "enter", "leave", "weight"])
+                        names=["row", "doc_id", "i", "left", "body", "right", "enter", "leave", "weight"])
+                row += 1
 
-    chunks = keep(spark, texts.mapInArrow(cut, f"doc_id {key_type}, th long, i long, left string, body string, right string, {_MATRIX}"), "piece-chunks")
+    chunks = keep(spark, src.mapInArrow(cut, f"row long, doc_id {id_type}, i long, left string, body string, right string, {_MATRIX}"), "piece-chunks")
 
     def multiply(frame):
         frame = frame.sort_values("i")
         got = None
         for m in _matrix(frame):
             got = m if got is None else product(got, m)
-        return pd.DataFrame([{"doc_id": frame["doc_id"].iloc[0], "th": frame["th"].iloc[0], "i": frame["i"].iloc[0] // GROUP, **_columns(got)}])
+        return pd.DataFrame([{"row": frame["row"].iloc[0], "i": frame["i"].iloc[0] // GROUP, **_columns(got)}])
 
-    group = (F.floor(F.col("i") / GROUP)).alias("g")
-    levels = [chunks.select(*key, "i", "enter", "leave", "weight")]
+    levels = [chunks.select("row", "i", "enter", "leave", "weight")]
     while not levels[-1].where("i > 0").isEmpty():
-        up = levels[-1].groupBy(*key, group).applyInPandas(multiply, f"doc_id {key_type}, th long, i long, {_MATRIX}")
+        up = levels[-1].groupBy("row", F.floor(F.col("i") / GROUP).alias("g")).applyInPandas(multiply, f"row long, i long, {_MATRIX}")
         levels.append(keep(spark, up, "piece-products"))
 
     # the whole text begins and ends at a cut that no piece reaches over
-    states = levels[-1].select(*key, "i", F.lit(CLEAN).alias("s_in"), F.lit(CLEAN).alias("s_out"))
+    states = levels[-1].select("row", "i", F.lit(CLEAN).alias("s_in"), F.lit(CLEAN).alias("s_out"))
 
     def hand_down(frame):
         frame = frame.sort_values("i")
         s = best_states(_matrix(frame), frame["s_in"].iloc[0], frame["s_out"].iloc[0])
-        return pd.DataFrame({"doc_id": frame["doc_id"], "th": frame["th"], "i": frame["i"], "s_in": s[:-1], "s_out": s[1:]})
+        return pd.DataFrame({"row": frame["row"], "i": frame["i"], "s_in": s[:-1], "s_out": s[1:]})
 
     for lower in reversed(levels[:-1]):
-        up = states.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("i").alias("g2"), "s_in", "s_out")
-        both = lower.withColumn("g", F.floor(F.col("i") / GROUP)).join(
-            up, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")) & (F.col("g") == F.col("g2")))
-        states = keep(spark, both.groupBy(*key, "g").applyInPandas(hand_down, f"doc_id {key_type}, th long, i long, s_in string, s_out string"),
-                      "piece-states")
+        both = lower.withColumn("g", F.floor(F.col("i") / GROUP)).join(states.withColumnRenamed("i", "g"), ["row", "g"])
+        states = keep(spark, both.groupBy("row", "g").applyInPandas(hand_down, "row long, i long, s_in string, s_out string"), "piece-states")
 
     def trace(batches):
         m = model(path)
         for b in batches:
-            ids = [np.frombuffer(m.packed(m.chunk_pieces(*x)), "<u4").astype(np.int32) for x in zip(*(b.column(k).to_pylist() for k in range(3, 8)))]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array(ids, pa.list_(pa.int32()))],
-                                             names=["doc_id", "th", "i", "ids"])
+            data = [m.chunk_ids(*x) for x in zip(*(b.column(k).to_pylist() for k in range(3, 8)))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), _ids_list(np.cumsum([0, *map(len, data)]), b"".join(data))],
+                                             names=["row", "doc_id", "i", "ids"])
 
-    s = states.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("i").alias("i2"), "s_in", "s_out")
-    joined = chunks.join(s, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")) & (F.col("i") == F.col("i2")))
-    traced = joined.select(*key, "i", "left", "body", "right", "s_in", "s_out").mapInArrow(
-        trace, f"doc_id {key_type}, th long, i long, ids array<int>")
-    return traced.groupBy(*key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids"))
+    traced = chunks.join(states, ["row", "i"]).select("row", "doc_id", "i", "left", "body", "right", "s_in", "s_out").mapInArrow(
+        trace, f"row long, doc_id {id_type}, i long, ids array<int>")
+    return traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.transform(
+        F.sort_array(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids")).drop("row")
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row per input row: doc_id, ids (array of int).
 
     Null and empty texts have no ids; a text gets the ids of the model's own
-    encoder; rows with equal id and text get equal ids; empty table: empty result.
+    encoder; null ids and repeated rows pass through; empty table: empty result.
     """
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    src = df.select(F.col(f"`{id_col}`").alias("doc_id"), _prepared(text).alias("text"))
-    key_type = src.schema["doc_id"].dataType.simpleString()
+    src = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    id_type = src.schema["doc_id"].dataType.simpleString()
 
     def whole(batches):
         m = model(path)
         for b in batches:
-            data = [m.encode(t) for t in b.column(1).to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(d) // 4 for d in data]))).astype(np.int32)
-            flat = np.frombuffer(b"".join(data), "<u4").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
-
-    short = src.where(F.length("text") <= chunk).mapInArrow(whole, f"doc_id {key_type}, ids array<int>")
-    long = src.where(F.length("text") > chunk).withColumn("th", F.xxhash64("text")).select("doc_id", "th", "text")
-    distinct = long.groupBy("doc_id", "th").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    scanned = _long_texts(distinct.select("doc_id", "th", "text"), path, chunk, key_type)
-    copies = long.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("copies")).select(
-        F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "copies")
-    spread = scanned.join(copies, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
-    spread = spread.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return short.union(spread.select("doc_id", "ids"))
+            yield pa.RecordBatch.from_arrays([b.column(0), m.encode_all(b.column(1))], names=["doc_id", "ids"])
+
+    short = src.where(F.length("text") < chunk).mapInArrow(whole, f"doc_id {id_type}, ids array<int>")
+    return short.union(_long_texts(src.where(F.length("text") >= chunk), path, chunk, id_type))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
