@@ -113,7 +113,10 @@ def metric_delta(df: DataFrame, col: str, kind: str = "previous", order_by: str
         g = df.groupBy(trunc_ntz(period, c(order_by)).alias("__p")).agg(_AGG[agg](x).alias("__v"))
         last_p = g.agg(F.max("__p")).scalar()
         cur = g.where(F.col("__p") == last_p).agg(F.max("__v")).scalar()
-        ref = g.where(F.col("__p") < last_p).agg(F.max_by("__v", "__p")).scalar()
+        # the calendar period before the last one; null when it has no rows
+        step = F.expr({"DAY": "INTERVAL 1 DAY", "WEEK": "INTERVAL 7 DAYS", "MONTH": "INTERVAL 1 MONTH",
+                       "QUARTER": "INTERVAL 3 MONTHS", "YEAR": "INTERVAL 1 YEAR"}[period.upper()])
+        ref = g.where(F.col("__p") == last_p - step).agg(F.max("__v")).scalar()
     else:
         o = c(order_by)
         cur = df.agg(F.max_by(x, o)).scalar()
@@ -133,8 +136,10 @@ def metric_delta(df: DataFrame, col: str, kind: str = "previous", order_by: str
 
 # -- AGG9 ---------------------------------------------------------------------------------------
 def top_with_other(df: DataFrame, name: str, value: str, k: int) -> DataFrame:
-    """Sum by category: the top k-1 categories plus one "Other" row with the rest."""
+    """Sum by category; with more than k categories the top k-1 plus one "Other" row with the rest."""
     g = _not_null_keys(df, [name]).groupBy(c(name).alias("category")).agg(F.sum(c(value)).alias("total"))
+    if g.limit(k + 1).count() <= k:
+        return g
     top = g.orderBy(F.col("total").desc(), "category").limit(k - 1).select(F.col("category").alias("__t"))
     j = g.join(F.broadcast(top), F.col("category") == F.col("__t"), "left")
     lab = F.when(F.col("__t").isNotNull(), F.col("category")).otherwise(F.lit("Other"))
@@ -202,11 +207,11 @@ def hierarchy_totals(df: DataFrame, path: Sequence[str], value: str) -> DataFram
 
 
 def flows(df: DataFrame, src: str, dst: str, value: str, n: int) -> DataFrame:
-    """Flow totals source -> target among the top-n sources and top-n targets (by total), with node ids."""
+    """Flow totals source -> target among the n most frequent sources and targets (by rows), with node ids."""
     base = _not_null_keys(df, [src, dst])
 
     def top(col):
-        return (base.groupBy(c(col).alias("__v")).agg(F.sum(c(value)).alias("__s"))
+        return (_not_null_keys(df, [col]).groupBy(c(col).alias("__v")).agg(F.count(F.lit(1)).alias("__s"))
                 .orderBy(F.col("__s").desc(), "__v").limit(n).select("__v"))
     top_src, top_dst = top(src), top(dst)
     base = base.join(F.broadcast(top_src), c(src) == F.col("__v"), "left_semi")
@@ -222,16 +227,16 @@ def flows(df: DataFrame, src: str, dst: str, value: str, n: int) -> DataFrame:
             .join(F.broadcast(t), F.col("target").cast("string") == F.col("__t")).drop("__s", "__t"))
 
 
-def funnel(df: DataFrame, stage: str, value: str, order: Sequence[str] | None = None,
-           max_categories: int = MAX_CATEGORIES) -> DataFrame:
-    """Sum per stage, ordered by value (desc) or by a user order, with % of the first stage."""
+def funnel(df: DataFrame, stage: str, value: str, order: Sequence[str] | None = None, ascending: bool = False) -> DataFrame:
+    """Sum per stage with % of the first stage, ordered by value (descending or ascending) or by a
+    user order; stages the user did not list follow at the end by name."""
     g = _not_null_keys(df, [stage]).groupBy(c(stage).alias("stage")).agg(F.sum(c(value)).alias("value"))
     if order:
         rank = F.create_map(*[x for i, v in enumerate(order) for x in (F.lit(v), F.lit(i))])[F.col("stage")]
-        g = g.where(F.col("stage").isin(list(order))).withColumn("position", rank.cast("int"))
+        by = [rank.asc_nulls_last(), F.col("stage")]
     else:
-        bounded_rows(g, max_categories, "funnel stages")
-        g = g.withColumn("position", (F.row_number().over(Window.orderBy(F.col("value").desc(), "stage")) - 1).cast("int"))
+        by = [F.col("value").asc() if ascending else F.col("value").desc(), F.col("stage")]
+    g = g.withColumn("position", (F.row_number().over(Window.orderBy(*by)) - 1).cast("int"))  # one row per stage
     first = g.where(F.col("position") == g.agg(F.min("position")).scalar()).agg(F.max("value")).scalar()
     return g.withColumn("pct_of_first", F.col("value") * 100.0 / first)
 
@@ -243,19 +248,21 @@ def category_profile(df: DataFrame, cat: str, cols: Sequence[str], n: int) -> Da
 
 
 def surface_grid(df: DataFrame, x: str, y: str, z: str, max_categories: int = MAX_CATEGORIES) -> DataFrame:
-    """Mean z on the full (x, y) grid; absent cells -> 0.  Built by pivot + unpivot (no cross join)."""
-    base = _not_null_keys(df, [x, y])
-    ys = _values(base, y, max_categories)
-    wide = base.groupBy(c(x)).pivot(y, ys).agg(F.avg(c(z).cast("double"))).na.fill(0.0, subset=[str(v) for v in ys])
-    names = [str(v) for v in ys]
-    long = wide.unpivot([c(x)], [c(v) for v in names], "__y", z)
-    ytype = df.schema[y].dataType
-    return long.select(c(x), F.col("__y").cast(ytype).alias(y), c(z))
+    """Mean z on the full (x, y) grid; absent cells -> 0.
+
+    The grid is the result itself: every x gets the list of y values (one
+    array, at most ``max_categories`` long), and the grouped means are joined on.
+    """
+    means = _not_null_keys(df, [x, y]).groupBy(c(x), c(y)).agg(F.avg(c(z).cast("double")).alias("__z"))
+    ys = _values(means, y, max_categories)
+    ytype = means.schema[y].dataType
+    grid = means.select(c(x)).distinct().withColumn(y, F.explode(F.array(*[F.lit(v).cast(ytype) for v in ys])))
+    return grid.join(means, [x, y], "left").select(c(x), c(y), F.coalesce("__z", F.lit(0.0)).alias(z))
 
 
 def waterfall(df: DataFrame, cat: str, value: str, n: int) -> DataFrame:
-    """Top-n categories by total, running sum in that order, plus a Total row."""
-    g = _not_null_keys(df, [cat]).groupBy(c(cat).cast("string").alias("category")).agg(F.sum(c(value)).alias("value"))
+    """The n rows with the largest values, running sum in that order, plus a Total row."""
+    g = df.where(c(value).isNotNull()).select(c(cat).cast("string").alias("category"), c(value).alias("value"))
     top = g.orderBy(F.col("value").desc(), "category").limit(n)
     w = Window.orderBy(F.col("value").desc(), "category").rowsBetween(Window.unboundedPreceding, 0)
     top = top.withColumn("running", F.sum("value").over(w)).withColumn("is_total", F.lit(False))

@@ -100,11 +100,11 @@ def clean_string_expr(col: Column, ops: Sequence[str]) -> Column:
         if op == "lower":
             e = F.lower(e)
         elif op == "punct":
-            e = F.regexp_replace(e, r"[^\p{L}\p{N}_\s]", "")
+            e = F.regexp_replace(e, r"(?U)[^\p{L}\p{N}_\s]", "")
         elif op == "digits":
-            e = F.regexp_replace(e, r"\d", "")
+            e = F.regexp_replace(e, r"(?U)\d", "")
         elif op == "spaces":
-            e = F.trim(F.regexp_replace(e, r"\s+", " "))
+            e = F.trim(F.regexp_replace(e, r"(?U)\s+", " "))
         elif op == "html":
             e = F.regexp_replace(e, r"<.*?>", "")
         else:

@@ -1,8 +1,7 @@
 """Chart-data frames (CHD1-9): the bounded numbers behind each chart type.
 
-Drawing is not done here.  Point caps are the feature (a chart shows at most
-``cap`` points); when a frame is larger, a seeded hash sample of exactly
-``cap`` rows is taken, otherwise every row is kept.
+Drawing is not done here.  Every row is kept unless the caller names a
+``cap``: then a larger frame gives a seeded hash sample of exactly ``cap`` rows.
 """
 
 from __future__ import annotations
@@ -14,8 +13,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.common import as_list, c
 
-POINT_CAP = 10_000
-
 
 def _cap(df: DataFrame, cap: int | None, seed: int = 42) -> DataFrame:
     if not cap:
@@ -23,14 +20,14 @@ def _cap(df: DataFrame, cap: int | None, seed: int = 42) -> DataFrame:
     return df.withColumn("__h", F.xxhash64(F.lit(seed), *[c(x) for x in df.columns])).orderBy("__h").limit(cap).drop("__h")
 
 
-def line_data(df: DataFrame, x: str, ys: Sequence[str], group: str | None = None, cap: int | None = POINT_CAP) -> DataFrame:
+def line_data(df: DataFrame, x: str, ys: Sequence[str], group: str | None = None, cap: int | None = None) -> DataFrame:
     """Ordered (x, y..., group) points for line / area / multi-series charts."""
     cols = [c(x), *[c(y) for y in ys]] + ([c(group)] if group else [])
     out = _cap(df.select(*cols), cap)
     return out.orderBy(*([c(group)] if group else []), c(x))
 
 
-def scatter_data(df: DataFrame, cols: Sequence[str], cap: int | None = POINT_CAP) -> DataFrame:
+def scatter_data(df: DataFrame, cols: Sequence[str], cap: int | None = None) -> DataFrame:
     """Projected columns without nulls (scatter, bubble, 3-D, pair plot, parallel coordinates)."""
     return _cap(df.select(*[c(x) for x in cols]).na.drop(), cap)
 

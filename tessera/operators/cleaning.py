@@ -206,12 +206,12 @@ def handle_outliers(df: DataFrame, col: str, method: str = "iqr", threshold: flo
 
 # -- CLN20 -------------------------------------------------------------------------------
 # fixed values: text accepted as boolean true / false
-TRUE_TEXT = ["true", "yes", "1", "t", "y", "on"]
-FALSE_TEXT = ["false", "no", "0", "f", "n", "off"]
+TRUE_TEXT = ["true", "True", "TRUE", "1", "yes", "Yes", "YES"]
+FALSE_TEXT = ["false", "False", "FALSE", "0", "no", "No", "NO"]
 
 
 def to_boolean(col: Column) -> Column:
-    s = F.lower(F.trim(col.cast("string")))
+    s = col.cast("string")
     return F.when(s.isin(TRUE_TEXT), F.lit(True)).when(s.isin(FALSE_TEXT), F.lit(False))
 
 

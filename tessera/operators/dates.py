@@ -103,7 +103,7 @@ def trunc_ntz(unit: str, ts: Column) -> Column:
 def infer_period(df: DataFrame, ts: str, order_by: str | None = None) -> DataFrame:
     """Most common gap between consecutive timestamps -> frequency and seasonal period.
 
-    D 365, W 52, M 12, Q 4, Y 1; otherwise by length (min(12, n // 2)).
+    D 365, W 52, M 12, Q 4, Y 1; otherwise the longest of 365, 52, 12, 4 that the series covers, else 2.
     Gaps come from the halo window of ``plans.ordered`` (no global window).
     """
     from tessera.plans.ordered import drop_halo, with_halo
@@ -121,7 +121,8 @@ def infer_period(df: DataFrame, ts: str, order_by: str | None = None) -> DataFra
     freq = (F.when(g == day, "D").when(g == 7 * day, "W").when(g.between(28 * day, 31 * day), "M")
             .when(g.between(89 * day, 92 * day), "Q").when(g.between(365 * day, 366 * day), "Y"))
     period = (F.when(freq == "D", 365).when(freq == "W", 52).when(freq == "M", 12).when(freq == "Q", 4)
-              .when(freq == "Y", 1).otherwise(F.least(F.lit(12), F.floor(total / 2))))
+              .when(freq == "Y", 1)
+              .when(total >= 365, 365).when(total >= 52, 52).when(total >= 12, 12).when(total >= 4, 4).otherwise(2))
     return df.sparkSession.range(1).select(g.alias("gap_seconds"), freq.alias("frequency"),
                                            period.cast("int").alias("seasonal_period"))
 
@@ -154,23 +155,9 @@ def resample(df: DataFrame, ts: str, value: str, freq: str = "D", agg: str = "me
     return spine.join(g, "period", "left")
 
 
-def calendar_spine(df: DataFrame, ts: str, freq: str) -> DataFrame:
-    bounds = df.agg(F.min(period_start(c(ts), freq)).alias("a"), F.max(period_start(c(ts), freq)).alias("b"))
-    step = F.expr(f"INTERVAL {_FREQ_UNIT[freq][1]}")
-    return bounds.select(F.explode(F.sequence("a", "b", step)).alias("period"))
-
-
 def detect_datetime(df: DataFrame, col: str, threshold: float = 0.7, probe: int = 100) -> DataFrame:
     """SRC8: share of the first ``probe`` non-null values matching each date pattern; likely if any > threshold."""
     sample = df.where(c(col).isNotNull()).select(c(col).cast("string").alias("s")).limit(probe)
     shares = sample.agg(*[F.avg(F.col("s").rlike(p).cast("double")).alias(f"p{i}") for i, p in enumerate(DATE_PATTERNS)])
     best = F.greatest(*[F.col(f"p{i}") for i in range(len(DATE_PATTERNS))])
     return shares.select(F.lit(col).alias("column_name"), best.alias("best_share"), (best > threshold).alias("is_datetime"))
-
-
-def order_window(order_by, partition_by=None) -> Window:
-    return Window.partitionBy(*[c(p) for p in as_list(partition_by)]).orderBy(*[c(o) for o in as_list(order_by)])
-
-
-def is_timestamp(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))

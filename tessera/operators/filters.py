@@ -3,7 +3,9 @@ reaches the Parquet scan as a pushed filter where the source allows."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,16 @@ from tessera.functions.common import c, is_datetime, is_numeric
 
 
 def _lit_for(df: DataFrame, col: str, v) -> Column:
+    """The value in the column's own type, so the comparison is exact and can be pushed down."""
     dt = df.schema[col].dataType
+    if isinstance(dt, T.DecimalType):
+        return F.lit(Decimal(str(v)))
+    if isinstance(dt, T.IntegralType):
+        number = Decimal(str(v))
+        if number == number.to_integral_value() and abs(number) < 2 ** 63:
+            whole = F.lit(int(number))
+            return whole.cast(dt) if abs(number) < _LIMIT[type(dt)] else whole.cast("long")
+        return F.lit(number if abs(number) < Decimal(10) ** 28 else float(v))
     if is_numeric(dt):
         return F.lit(float(v))
     if is_datetime(dt):
@@ -22,34 +33,39 @@ def _lit_for(df: DataFrame, col: str, v) -> Column:
     return F.lit(str(v))
 
 
+_LIMIT = {T.ByteType: 2 ** 7, T.ShortType: 2 ** 15, T.IntegerType: 2 ** 31, T.LongType: 2 ** 63}
+
+
 def predicate(df: DataFrame, col: str, op: str, value=None) -> Column:
-    """One condition.  ``!=`` keeps nulls (pandas); text ops treat null as no match."""
+    """One condition of a filter.  ``!=`` keeps nulls (pandas); the others are null for
+    null, which a filter drops: no wrapping, so the scan gets them as pushed filters."""
     x = c(col)
     op = op.lower()
     if op == "==":
-        return F.coalesce(x == _lit_for(df, col, value), F.lit(False))
+        return x == _lit_for(df, col, value)
     if op == "!=":
         return ~x.eqNullSafe(_lit_for(df, col, value))
     if op in (">", ">=", "<", "<="):
         v = _lit_for(df, col, value)
-        e = {">": x > v, ">=": x >= v, "<": x < v, "<=": x <= v}[op]
-        return F.coalesce(e, F.lit(False))
+        return {">": x > v, ">=": x >= v, "<": x < v, "<=": x <= v}[op]
     if op == "between":
         lo, hi = value
-        return F.coalesce(x.between(_lit_for(df, col, lo), _lit_for(df, col, hi)), F.lit(False))
+        return x.between(_lit_for(df, col, lo), _lit_for(df, col, hi))
     if op in ("is null", "is_null"):
         return x.isNull()
     if op in ("is not null", "not_null"):
         return x.isNotNull()
     if op == "contains":
-        return F.coalesce(x.cast("string").rlike(str(value)), F.lit(False))
+        return x.cast("string").rlike(str(value))
     if op in ("starts with", "startswith"):
-        return F.coalesce(x.cast("string").startswith(str(value)), F.lit(False))
+        return x.cast("string").startswith(str(value))
     if op in ("ends with", "endswith"):
-        return F.coalesce(x.cast("string").endswith(str(value)), F.lit(False))
+        return x.cast("string").endswith(str(value))
     if op == "in":
         vals = [v.strip() for v in str(value).split(",")]
-        return F.coalesce(x.cast("string").isin(vals), F.lit(False))
+        if isinstance(df.schema[col].dataType, T.IntegralType):  # a whole number is matched by its plain spelling only
+            return x.isin([int(v) for v in vals if re.fullmatch(r"0|-?[1-9][0-9]{0,17}", v)])
+        return x.cast("string").isin(vals)
     raise ValueError(op)
 
 

@@ -47,10 +47,6 @@ def cluster(df: DataFrame, cols: Sequence[str], algorithm: str = "kmeans", k: in
     return model.transform(v).drop("__vec", *z)
 
 
-def cluster_sizes(labelled: DataFrame, col: str) -> DataFrame:
-    return labelled.groupBy(col).agg(F.count(F.lit(1)).alias("size"))
-
-
 # -- isolation forest ---------------------------------------------------------------------------
 def _c_factor(n: float) -> float:
     if n <= 1:

@@ -323,7 +323,3 @@ def merge_numeric(df: DataFrame, cols: Sequence[str], how: str, out: str) -> Dat
     else:
         raise ValueError(how)
     return df.withColumn(out, e)
-
-
-def as_list_cols(cols) -> list[str]:
-    return as_list(cols)

@@ -271,8 +271,13 @@ def duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None,
     keys = list(subset) if subset else df.columns
     if not subset or set(keys) == set(df.columns):
         g = df.groupBy(*[c(k) for k in df.columns]).agg(F.count(F.lit(1)).alias("__c")).where("__c > 1")
+        # copies come in chunks, dealt out again: a row with very many copies has many tasks
+        chunk = 10_000
+        left = F.col("__c") - 1 - F.col("__k") * chunk
+        g = g.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__c") - 2) / chunk))))
+        g = g.withColumn("__c", F.least(left, F.lit(chunk))).repartition(F.xxhash64(*[c(k) for k in df.columns], "__k"))
         return g.select(*[c(k) for k in df.columns],
-                        F.explode(F.sequence(F.lit(2), F.col("__c").cast("int"))).alias("__i")).drop("__i")
+                        F.explode(F.array_repeat(F.lit(0), F.col("__c").cast("int"))).alias("__i")).drop("__i")
     order = as_list(order_by)
     if len(order) != 1:
         raise ValueError("subset duplicates need one unique order_by column")
@@ -361,7 +366,3 @@ def datetime_profile(df: DataFrame, col: str) -> DataFrame:
                       "top_month", "top_month_count", (F.col("top_month_count") * 100.0 / F.col("__n")).alias("top_month_pct"),
                       "top_weekday", "top_weekday_count",
                       (F.col("top_weekday_count") * 100.0 / F.col("__n")).alias("top_weekday_pct"))
-
-
-def datetime_columns_of(df: DataFrame) -> list[str]:
-    return datetime_columns(df)

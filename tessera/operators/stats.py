@@ -198,14 +198,26 @@ def correlation_edges(df: DataFrame, cols: Sequence[str], threshold: float = 0.1
         F.col("column_a").alias("src"), F.col("column_b").alias("dst"), F.abs("correlation").alias("weight"))
 
 
+def _tie_sums(d: DataFrame, x: Column) -> tuple[float, float, float]:
+    """Over groups of t equal values: sums of t(t-1)/2, t(t-1)(t-2) and t(t-1)(2t+5)."""
+    t = F.col("t").cast("double")
+    row = d.groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("t")).where("t > 1").agg(
+        F.sum(t * (t - 1) / 2), F.sum(t * (t - 1) * (t - 2)), F.sum(t * (t - 1) * (2 * t + 5))).first()
+    return tuple(v or 0.0 for v in row)
+
+
 def correlation_test(df: DataFrame, a: str, b: str, method: str = "pearson", alpha: float = 0.05) -> DataFrame:
     """r, p (t with n-2 dof), R^2, direction and strength label."""
     d = df.where(c(a).isNotNull() & c(b).isNotNull())
     if method == "kendall":
         k = kendall_tau(df, a, b).first()
         tau, n = k["tau"], k["n"]
-        # normal approximation of the tau statistic (no tie correction of the variance)
-        z = 3 * tau * math.sqrt(n * (n - 1)) / math.sqrt(2 * (2 * n + 5)) if tau is not None else None
+        z = None
+        if tau is not None:  # normal approximation with the variance corrected for ties
+            (xt, x0, x1), (yt, y0, y1) = _tie_sums(d, c(a).cast("double")), _tie_sums(d, c(b).cast("double"))
+            m = float(n) * (n - 1)
+            var = (m * (2 * n + 5) - x1 - y1) / 18 + 2 * xt * yt / m + (x0 * y0 / (9 * m * (n - 2)) if n > 2 else 0.0)
+            z = k["s"] / math.sqrt(var) if var > 0 else None
         p = 2 * S.norm_sf(abs(z)) if z is not None else None
         lab = None if tau is None else ("strong" if abs(tau) >= 0.7 else "moderate" if abs(tau) >= 0.3 else "weak") + \
             (" positive" if tau >= 0 else " negative")
@@ -334,20 +346,20 @@ def tukey_hsd(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> Dat
 
 
 # -- STA9: chi-square -----------------------------------------------------------------------------------
-def contingency(df: DataFrame, a: str, b: str, max_categories: int = MAX_CATEGORIES) -> DataFrame:
-    """Full grid of observed counts (zeros included) with expected counts - pivot then unpivot."""
-    from tessera.operators.aggregate import crosstab_wide, _values
-
-    base = df.where(c(a).isNotNull() & c(b).isNotNull())
-    bs = _values(base, b, max_categories)
-    wide = crosstab_wide(base, a, b, max_categories)
-    long = wide.unpivot([c(a)], [c(str(v)) for v in bs], "__b", "observed")
-    long = long.withColumn("observed", F.col("observed").cast("long"))
-    n = long.agg(F.sum("observed")).scalar()
-    rowt = long.groupBy(c(a)).agg(F.sum("observed").alias("__rt"))
-    colt = long.groupBy("__b").agg(F.sum("observed").alias("__ct"))
-    g = long.join(rowt, a).join(colt, "__b")
-    return g.select(c(a), F.col("__b").cast(df.schema[b].dataType).alias(b), "observed",
+def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Full grid of observed counts (zeros included) with expected counts.
+
+    Built long, from grouped counts: every row total gets the list of column
+    totals (the grid is the result), and the counts are joined on.
+    """
+    counts = df.where(c(a).isNotNull() & c(b).isNotNull()).groupBy(c(a).alias("__a"), c(b).alias("__b")).agg(
+        F.count(F.lit(1)).alias("observed"))
+    n = counts.agg(F.sum("observed")).scalar()
+    rowt = counts.groupBy("__a").agg(F.sum("observed").alias("__rt"))
+    colt = counts.groupBy("__b").agg(F.sum("observed").alias("__ct")).agg(F.collect_list(F.struct("__b", "__ct"))).scalar()
+    grid = rowt.select("__a", "__rt", F.inline(colt).alias("__b", "__ct"))
+    g = grid.join(counts, ["__a", "__b"], "left")
+    return g.select(F.col("__a").alias(a), F.col("__b").alias(b), F.coalesce("observed", F.lit(0)).alias("observed"),
                     (F.col("__rt") * F.col("__ct") / n).alias("expected"))
 
 
@@ -756,13 +768,12 @@ def trend(df: DataFrame, value: str, order_by, kind: str = "linear", degree: int
     pos = F.col("__pos").cast("double")
     y = c(value).cast("double")
     if kind == "linear":
-        r = d.agg(F.regr_slope(y, pos).alias("slope"), F.regr_intercept(y, pos).alias("intercept"),
-                  F.avg(y).alias("mean"))
-        rel = F.try_divide(F.abs("slope"), F.abs("mean"))
+        r = d.agg(F.regr_slope(y, pos).alias("slope"), F.regr_intercept(y, pos).alias("intercept"))
+        change = F.abs("slope")  # units per step
         return r.select("slope", "intercept",
                         F.when(F.col("slope") > 0, "increasing").when(F.col("slope") < 0, "decreasing")
                         .otherwise("flat").alias("direction"),
-                        F.when(rel < 0.01, "weak").when(rel < 0.1, "moderate").otherwise("strong").alias("strength"))
+                        F.when(change > 0.1, "strong").when(change > 0.01, "moderate").otherwise("weak").alias("strength"))
     if kind == "exponential":
         positive = d.agg(F.min(y)).scalar() > 0
         r = d.agg(F.regr_slope(F.ln(y), pos).alias("b"), F.regr_intercept(F.ln(y), pos).alias("ln_a"),

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.common import as_list, c
+from tessera.functions.common import as_list, c, join_null_safe
 from tessera.plans import ordered as O
 
 _I = "__i"
@@ -46,8 +47,9 @@ def rolling(df: DataFrame, col: str, n: int, stats: Sequence[str] = ("mean",), o
 
 def moving_averages(df: DataFrame, col: str, short: int, long: int, order_by, partition_by=None, **kw) -> DataFrame:
     """Short and long simple moving averages (sorted by ``order_by`` first)."""
-    d = rolling(df, col, short, ["mean"], order_by, partition_by, {"mean": f"sma_{short}"}, **kw)
-    return rolling(d, col, long, ["mean"], order_by, partition_by, {"mean": f"sma_{long}"}, **kw)
+    d, w = O.with_halo(df, order_by, partition_by, max(short, long), **kw)  # one halo for both
+    x = c(col).cast("double")
+    return O.drop_halo(d.withColumns({f"sma_{n}": _rolling_expr(x, "mean", n, w) for n in (short, long)}))
 
 
 def expanding(df: DataFrame, col: str, stats: Sequence[str] = ("mean",), order_by=None, partition_by=None,
@@ -57,31 +59,36 @@ def expanding(df: DataFrame, col: str, stats: Sequence[str] = ("mean",), order_b
     out = out or {s: f"{col}_expanding_{s}" for s in stats}
     x = c(col).cast("double")
     d, nb = O.add_blocks(df, order_by, rows_per_block)
+    extra = []
+    y = x
+    if {"std", "var"} & set(stats):  # squares are taken about the series mean, so large values do not cancel
+        means = df.groupBy(*[c(p) for p in parts]).agg(F.avg(x).alias("__mu"))
+        d = join_null_safe(d, means, parts, "left", broadcast=not parts)
+        y = x - F.col("__mu")
+        extra.append("__mu")
     w = Window.partitionBy(*[c(p) for p in parts], O._BLK).orderBy(*[c(o) for o in order_by]) \
         .rowsBetween(Window.unboundedPreceding, 0)
-    loc = {"__n": F.count(x).over(w), "__s": F.sum(x).over(w), "__q": F.sum(x * x).over(w),
-           "__mn": F.min(x).over(w), "__mx": F.max(x).over(w)}
-    d = d.withColumns(loc)
+    sums = {"n": (F.count, x), "s": (F.sum, x), "t": (F.sum, y), "q": (F.sum, y * y), "mn": (F.min, x), "mx": (F.max, x)}
+    merge = {"n": F.sum, "s": F.sum, "t": F.sum, "q": F.sum, "mn": F.min, "mx": F.max}
+    d = d.withColumns({f"__{k}": f(v).over(w) for k, (f, v) in sums.items()})
+    extra += [f"__{k}" for k in sums]
+    col_of = {k: F.col(f"__{k}") for k in sums}
     if nb > 1:
-        summ = d.groupBy(*[c(p) for p in parts], O._BLK).agg(
-            F.count(x).alias("__bn"), F.sum(x).alias("__bs"), F.sum(x * x).alias("__bq"),
-            F.min(x).alias("__bmn"), F.max(x).alias("__bmx"))
-        carry = O._carry(summ, parts, {"__cn": F.sum("__bn"), "__cs": F.sum("__bs"), "__cq": F.sum("__bq"),
-                                       "__cmn": F.min("__bmn"), "__cmx": F.max("__bmx")})
+        summ = d.groupBy(*[c(p) for p in parts], O._BLK).agg(*[f(v).alias(f"__b{k}") for k, (f, v) in sums.items()])
+        carry = O._carry(summ, parts, {f"__c{k}": merge[k](f"__b{k}") for k in sums})
         d = O._join_carry(d, carry, parts, nb)
-        n = F.col("__n") + F.coalesce("__cn", F.lit(0))
-        s = F.coalesce("__s", F.lit(0.0)) + F.coalesce("__cs", F.lit(0.0))
-        q = F.coalesce("__q", F.lit(0.0)) + F.coalesce("__cq", F.lit(0.0))
-        mn, mx = F.least("__mn", "__cmn"), F.greatest("__mx", "__cmx")
-        extra = ["__cn", "__cs", "__cq", "__cmn", "__cmx"]
-    else:
-        n, s, q, mn, mx = F.col("__n"), F.col("__s"), F.col("__q"), F.col("__mn"), F.col("__mx")
-        extra = []
-    var = F.when(n >= 2, (q - s * s / n) / (n - 1))
-    exprs = {"mean": F.when(n >= 1, s / n), "sum": F.when(n >= 1, s), "min": mn, "max": mx, "count": n,
-             "var": var, "std": F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0))))}
+        extra += [f"__c{k}" for k in sums]
+        for k in sums:
+            if k in ("mn", "mx"):
+                col_of[k] = (F.least if k == "mn" else F.greatest)(f"__{k}", f"__c{k}")
+            else:
+                col_of[k] = F.coalesce(f"__{k}", F.lit(0)) + F.coalesce(f"__c{k}", F.lit(0))
+    n, s, t, q = (col_of[k] for k in "nstq")
+    var = F.when(n >= 2, F.greatest(q - t * t / n, F.lit(0.0)) / (n - 1))
+    exprs = {"mean": F.when(n >= 1, s / n), "sum": F.when(n >= 1, s), "min": col_of["mn"], "max": col_of["mx"], "count": n,
+             "var": var, "std": F.sqrt(var)}
     d = d.withColumns({out[st]: exprs[st] for st in stats})
-    return d.drop(O._BLK, *loc.keys(), *extra)
+    return d.drop(O._BLK, *extra)
 
 
 def expanding_median(df: DataFrame, col: str, order_by, partition_by=None, out: str | None = None,
@@ -119,10 +126,11 @@ def ema(df: DataFrame, col: str, span: float, order_by, partition_by=None, out:
         rows_per_block: int | None = None) -> DataFrame:
     """pandas ``ewm(span, adjust=False).mean()``: y0 = x0, y = (1-a) y + a x with a = 2 / (span + 1).
 
-    Blocks of the row index are processed independently (``applyInPandas``);
-    each block's effect is an affine map y -> A y + B, composed across blocks
-    per series to get every block's starting value, then the block is rerun
-    from that value.  Exact for inputs without nulls.
+    Nulls follow pandas (``ignore_na=False``): a null repeats the last value
+    and lets its weight decay; leading nulls stay null.  Blocks of the row
+    index are processed independently (``applyInPandas``): behind its first
+    value a block maps the running value y to A y + B, so the blocks are
+    chained per series by their summaries and rerun from the right state.
     """
     order_by, parts = as_list(order_by), as_list(partition_by)
     out = out or f"{col}_ema_{span:g}"
@@ -131,51 +139,79 @@ def ema(df: DataFrame, col: str, span: float, order_by, partition_by=None, out:
     d = O.row_index(df, order_by, parts, _I, rows_per_block).withColumn("__b", F.floor(F.col(_I) / size))
     if not parts:
         d = d.withColumn("__series", F.lit(0))
-        gparts = ["__series"]
-    else:
-        gparts = parts
+    gparts = parts or ["__series"]
     keys = gparts + ["__b"]
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(_I)
-        x = pdf[col].astype("float64").to_numpy()
-        b = _ewm_from(0.0, x, alpha)[-1] if len(x) else 0.0
+        x = pdf.sort_values(_I)[col].astype("float64").to_numpy()
+        lead, first, a, b, tail = _ewm_map(x, alpha)
         row = {k: pdf[k].iloc[0] for k in keys}
-        row.update({"__a": (1 - alpha) ** len(x), "__bb": b, "__x0": float(x[0]) if len(x) else float("nan")})
+        row.update({"__n": len(x), "__lead": lead, "__x0": first, "__a": a, "__bb": b, "__tail": tail})
         return pd.DataFrame([row])
 
     key_fields = [d.schema[k] for k in keys]
-    sschema = T.StructType(key_fields + [T.StructField("__a", T.DoubleType()), T.StructField("__bb", T.DoubleType()),
-                                         T.StructField("__x0", T.DoubleType())])
+    sschema = T.StructType(key_fields + [T.StructField(k, T.LongType()) for k in ("__n", "__lead")]
+                           + [T.StructField(k, T.DoubleType()) for k in ("__x0", "__a", "__bb")] + [T.StructField("__tail", T.LongType())])
     summ = d.select(*keys, _I, col).groupBy(*keys).applyInPandas(summarise, sschema)
 
     def carries(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__b")
-        y, ins = None, []
-        for a, bb, x0 in zip(pdf["__a"], pdf["__bb"], pdf["__x0"]):
-            yin = x0 if y is None else y
-            ins.append(yin)
-            y = a * yin + bb
-        return pdf[keys].assign(__yin=ins)
-
-    cschema = T.StructType(key_fields + [T.StructField("__yin", T.DoubleType())])
+        y, weight, ins = None, 1.0, []
+        for n, lead, x0, a, b, tail in zip(*(pdf[k] for k in ("__n", "__lead", "__x0", "__a", "__bb", "__tail"))):
+            ins.append((float("nan") if y is None else y, weight))
+            if lead == n:  # nothing but nulls: only the weight decays
+                weight *= (1 - alpha) ** n
+                continue
+            y = a * _ewm_first(y, weight * (1 - alpha) ** lead, x0, alpha) + b
+            weight = (1 - alpha) ** tail
+        return pdf[keys].assign(__yin=[i[0] for i in ins], __win=[i[1] for i in ins])
+
+    cschema = T.StructType(key_fields + [T.StructField("__yin", T.DoubleType()), T.StructField("__win", T.DoubleType())])
     carry = summ.groupBy(*gparts).applyInPandas(carries, cschema)
-    j = d.join(carry, keys)
+    j = join_null_safe(d, carry, keys, "left")
     oschema = T.StructType(j.schema.fields + [T.StructField(out, T.DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(_I)
-        pdf[out] = _ewm_from(float(pdf["__yin"].iloc[0]), pdf[col].astype("float64").to_numpy(), alpha)
+        y, weight = pdf["__yin"].iloc[0], pdf["__win"].iloc[0]
+        pdf[out] = _ewm_from(None if pd.isna(y) else float(y), weight, pdf[col].astype("float64").to_numpy(), alpha)
         return pdf
 
     res = j.groupBy(*keys).applyInPandas(run, oschema)
-    return res.drop(_I, "__b", "__yin", *(["__series"] if not parts else []))
-
-
-def _ewm_from(y0: float, x, alpha: float):
-    """Values of y_t = (1 - alpha) y_(t-1) + alpha x_t starting from y0 (vectorised by pandas)."""
-    s = pd.Series([y0, *x], dtype="float64")
-    return s.ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
+    return res.drop(_I, "__b", "__yin", "__win", *(["__series"] if not parts else []))
+
+
+def _ewm_first(y: float | None, weight: float, x: float, alpha: float) -> float:
+    """The running value after the next non-null ``x``: the old value has ``weight`` left."""
+    if y is None:
+        return x
+    old = weight * (1 - alpha)
+    return (old * y + alpha * x) / (old + alpha)
+
+
+def _ewm_map(x, alpha: float):
+    """(leading nulls, first value, A, B, trailing nulls): after the first value y the block ends at A y + B."""
+    some = np.flatnonzero(~np.isnan(x))
+    if not len(some):
+        return len(x), float("nan"), 1.0, 0.0, 0
+    lead, ends = int(some[0]), []
+    for y in (0.0, 1.0):
+        part = x[lead:].copy()
+        part[0] = y
+        ends.append(float(pd.Series(part).ewm(alpha=alpha, adjust=False).mean().iloc[-1]))
+    return lead, float(x[lead]), ends[1] - ends[0], ends[0], int(len(x) - 1 - some[-1])
+
+
+def _ewm_from(y: float | None, weight: float, x, alpha: float):
+    """The block's values from the state (y, its weight) before it."""
+    some = np.flatnonzero(~np.isnan(x))
+    lead = int(some[0]) if len(some) else len(x)
+    head = np.full(lead, np.nan if y is None else y)
+    if lead == len(x):
+        return head
+    part = x[lead:].copy()
+    part[0] = _ewm_first(y, weight * (1 - alpha) ** lead, float(x[lead]), alpha)
+    return np.concatenate([head, pd.Series(part).ewm(alpha=alpha, adjust=False).mean().to_numpy()])
 
 
 def crossover(df: DataFrame, col: str, short: int, long: int, kind: str = "sma", order_by=None,

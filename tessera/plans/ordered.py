@@ -2,11 +2,11 @@
 
 ``Window.orderBy`` with no ``partitionBy`` sends every row to one task.  Here
 a series (the whole table, or each ``partition_by`` group) is cut into
-*blocks*: contiguous ranges of the order key whose bounds come from one
-``percentile_approx`` pass, assigned row-wise by a binary search
-(``Bucketizer``).  The block id is a pure function of the row, so every plan
-that re-derives it sees the same layout - nothing is materialised and a lost
-executor recomputes the same blocks.
+*blocks*: contiguous ranges of the order keys whose bounds come from
+``percentile_approx`` passes (a first key value that fills several blocks is
+split by the next key).  The block id is a pure function of the row, so every
+plan that re-derives it sees the same layout - nothing is materialised and a
+lost executor recomputes the same blocks.
 
 Each operator then runs in three steps:
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.common import as_list, c
+from tessera.functions.common import as_list, c, join_null_safe
 
 ROWS_PER_BLOCK = 1_000_000
 _BLK = "__blk"
@@ -51,55 +51,70 @@ def _key_double(df: DataFrame, key: str) -> Column:
 
 
 def add_blocks(df: DataFrame, order_by: Sequence[str], rows_per_block: int | None = None) -> tuple[DataFrame, int]:
-    """Tag rows with ``__blk`` = range block of the first order key.
+    """Tag rows with ``__blk``: ranges of the order keys of about ``rows_per_block`` rows.
 
+    Ranges come from a quantile sketch of the first key; a value of it that
+    alone fills several blocks is split by ranges of the next key, and so on.
     Returns the frame and the number of blocks (1 means no carry is needed).
     """
     rpb = rows_per_block or ROWS_PER_BLOCK
-    key = order_by[0]
-    kd = _key_double(df, key)
-    splits = _block_splits(df, key, kd, rpb)
-    if splits is None:
+    nblocks = max(1, math.ceil(df.count() / rpb))
+    if nblocks == 1:
         return df.withColumn(_BLK, F.lit(0)), 1
+    if not _has_double(df, order_by[0]):
+        raise TypeError(f"order key {order_by[0]} must be numeric, date or timestamp")
+    keys = [_key_double(df, k) for k in order_by if _has_double(df, k)]
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    keys.append(F.xxhash64(*[c(p) for p in plain]).cast("double"))  # rows that tie on every key have no order: spread them
+    tree, n = _split(df, keys, nblocks, 0)
+    names = [f"__kd{i}" for i in range(len(keys))]
+    d = df.withColumns(dict(zip(names, keys)))
+    return _with_block(d, tree, names, _BLK).drop(*names), n
+
+
+def _has_double(df: DataFrame, key: str) -> bool:
+    return isinstance(df.schema[key].dataType, (T.NumericType, T.TimestampNTZType, T.TimestampType, T.DateType))
+
+
+def _split(df: DataFrame, keys: list[Column], nblocks: int, first: int):
+    """(ranges of the first key, number of blocks); a range is (from, block, deeper ranges or None)."""
+    grid = max(1024, nblocks)
+    bounds = df.agg(F.percentile_approx(keys[0], [i / grid for i in range(1, grid)], 20 * grid)).first()[0] or []
+    at = [bounds[min(len(bounds) - 1, round(j * grid / nblocks) - 1)] for j in range(1, nblocks)] if bounds else []
+    ranges, block = [(None, first, None)], first + 1
+    for v in sorted(set(at)):
+        if ranges[-1][0] is not None and float(v) <= ranges[-1][0]:
+            continue
+        share = at.count(v)
+        if share > 1 and len(keys) > 1:  # one value fills several blocks: its rows are split by the next key
+            deeper, n = _split(df.where(keys[0] == F.lit(float(v))), keys[1:], share, block)
+            ranges.append((float(v), block, deeper))
+            block += n
+            ranges.append((math.nextafter(float(v), math.inf), block, None))
+        else:
+            ranges.append((float(v), block, None))
+        block += 1
+    return ranges, block - first
+
+
+def _with_block(df: DataFrame, ranges, keys: list[str], out: str) -> DataFrame:
+    """Adds the block id: the last range that starts at or below the row's key, by binary search (null keys: the first)."""
     from pyspark.ml.feature import Bucketizer
 
-    tmp = "__kd"
-    d = df.withColumn(tmp, kd)
-    d = Bucketizer(splits=splits, inputCol=tmp, outputCol=_BLK + "_d", handleInvalid="keep").transform(d)
-    d = d.withColumn(_BLK, F.col(_BLK + "_d").cast("int")).drop(tmp, _BLK + "_d")
-    return d, len(splits) - 1
-
-
-_SPLITS_MEMO: dict = {}
-
-
-def _block_splits(df: DataFrame, key: str, kd: Column, rpb: int):
-    """Block boundaries of ``key`` (None = one block), memoised per plan so that
-    chained ordered operators on the same input scan it once.  Boundaries only
-    shape the work; any boundaries give the same results (carries connect the
-    blocks), so a stale entry can cost balance but never correctness."""
-    try:
-        memo_key = (df.semanticHash(), key, rpb)
-    except Exception:  # noqa: BLE001 - plans without a semantic hash are not memoised
-        memo_key = None
-    if memo_key is not None and memo_key in _SPLITS_MEMO:
-        return _SPLITS_MEMO[memo_key]
-    grid = 1024
-    n = df.count()  # cheap; the boundary sketch below is only built when more than one block is needed
-    nblocks = max(1, math.ceil(n / rpb))
-    g = []
-    if nblocks > 1:
-        g = df.agg(F.percentile_approx(kd, [i / grid for i in range(1, grid)], 20 * grid)).first()[0] or []
-    if nblocks <= 1 or not g:
-        splits = None
-    else:
-        bounds = sorted({g[min(len(g) - 1, int(round(j * grid / nblocks)) - 1)] for j in range(1, nblocks)})
-        splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
-    if memo_key is not None:
-        if len(_SPLITS_MEMO) > 256:
-            _SPLITS_MEMO.clear()
-        _SPLITS_MEMO[memo_key] = splits
-    return splits
+    place = F.lit(0)
+    tmp = f"{out}_p"
+    if len(ranges) > 1:
+        splits = [float("-inf"), *(r[0] for r in ranges[1:]), float("inf")]
+        df = Bucketizer(splits=splits, inputCol=keys[0], outputCol=tmp, handleInvalid="keep").transform(df)
+        place = F.when(c(keys[0]).isNull() | F.isnan(c(keys[0])), F.lit(0)).otherwise(c(tmp).cast("int"))
+    block = F.element_at(F.array(*[F.lit(r[1]) for r in ranges]), place + 1)
+    inner = []
+    for k, r in enumerate(ranges):
+        if r[2]:
+            inner.append(f"{out}_{k}")
+            df = _with_block(df, r[2], keys[1:], inner[-1])
+            block = F.when(place == k, c(inner[-1])).otherwise(block)
+    return df.withColumn(out, block).drop(*inner, *([tmp] if len(ranges) > 1 else []))
 
 
 def _order_cols(order_by):
@@ -113,10 +128,8 @@ def _carry(summary: DataFrame, parts: list[str], aggs: dict[str, Column]) -> Dat
 
 
 def _join_carry(d: DataFrame, carry: DataFrame, parts: list[str], nblocks: int) -> DataFrame:
-    if not parts:
-        # one row per block: bounded by the block count, safe to broadcast
-        return d.join(F.broadcast(carry), [_BLK], "left")
-    return d.join(carry, parts + [_BLK], "left")
+    # without series there is one row per block: bounded by the block count, safe to broadcast
+    return join_null_safe(d, carry, [*parts, _BLK], "left", broadcast=not parts)
 
 
 # ------------------------------------------------------------------------------------------
@@ -259,10 +272,12 @@ def with_halo(df: DataFrame, order_by, partition_by, n: int, rows_per_block: int
     size = max(rpb, 2 * n)
     d = row_index(df, order_by, parts, _I, rows_per_block)
     d = d.withColumn("__b2", F.floor(F.col(_I) / size)).withColumn("__halo", F.lit(False))
-    if n > 1:
-        halo = d.where((F.col(_I) % size) >= size - (n - 1)) \
-            .withColumn("__b2", F.col("__b2") + 1).withColumn("__halo", F.lit(True))
-        d = d.unionByName(halo)
+    if n > 1:  # rows at the end of a block are emitted twice, in one pass
+        own = F.struct(F.col("__b2").alias("b"), F.lit(False).alias("h"))
+        next_ = F.struct((F.col("__b2") + 1).alias("b"), F.lit(True).alias("h"))
+        copies = F.when((F.col(_I) % size) >= size - (n - 1), F.array(own, next_)).otherwise(F.array(own))
+        d = d.drop("__halo").withColumn("__c", F.explode(copies))
+        d = d.withColumn("__b2", F.col("__c.b")).withColumn("__halo", F.col("__c.h")).drop("__c")
     w = Window.partitionBy(*[c(p) for p in parts], "__b2").orderBy(_I)
     return d, w
 
@@ -274,11 +289,20 @@ def drop_halo(d: DataFrame) -> DataFrame:
 def sorted_codes(df: DataFrame, order_cols: Sequence[str], out: str = "__code") -> DataFrame:
     """Attach 0-based positions after a global sort on any sortable columns.
 
-    The sort is a range-partitioned shuffle; positions come from per-partition
-    counts (``zipWithIndex``), so no single task sees all rows.  Meant for
-    code tables (one row per distinct value).
+    The sort is a range-partitioned shuffle, written once with each row's
+    partition and place; positions are the places plus the sizes of the
+    partitions before, so no single task sees all rows.
     """
-    srt = df.orderBy(*[c(o) for o in order_cols])
-    schema = T.StructType(srt.schema.fields + [T.StructField(out, T.LongType(), False)])
-    rdd = srt.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1],))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    from tessera.session import scratch_path
+
+    spark, place, part = df.sparkSession, "__place", "__part"
+    path = scratch_path(spark, "sorted")
+    df.orderBy(*[c(o) for o in order_cols]).withColumn(place, F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField(place, T.LongType())])).parquet(path)
+    rows = rows.withColumn(part, F.shiftright(F.col(place), 33))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition of the sort
+    sizes = rows.groupBy(F.col(part).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    joined = rows.join(F.broadcast(sizes), F.col(part) == F.col("__p"))
+    code = F.col("__off") + F.col(place).bitwiseAND((1 << 33) - 1)
+    return joined.withColumn(out, code).select(*[c(x) for x in df.columns], c(out))

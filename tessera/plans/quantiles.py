@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tessera.functions.common import as_list, c
+from tessera.functions.common import as_list, c, join_null_safe
 
 _G = "__g"
 _V = "__v"
@@ -68,13 +68,13 @@ def _refine(base: DataFrame, targets: DataFrame, by: list[str], grid: int, accur
     tb = targets.select(*key, "_lo", "_hi", "_below", "_inside", "_k")
     # rows of each bracket: join on the group, keep rows inside the bracket
     per_group = tb.groupBy(*by).agg(F.collect_list(F.struct(*tb.columns)).alias("_tl"))
-    rows = (base.join(per_group, by)
+    rows = (join_null_safe(base, per_group, by, broadcast=by == [_G])
             .select(*by, _V, F.explode(F.filter("_tl", lambda t: (t["_lo"] <= F.col(_V)) & (F.col(_V) <= t["_hi"]))).alias("_t"))
             .select(*by, _V, F.col("_t._pi").alias("_pi"), F.col("_t._role").alias("_role")))
     pcts = [i / grid for i in range(grid + 1)]
     approx = rows.groupBy(*key).agg(F.percentile_approx(_V, pcts, accuracy).alias("_grid"))
     eps = 1.0 / accuracy
-    t2 = tb.join(approx, key, "left")
+    t2 = join_null_safe(tb, approx, key, "left")
     r = (F.col("_k") - F.col("_below")).cast("double") / F.col("_inside").cast("double")
     j_lo = F.floor((r - 2 * eps) * grid).cast("int")
     j_hi = (F.ceil((r + 2 * eps) * grid) + 1).cast("int")
@@ -84,17 +84,18 @@ def _refine(base: DataFrame, targets: DataFrame, by: list[str], grid: int, accur
     }).drop("_grid")
     # exact recount of the new brackets, restricted to rows of the old bracket
     per_group2 = t2.groupBy(*by).agg(F.collect_list(F.struct(*t2.columns)).alias("_tl"))
-    rows2 = (base.join(per_group2, by)
+    rows2 = (join_null_safe(base, per_group2, by, broadcast=by == [_G])
              .select(*by, _V, F.explode(F.filter("_tl", lambda t: (t["_lo"] <= F.col(_V)) & (F.col(_V) <= t["_hi"]))).alias("_t"))
              .select(*by, _V, "_t._pi", "_t._role", "_t._nlo", "_t._nhi"))
     counts = rows2.groupBy(*key).agg(
         F.count_if(F.col(_V) < F.col("_nlo")).alias("_add_below"),
         F.count_if((F.col(_V) >= F.col("_nlo")) & (F.col(_V) <= F.col("_nhi"))).alias("_new_inside"))
-    t3 = t2.join(counts, key, "left")
+    t3 = join_null_safe(t2, counts, key, "left")
     nb = F.col("_below") + F.coalesce(F.col("_add_below"), F.lit(0))
     ni = F.coalesce(F.col("_new_inside"), F.lit(0))
     ok = (nb <= F.col("_k")) & (F.col("_k") < nb + ni) & (ni < F.col("_inside"))
-    return targets.drop("_lo", "_hi", "_below", "_inside").join(
+    return join_null_safe(
+        targets.drop("_lo", "_hi", "_below", "_inside"),
         t3.select(*key,
                   F.when(ok, F.col("_nlo")).otherwise(F.col("_lo")).alias("_lo"),
                   F.when(ok, F.col("_nhi")).otherwise(F.col("_hi")).alias("_hi"),
@@ -138,9 +139,10 @@ def exact_quantiles(df: DataFrame, value: str, ps: Sequence[float], by: Sequence
         targets = _refine(base, targets, gby, grid, accuracy).checkpoint()
 
     brs = _brackets_per_group(targets, gby)
-    vc = base.groupBy(*gby, _V).agg(F.count(F.lit(1)).alias("_c"))
-    j = (vc.join(brs, gby)
-         .select(*gby, _V, "_c", F.explode(F.filter("_brs", lambda b: (b["_lo"] <= F.col(_V)) & (F.col(_V) <= b["_hi"]))).alias("_b")))
+    # rows outside every bracket go before the values are counted
+    j = (join_null_safe(base, brs, gby, broadcast=not by)
+         .select(*gby, _V, F.explode(F.filter("_brs", lambda b: (b["_lo"] <= F.col(_V)) & (F.col(_V) <= b["_hi"]))).alias("_b")))
+    j = (j.groupBy(*gby, _V, "_b._bid").agg(F.count(F.lit(1)).alias("_c"), F.first("_b").alias("_b")))
     w = Window.partitionBy(*gby, F.col("_b._bid")).orderBy(_V).rowsBetween(Window.unboundedPreceding, 0)
     j = j.withColumn("_cum", F.sum("_c").over(w))
     lo_rank = F.col("_b._below") + F.col("_cum") - F.col("_c")
@@ -151,7 +153,8 @@ def exact_quantiles(df: DataFrame, value: str, ps: Sequence[float], by: Sequence
     out = (hits.groupBy(*gby, "_pi")
            .agg(F.max(F.when(F.col("_role") == 0, F.col(_V))).alias("_vlo"),
                 F.max(F.when(F.col("_role") == 1, F.col(_V))).alias("_vhi"))
-           .join(meta, gby + ["_pi"]))
+           )
+    out = join_null_safe(out, meta, gby + ["_pi"])
     qexpr = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")
     out = out.select(*[c(b) for b in by], F.col("_p").alias("p"), qexpr.alias("q"))
     return out

@@ -87,13 +87,25 @@ def q_metric_delta(spark, sf):
 
 
 @register("metric_delta_period", rsql("""WITH g AS (SELECT date_trunc('month', o_orderdate) AS p, sum(o_totalprice) AS v FROM orders GROUP BY 1),
-  x AS (SELECT (SELECT v FROM g ORDER BY p DESC LIMIT 1) AS cur, (SELECT v FROM g ORDER BY p DESC LIMIT 1 OFFSET 1) AS ref)
+  x AS (SELECT (SELECT v FROM g ORDER BY p DESC LIMIT 1) AS cur,
+    (SELECT v FROM g WHERE p = (SELECT max(p) FROM g) - INTERVAL 1 MONTH) AS ref)
   SELECT cur AS current, ref AS reference, cur - ref AS delta, (cur - ref) * 100.0 / abs(ref) AS delta_pct FROM x""",
                                       ["current", "reference", "delta", "delta_pct"], 4))
 def q_metric_delta_period(spark, sf):
     return fin(A.metric_delta(tbl(spark, sf, "orders"), "o_totalprice", "period", "o_orderdate", period="MONTH"), 4)
 
 
+@register("metric_delta_period_gap", rsql("""WITH o AS (SELECT * FROM orders WHERE month(o_orderdate) % 2 = 1),
+  g AS (SELECT date_trunc('month', o_orderdate) AS p, sum(o_totalprice) AS v FROM o GROUP BY 1)
+  SELECT (SELECT v FROM g ORDER BY p DESC LIMIT 1) AS current,
+    (SELECT v FROM g WHERE p = (SELECT max(p) FROM g) - INTERVAL 1 MONTH) AS reference,
+    NULL::DOUBLE AS delta, NULL::DOUBLE AS delta_pct""", ["current", "reference", "delta", "delta_pct"], 4))
+def q_metric_delta_period_gap(spark, sf):
+    """Every other month is empty: the previous calendar month has no value."""
+    o = tbl(spark, sf, "orders").where(F.month("o_orderdate") % 2 == 1)
+    return fin(A.metric_delta(o, "o_totalprice", "period", "o_orderdate", period="MONTH"), 4)
+
+
 @register("mean_by_category", rsql("""SELECT o_orderpriority, avg(o_totalprice) AS mean FROM orders GROUP BY 1
   ORDER BY mean DESC LIMIT 10""", ["mean"]))
 def q_mean_by_category(spark, sf):
@@ -114,6 +126,12 @@ def q_top_with_other(spark, sf):
     return fin(A.top_with_other(tbl(spark, sf, "part"), "p_brand", "p_retailprice", 5), 4)
 
 
+@register("top_without_other", rsql("""SELECT p_type AS category, sum(p_retailprice) AS total FROM part GROUP BY 1""", ["total"], 4))
+def q_top_without_other(spark, sf):
+    """As many categories as slices: no "Other" row."""
+    return fin(A.top_with_other(tbl(spark, sf, "part"), "p_type", "p_retailprice", 6), 4)
+
+
 @register("count_2way", """SELECT c_nationkey, c_mktsegment, count(*) AS "count" FROM customer WHERE c_nationkey IN (
   SELECT c_nationkey FROM customer GROUP BY 1 ORDER BY count(*) DESC, c_nationkey LIMIT 5) GROUP BY 1, 2""")
 def q_count_2way(spark, sf):
@@ -161,7 +179,7 @@ def q_hierarchy_totals(spark, sf):
 
 @register("flows", rsql("""WITH b AS (SELECT c_mktsegment AS s, o_orderpriority AS t, o_totalprice AS v
   FROM orders JOIN customer ON o_custkey = c_custkey),
-  ts AS (SELECT s FROM b GROUP BY 1 ORDER BY sum(v) DESC, s LIMIT 3), tt AS (SELECT t FROM b GROUP BY 1 ORDER BY sum(v) DESC, t LIMIT 3),
+  ts AS (SELECT s FROM b GROUP BY 1 ORDER BY count(*) DESC, s LIMIT 3), tt AS (SELECT t FROM b GROUP BY 1 ORDER BY count(*) DESC, t LIMIT 3),
   g AS (SELECT s AS source, t AS target, sum(v) AS value FROM b WHERE s IN (SELECT s FROM ts) AND t IN (SELECT t FROM tt) GROUP BY 1, 2),
   n AS (SELECT node, (row_number() OVER (ORDER BY node) - 1)::INTEGER AS node_id FROM (SELECT source AS node FROM g UNION SELECT target FROM g))
   SELECT source, target, value, n1.node_id AS source_id, n2.node_id AS target_id FROM g
@@ -179,9 +197,17 @@ def q_funnel(spark, sf):
     return fin(A.funnel(tbl(spark, sf, "events"), "event_type", "value"), 4)
 
 
-@register("funnel_user_order", rsql("""WITH g AS (SELECT event_type AS stage, count(*)::DOUBLE AS value FROM events
-  WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1),
-  p AS (SELECT *, (CASE stage WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END)::INTEGER AS position FROM g)
+@register("funnel_ascending", rsql("""WITH g AS (SELECT event_type AS stage, sum(value) AS value FROM events GROUP BY 1),
+  p AS (SELECT *, (row_number() OVER (ORDER BY value, stage) - 1)::INTEGER AS position FROM g)
+  SELECT stage, value, position, value * 100.0 / (SELECT value FROM p WHERE position = 0) AS pct_of_first FROM p""",
+                                   ["value", "pct_of_first"], 4))
+def q_funnel_ascending(spark, sf):
+    return fin(A.funnel(tbl(spark, sf, "events"), "event_type", "value", ascending=True), 4)
+
+
+@register("funnel_user_order", rsql("""WITH g AS (SELECT event_type AS stage, count(*)::DOUBLE AS value FROM events GROUP BY 1),
+  p AS (SELECT *, (row_number() OVER (ORDER BY CASE stage WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END,
+    stage) - 1)::INTEGER AS position FROM g)
   SELECT stage, value, position, value * 100.0 / (SELECT value FROM p WHERE position = 0) AS pct_of_first FROM p""",
                                     ["value", "pct_of_first"]))
 def q_funnel_user_order(spark, sf):
@@ -204,7 +230,7 @@ def q_surface_grid(spark, sf):
     return fin(A.surface_grid(tbl(spark, sf, "lineitem"), "l_linenumber", "l_returnflag", "l_quantity"))
 
 
-@register("waterfall", rsql("""WITH g AS (SELECT CAST(c_nationkey AS VARCHAR) AS category, sum(c_acctbal) AS value FROM customer GROUP BY 1),
+@register("waterfall", rsql("""WITH g AS (SELECT CAST(c_nationkey AS VARCHAR) AS category, c_acctbal AS value FROM customer),
   t AS (SELECT * FROM g ORDER BY value DESC, category LIMIT 6)
   SELECT category, value, sum(value) OVER (ORDER BY value DESC, category ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running,
     false AS is_total FROM t UNION ALL SELECT 'Total', sum(value), sum(value), true FROM t""", ["value", "running"], 4))

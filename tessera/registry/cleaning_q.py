@@ -182,15 +182,17 @@ def _orders_text_dates(spark, sf):
 @register("convert_type", f"""SELECT o_orderkey, try_strptime({_TEXT_DATE}, '%d/%m/%Y') AS d,
   trunc(TRY_CAST(CAST(o_totalprice AS VARCHAR) AS DOUBLE))::BIGINT AS price_int,
   TRY_CAST(CAST(o_totalprice AS VARCHAR) AS DOUBLE) AS price_float,
-  CASE WHEN lower(trim(o_orderstatus)) IN ('true','yes','1','t','y','on') THEN true
-       WHEN lower(trim(o_orderstatus)) IN ('false','no','0','f','n','off') THEN false END AS status_bool
-  FROM orders""")
+  CASE WHEN b IN ('true', 'True', 'TRUE', '1', 'yes', 'Yes', 'YES') THEN true
+       WHEN b IN ('false', 'False', 'FALSE', '0', 'no', 'No', 'NO') THEN false END AS status_bool
+  FROM (SELECT *, ['true', 'YES', 'f', 'No', 'tRUE', '0', 'on', ' yes', 'y', 'False'][(o_orderkey % 10 + 1)::INTEGER] AS b FROM orders)""")
 def q_convert_type(spark, sf):
     d = _orders_text_dates(spark, sf)
     d = C.convert_type(d, "d", "datetime", "%d/%m/%Y")
     d = C.convert_type(d, "price_text", "int", out="price_int")
     d = C.convert_type(d, "price_text", "float", out="price_float")
-    d = C.convert_type(d, "o_orderstatus", "boolean", out="status_bool")
+    texts = F.array(*[F.lit(v) for v in ("true", "YES", "f", "No", "tRUE", "0", "on", " yes", "y", "False")])
+    d = d.withColumn("b", F.get(texts, (F.col("o_orderkey") % 10).cast("int")))
+    d = C.convert_type(d, "b", "boolean", out="status_bool")
     return d.select("o_orderkey", "d", "price_int", "price_float", "status_bool")
 
 

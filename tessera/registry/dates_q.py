@@ -113,12 +113,27 @@ def q_resample_quarterly(spark, sf):
     WHEN gap BETWEEN 365 * 86400 AND 366 * 86400 THEN 'Y' END AS frequency,
     (CASE WHEN gap = 86400 THEN 365 WHEN gap = 604800 THEN 52 WHEN gap BETWEEN 28 * 86400 AND 31 * 86400 THEN 12
     WHEN gap BETWEEN 89 * 86400 AND 92 * 86400 THEN 4 WHEN gap BETWEEN 365 * 86400 AND 366 * 86400 THEN 1
-    ELSE least(12, floor((SELECT count(*) FROM d) / 2)) END)::INTEGER AS seasonal_period FROM m""")
+    WHEN (SELECT count(*) FROM d) >= 365 THEN 365 WHEN (SELECT count(*) FROM d) >= 52 THEN 52
+    WHEN (SELECT count(*) FROM d) >= 12 THEN 12 WHEN (SELECT count(*) FROM d) >= 4 THEN 4 ELSE 2 END)::INTEGER AS seasonal_period FROM m""")
 def q_infer_period(spark, sf):
     d = tbl(spark, sf, "orders").select("o_orderdate").distinct()
     return D.infer_period(d, "o_orderdate")
 
 
+@register("infer_period_irregular", """WITH d AS (SELECT ts AS t FROM events),
+  g AS (SELECT date_diff('second', lag(t) OVER (ORDER BY t), t) AS gap FROM d),
+  m AS (SELECT gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY 1 ORDER BY n DESC, gap LIMIT 1)
+  SELECT gap AS gap_seconds, CASE WHEN gap = 86400 THEN 'D' WHEN gap = 604800 THEN 'W'
+    WHEN gap BETWEEN 28 * 86400 AND 31 * 86400 THEN 'M' WHEN gap BETWEEN 89 * 86400 AND 92 * 86400 THEN 'Q'
+    WHEN gap BETWEEN 365 * 86400 AND 366 * 86400 THEN 'Y' END AS frequency,
+    (CASE WHEN gap = 86400 THEN 365 WHEN gap = 604800 THEN 52 WHEN gap BETWEEN 28 * 86400 AND 31 * 86400 THEN 12
+    WHEN gap BETWEEN 89 * 86400 AND 92 * 86400 THEN 4 WHEN gap BETWEEN 365 * 86400 AND 366 * 86400 THEN 1
+    WHEN (SELECT count(*) FROM d) >= 365 THEN 365 WHEN (SELECT count(*) FROM d) >= 52 THEN 52
+    WHEN (SELECT count(*) FROM d) >= 12 THEN 12 WHEN (SELECT count(*) FROM d) >= 4 THEN 4 ELSE 2 END)::INTEGER AS seasonal_period FROM m""")
+def q_infer_period_irregular(spark, sf):
+    return D.infer_period(tbl(spark, sf, "events").select("ts"), "ts")
+
+
 @register("detect_datetime", rsql("""WITH s AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS s FROM orders
   ORDER BY o_orderkey LIMIT 100) SELECT 'd' AS column_name, greatest(
   avg(regexp_matches(s, '^\\d{4}[-/]\\d{1,2}[-/]\\d{1,2}$')::DOUBLE), avg(regexp_matches(s, '^\\d{1,2}[-/]\\d{1,2}[-/]\\d{4}$')::DOUBLE),

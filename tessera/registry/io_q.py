@@ -67,6 +67,45 @@ def q_json_split_roundtrip(spark, sf):
                        F.col("n_regionkey").cast("int").alias("n_regionkey"))
 
 
+def _orient_roundtrip(spark, sf, orient):
+    n = tbl(spark, sf, "nation")
+    path = scratch_path(spark, f"json-{orient}")
+    W.write_json(n, path, orient=orient, lines=False)
+    back = RD.read_json(spark, path, orient=orient, lines=orient == "records")
+    return back.select(F.col("n_nationkey").cast("double").cast("int").alias("n_nationkey"), "n_name",
+                       F.col("n_regionkey").cast("double").cast("int").alias("n_regionkey"))
+
+
+@register("json_records_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def q_json_records(spark, sf):
+    return _orient_roundtrip(spark, sf, "records")
+
+
+@register("json_columns_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def q_json_columns(spark, sf):
+    return _orient_roundtrip(spark, sf, "columns")
+
+
+@register("json_index_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def q_json_index(spark, sf):
+    return _orient_roundtrip(spark, sf, "index")
+
+
+@register("json_table_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def q_json_table(spark, sf):
+    return _orient_roundtrip(spark, sf, "table")
+
+
+@register("json_split_brackets", "SELECT s_suppkey, 'a]b\"[' || s_name AS s_name, s_acctbal FROM supplier")
+def q_json_split_brackets(spark, sf):
+    """Brackets and quotes inside text, and a number column, survive the split orient."""
+    s = tbl(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit('a]b"['), "s_name").alias("s_name"), "s_acctbal")
+    path = scratch_path(spark, "json-brackets")
+    W.write_json(s, path, orient="split", lines=False)
+    back = RD.read_json(spark, path, orient="split")
+    return back.select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal"))
+
+
 @register("snapshot_roundtrip", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def q_snapshot_roundtrip(spark, sf):
     s = tbl(spark, sf, "supplier")
@@ -91,7 +130,11 @@ def q_column_kinds(spark, sf):
     return TY.column_kinds(tbl(spark, sf, "orders"))
 
 
-@register("date_candidates")
+@register("date_candidates", """WITH f AS (SELECT min(strftime(o_orderdate, '%Y-%m-%d')) AS d, min(o_orderstatus) AS st, min(o_orderpriority) AS pr FROM orders)
+  SELECT 'o_orderdate' AS column_name, 'type' AS reason UNION ALL
+  SELECT 'd_text', 'values' FROM f WHERE regexp_matches(d, '\\d{4}-\\d{2}-\\d{2}') UNION ALL
+  SELECT 'o_orderstatus', 'values' FROM f WHERE regexp_matches(st, '\\d{4}-\\d{2}-\\d{2}') UNION ALL
+  SELECT 'o_orderpriority', 'values' FROM f WHERE regexp_matches(pr, '\\d{2}/\\d{2}/\\d{4}')""")
 def q_date_candidates(spark, sf):
     o = tbl(spark, sf, "orders").withColumn("d_text", F.date_format("o_orderdate", "yyyy-MM-dd"))
     return TY.date_candidates(o)
@@ -154,9 +197,14 @@ def q_chart_line(spark, sf):
     return fin(CH.line_data(daily, "day", ["value"], "event_type"))
 
 
+@register("chart_scatter", "SELECT l_quantity, l_extendedprice, l_discount FROM lineitem")
+def q_chart_scatter(spark, sf):
+    return CH.scatter_data(tbl(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+
+
 @register("chart_scatter_capped")
 def q_chart_scatter_capped(spark, sf):
-    return CH.scatter_data(tbl(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return CH.scatter_data(tbl(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], cap=10_000)
 
 
 @register("chart_animation", rsql("""SELECT year(o_orderdate)::INTEGER AS yr, o_orderpriority, avg(o_totalprice) AS o_totalprice

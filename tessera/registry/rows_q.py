@@ -26,6 +26,14 @@ def q_filter_compare(spark, sf):
     return a.unionByName(b).unionByName(e).distinct()
 
 
+@register("filter_bigint_exact", """SELECT o_orderkey, 9007199254740992 + o_orderkey % 4 AS big FROM orders
+  WHERE 9007199254740992 + o_orderkey % 4 = 9007199254740993""")
+def q_filter_bigint_exact(spark, sf):
+    """Neighbouring whole numbers beyond 2^53 are told apart."""
+    o = tbl(spark, sf, "orders").select("o_orderkey", (F.lit(2 ** 53) + F.col("o_orderkey") % 4).alias("big"))
+    return FL.filter_rows(o, [("big", "==", 2 ** 53 + 1)])
+
+
 @register("filter_not_equal_keeps_nulls", f"SELECT * FROM {ON} WHERE o_orderpriority IS DISTINCT FROM '2-HIGH'")
 def q_filter_not_equal_keeps_nulls(spark, sf):
     return FL.filter_rows(orders_nulls(spark, sf), [("o_orderpriority", "!=", "2-HIGH")])

@@ -304,15 +304,37 @@ def q_residuals(spark, sf):
     return fin(ST.residuals(tbl(spark, sf, "orders"), "o_custkey", "o_totalprice").select("o_orderkey", "fitted", "residual"), 3)
 
 
+@register("contingency_double_keys", rsql("""WITH d AS (SELECT l_linenumber * 1e7 AS a, l_returnflag AS b FROM lineitem WHERE l_linenumber <> 3 OR l_returnflag <> 'A'),
+  r AS (SELECT a, count(*) AS rt FROM d GROUP BY 1), k AS (SELECT b, count(*) AS ct FROM d GROUP BY 1),
+  g AS (SELECT a, b, count(*) AS o FROM d GROUP BY 1, 2)
+  SELECT r.a, k.b, coalesce(g.o, 0)::BIGINT AS observed, rt * ct / (SELECT count(*) FROM d)::DOUBLE AS expected
+  FROM r JOIN k ON true LEFT JOIN g ON g.a = r.a AND g.b = k.b""", ["a", "expected"], 4))
+def q_contingency_double_keys(spark, sf):
+    """Large double categories and an empty cell."""
+    d = tbl(spark, sf, "lineitem").where("l_linenumber <> 3 or l_returnflag <> 'A'").select(
+        (F.col("l_linenumber") * F.lit(1e7)).alias("a"), F.col("l_returnflag").alias("b"))
+    return fin(ST.contingency(d, "a", "b"), 4)
+
+
 @register("trend_linear", rsql("""WITH b AS (SELECT value, (row_number() OVER (ORDER BY ts) - 1)::DOUBLE AS pos FROM events)
   SELECT regr_slope(value, pos) AS slope, regr_intercept(value, pos) AS intercept,
   CASE WHEN regr_slope(value, pos) > 0 THEN 'increasing' WHEN regr_slope(value, pos) < 0 THEN 'decreasing' ELSE 'flat' END AS direction,
-  CASE WHEN abs(regr_slope(value, pos)) / abs(avg(value)) < 0.01 THEN 'weak' WHEN abs(regr_slope(value, pos)) / abs(avg(value)) < 0.1
-  THEN 'moderate' ELSE 'strong' END AS strength FROM b""", ["slope", "intercept"], 8))
+  CASE WHEN abs(regr_slope(value, pos)) > 0.1 THEN 'strong' WHEN abs(regr_slope(value, pos)) > 0.01 THEN 'moderate' ELSE 'weak' END
+  AS strength FROM b""", ["slope", "intercept"], 8))
 def q_trend_linear(spark, sf):
     return fin(ST.trend(tbl(spark, sf, "events"), "value", "ts", "linear"), 8)
 
 
+@register("trend_linear_large_units", rsql("""WITH b AS (SELECT o_totalprice AS value,
+  (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1)::DOUBLE AS pos FROM orders)
+  SELECT regr_slope(value, pos) AS slope, regr_intercept(value, pos) AS intercept,
+  CASE WHEN regr_slope(value, pos) > 0 THEN 'increasing' WHEN regr_slope(value, pos) < 0 THEN 'decreasing' ELSE 'flat' END AS direction,
+  CASE WHEN abs(regr_slope(value, pos)) > 0.1 THEN 'strong' WHEN abs(regr_slope(value, pos)) > 0.01 THEN 'moderate' ELSE 'weak' END
+  AS strength FROM b""", ["slope", "intercept"], 6))
+def q_trend_linear_large_units(spark, sf):
+    return fin(ST.trend(tbl(spark, sf, "orders"), "o_totalprice", ["o_orderdate", "o_orderkey"], "linear"), 6)
+
+
 @register("trend_exponential", rsql("""WITH b AS (SELECT o_totalprice AS y, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1)::DOUBLE AS pos FROM orders)
   SELECT 'exponential' AS model, exp(regr_intercept(ln(y), pos)) AS a, regr_slope(ln(y), pos) AS b FROM b""", ["a", "b"], 8))
 def q_trend_exponential(spark, sf):
@@ -544,7 +566,13 @@ def _kendall_test_sql():
     return rsql(f"""WITH d AS (SELECT c_acctbal AS x, c_nationkey::DOUBLE AS y, c_custkey AS id FROM customer),
   p AS (SELECT sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM d AS a JOIN d AS b ON a.id < b.id),
   k AS (SELECT {tau} AS tau, (SELECT count(*) FROM d) AS n FROM p),
-  z AS (SELECT tau, n, 3 * tau * sqrt(n * (n - 1.0)) / sqrt(2 * (2 * n + 5.0)) AS z FROM k),
+  sm AS (SELECT count_if(sx * sy > 0) - count_if(sx * sy < 0) AS s FROM p),
+  tx AS (SELECT coalesce(sum(t * (t - 1.0) / 2), 0) AS t2, coalesce(sum(t * (t - 1.0) * (t - 2)), 0) AS t0,
+    coalesce(sum(t * (t - 1.0) * (2 * t + 5)), 0) AS t1 FROM (SELECT count(*) AS t FROM d GROUP BY x)),
+  ty AS (SELECT coalesce(sum(t * (t - 1.0) / 2), 0) AS t2, coalesce(sum(t * (t - 1.0) * (t - 2)), 0) AS t0,
+    coalesce(sum(t * (t - 1.0) * (2 * t + 5)), 0) AS t1 FROM (SELECT count(*) AS t FROM d GROUP BY y)),
+  z AS (SELECT tau, n, s / sqrt((n * (n - 1.0) * (2 * n + 5) - tx.t1 - ty.t1) / 18 + 2 * tx.t2 * ty.t2 / (n * (n - 1.0))
+    + tx.t0 * ty.t0 / (9 * n * (n - 1.0) * (n - 2))) AS z FROM k, sm, tx, ty),
   pv AS (SELECT *, {_erfc_sql('(abs(z) / sqrt(2.0))')} AS p FROM z)
   SELECT 'kendall correlation' AS test, tau AS statistic, p AS p_value, NULL::DOUBLE AS dof, n, 0.05 AS alpha,
     p < 0.05 AS reject, tau * tau AS effect,

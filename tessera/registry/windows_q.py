@@ -158,3 +158,52 @@ def q_is_monotonic(spark, sf):
     a = W.is_monotonic(e, "ts", "event_id").withColumn("col", F.lit("ts"))
     b = W.is_monotonic(e, "value", "event_id").withColumn("col", F.lit("value"))
     return a.unionByName(b)
+
+
+# ---- small blocks, null series keys, tied first order keys: the block path of every size --------------
+_NK = f"""(SELECT event_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id % 5 END AS k, event_id % 40 AS t, value FROM {EN})"""
+_BLOCK = 700
+
+
+def _null_keys(spark, sf):
+    e = events_nulls(spark, sf)
+    return e.select("event_id", F.when(F.col("user_id") % 3 != 0, F.col("user_id") % 5).alias("k"),
+                    (F.col("event_id") % 40).alias("t"), "value")
+
+
+_NW = "PARTITION BY k ORDER BY t, event_id"
+
+
+@register("blocks_running", rsql(f"""SELECT event_id, k, (row_number() OVER ({_NW}) - 1)::BIGINT AS pos,
+  CASE WHEN value IS NOT NULL THEN sum(value) OVER ({_NW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS total,
+  last_value(value IGNORE NULLS) OVER ({_NW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM {_NK}""",
+                                 ["total", "filled"], 4))
+def q_blocks_running(spark, sf):
+    from tessera.plans import ordered as O
+    d = _null_keys(spark, sf)
+    d = O.row_index(d, ["t", "event_id"], "k", "pos", _BLOCK)
+    d = O.cumulative(d, "value", "sum", ["t", "event_id"], "k", {"value": "total"}, _BLOCK)
+    d = O.fill_forward(d.withColumn("filled", F.col("value")), "filled", ["t", "event_id"], "k", _BLOCK)
+    return fin(d.select("event_id", "k", "pos", "total", "filled"), 4)
+
+
+@register("blocks_windows", rsql(f"""SELECT event_id, k,
+  CASE WHEN count(value) OVER ({_NW} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) = 7
+    THEN avg(value) OVER ({_NW} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END AS r_mean,
+  CASE WHEN count(value) OVER ({_NW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > 1
+    THEN stddev_samp(value) OVER ({_NW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS e_std,
+  max(value) OVER ({_NW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e_max FROM {_NK}""", ["r_mean", "e_std", "e_max"], 5))
+def q_blocks_windows(spark, sf):
+    d = _null_keys(spark, sf)
+    d = W.rolling(d, "value", 7, ["mean"], ["t", "event_id"], "k", {"mean": "r_mean"}, rows_per_block=_BLOCK)
+    d = W.expanding(d, "value", ["std", "max"], ["t", "event_id"], "k", {"std": "e_std", "max": "e_max"}, _BLOCK)
+    return fin(d.select("event_id", "k", "r_mean", "e_std", "e_max"), 5)
+
+
+@register("quantiles_small_brackets", rsql(f"""SELECT k, p, quantile_cont(value, p) AS q FROM {_NK},
+  (SELECT unnest([0.1, 0.5, 0.9]) AS p) GROUP BY k, p""".replace("quantile_cont(value, p)", """CASE p WHEN 0.1 THEN quantile_cont(value, 0.1)
+  WHEN 0.5 THEN quantile_cont(value, 0.5) ELSE quantile_cont(value, 0.9) END""").replace("[0.1, 0.5, 0.9]", "[0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]"),
+                                           ["q"]))
+def q_quantiles_small_brackets(spark, sf):
+    from tessera.plans.quantiles import exact_quantiles
+    return fin(exact_quantiles(_null_keys(spark, sf), "value", [0.1, 0.5, 0.9], "k", max_bracket_rows=300))

@@ -38,10 +38,13 @@ def write_json(df: DataFrame, path: str, orient: str = "records", lines: bool =
     idx = df.withColumn("__idx", F.monotonically_increasing_id())
     cols = df.columns
     if orient == "split":
-        doc = idx.agg(F.to_json(F.struct(F.array(*[F.lit(x) for x in cols]).alias("columns"),
-                                         F.collect_list(F.struct("__idx", F.array(*[F.col(f"`{x}`").cast("string") for x in cols]).alias("r")))
-                                         .alias("data"))).alias("value"))
-        doc = doc.select(F.regexp_replace("value", r'\{"__idx":\d+,"r":(\[[^\]]*\])\}', "$1").alias("value"))
+        def cell(x):  # a value as JSON: the only element of a one-element array
+            one = F.to_json(F.array(F.col(f"`{x}`")))
+            return F.substr(one, F.lit(2), F.length(one) - 2)
+        row = F.concat(F.lit("["), F.concat_ws(",", *[cell(x) for x in cols]), F.lit("]"))
+        rows = idx.agg(F.sort_array(F.collect_list(F.struct("__idx", row.alias("r")))).alias("rows"))
+        doc = rows.select(F.concat(F.lit('{"columns":'), F.to_json(F.array(*[F.lit(x) for x in cols])), F.lit(',"data":['),
+                                   F.array_join(F.transform("rows", lambda x: x["r"]), ","), F.lit("]}")).alias("value"))
     elif orient == "table":
         doc = idx.agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("__idx").alias("index"), *[F.col(f"`{x}`") for x in cols]))
                                          .alias("data"))).alias("value"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.common import c
-from tessera.operators.dates import DATE_PATTERNS
 from tessera.operators.profile import kind_of
 
 _INT_LADDER = [("tinyint", -128, 127), ("smallint", -32768, 32767), ("int", -2 ** 31, 2 ** 31 - 1),
@@ -52,24 +51,25 @@ def column_kinds(df: DataFrame) -> DataFrame:
 _DATE_NAME = re.compile(r"date|time|year|month|day", re.I)
 
 
-def date_candidates(df: DataFrame, probe: int = 100, threshold: float = 0.7) -> DataFrame:
-    """Columns that are datetime typed, have a date-like name, or whose text values match a date pattern."""
+# fixed values: date spellings looked for in the first value of a text column
+DATE_VALUE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4}|\d{4}/\d{2}/\d{2}"
+
+
+def date_candidates(df: DataFrame, order_by: str | None = None) -> DataFrame:
+    """Columns that are datetime typed, have a date-like name, or whose first non-null text value has a date in it.
+
+    The first value is the one with the smallest ``order_by`` (default: the smallest value itself, so that it is defined).
+    """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    shares = {}
-    if texts:
-        sample = df.limit(probe)
-        r = sample.agg(*[F.greatest(*[F.avg(c(x).rlike(p).cast("double")) for p in DATE_PATTERNS]).alias(x)
-                         for x in texts]).first()
-        shares = {x: r[x] or 0.0 for x in texts}
+    first = df.agg(*[F.min_by(c(x), F.when(c(x).isNotNull(), c(order_by or x))).alias(x) for x in texts]).first() if texts else {}
     rows = []
     for f in df.schema.fields:
         typed = isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
         named = bool(_DATE_NAME.search(f.name))
-        share = shares.get(f.name, 0.0)
-        if typed or named or share > threshold:
-            reason = "type" if typed else ("values" if share > threshold else "name")
-            rows.append((f.name, reason, float(share)))
-    return df.sparkSession.createDataFrame(rows, "column_name string, reason string, pattern_share double")
+        dated = f.name in texts and bool(re.search(DATE_VALUE, first[f.name] or ""))
+        if typed or named or dated:
+            rows.append((f.name, "type" if typed else ("name" if named else "values")))
+    return df.sparkSession.createDataFrame(rows, "column_name string, reason string")
 
 
 _LAT = re.compile(r"^(lat|latitude)$|lat", re.I)
