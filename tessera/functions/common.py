@@ -65,20 +65,14 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
-def scalar_row(df: DataFrame):
-    """The single row of a global aggregate (bounded by construction)."""
-    return df.first()
-
-
-def safe_div(a: Column, b: Column) -> Column:
-    """a / b with null for a zero or null divisor (ANSI-safe)."""
-    return F.try_divide(a, b)
-
-
-def round_cols(df: DataFrame, decimals: int, cols: Sequence[str] | None = None) -> DataFrame:
-    cols = cols if cols is not None else [f.name for f in df.schema.fields
-                                           if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({n: F.round(c(n), decimals) for n in cols}) if cols else df
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", broadcast: bool = False) -> DataFrame:
+    """Join on equal keys where null equals null; the keys appear once, from ``left``."""
+    tmp = {k: f"__r{i}_{k}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(tmp)
+    cond = F.lit(True)
+    for k, t in tmp.items():
+        cond = cond & c(k).eqNullSafe(c(t))
+    return left.join(F.broadcast(right) if broadcast else right, cond, how).drop(*tmp.values())
 
 
 def scalar_values(agg_row_df: DataFrame) -> dict:
