@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +54,20 @@ def nan_to_null(col: Column) -> Column:
     return F.when(F.isnan(col), F.lit(None).cast("double")).otherwise(col)
 
 
+def with_nulls(df: DataFrame) -> DataFrame:
+    """``df`` with NaN in float and double columns turned into null (pandas has one missing value)."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    return df.withColumns({x: nan_to_null(c(x)).cast(df.schema[x].dataType) for x in floats}) if floats else df
+
+
+def nan_as_null(fn):
+    """Let an operator on a frame treat NaN as missing."""
+    @wraps(fn)
+    def run(df: DataFrame, *args, **kw):
+        return fn(with_nulls(df), *args, **kw)
+    return run
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collect at most ``limit`` rows; raise if there are more.
 

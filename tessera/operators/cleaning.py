@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.common import as_list, c, is_numeric, numeric_columns
+from tessera.functions.common import as_list, c, is_numeric, nan_as_null, numeric_columns
 from tessera.plans import ordered as O
 from tessera.plans.quantiles import exact_quantiles
 
 
 # -- CLN1 ------------------------------------------------------------------------------
+@nan_as_null
 def drop_missing(df: DataFrame, cols: Sequence[str] | str | None = None) -> DataFrame:
     """Drop rows with a null in any of ``cols`` (all columns when None)."""
     cols = as_list(cols) or df.columns
@@ -30,6 +31,7 @@ def _fill(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     return df.withColumns({k: F.coalesce(c(k), v) for k, v in values.items()})
 
 
+@nan_as_null
 def fill_mean(df: DataFrame, cols: Sequence[str] | str | None = None) -> DataFrame:
     """Nulls -> column mean (numeric columns only)."""
     cols = [x for x in (as_list(cols) or numeric_columns(df)) if is_numeric(df.schema[x].dataType)]
@@ -48,6 +50,7 @@ def quantile_scalar(df: DataFrame, col: str, p: float) -> Column:
     return exact_quantiles(df, col, [p]).select("q").scalar()
 
 
+@nan_as_null
 def fill_median(df: DataFrame, cols: Sequence[str] | str | None = None) -> DataFrame:
     """Nulls -> exact median (numeric columns only)."""
     cols = [x for x in (as_list(cols) or numeric_columns(df)) if is_numeric(df.schema[x].dataType)]
@@ -65,6 +68,7 @@ def mode_scalar(df: DataFrame, col: str) -> Column:
         .select("m.v").scalar()
 
 
+@nan_as_null
 def fill_mode(df: DataFrame, cols: Sequence[str] | str | None = None) -> DataFrame:
     cols = as_list(cols) or df.columns
     return _fill(df, {x: mode_scalar(df, x) for x in cols})
@@ -79,20 +83,24 @@ def parse_constant(value, dt: T.DataType):
     return F.lit(value).cast(dt)
 
 
+@nan_as_null
 def fill_constant(df: DataFrame, cols: Sequence[str] | str, value) -> DataFrame:
     cols = as_list(cols)
     return _fill(df, {x: parse_constant(value, df.schema[x].dataType) for x in cols})
 
 
 # -- CLN6-8 (ordered; see plans.ordered) ------------------------------------------------
+@nan_as_null
 def fill_forward(df, cols, order_by, partition_by=None, **kw):
     return O.fill_forward(df, as_list(cols), order_by, partition_by, **kw)
 
 
+@nan_as_null
 def fill_backward(df, cols, order_by, partition_by=None, **kw):
     return O.fill_backward(df, as_list(cols), order_by, partition_by, **kw)
 
 
+@nan_as_null
 def fill_linear(df, cols, order_by, partition_by=None, **kw):
     return O.interpolate_linear(df, as_list(cols), order_by, partition_by, **kw)
 
@@ -124,6 +132,7 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None, keep: st
 
 
 # -- CLN11-13: outlier bounds -----------------------------------------------------------
+@nan_as_null
 def outlier_bounds(df: DataFrame, col: str, method: str = "iqr", threshold: float | None = None) -> DataFrame:
     """One-row frame (lower, upper) for the method:
 
@@ -156,6 +165,7 @@ def outlier_bounds(df: DataFrame, col: str, method: str = "iqr", threshold: floa
     raise ValueError(method)
 
 
+@nan_as_null
 def outlier_flag(df: DataFrame, col: str, method: str = "iqr", threshold: float | None = None,
                  out: str | None = None) -> DataFrame:
     """Adds a boolean outlier flag (null values are not outliers)."""
@@ -165,12 +175,14 @@ def outlier_flag(df: DataFrame, col: str, method: str = "iqr", threshold: float
     return df.withColumn(out or f"{col}_outlier", F.coalesce((x < lo) | (x > hi), F.lit(False)))
 
 
+@nan_as_null
 def outlier_rows(df: DataFrame, col: str, method: str = "iqr", threshold: float | None = None) -> DataFrame:
     """FLT16: rows flagged as outliers."""
     return outlier_flag(df, col, method, threshold, "__f").where("__f").drop("__f")
 
 
 # -- CLN14-19: outlier actions --------------------------------------------------------------
+@nan_as_null
 def handle_outliers(df: DataFrame, col: str, method: str = "iqr", threshold: float | None = None,
                     action: str = "remove", keep_nulls: bool = True, cap_to: str = "bounds") -> DataFrame:
     """Apply an action to outliers of ``col``.

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.common import as_list, c, nan_to_null, scalar_values
+from tessera.functions.common import as_list, c, nan_as_null, nan_to_null, scalar_values
 from tessera.plans import ordered as O
 from tessera.plans.quantiles import exact_quantiles, quantile_values
 
@@ -25,6 +25,7 @@ def _x(col: str) -> Column:
 
 
 # -- NUM1-3 scalers ----------------------------------------------------------------------
+@nan_as_null
 def standardize(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """(x - mean) / population std; std 0 -> 1; null -> 0 (the mean of the result)."""
     s = df.agg(F.avg(_x(col)).alias("m"), F.stddev_pop(_x(col)).alias("s"))
@@ -32,6 +33,7 @@ def standardize(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     return df.withColumn(out or col, F.coalesce((_x(col) - m) / sd, F.lit(0.0)))
 
 
+@nan_as_null
 def min_max(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """(x - min) / (max - min) in [0, 1]; constant column -> 0; null -> mean of the result."""
     v = scalar_values(df.agg(F.min(_x(col)).alias("a"), F.max(_x(col)).alias("b"), F.avg(_x(col)).alias("m")))
@@ -41,6 +43,7 @@ def min_max(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     return df.withColumn(out or col, F.coalesce((_x(col) - F.lit(a)) / F.lit(rng), F.lit((v["m"] - a) / rng)))
 
 
+@nan_as_null
 def robust_scale(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """(x - median) / IQR; IQR 0 -> 1; null -> 0 (median of the result)."""
     q = exact_quantiles(df, col, [0.25, 0.5, 0.75]).agg(
@@ -60,10 +63,12 @@ def shift_for(df: DataFrame, col: str, strict: bool) -> Column:
     return F.when(cond, F.abs(mn) + 1).otherwise(F.lit(0.0))
 
 
+@nan_as_null
 def log_transform(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     return df.withColumn(out or col, F.ln(_x(col) + shift_for(df, col, True)))
 
 
+@nan_as_null
 def sqrt_transform(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     return df.withColumn(out or col, nan_to_null(F.sqrt(_x(col) + shift_for(df, col, False))))
 
@@ -76,6 +81,7 @@ def power_transform(df: DataFrame, col: str, p: float, out: str | None = None) -
     return df.withColumn(out or col, nan_to_null(F.pow(_x(col), F.lit(float(p)))))
 
 
+@nan_as_null
 def normalize_sum(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     tot = df.agg(F.sum(_x(col))).scalar()
     return df.withColumn(out or col, F.try_divide(_x(col), tot))
@@ -124,6 +130,7 @@ def boxcox_lambda(df: DataFrame, col: str, lo: float = -5.0, hi: float = 5.0, ro
     return best
 
 
+@nan_as_null
 def box_cox(df: DataFrame, col: str, out: str | None = None, lam: float | None = None) -> DataFrame:
     lam = boxcox_lambda(df, col) if lam is None else lam
     y = _x(col) + shift_for(df, col, True)
@@ -140,6 +147,7 @@ def _bin_from_edges(x: Column, edges: list[Column]) -> Column:
     return F.when(x.isNull(), F.lit(None)).otherwise(idx).cast("int")
 
 
+@nan_as_null
 def bin_equal_width(df: DataFrame, col: str, n: int, out: str | None = None) -> DataFrame:
     """pandas ``cut(x, n)``: equal-width right-closed bins, left edge widened by 0.1% of the range.
 
@@ -162,6 +170,7 @@ def bin_equal_width(df: DataFrame, col: str, n: int, out: str | None = None) ->
                            f"{out}_upper": F.element_at(F.array(*lits[1:]), idx + 1)})
 
 
+@nan_as_null
 def bin_quantile(df: DataFrame, col: str, n: int, out: str | None = None) -> DataFrame:
     """pandas ``qcut(x, n, duplicates='drop')`` on exact quantile edges."""
     out = out or f"{col}_bin"
@@ -198,6 +207,7 @@ def bin_kmeans(df: DataFrame, col: str, k: int, out: str | None = None, seed: in
 
 
 # -- NUM13 ------------------------------------------------------------------------------
+@nan_as_null
 def cumulative(df: DataFrame, col: str, how: str, order_by, partition_by=None, out: str | None = None,
                **kw) -> DataFrame:
     return O.cumulative(df, [col], how, order_by, partition_by, {col: out or col}, **kw)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.common import as_list, c, datetime_columns, numeric_columns
+from tessera.functions.common import as_list, c, datetime_columns, nan_as_null, numeric_columns
 from tessera.plans.quantiles import quantile_long, quantile_map
 
 
@@ -38,6 +38,7 @@ def preview(df: DataFrame, mode: str = "head", n: int = 5, order_by: Sequence[st
 
 
 # -- PRF2 ---------------------------------------------------------------------------
+@nan_as_null
 def shape_summary(df: DataFrame) -> DataFrame:
     """rows, columns, numeric columns, missing cells, missing % of cells."""
     cols = df.columns
@@ -51,6 +52,7 @@ def shape_summary(df: DataFrame) -> DataFrame:
 
 
 # -- PRF3 ---------------------------------------------------------------------------
+@nan_as_null
 def column_info(df: DataFrame, approx: bool = False) -> DataFrame:
     """Per column: type, non-null, null, null %, distinct (exact or HLL)."""
     aggs = [F.count(F.lit(1)).alias("__n")]
@@ -146,6 +148,7 @@ def _moments_long(df: DataFrame, cols: list[str]) -> DataFrame:
     return out
 
 
+@nan_as_null
 def summary_statistics(df: DataFrame, cols: Sequence[str] | None = None, biased: bool = False,
                        decimals: int | None = None) -> DataFrame:
     """count, mean, std(n-1), min, 25/50/75 %, max, median, range, missing, missing %,
@@ -199,6 +202,7 @@ def kurtosis_label(k_col) -> "F.Column":
             .otherwise("mesokurtic (normal-like)"))
 
 
+@nan_as_null
 def shape_statistics(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Population skew and excess kurtosis with labels (PRF7, PRF18)."""
     cols = list(cols) if cols else numeric_columns(df)
@@ -209,6 +213,7 @@ def shape_statistics(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
                     kurtosis_label(F.col("kurt_pop")).alias("kurtosis_label"))
 
 
+@nan_as_null
 def percentiles(df: DataFrame, cols: Sequence[str] | None = None,
                 ps: Sequence[float] = (0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """Exact linear-interpolated percentiles, long: (column_name, p, value)."""
@@ -217,6 +222,7 @@ def percentiles(df: DataFrame, cols: Sequence[str] | None = None,
 
 
 # -- PRF9 / PRF10 / PRF11 -------------------------------------------------------------
+@nan_as_null
 def missing_table(df: DataFrame) -> DataFrame:
     """Missing count and % per column, sorted by count desc (then name)."""
     cols = df.columns
@@ -227,6 +233,7 @@ def missing_table(df: DataFrame) -> DataFrame:
             .orderBy(F.col("missing").desc(), "column_name"))
 
 
+@nan_as_null
 def missing_matrix(df: DataFrame, n: int = 100, order_by: Sequence[str] | str | None = None) -> DataFrame:
     """0/1 missingness indicators of the first ``n`` rows by ``order_by``."""
     keys = as_list(order_by)
@@ -234,6 +241,7 @@ def missing_matrix(df: DataFrame, n: int = 100, order_by: Sequence[str] | str |
     return out.select(*[c(x).isNull().cast("int").alias(x) for x in df.columns])
 
 
+@nan_as_null
 def missing_correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation between null indicators, every pair once (a < b)."""
     cols = list(cols) if cols else df.columns
@@ -299,6 +307,7 @@ def duplicate_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
 
 
 # -- PRF15 ----------------------------------------------------------------------------
+@nan_as_null
 def value_counts(df: DataFrame, col: str, n: int = 10) -> DataFrame:
     """Top-``n`` values with count and % of non-null rows, plus distinct and missing.
 
@@ -315,6 +324,7 @@ def value_counts(df: DataFrame, col: str, n: int = 10) -> DataFrame:
 
 
 # -- PRF16 ----------------------------------------------------------------------------
+@nan_as_null
 def outlier_summary(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5) -> DataFrame:
     """Per numeric column: Q1, Q3, IQR, bounds, outlier count and % of non-null."""
     cols = list(cols) if cols else numeric_columns(df)

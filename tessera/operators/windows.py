@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.common import as_list, c, join_null_safe
+from tessera.functions.common import as_list, c, join_null_safe, nan_as_null
 from tessera.plans import ordered as O
 
 _I = "__i"
@@ -34,6 +34,7 @@ def _rolling_expr(x: Column, stat: str, n: int, w: Window) -> Column:
     return F.when(full, agg(x).over(frame))
 
 
+@nan_as_null
 def rolling(df: DataFrame, col: str, n: int, stats: Sequence[str] = ("mean",), order_by=None, partition_by=None,
             out: dict[str, str] | None = None, **kw) -> DataFrame:
     """pandas ``rolling(n).<stat>()`` by order: null until the frame holds n non-null values
@@ -45,6 +46,7 @@ def rolling(df: DataFrame, col: str, n: int, stats: Sequence[str] = ("mean",), o
     return O.drop_halo(d)
 
 
+@nan_as_null
 def moving_averages(df: DataFrame, col: str, short: int, long: int, order_by, partition_by=None, **kw) -> DataFrame:
     """Short and long simple moving averages (sorted by ``order_by`` first)."""
     d, w = O.with_halo(df, order_by, partition_by, max(short, long), **kw)  # one halo for both
@@ -52,6 +54,7 @@ def moving_averages(df: DataFrame, col: str, short: int, long: int, order_by, pa
     return O.drop_halo(d.withColumns({f"sma_{n}": _rolling_expr(x, "mean", n, w) for n in (short, long)}))
 
 
+@nan_as_null
 def expanding(df: DataFrame, col: str, stats: Sequence[str] = ("mean",), order_by=None, partition_by=None,
               out: dict[str, str] | None = None, rows_per_block: int | None = None) -> DataFrame:
     """pandas ``expanding().<stat>()``: mean sum min max count std var (median: ``expanding_median``)."""
@@ -122,6 +125,7 @@ def expanding_median(df: DataFrame, col: str, order_by, partition_by=None, out:
     return res.drop("__series") if drop else res
 
 
+@nan_as_null
 def ema(df: DataFrame, col: str, span: float, order_by, partition_by=None, out: str | None = None,
         rows_per_block: int | None = None) -> DataFrame:
     """pandas ``ewm(span, adjust=False).mean()``: y0 = x0, y = (1-a) y + a x with a = 2 / (span + 1).

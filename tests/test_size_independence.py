@@ -111,3 +111,15 @@ def test_filters_are_pushed_down_and_exact(spark, tmp_path):
         plan = FL.filter_rows(d, [cond])._jdf.queryExecution().executedPlan().toString()
         pushed = plan.split("PushedFilters: [")[1].split("]")[0]
         assert pushed.replace("IsNotNull", "").strip("() ,a-z") != "" or "(" in pushed.replace("IsNotNull(", ""), (cond, pushed)
+
+
+def test_nan_is_missing(spark):
+    from tessera.operators import cleaning as C
+    from tessera.operators import profile as P
+    d = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, 3.0), (4, None)], "id int, x double")
+    row = P.summary_statistics(d, ["x"]).first()
+    assert (row["count"], row["mean"], row["max"], row["missing"], row["median"]) == (2, 2.0, 3.0, 2, 2.0)
+    assert {r["column_name"]: r["missing"] for r in P.missing_table(d).collect()}["x"] == 2
+    assert [r["x"] for r in C.fill_mean(d, "x").orderBy("id").collect()] == [1.0, 2.0, 3.0, 2.0]
+    assert C.drop_missing(d).count() == 2
+    assert [r["x"] for r in C.fill_forward(d, ["x"], "id").orderBy("id").collect()] == [1.0, 1.0, 3.0, 3.0]
