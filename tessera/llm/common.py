@@ -67,4 +67,17 @@ def dense_rank_within(df: DataFrame, group: str, order: list[Column], salt: Colu
     return joined.withColumn(out, (F.col(n) + F.col(base)).cast("long")).drop(b, n, base, f"{group}{b}", f"{b}c")
 
 
+def slices(batch, column: int, max_bytes: int = 8 << 20):
+    """An Arrow batch in slices of at most ``max_bytes`` of the given text column (one row at least): bounds a worker's memory."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // max_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 Query = Callable[[SparkSession, str], DataFrame]

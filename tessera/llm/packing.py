@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import dense_rank_within, keep, slots_for
+from tessera.llm.common import dense_rank_within, keep, slices, slots_for
 
 CAPACITY = 2048
 END_ID = 1
@@ -140,7 +140,7 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     def work(batches):
         enc = encoder(tokenizer)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1)):
             owner, start, length, crc, total, ids = [], [], [], [], [], []
             for i, data in enumerate(enc.encode(b.column(1))):
                 data += end

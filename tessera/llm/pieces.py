@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tessera.llm.common import keep
+from tessera.llm.common import keep, slices
 
 SPACE = "▁"
 #: Characters of a chunk; a longer text is scanned in chunks.
@@ -34,7 +33,9 @@ CHUNK = 32_768
 #: Matrices multiplied by one task of the scan.
 GROUP = 64
 #: Runs of characters whose ids a worker remembers (bounds its memory; results do not depend on it).
-MEMORY = 600_000
+MEMORY = 400_000
+#: Beginnings of runs up to this length are remembered too.
+PREFIX = 7
 #: State at a cut that no piece reaches over.
 CLEAN = ""
 #: Marks the cuts between segments while a batch is split; a text that has it is split one by one.
@@ -59,11 +60,13 @@ class PieceModel:
         if not all(sp.is_byte(i) for i in self.byte_ids):
             raise ValueError("the model has no byte pieces")
         self.bytes_of = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+        self.raw = [self.bytes_of.get(i, p.replace(SPACE, " ").encode("utf-8")) for i, p in enumerate(self.spelling)]
         self.longest = max(map(len, self.ids))
         # two characters that no piece joins: merges never cross a cut between them
         self.joined = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.by_segment = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
         self.runs: dict[str, bytes] = {}
+        self.prefixes: dict[str, str] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
 
     # ---- the lattice -----------------------------------------------------------------
@@ -96,14 +99,15 @@ class PieceModel:
             got = near[piece] = self.merge(before + piece) == ([before, piece] if before else [piece])
         return got
 
-    def paths(self, text: str, start: int, before: str, stop: int) -> dict[int, str]:
+    def paths(self, text: str, start: int, before: str, stop: int, last: dict[int, str] | None = None) -> dict[int, str]:
         """For every place up to ``stop`` that the path from ``start`` (after piece ``before``) can reach: its last piece.
 
         A place is reached by at most one piece: the last piece of a prefix's own segmentation.
+        ``last`` may hold the places up to some end already.
         """
-        last = {start: before}
+        last = last or {start: before}
         known, longest, pairs, follows = self.ids, self.longest, self.pairs, self.follows
-        for end in range(start + 1, stop + 1):
+        for end in range(max(last) + 1, stop + 1):
             for from_ in range(max(start, end - longest), end):
                 piece = text[from_:end]
                 if (piece in known or from_ == end - 1) and from_ in last:
@@ -137,8 +141,20 @@ class PieceModel:
         if got is None:
             if len(self.runs) > MEMORY:
                 self.runs.clear()
-            got = self.runs[text] = self.packed(
-                [text] if len(text) == 1 else self.trace(self.paths(text, 0, "", len(text)), 0, len(text)))
+            if len(self.prefixes) > MEMORY:
+                self.prefixes.clear()
+            last, n = {0: ""}, len(text)
+            for end in range(1, min(n, PREFIX) + 1):  # runs share beginnings
+                piece = self.prefixes.get(text[:end])
+                if piece is None:
+                    break
+                last[end] = piece
+            have = len(last)
+            last = self.paths(text, 0, "", n, last)
+            for end in range(have, min(n, PREFIX) + 1):
+                if end in last:
+                    self.prefixes[text[:end]] = last[end]
+            got = self.runs[text] = self.packed(self.trace(last, 0, n))
         return got
 
     def segment(self, text: str) -> bytes:
@@ -175,21 +191,16 @@ class PieceModel:
         at = np.frombuffer(offsets, np.int32)[:len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
         return _ids_list(at[split.offsets.to_numpy() - split.offsets[0].as_py()], data)
 
-    def decode(self, ids: Iterator[int]) -> str:
-        out, raw = [], b""
-        for i in ids:
-            b = self.bytes_of.get(i)
-            if b is not None:
-                raw += b
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = b""
-            out.append(self.spelling[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text[:1] == " " else text
+    def decode_all(self, ids: pa.ListArray) -> list[str | None]:
+        """Texts of lists of ids (null: null): pieces joined, byte pieces as UTF-8, the leading space dropped."""
+        data = pa.array(self.raw, pa.binary()).take(ids.flatten().cast(pa.int64()))
+        _, offsets, buffer = data.buffers()
+        at = np.frombuffer(offsets, np.int32)[:len(data) + 1] if len(data) else np.zeros(1, np.int32)
+        bounds = at[ids.offsets.to_numpy() - ids.offsets[0].as_py()].tolist()
+        view = memoryview(buffer) if buffer is not None else memoryview(b"")
+        texts = [bytes(view[a:b]).decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:])]
+        texts = [t[1:] if t[:1] == " " else t for t in texts]
+        return [t if ok else None for t, ok in zip(texts, ids.is_valid().to_pylist())]
 
     # ---- chunks --------------------------------------------------------------------------
     def clean(self, left: str, right: str) -> bool:
@@ -382,8 +393,9 @@ def _long_texts(src: DataFrame, path: str, chunk: int, id_type: str) -> DataFram
         F.sort_array(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids")).drop("row")
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """One row per input row: doc_id, ids (array of int).
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK,
+           decoded_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, ids (array of int), and with ``decoded_col`` the text decoded from the ids.
 
     Null and empty texts have no ids; a text gets the ids of the model's own
     encoder; null ids and repeated rows pass through; empty table: empty result.
@@ -393,15 +405,20 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def whole(batches):
         m = model(path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), m.encode_all(b.column(1))], names=["doc_id", "ids"])
+        for b in (part for batch in batches for part in slices(batch, 1)):
+            cols, names = [b.column(0), m.encode_all(b.column(1))], ["doc_id", "ids"]
+            if decoded_col:
+                cols, names = [*cols, pa.array(m.decode_all(cols[1]), pa.string())], [*names, decoded_col]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    short = src.where(F.length("text") < chunk).mapInArrow(whole, f"doc_id {id_type}, ids array<int>")
-    return short.union(_long_texts(src.where(F.length("text") >= chunk), path, chunk, id_type))
+    schema = f"doc_id {id_type}, ids array<int>" + (f", `{decoded_col}` string" if decoded_col else "")
+    short = src.where(F.length("text") < chunk).mapInArrow(whole, schema)
+    long = _long_texts(src.where(F.length("text") >= chunk), path, chunk, id_type).select("doc_id", "ids")
+    return short.union(decode(long, path, "ids", decoded_col) if decoded_col else long)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
-    """``df`` with the text of its ids (null ids: null): pieces joined, byte pieces as UTF-8, the leading space dropped."""
+    """``df`` with the text of its ids in ``out_col`` (null ids: null)."""
     names = [c for c in df.columns if c != out_col]
     at = df.columns.index(ids_col)
     kept = [k for k, c in enumerate(df.columns) if c != out_col]
@@ -410,13 +427,13 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text"
     def work(batches):
         m = model(path)
         for b in batches:
-            texts = [None if x is None else m.decode(x) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(texts, pa.string())], names=[*names, out_col])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(m.decode_all(b.column(at)), pa.string())],
+                                             names=[*names, out_col])
 
     return df.mapInArrow(work, schema)
 
 
 def encode_and_check(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """doc_id, ids, n_ids, decoded_crc32: the ids and a checksum of the text decoded from them."""
-    got = decode(encode(df, path, id_col, text_col, chunk), path, "ids", "__decoded")
-    return got.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.crc32("__decoded").cast("long").alias("decoded_crc32"))
+    got = encode(df, path, id_col, text_col, chunk, decoded_col="decoded")
+    return got.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.crc32("decoded").cast("long").alias("decoded_crc32"))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -173,7 +174,9 @@ def test_encode_equals_the_library():
     for t in hard_texts():
         ids = np.frombuffer(m.encode("▁" + t.replace(" ", "▁") if t else ""), "<u4").tolist()
         assert ids == sp.encode(t)
-        assert m.decode(ids) == t.replace("▁", " ") == sp.decode(ids)
+        assert m.decode_all(pa.array([ids], pa.list_(pa.int32()))) == [t.replace("▁", " ")] == [sp.decode(ids)]
+    texts = hard_texts()
+    assert m.encode_all(pa.array([*texts, None])).to_pylist() == [*(sp.encode(t) for t in texts), []]
 
 
 def test_scan_equals_the_library(spark):
