@@ -13,6 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass
@@ -49,6 +50,16 @@ class Pipeline:
         self.steps = self.steps[:i]
         return self
 
+    def row_counts(self) -> DataFrame:
+        """step, description and the rows of the table after it (step -1: the source)."""
+        df = self.source
+        out = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(-1).alias("step"), F.lit("source").alias("description"), "rows")
+        for i, s in enumerate(self.steps):
+            df = s.op(df, **s.params)
+            out = out.unionByName(df.agg(F.count(F.lit(1)).alias("rows")).select(
+                F.lit(i).alias("step"), F.lit(s.description).alias("description"), "rows"))
+        return out
+
     def history(self) -> DataFrame:
         rows = [(i, s.description, s.kind, s.timestamp, s.op.__name__, repr(s.params)) for i, s in enumerate(self.steps)]
         return self.source.sparkSession.createDataFrame(

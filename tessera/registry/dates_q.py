@@ -105,6 +105,11 @@ def q_resample_quarterly(spark, sf):
     return fin(D.resample(tbl(spark, sf, "lineitem"), "l_shipdate", "l_quantity", "QS", "sum"))
 
 
+@register("resample_yearly", _resample_sql("year", "1 YEAR", "o_totalprice", "orders", "o_orderdate", "sum"))
+def q_resample_yearly(spark, sf):
+    return fin(D.resample(tbl(spark, sf, "orders"), "o_orderdate", "o_totalprice", "YS", "sum"))
+
+
 @register("infer_period", """WITH d AS (SELECT DISTINCT o_orderdate AS t FROM orders),
   g AS (SELECT date_diff('second', lag(t) OVER (ORDER BY t), t) AS gap FROM d),
   m AS (SELECT gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY 1 ORDER BY n DESC, gap LIMIT 1)

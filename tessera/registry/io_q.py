@@ -155,6 +155,27 @@ def q_pipeline_replay(spark, sf):
     return fin(p.revert(2).result())
 
 
+@register("pipeline_reset", "SELECT o_orderkey, o_totalprice FROM orders")
+def q_pipeline_reset(spark, sf):
+    """Back to the source, then no step is left to replay."""
+    o = tbl(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return Pipeline(o).step(N.log_transform, col="o_totalprice").reset().result()
+
+
+@register("pipeline_row_counts", """SELECT -1 AS step, 'source' AS description, count(*) AS "rows" FROM orders UNION ALL
+  SELECT 0, 'large', count(*) FROM orders WHERE o_totalprice > 100000 UNION ALL
+  SELECT 1, 'large and urgent', count(*) FROM orders WHERE o_totalprice > 100000 AND o_orderpriority = '1-URGENT'""")
+def q_pipeline_row_counts(spark, sf):
+    p = Pipeline(tbl(spark, sf, "orders")).step(lambda d: d.where("o_totalprice > 100000"), "large")
+    return p.step(lambda d: d.where("o_orderpriority = '1-URGENT'"), "large and urgent").row_counts()
+
+
+@register("processed_roundtrip", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def q_processed_roundtrip(spark, sf):
+    path = W.save_processed(tbl(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), scratch_path(spark, "processed"))
+    return W.load_processed(spark, path)
+
+
 @register("pipeline_history")
 def q_pipeline_history(spark, sf):
     o = tbl(spark, sf, "orders")

@@ -436,6 +436,26 @@ def q_seasonality_month(spark, sf):
     return fin(TS.seasonality(tbl(spark, sf, "orders"), "o_orderdate", "o_totalprice", "month"), 4)
 
 
+@register("seasonality_quarter", rsql("""WITH u AS (SELECT unnest(generate_series(1, 4))::INTEGER AS unit),
+  g AS (SELECT quarter(o_orderdate)::INTEGER AS unit, avg(o_totalprice) AS mean, quantile_cont(o_totalprice, 0.5) AS median,
+        min(o_totalprice) AS mn, max(o_totalprice) AS mx, stddev_samp(o_totalprice) AS sd, count(o_totalprice) AS cnt FROM orders GROUP BY 1)
+  SELECT u.unit, coalesce(mean, 0.0) AS mean, coalesce(median, 0.0) AS median, coalesce(mn, 0.0) AS "min",
+    coalesce(mx, 0.0) AS "max", coalesce(sd, 0.0) AS std, coalesce(cnt, 0)::BIGINT AS "count" FROM u LEFT JOIN g USING (unit)""",
+                                    ["mean", "median", "min", "max", "std"], 4))
+def q_seasonality_quarter(spark, sf):
+    return fin(TS.seasonality(tbl(spark, sf, "orders"), "o_orderdate", "o_totalprice", "quarter"), 4)
+
+
+@register("seasonality_year", rsql("""WITH u AS (SELECT unnest(generate_series((SELECT min(year(o_orderdate)) FROM orders), (SELECT max(year(o_orderdate)) FROM orders)))::INTEGER AS unit),
+  g AS (SELECT year(o_orderdate)::INTEGER AS unit, avg(o_totalprice) AS mean, quantile_cont(o_totalprice, 0.5) AS median,
+        min(o_totalprice) AS mn, max(o_totalprice) AS mx, stddev_samp(o_totalprice) AS sd, count(o_totalprice) AS cnt FROM orders GROUP BY 1)
+  SELECT u.unit, coalesce(mean, 0.0) AS mean, coalesce(median, 0.0) AS median, coalesce(mn, 0.0) AS "min",
+    coalesce(mx, 0.0) AS "max", coalesce(sd, 0.0) AS std, coalesce(cnt, 0)::BIGINT AS "count" FROM u LEFT JOIN g USING (unit)""",
+                                    ["mean", "median", "min", "max", "std"], 4))
+def q_seasonality_year(spark, sf):
+    return fin(TS.seasonality(tbl(spark, sf, "orders"), "o_orderdate", "o_totalprice", "year"), 4)
+
+
 @register("seasonality_grid", rsql("""SELECT year(o_orderdate)::INTEGER AS "year", month(o_orderdate)::INTEGER AS "month",
   avg(o_totalprice) AS mean FROM orders GROUP BY 1, 2""", ["mean"], 4))
 def q_seasonality_grid(spark, sf):

@@ -115,6 +115,12 @@ def delete_snapshot(spark: SparkSession, root: str, name: str) -> None:
 
 
 def save_processed(df: DataFrame, path: str) -> str:
-    """SNK4: keep the working table as Parquet (restore with ``spark.read.parquet(path).limit(n)``)."""
+    """SNK4: keep the working table as Parquet."""
     df.write.mode("overwrite").parquet(path)
     return path
+
+
+def load_processed(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
+    """The kept table; with ``rows`` only that many of its rows (a load sample)."""
+    df = spark.read.parquet(path)
+    return df if rows is None else df.limit(rows)
