@@ -322,3 +322,24 @@ def discordant_pairs(x, y) -> int:
     order = np.lexsort((y, x))
     _, ry = np.unique(y[order], return_inverse=True)
     return count_inversions(ry)
+
+
+def weighted_discordant(x, y, w) -> int:
+    """Sum of w_i w_j over pairs with x_i < x_j and y_i > y_j (ties in either are not discordant).
+
+    The values are sorted by (x, y); inversions of the y ranks are counted bit
+    by bit: within equal higher bits, a 1 before a 0 is an inversion.
+    """
+    order = np.lexsort((y, x))
+    _, r = np.unique(np.asarray(y, "float64")[order], return_inverse=True)
+    w, total = np.asarray(w, "int64")[order], 0
+    for b in range(int(r.max(initial=0)).bit_length() - 1, -1, -1):
+        one = (r >> b) & 1
+        ones = np.cumsum(w * one)
+        start = np.concatenate(([0], np.flatnonzero(np.diff(r >> (b + 1))) + 1))
+        before = np.concatenate(([0], ones))[start]
+        zeros = one == 0
+        total += int((w * (ones - np.repeat(before, np.diff(np.append(start, len(r))))))[zeros].sum())
+        order = np.argsort(r >> b, kind="stable")
+        r, w = r[order], w[order]
+    return total

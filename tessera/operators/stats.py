@@ -117,6 +117,7 @@ def _spearman_pairwise(df, cols):
 def kendall_tau(df: DataFrame, a: str, b: str, blocks: int | None = None, **kw) -> DataFrame:
     """Kendall tau-b over pairwise-complete rows, exact, without enumerating pairs.
 
+    Equal pairs are counted first, so values with many copies are single rows.
     x is cut into range blocks and y into range buckets.  Discordant pairs in
     different blocks *and* different buckets come from the (small) block x
     bucket count grid; pairs sharing a block, or sharing a bucket, are counted
@@ -127,31 +128,37 @@ def kendall_tau(df: DataFrame, a: str, b: str, blocks: int | None = None, **kw)
     import pandas as pd
     x, y = c(a).cast("double"), c(b).cast("double")
     d = df.where(x.isNotNull() & y.isNotNull()).select(x.alias("__x"), y.alias("__y"))
-    n = d.count()
+    d = d.groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("__w"))  # equal pairs travel once, with their count
+    size = d.agg(F.sum("__w"), F.count(F.lit(1))).first()
+    n, distinct = int(size[0] or 0), size[1]
     if n < 2:
         return df.sparkSession.createDataFrame([(None, n, None)], "tau double, n long, s double")
-    nb = blocks or max(1, min(2048, -(-n // 1_000_000)))
-    ties = lambda keys: d.groupBy(*keys).count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
-    n1, n2, n3 = ties(["__x"]), ties(["__y"]), ties(["__x", "__y"])
+    nb = blocks or max(1, min(2048, -(-distinct // 1_000_000)))
+
+    def ties(*keys):
+        t = F.col("t")
+        return d.groupBy(*keys).agg(F.sum("__w").alias("t")).agg(F.sum(t * (t - 1) / 2)).first()[0] or 0
+    n1, n2, n3 = ties("__x"), ties("__y"), ties("__x", "__y")
 
     from pyspark.ml.feature import Bucketizer
 
-    g = d
+    g, parts = d, {}
     for col, name in (("__x", "__bx"), ("__y", "__by")):
-        edges = [] if nb <= 1 else sorted(set(
-            d.agg(F.percentile_approx(col, [i / nb for i in range(1, nb)], 10000)).first()[0]))
+        at = [] if nb <= 1 else d.agg(F.percentile_approx(col, [i / nb for i in range(1, nb)], 10000)).first()[0]
+        # a value that fills several ranges gets a range of its own
+        edges = sorted({float(e) for e in at} | {math.nextafter(float(e), math.inf) for e in at if at.count(e) > 1})
+        parts[name] = len(edges) + 1
         if not edges:
             g = g.withColumn(name, F.lit(0))
         else:  # range buckets assigned by binary search
-            g = Bucketizer(splits=[float("-inf")] + [float(e) for e in edges] + [float("inf")], inputCol=col,
+            g = Bucketizer(splits=[float("-inf")] + edges + [float("inf")], inputCol=col,
                            outputCol=name + "_d").transform(g).withColumn(name, F.col(name + "_d").cast("int")) \
                 .drop(name + "_d")
-    # cross-cell discordant pairs on the dense nb x nb grid (generated, not joined), kept in Spark:
+    # cross-cell discordant pairs on the dense grid of ranges (generated, not joined), kept in Spark:
     # D(i, j) = rows in cells (i' < i, j' > j); cross = sum cnt(i, j) * D(i, j)
-    counts = g.groupBy("__bx", "__by").agg(F.count(F.lit(1)).alias("cnt"))
-    K = nb
-    dense = df.sparkSession.range(K).select(F.col("id").cast("int").alias("__bx")) \
-        .select("__bx", F.explode(F.sequence(F.lit(0), F.lit(K - 1))).alias("__by"))
+    counts = g.groupBy("__bx", "__by").agg(F.sum("__w").alias("cnt"))
+    dense = df.sparkSession.range(parts["__bx"]).select(F.col("id").cast("int").alias("__bx")) \
+        .select("__bx", F.explode(F.sequence(F.lit(0), F.lit(parts["__by"] - 1))).alias("__by"))
     cells = dense.join(counts, ["__bx", "__by"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
     wx = Window.partitionBy("__by").orderBy("__bx").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("__c", F.coalesce(F.sum("cnt").over(wx), F.lit(0)))
@@ -161,8 +168,11 @@ def kendall_tau(df: DataFrame, a: str, b: str, blocks: int | None = None, **kw)
 
     def per_group(keys):
         def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"d": [S.discordant_pairs(pdf["__x"].to_numpy(), pdf["__y"].to_numpy())]})
-        res = g.groupBy(*keys).applyInPandas(fn, "d long")
+            return pd.DataFrame({"d": [S.weighted_discordant(pdf["__x"].to_numpy(), pdf["__y"].to_numpy(), pdf["__w"].to_numpy())]})
+        # a group with a single x or a single y has no discordant pair
+        live = g.groupBy(*keys).agg(F.min("__x").alias("x0"), F.max("__x").alias("x1"), F.min("__y").alias("y0"), F.max("__y").alias("y1"))
+        live = live.where("x0 < x1 and y0 < y1").select(*keys)
+        res = g.join(live, list(keys), "left_semi").groupBy(*keys).applyInPandas(fn, "d long")
         return res.agg(F.sum("d")).first()[0] or 0
     same_x = per_group(["__bx"])
     same_y = per_group(["__by"])

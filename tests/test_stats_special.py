@@ -241,3 +241,13 @@ def test_dbscan_matches_brute_force(spark):
     expect = [order.index(r) if r >= 0 else -1 for r in raw]
     got = {r["id"]: r["c"] for r in ML.dbscan(df, ["x", "y"], eps, ms, out="c", key="id").collect()}
     assert [got[i] for i in range(len(Z))] == expect
+
+
+@pytest.mark.parametrize("blocks", [1, 4, 9])
+def test_kendall_with_hot_values(spark, blocks):
+    rng = np.random.default_rng(4)
+    x = rng.choice([0.0, 1.0, 2.0, 3.0], 400, p=[0.7, 0.1, 0.1, 0.1])
+    y = np.round(x + rng.normal(size=400), 1)
+    s = sum(np.sign(x[i] - x[:i]) @ np.sign(y[i] - y[:i]) for i in range(len(x)))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    assert ST.kendall_tau(df, "x", "y", blocks=blocks).first()["s"] == s
