@@ -85,9 +85,15 @@ def _take(it: Iterator[int], n: int) -> Iterator[int]:
         yield x
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long); null and wordless texts have fingerprint zero."""
-    src = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
+def _sha(text_col: str):
+    """The text's SHA-256 (null for a null text)."""
+    return F.unhex(F.sha2(F.col(f"`{text_col}`").cast("string"), 256))
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sha: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long); null and wordless texts have fingerprint zero. ``sha`` adds the text's SHA-256."""
+    src = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"),
+                    *([_sha(text_col).alias("sha")] if sha else []))
     id_type = src.schema["doc_id"].dataType.simpleString()
 
     def work(batches):
@@ -98,9 +104,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 t = t.as_py()
                 if t:
                     count.add(i, shingle_hashes(t.lower().split(), shingle))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count.fingerprints())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count.fingerprints()), *b.columns[2:]],
+                                             names=["doc_id", "fp", *(["sha"] if sha else [])])
 
-    return src.mapInArrow(work, f"doc_id {id_type}, fp long")
+    return src.mapInArrow(work, f"doc_id {id_type}, fp long" + (", sha binary" if sha else ""))
 
 
 # ---- BK-trees --------------------------------------------------------------------------
@@ -198,6 +205,18 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, max_tree: int = MAX_TREE)
         rows = keep(spark, rows.join(big.select("family", "block"), ["family", "block"], "left_semi"), "simhash-rows")
 
 
+def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, max_tree: int, sha: bool = False) -> DataFrame:
+    """One row per input row: doc_id, fp, component_id; with ``sha`` also sha and best, the component's first (no id, id, sha)."""
+    spark = df.sparkSession
+    prints = keep(spark, fingerprints(df, id_col, text_col, shingle, sha), "simhash-prints")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha") if sha else None
+    classes = keep(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), *([F.min(row).alias("best")] if sha else [])), "simhash-classes")
+    roots = components(fingerprint_links(classes, radius, max_tree))
+    classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = classes.groupBy("root").agg(F.min("rep").alias("component_id"), *([F.min("best").alias("best")] if sha else []))
+    return prints.join(classes.select("fp", "root").join(lowest, "root").drop("root"), "fp")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2,
                     max_tree: int = MAX_TREE) -> DataFrame:
     """One row per input row: doc_id, fp (signed long), fingerprint (hex), component_id.
@@ -208,26 +227,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     have fingerprint zero and link like any other; repeated rows share a
     component.  Empty table: empty result.
     """
-    spark = df.sparkSession
-    prints = keep(spark, fingerprints(df, id_col, text_col, shingle), "simhash-prints")
-    classes = keep(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    roots = components(fingerprint_links(classes, radius, max_tree))
-    classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = classes.join(lowest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
+    return _grouped(df, id_col, text_col, shingle, radius, max_tree).select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2,
+                           max_tree: int = MAX_TREE) -> DataFrame:
     """``df`` with one document of each component (the one with the smallest id), all columns unchanged.
 
-    Rows without id stay where their component has no id at all; a repeated
-    row (equal id and text) stays once.
+    A row is told by its id and text: a null id ranks last, so a row without
+    id stays only where its component has no id at all; among equal ids the
+    smallest SHA-256 of the text stays (a null text first).  A repeated row
+    (equal id and text) stays once.
     """
-    near = keep(df.sparkSession, near_duplicates(df, id_col, text_col, **options).select("doc_id", "component_id"), "simhash-groups")
-    losers = near.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lost")).distinct()
-    kept = df.join(losers, F.col(f"`{id_col}`").eqNullSafe(F.col("__lost")), "left_anti")
-    if near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+    near = keep(df.sparkSession, _grouped(df, id_col, text_col, shingle, radius, max_tree, sha=True).select("doc_id", "sha", "best"), "simhash-groups")
+    wins = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("sha").eqNullSafe(F.col("best.sha"))
+    losers = near.where(~wins).select(F.col("doc_id").alias("__lost"), F.col("sha").alias("__lost_sha")).distinct()
+    kept = df.join(losers, F.col(f"`{id_col}`").eqNullSafe(F.col("__lost")) & _sha(text_col).eqNullSafe(F.col("__lost_sha")), "left_anti")
+    if near.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         return kept
     return kept.dropDuplicates([id_col, text_col])

@@ -116,6 +116,24 @@ def test_simhash_brute_force(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_one_row_of_each_component_stays_by_id_and_text(spark):
+    rng = random.Random(12)
+    text = [" ".join("k%d" % rng.randint(0, 10 ** 6) for _ in range(60)) for _ in range(12)]
+    data = [(1, text[0]), (None, text[0]), (None, ""), (2, None), (2, ""), (None, text[1]), (None, text[1]), (None, text[2]),
+            (10, text[3]), (11, text[3]), (9, text[4]), (10, text[4]), (12, text[5]), (12, text[6]), (13, text[7]), (13, text[7]),
+            *[(None, t) for t in text[8:]], *[(20 + k, t) for k, t in enumerate(text[8:10])]]
+    want = [(1, text[0]), (2, None), (None, text[1]), (None, text[2]), (10, text[3]), (9, text[4]), (12, text[5]), (12, text[6]),
+            (13, text[7]), (20, text[8]), (21, text[9]), (None, text[10]), (None, text[11])]
+    assert Counter(got(simhash.keep_one_per_component(frame(spark, data=data).repartition(3)), "doc_id", "text")) == Counter(want)
+    # rows() too, against components of brute-force fingerprints
+    data = rows()
+    label = brute_components([brute_fp(t) for _, t in data], 2)
+    def rank(r):
+        return r[0] is None, r[0] or 0, r[1] is not None, hashlib.sha256((r[1] or "").encode()).digest()
+    want = [min((r for r, x in zip(data, label) if x == c), key=rank) for c in set(label)]
+    assert Counter(got(simhash.keep_one_per_component(frame(spark, data=data)), "doc_id", "text")) == Counter(want)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2 ** 64 - 1), min_size=1, max_size=12), st.integers(0, 10 ** 6), st.integers(0, 4))
 def test_bk_tree_links_span_all_links(seeds, salt, radius):
