@@ -1,10 +1,11 @@
-"""Substring deduplication by hashing lines and the sentences inside them.
-
-A unit is a line, or a sentence of a line.  Units of at least ``min_words``
-words are normalised and hashed; digests are grouped over the whole corpus,
-the earliest ranked occurrence (smallest id, then smallest offset) stays and
-every other one is removed.  Spans are kept in the offsets of the original
-text.
+"""Substring deduplication by hashing paragraphs, lines, sentences and runs of short sentences.
+
+A unit is a line, a sentence of a line, a run of consecutive short sentences
+(across lines) that reaches ``min_words`` words, or a paragraph that has short
+lines.  Units of at least ``min_words`` words are normalised and hashed;
+digests are grouped over the whole corpus, the earliest ranked occurrence
+(smallest id, then smallest offset) stays and every other one is removed.
+Spans are kept in the offsets of the original text.
 """
 
 from __future__ import annotations
@@ -24,29 +25,88 @@ from tessera.llm.common import keep, private
 
 #: Units with fewer words are never removed: short lines repeat by chance.
 MIN_WORDS = 8
+#: A paragraph is a unit with this many times the least words.
+PARAGRAPH = 3
 
 _SENTENCE_END = re.compile(r"[.!?]+[ \t\r\x0b\f]+")
+_BLANK_LINE = re.compile(r"\n[^\S\n]*\n")
+
+
+def _short_runs(run: list[tuple[int, int, int, bool, bool]], min_words: int):
+    """(first, last) of every shortest run of consecutive short sentences that reaches ``min_words`` words, from each
+    sentence forwards and backwards: together they cover the whole run, whatever stands around it."""
+    spans, first, held = set(), 0, 0
+    for last, x in enumerate(run):
+        held += x[2]
+        while held - run[first][2] >= min_words:
+            held -= run[first][2]
+            first += 1
+        if held >= min_words:
+            spans.add((first, last))
+    last, held = -1, 0
+    for first, x in enumerate(run):
+        while held < min_words and last + 1 < len(run):
+            last += 1
+            held += run[last][2]
+        if held < min_words:
+            break
+        spans.add((first, last))
+        held -= x[2]
+    return sorted(spans)
+
+
+def _spans(text: str, min_words: int):
+    """(start, end) of every unit, in any order."""
+    run: list[tuple[int, int, int, bool, bool]] = []  # short sentences: start, end, words, first of its line, last of its line
+
+    def runs():
+        for i, j in _short_runs(run, min_words):
+            yield run[i][0], min(run[j][1] + (run[i][3] and run[j][4]), len(text))
+        run.clear()
 
-
-def unit_spans(text: str, min_words: int = MIN_WORDS):
-    """(start, end, normalised bytes) of every line and sentence with at least ``min_words`` words.
-
-    A line's span includes its line end and a sentence's the white space
-    after it; a line of one sentence is one unit.
-    """
     at = 0
     for line in text.split("\n"):
         end = at + len(line)
-        words = line.split()
-        if len(words) >= min_words:
-            yield at, min(end + 1, len(text)), " ".join(words).lower().encode("utf-8", "surrogatepass")
-            cuts = [0, *(m.end() for m in _SENTENCE_END.finditer(line)), len(line)]
-            if len(cuts) > 2:
-                for s, e in zip(cuts, cuts[1:]):
-                    words = line[s:e].split()
-                    if len(words) >= min_words:
-                        yield at + s, at + e, " ".join(words).lower().encode("utf-8", "surrogatepass")
+        cuts = [0, *(m.end() for m in _SENTENCE_END.finditer(line)), len(line)]
+        if len(line.split()) >= min_words:
+            yield at, min(end + 1, len(text))
+        for s, e in zip(cuts, cuts[1:]):
+            n = len(line[s:e].split())
+            if n >= min_words:
+                yield from runs()
+                if len(cuts) > 2:
+                    yield at + s, at + e
+            elif n:
+                run.append((at + s, at + e, n, s == 0, e == len(line)))
         at = end + 1
+    yield from runs()
+    at = 0
+    for end in [*(m.end() for m in _BLANK_LINE.finditer(text)), len(text)]:
+        sizes = [len(x.split()) for x in text[at:end].split("\n")]
+        if sum(sizes) >= PARAGRAPH * min_words and any(0 < n < min_words for n in sizes):
+            yield at, end
+        at = end
+
+
+def unit_spans(text: str, min_words: int = MIN_WORDS):
+    """(start, end, normalised bytes) of every unit, by start.
+
+    Lines and sentences need ``min_words`` words.  A line's span includes its
+    line end and a sentence's the white space after it; a line of one sentence
+    is one unit.  Sentences with fewer words are units together with those
+    beside them; such a run includes its last line end where it starts with a
+    line.  A paragraph (up to a blank line, ``PARAGRAPH`` times ``min_words``
+    words) is a unit where it has a shorter line.  A unit that overlaps the
+    text's first equal one is left out, so that one stays whole.
+    """
+    first_end: dict[bytes, int] = {}
+    for s, e in sorted(_spans(text, min_words), key=lambda x: (x[0], -x[1])):
+        key = " ".join(text[s:e].split()).lower().encode("utf-8", "surrogatepass")
+        if key not in first_end:
+            first_end[key] = e
+        elif s < first_end[key]:
+            continue
+        yield s, e, key
 
 
 def units(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:

@@ -233,3 +233,34 @@ def test_units_cover_lines_and_sentences():
     spans = [(a, b) for a, b, _ in substring.unit_spans(text)]
     assert spans == [(0, 51), (0, 41), (62, 77)]
     assert text[62:77] == "A b c d e f g h"
+
+
+def test_substring_passages_of_short_lines_and_spliced_sentences(spark):
+    rng = random.Random(21)
+    def words(n):
+        return " ".join("z%d" % rng.randint(0, 10 ** 6) for _ in range(n))
+    lines = "\n".join(words(6) for _ in range(10))  # 60 words, no line of 8
+    uneven = "\n".join(words(n) for n in (7, 1, 1, 5, 2, 7, 7, 1, 7, 6, 7, 1))
+    short = " ".join(words(5) + "." for _ in range(11))  # 55 words, no sentence of 8
+    paragraph = "\n".join(words(n) for n in (30, 3, 20))
+    data = []
+    for k in range(4):
+        own = [words(20) + "." for _ in range(8)]
+        data.append((k, f"{own[0]}\n{lines}\n{own[1]}\n{uneven}\n{own[2]} {short} {own[3]}\n\n{paragraph}\n\n{own[4]}"))
+    data += [(10, f"{words(3)}\n{lines}\n{words(2)}"), (11, f"{words(30)} {words(3)}. {short} {words(2)}."), (12, paragraph)]
+    data += [(20, "Eight words of one line and no more.  \n" + words(9)), (21, "a b c d\n" * 3)]
+    out = dict(got(substring.remove_repeats(frame(spark, data=data)), "doc_id", "text"))
+    assert out[0] == data[0][1] and out[20] == data[7][1] and out[21] == data[8][1]
+    parts = {w for p in (lines, uneven, short, paragraph) for w in p.replace(".", "").split()}
+    for i, t in data[1:7]:
+        assert [w for w in out[i].split() if w.rstrip(".") in parts] == []
+        assert out[i].split() == [w for w in t.split() if w.rstrip(".") not in parts]
+
+
+def test_every_removed_sentence_stays_somewhere(spark):
+    rng = random.Random(17)
+    sents = [" ".join("y%d_%d" % (s, k) for k in range(rng.randint(1, 10))) + "." for s in range(12)]
+    data = [(k, "".join(rng.choice(sents) + rng.choice([" ", "\n", "\n\n", "  \n"]) for _ in range(rng.randint(1, 25)))) for k in range(60)]
+    out = got(substring.remove_repeats(frame(spark, data=data)), "doc_id", "text")
+    assert {w for _, t in out for w in t.split()} == {w for _, t in data for w in t.split()}
+    assert Counter(out) == brute_substring(data)
