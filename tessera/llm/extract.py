@@ -35,6 +35,12 @@ sidebars signup social sponsor sponsored subscribe subscription tags teaser tool
 form login alert disclaimer warning""".split())
 GOOD_NAMES = frozenset("article articlebody content entry main mainbody maincontent post postbody posttext story text body".split())
 
+#: Words that may stand beside a bad one in one name ("sidebar-left", "related-posts"); beside any other word
+#: ("with-sidebar", "category-alert", "search-results") it says something else of the element.
+NEUTRAL_NAMES = frozenset("""area articles bar block blocks bottom box button buttons col column container desktop global group icons inner item
+items left link links list mobile outer page panel posts primary right row secondary section site slot stories sub title top unit wrap
+wrapper""".split())
+
 # Classifier weights: log-odds for content in thousandths (positive: content).
 WEIGHTS = {
     "bias": -300,
@@ -44,7 +50,7 @@ WEIGHTS = {
     "article": 2500,        # inside article or main
     "good_name": 1200,
     "boiler_tag": -9000,    # inside nav, aside, footer, form, dialog, menu or a page header
-    "bad_name": -7000,
+    "bad_name": -5000,      # a long paragraph of an article that is also named as content outweighs it
     "list_item": -400,
     "heading": 300,
     "paragraph": 600,
@@ -59,13 +65,15 @@ _NAME_PART = re.compile(r"[a-z]+")
 
 
 def _name_marks(attributes: str) -> tuple[bool, bool]:
+    """(named as content, named as boilerplate): names are told apart by white space, and one marks boilerplate
+    if it has such a word and otherwise only words for content or of ``NEUTRAL_NAMES``."""
     good = bad = False
     for m in _NAMES.finditer(attributes):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        parts = set(_NAME_PART.findall(value))
-        named_good = bool(parts & GOOD_NAMES)
-        bad |= bool(parts & BAD_NAMES - {"header"} if named_good else parts & BAD_NAMES)  # an article's own header is content
-        good |= named_good
+        names = [set(_NAME_PART.findall(x)) for x in (m[1] or m[2] or m[3] or "").lower().split()]
+        marks = BAD_NAMES - {"header"} if any(n & GOOD_NAMES for n in names) else BAD_NAMES  # an article's own header is content
+        marked = [bool(n & marks) and n <= BAD_NAMES | GOOD_NAMES | NEUTRAL_NAMES for n in names]
+        bad |= any(marked)
+        good |= any(n & GOOD_NAMES and not m for n, m in zip(names, marked))
     return good, bad
 
 
@@ -149,7 +157,9 @@ def blocks(html: str) -> list[tuple[str, dict]]:
         top = stack[-1]
         good, bad = _name_marks(m[4]) if m[4] and tag not in ("a", "html", "body") else (False, False)
         boiler = tag in ("nav", "aside", "footer", "form", "dialog", "menu", "fieldset") or (tag == "header" and not top[5])
-        stack.append((tag, serial, good or top[2], bad or top[3], boiler or top[4], tag in ("article", "main") or top[5]))
+        article = tag in ("article", "main")
+        # a bad name ends an outer good one; the outermost article ends a bad one around it
+        stack.append((tag, serial, good or (top[2] and not bad), bad or (top[3] and (top[5] or not article)), boiler or top[4], article or top[5]))
         in_link += tag == "a"
     close_block()
     return out

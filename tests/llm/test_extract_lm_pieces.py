@@ -42,6 +42,26 @@ def test_page_without_article_element():
     assert text.startswith("Fish & chips\nThe first paragraph") and "cookies" not in text and "liked" not in text and "shoes" not in text
 
 
+LONG = ["The %s paragraph has many words that a reader of the page would like to see in the text, and it goes on for a while so that "
+        "nobody can take it for a label, a menu or any other small thing that stands beside the story of the page." % k for k in ("first", "second", "third")]
+BODY = "".join(f"<p>{t}</p>" for t in LONG)
+
+
+@pytest.mark.parametrize("open_, close", [
+    ('<div class="container with-sidebar"><article>', "</article></div>"), ('<article class="post category-alert tag-search">', "</article>"),
+    ('<div id="search-results" class="content">', "</div>"), ('<div class="has-comments no-sidebar"><main>', "</main></div>"),
+    ('<div class="sidebar"><article>', "</article></div>"), ('<article class="search post">', "</article>"), ('<article class="comments-open">', "</article>")])
+def test_names_that_only_hold_a_bad_word_do_not_lose_the_article(open_, close):
+    assert extract.main_text(f"<body>{open_}{BODY}{close}</body>") == "\n".join(LONG)
+
+
+@pytest.mark.parametrize("name", ["ad", "sidebar-left", "related-posts", "comment-list", "article-sidebar", "cookie-notice", "post-comments", "share_buttons"])
+def test_named_boilerplate_still_goes(name):
+    extra = f'<div class="{name}"><p>{LONG[0].replace("first", "other")}</p><p>Buy the best shoes of the year now.</p></div>'
+    for page in (f"<body><article class=post>{BODY}{extra}</article></body>", f"<body>{extra}<article>{BODY}</article>{extra}</body>"):
+        assert extract.main_text(page) == "\n".join(LONG)
+
+
 @pytest.mark.parametrize("html", [None, "", " ", "<", "<p", "</p></p>", "<script>x", "<!-- x", "<p>&#0;&bogus;", "<a href='x", "<head><p>x"])
 def test_broken_markup_does_not_fail(html):
     assert isinstance(extract.main_text(html), str)
