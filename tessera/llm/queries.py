@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, extract, lm, packing, pieces, quality, sharding, simhash, substring, warc
+from tessera.llm import (collocations, exact_dedup, extract, hard_negatives, line_dedup, lm, packing, pieces, quality, sharding,
+                         simhash, substring, warc)
 from tessera.llm.common import Query, table
 from tessera.session import scratch_path
 
@@ -61,9 +62,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_and_check(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=20, min_docs=3)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), support=100, longest=5, top=2000)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_packing, op3_sharding, op4_quality_rules, op5_html_extraction, op6_substring_dedup,
-    op7_warc, op8_lm_scoring, op9_exact_dedup, op10_sentencepiece)}
+    op7_warc, op8_lm_scoring, op9_exact_dedup, op10_sentencepiece, op11_line_dedup, op12_hard_negatives, op13_collocations)}
 
 
 def _op4_sql() -> str:
@@ -114,4 +130,44 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op11_line_dedup": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS last FROM (SELECT DISTINCT doc_id, key FROM k WHERE length(key) >= 20) GROUP BY key HAVING count(*) >= 3),
+m AS (SELECT rid, doc_id, line, i, r.key IS NOT NULL AND k.doc_id IS DISTINCT FROM r.last AS gone FROM k LEFT JOIN r USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY rid""",
+    "op12_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+  list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+  FROM (SELECT * FROM e WHERE vec_id % 100 = 0) a, e b WHERE a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER w)::INTEGER AS rank, s.vec_id AS negative_id,
+  p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) QUALIFY rank <= 10""",
+    "op13_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, range(1, 6) AS s(size) WHERE len(ws) >= size),
+f AS (SELECT lang, array_to_string(ws[i:i + size - 1], ' ') AS phrase, any_value(size) AS size, count(*) AS a FROM g GROUP BY 1, 2 HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, a, size, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+cov AS (SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, max(a) AS cover FROM
+  (SELECT lang, a, ws, k, unnest(range(1, size - k + 2)) AS i FROM c, range(2, 5) AS s(k) WHERE k < size) GROUP BY 1, 2),
+o AS (SELECT c.* FROM c LEFT JOIN cov USING (lang, phrase) WHERE cover IS NULL OR 100 * cover < 100 * a),
+x AS (SELECT o.lang, o.phrase, o.a, k, l.a AS l, r.a AS r, t.n, (1000::HUGEINT * o.a * t.n) // (l.a::HUGEINT * r.a) AS score
+  FROM o JOIN range(1, 5) AS s(k) ON k < o.size JOIN t USING (lang)
+  JOIN f l ON l.lang = o.lang AND l.phrase = array_to_string(o.ws[:k], ' ')
+  JOIN f r ON r.lang = o.lang AND r.phrase = array_to_string(o.ws[k + 1:], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM b QUALIFY rank <= 2000""",
 }
