@@ -39,22 +39,23 @@ _CLEAN = bytes(10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b for
 
 
 def _tokens(batches):
-    """(lang, words and piece ends as numbers, -1 between pieces, the numbers' words, their codes) per slice of a batch and language."""
+    """(lang, words as numbers, -1 between pieces, the numbers' words as an Arrow array, their codes) per slice of a batch and language."""
     import xxhash
 
     for whole in batches:
-        for b in slices(whole, 1, 4 << 20):
+        for b in slices(whole, 1, 16 << 20):
             langs = b.column(0).dictionary_encode()
             for k, lang in enumerate(langs.dictionary.to_pylist()):
-                texts = b.column(1).filter(pc.equal(langs.indices, k)).to_pylist()
+                texts = b.column(1).filter(pc.equal(langs.indices, k)).to_numpy(zero_copy_only=False)
                 blob = b"\n".join(texts).lower().translate(_CLEAN).replace(b"\n", b" \n ")
                 coded = pc.split_pattern(pa.array([blob], pa.binary()), b" ").flatten().dictionary_encode()
-                words = coded.dictionary.to_pylist()
-                number = np.array([-2 if not w else -1 if w == b"\n" else i for i, w in enumerate(words)], np.int32)
+                words = coded.dictionary.to_numpy(zero_copy_only=False)
+                number = np.arange(len(words), dtype=np.int32)
+                number[words == b""], number[words == b"\n"] = -2, -1
                 tokens = number[coded.indices.to_numpy()]
                 seed = xxhash.xxh64_intdigest(lang.encode())
-                codes = np.array([xxhash.xxh64_intdigest(w, seed) or 1 for w in words], np.uint64)
-                yield lang, tokens[tokens != -2], words, codes
+                codes = np.fromiter((xxhash.xxh64_intdigest(w, seed) or 1 for w in words), np.uint64, len(words))
+                yield lang, tokens[tokens != -2], coded.dictionary, codes
 
 
 def _shards(batches, shard_words: int):
@@ -220,17 +221,14 @@ def _exact(support: int):
     return work
 
 
-def _phrases(support_filters, longest: int):
-    """(lang, phrase, words, count) of a slice's phrases that the filters hold."""
+def _phrases(support_filters, longest: int, power: int):
+    """Per slice, language and range: the phrases that the filters hold, their words and counts."""
     def work(batches):
         for lang, tokens, words, codes in _tokens(batches):
             one = np.where(tokens >= 0, codes[tokens], np.uint64(0))
             rows, level = [], one
             for size in range(1, longest + 1):
-                if size > 1:
-                    if len(one) < size:
-                        break
-                    level = _longer(level, one, size)
+                level = _longer(level, one, size) if size > 1 else one
                 some = np.flatnonzero(level)
                 hit = np.zeros(len(some), bool)
                 for f in support_filters:
@@ -238,13 +236,36 @@ def _phrases(support_filters, longest: int):
                 at = some[hit]
                 if not len(at):
                     break
-                level = np.where(np.isin(np.arange(len(level)), at, assume_unique=True), level, np.uint64(0))
-                _, first, n = np.unique(level[at], return_index=True, return_counts=True)
-                rows += [(b" ".join(words[t] for t in tokens[p:p + size]), size, int(c)) for p, c in zip(at[first].tolist(), n.tolist())]
-            if rows:
-                phrase, size, n = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), pa.array(phrase, pa.binary()), pa.array(size, pa.int32()),
-                                                  pa.array(n, pa.int64())], names=["lang", "phrase", "words", "count"])
+                going = np.zeros_like(level)
+                going[at] = level[at]
+                level = going
+                found, first, n = np.unique(level[at], return_index=True, return_counts=True)
+                spelled = [words.take(pa.array(tokens[at[first] + i])) for i in range(size)]
+                phrase = pc.binary_join_element_wise(*spelled, b" ") if size > 1 else spelled[0]
+                rows.append((bloom.segment_of(found, power), phrase, np.full(len(found), size, np.int32), n.astype(np.int64)))
+            if not rows:
+                continue
+            part = np.concatenate([r[0] for r in rows])
+            order = np.argsort(part, kind="stable")
+            ends = np.append(np.flatnonzero(np.diff(part[order])) + 1, len(part)).astype(np.int32)
+            offsets = pa.array(np.append(np.int32(0), ends))
+            columns = [pa.concat_arrays([r[1] for r in rows]).take(pa.array(order)), *(pa.array(np.concatenate([r[k] for r in rows])[order]) for k in (2, 3))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[order][ends - 1].astype(np.int32)), pa.array([lang] * len(ends)), *(pa.ListArray.from_arrays(offsets, c) for c in columns)],
+                names=["part", "lang", "phrase", "words", "count"])
+    return work
+
+
+def _spelled(support: int):
+    """The phrases of a range, by themselves (no longer by code), with their exact totals."""
+    def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        sizes = pc.list_value_length(table.column("phrase"))
+        lang = table.column("lang").combine_chunks().take(pa.array(np.repeat(np.arange(len(table)), sizes.to_numpy())))
+        flat = pa.table({"lang": lang, **{c: pc.list_flatten(table.column(c)) for c in ("phrase", "words", "count")}})
+        total = flat.group_by(["lang", "phrase", "words"]).aggregate([("count", "sum")])
+        total = total.filter(pc.greater_equal(total.column("count_sum"), support))
+        return pa.table({"lang": total.column("lang"), "phrase": total.column("phrase").cast(pa.string()),
+                         "words": total.column("words"), "f": total.column("count_sum")})
     return work
 
 
@@ -281,9 +302,10 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
         passed = _Filter(spark, found, found.agg(F.sum("size")).first()[0] or 0, power)
         filters.append(passed)
 
-    spelled = docs.mapInArrow(_phrases(filters, longest), "lang string, phrase binary, words int, count long")
-    spelled = spelled.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "words").agg(F.sum("count").alias("f"))
-    return keep(spark, spelled.where(F.col("f") >= support), "phrases"), totals
+    spelled = docs.mapInArrow(_phrases(filters, longest, power),
+                              "part int, lang string, phrase array<binary>, words array<int>, count array<long>")
+    spelled = spelled.groupBy("part").applyInArrow(_spelled(support), "lang string, phrase string, words int, f long")
+    return keep(spark, spelled, "phrases"), totals
 
 
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = 100, longest: int = LONGEST,
