@@ -3,9 +3,9 @@
 Rows are range-partitioned by sampled splitters over a bounded content key
 (the first characters and a 64-bit hash of the normalised text), every range
 is sorted by content with Spark's external sort, and each row is compared in
-full with its neighbour.  A content that holds more than 1/10,000 of the table
-is spread over several ranges, and the winners of those ranges are merged by
-the SHA-256 of the text: no group sits in one task.
+full with its neighbour.  A content with more rows or bytes than one sort group
+may hold is spread by row over several ranges, and the winners of those ranges
+are merged by the SHA-256 of the text: no group sits in one task.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from tessera.llm.common import keep
 
 #: Characters of the text inside the range key: bounds the size of a splitter.
 PREFIX = 64
-#: A content is hot with more than this share of all rows (so at most 10,000 contents are), and more than MIN_HOT rows.
-HOT_SHARE = 1e-4
-MIN_HOT = 64
+#: Rows and bytes of one content that are sorted as one group.  On a table of more than MOST_HOT times as much a group
+#: may hold 1 / MOST_HOT of it, so that never more than 2 * MOST_HOT contents (16 bytes each) are spread.
+GROUP_ROWS = 512
+GROUP_BYTES = 4 << 20
+MOST_HOT = 100_000
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -40,14 +42,15 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = df.select(F.col(f"`{id_col}`").alias("doc_id"), (normalise(text) if normalise else text).alias("text"))
     src = src.withColumn("hash", F.xxhash64("text"))
 
-    hot_rows = max(MIN_HOT, int(src.count() * HOT_SHARE))
-    hot = src.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot_rows)
-    # bounded: fewer than 1 / HOT_SHARE contents can each hold more than HOT_SHARE of the rows
-    src = src.join(F.broadcast(hot), "hash", "left")
-    src = src.select("doc_id", "text", "hash", F.substring("text", 1, PREFIX).alias("prefix"),
-                     F.col("rows").isNotNull().alias("hot"),
-                     F.when(F.col("rows").isNull(), F.lit(0)).otherwise(
-                         F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("rows") / hot_rows) * 4)).alias("part"))
+    sizes = src.groupBy("hash").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    sizes = keep(spark, sizes, "exact-sizes")
+    rows, size = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    parts = F.ceil(F.greatest(F.col("rows") / max(GROUP_ROWS, rows // MOST_HOT), F.col("bytes") / max(GROUP_BYTES, size // MOST_HOT)))
+    hot = sizes.select("hash", parts.alias("parts")).where("parts > 1")
+    src = src.join(F.broadcast(hot), "hash", "left")  # bounded: see MOST_HOT
+    src = src.select("doc_id", "text", "hash", F.substring("text", 1, PREFIX).alias("prefix"), F.col("parts").isNotNull().alias("hot"),
+                     F.when(F.col("parts").isNull(), F.lit(0)).otherwise(  # by row, so equal ids are spread, too
+                         F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts"))).alias("part"))
 
     ranges = src.repartitionByRange("prefix", "hash", "part")
     first_id = F.col("doc_id").desc_nulls_last() if keep_largest else F.col("doc_id").asc_nulls_last()
@@ -58,28 +61,36 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("sha", F.unhex(F.sha2("text", 256))).drop("text")
     in_run = Window.partitionBy("prefix", "hash", "part", "run")
     best = F.max("doc_id") if keep_largest else F.min("doc_id")
-    rows = rows.select("doc_id", "sha", "hot", "starts", best.over(in_run).alias("best"),
+    rows = rows.select("doc_id", "sha", "hot", "part", "starts", best.over(in_run).alias("best"),
                        F.count(F.lit(1)).over(in_run).alias("size"))
     rows = keep(spark, rows, "exact-runs")
 
+    # of the parts whose winner has the winning id, one keeps it
+    place = F.struct("best", "part") if keep_largest else F.struct(F.col("best").isNull().alias("none"), "best", "part")
     merged = (rows.where("hot and starts").groupBy("sha")
-              .agg((F.max("best") if keep_largest else F.min("best")).alias("all_best"), F.sum("size").alias("all_size")))
+              .agg((F.max if keep_largest else F.min)(place).alias("first"), F.sum("size").alias("all_size")))
+    merged = merged.select("sha", "all_size", F.col("first.best").alias("all_best"), F.col("first.part").alias("all_part"))
     rows = rows.join(F.broadcast(merged), "sha", "left")  # one row per hot content: bounded as above
     rows = rows.withColumn("win", F.when(F.col("all_size").isNull(), F.col("best")).otherwise(F.col("all_best")))
+    rows = rows.withColumn("kept", F.col("starts") & F.col("doc_id").eqNullSafe(F.col("win"))
+                           & (F.col("all_size").isNull() | (F.col("part") == F.col("all_part"))))
     return rows.select("doc_id", F.col("win").alias("keep_id"),
                        F.coalesce("all_size", "size").cast("long").alias("group_size"),
-                       (F.col("starts") & F.col("doc_id").eqNullSafe(F.col("win"))).alias("kept"),
-                       F.lower(F.hex("sha")).alias("text_sha256"))
+                       "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``df`` with one row per content, all columns unchanged (ids and ties as in ``exact_groups``)."""
+    """``df`` with one row per content, all columns unchanged (ids and ties as in ``exact_groups``).
+
+    Contents are compared as ``exact_groups`` does (null as empty, normalised):
+    of rows with the winning id and equal normalised content one stays.
+    """
     groups = exact_groups(df, id_col, text_col, **options)
     won = groups.where("kept").select(F.col("doc_id").alias("__win_id"), F.unhex("text_sha256").alias("__win_sha"))
     normalise = options.get("normalise")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    sha = F.unhex(F.sha2(normalise(text) if normalise else text, 256))
-    kept = df.join(won, F.col(f"`{id_col}`").eqNullSafe(F.col("__win_id")) & (sha == F.col("__win_sha")), "left_semi")
-    if groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col, text_col])  # a repeated row with the winning id and content stays once
+    rows = df.withColumn("__own_sha", F.unhex(F.sha2(normalise(text) if normalise else text, 256)))
+    kept = rows.join(won, F.col(f"`{id_col}`").eqNullSafe(F.col("__win_id")) & (F.col("__own_sha") == F.col("__win_sha")), "left_semi")
+    if not groups.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "__own_sha"])  # repeated rows with the winning id and content
+    return kept.drop("__own_sha")
