@@ -26,6 +26,13 @@ BLOCK_ROWS = 8192
 TILE_ANCHORS, TILE_ROWS, LEAF = 256, 2048, 16
 
 
+def _even(x: np.ndarray) -> np.ndarray:
+    """``x`` with a zero row and column where its sizes are odd."""
+    out = np.zeros((x.shape[0] + (x.shape[0] & 1), x.shape[1] + (x.shape[1] & 1)), x.dtype)
+    out[:x.shape[0], :x.shape[1]] = x
+    return out if out.shape != x.shape else x
+
+
 def strassen(a: np.ndarray, b: np.ndarray, leaf: int = LEAF) -> np.ndarray:
     """The exact product of two integer matrices (int64, or Python integers in object arrays).
 
@@ -36,8 +43,7 @@ def strassen(a: np.ndarray, b: np.ndarray, leaf: int = LEAF) -> np.ndarray:
     m, k, n = a.shape[0], a.shape[1], b.shape[1]
     if min(m, k, n) <= leaf:
         return a @ b
-    a = np.pad(a, ((0, m & 1), (0, k & 1)))
-    b = np.pad(b, ((0, k & 1), (0, n & 1)))
+    a, b = _even(a), _even(b)
     i, j, l = a.shape[0] // 2, a.shape[1] // 2, b.shape[1] // 2
     a11, a12, a21, a22 = a[:i, :j], a[:i, j:], a[i:, :j], a[i:, j:]
     b11, b12, b21, b22 = b[:j, :l], b[:j, l:], b[j:, :l], b[j:, l:]
@@ -70,7 +76,8 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Integer inner products of the rows of ``a`` with the rows of ``b``; past 64 bits exact Python integers."""
     if fits_int64(a, b):
         return strassen(a, np.ascontiguousarray(b.T))
-    return strassen(a.astype(object), b.T.astype(object))
+    a, b = (np.array(x.tolist(), object).reshape(x.shape) for x in (a, b.T))
+    return strassen(a, b)
 
 
 def _rows(table: pa.Table, width: int):
