@@ -26,7 +26,7 @@ from tessera.llm import bloom
 from tessera.llm.common import keep, slices
 
 #: Words of a shard at most (bounds a task's memory).
-SHARD_WORDS = 6_000_000
+SHARD_WORDS = 4_000_000
 #: First bits of a code that name a segment of a broadcast filter, at most: 64 segments of 512 KB.
 FILTER_POWER = 6
 #: Codes of one range of the exact counts, about.
@@ -43,7 +43,7 @@ def _tokens(batches):
     import xxhash
 
     for whole in batches:
-        for b in slices(whole, 1, 16 << 20):
+        for b in slices(whole, 1, 8 << 20):
             langs = b.column(0).dictionary_encode()
             for k, lang in enumerate(langs.dictionary.to_pylist()):
                 texts = b.column(1).filter(pc.equal(langs.indices, k)).to_numpy(zero_copy_only=False)
