@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.common import as_list, c
+from tessera.functions.common import MAX_CATEGORIES, as_list, bounded_rows, c, with_nulls
 from tessera.operators.features import standardized
+from tessera.session import written
 
 
 def _vectors(df: DataFrame, cols: Sequence[str]):
@@ -274,14 +275,65 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
     return res
 
 
+# -- FEA10 --------------------------------------------------------------------------------------
+def local_outlier_factor(df: DataFrame, cols: Sequence[str], neighbours: int = 20, out: str = "anomaly_score",
+                         scaled: bool = True, cell_points: int | None = None) -> DataFrame:
+    """Adds the local outlier factor of each row on standardised columns (missing values count as 0 beforehand).
+
+    Densities are those of the table (a row is no neighbour of itself); the
+    factor compares a row, scored like a new one, with its ``neighbours``
+    nearest rows, itself included.  Rows at equal distance rank by their
+    coordinates, so rows with equal values get equal factors whatever the
+    partitioning.  ``scaled``: min-max scaled to 0..1 (all equal: factor - 1.5).
+    A table of one row has no factor (null).
+    Neighbours come from an exact spatial join (``plans.neighbours``).
+    """
+    from tessera.plans import neighbours as N
+
+    cols = list(cols)
+    filled = with_nulls(df).withColumns({f"__f{i}": F.coalesce(c(x).cast("double"), F.lit(0.0)) for i, x in enumerate(cols)})
+    d, z = standardized(filled, [f"__f{i}" for i in range(len(cols))])
+    point = F.array(*[F.col(x) + 0.0 for x in z])
+    points = N.distinct_points(d.select(point.alias("p")), "p")
+    rows = points.agg(F.sum("m")).first()[0] or 0
+    k = max(1, min(neighbours, rows - 1))
+    near = written(N.nearest_points(points, None, k + 1, cell_points or N.CELL_POINTS), "lof")
+
+    # a point is its own first neighbour: without it the others move up by one row
+    is_self = F.col("qid") == F.col("pid")
+    others = F.greatest(F.least(F.when(is_self, F.col("m") - 1).otherwise(F.col("m")),
+                                F.when(is_self, F.lit(k)).otherwise(k + 1 - F.col("before"))), F.lit(0))
+    near = near.withColumns({"__ex": others, "__in": F.greatest(F.least(F.col("m"), k - F.col("before")), F.lit(0))})
+    reach = near.groupBy(F.col("qid").alias("pid")).agg(F.max(F.when(F.col("__ex") > 0, F.col("dist"))).alias("__kd"))
+    near = near.join(reach, "pid").withColumn("__r", F.greatest("dist", F.coalesce("__kd", F.lit(0.0))))
+
+    def density(w):
+        return F.lit(1.0) / (F.try_divide(F.sum(F.col(w) * F.col("__r")), F.sum(w)) + 1e-10)
+    own = written(near.groupBy("qid").agg(density("__ex").alias("__lrd"), density("__in").alias("__new")), "densities")
+    lrd = own.select(F.col("qid").alias("pid"), "__lrd")
+    lof = near.join(lrd, "pid").groupBy("qid").agg((F.sum(F.col("__in") * F.col("__lrd")) / F.sum("__in")).alias("__mean"))
+    lof = lof.join(own, "qid").join(points.select(F.col("pid").alias("qid"), F.col("p").alias("__p")), "qid")
+    lof = written(lof.select("__p", (F.col("__mean") / F.col("__new")).alias("__lof")), "factors")
+    value = F.col("__lof")
+    if scaled:
+        low, high = lof.agg(F.min("__lof"), F.max("__lof")).first()
+        value = (value - low) / (high - low) if low is not None and high > low else value - 1.5
+    res = d.withColumn("__q", point).join(lof, F.col("__q") == F.col("__p"), "left").withColumn(out, value)
+    return res.drop("__q", "__p", "__lof", *z, *[f"__f{i}" for i in range(len(cols))])
+
+
 # -- CLN9 ---------------------------------------------------------------------------------------
 def fill_model(df: DataFrame, target: str, predictors: Sequence[str], model: str = "linear", seed: int = 42,
                out: str | None = None) -> DataFrame:
     """Impute nulls of ``target`` with a model trained on rows where it is known.
 
-    linear | tree (depth 5) | forest (100 trees, depth 5); string predictors are
-    one-hot encoded (first level dropped), numeric predictor nulls count as 0.
+    linear | tree (depth 5) | forest (100 trees, depth 5) | neighbours (the mean
+    of the 5 nearest, ``fill_neighbours``); string predictors are one-hot
+    encoded (first level dropped), numeric predictor nulls count as 0.
     """
+    if model == "neighbours":
+        return fill_neighbours(df, target, predictors, out=out)
+    df = with_nulls(df)
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
@@ -306,3 +358,34 @@ def fill_model(df: DataFrame, target: str, predictors: Sequence[str], model: str
     res = scored.withColumn(out, F.coalesce(F.col("__y"), F.col("__pred")))
     drop = [x for x in res.columns if x.startswith("__")]
     return res.drop(*drop)
+
+
+def fill_neighbours(df: DataFrame, target: str, predictors: Sequence[str], neighbours: int = 5, out: str | None = None,
+                    cell_points: int | None = None) -> DataFrame:
+    """Impute nulls of ``target`` with the mean of the ``neighbours`` nearest rows that have it.
+
+    Distances are Euclidean over the numeric predictors (unscaled, missing: 0)
+    and the one-hot columns of the others (levels of rows that have the target,
+    the first dropped; a missing or unknown level has none).  Rows at equal
+    distance rank by their predictors; of rows with equal predictors that only
+    partly fit, each counts alike.  No row with a target: nulls stay.
+    """
+    from tessera.plans import neighbours as N
+
+    out, df = out or target, with_nulls(df)
+    num = [p for p in predictors if isinstance(df.schema[p].dataType, T.NumericType)]
+    known = df.where(c(target).isNotNull())
+    axes = [F.coalesce(c(p).cast("double"), F.lit(0.0)) + 0.0 for p in num]
+    for p in (p for p in predictors if p not in num):
+        levels = bounded_rows(known.select(c(p).cast("string").alias("v")).where("v is not null").distinct().orderBy("v"), MAX_CATEGORIES, p)
+        axes += [F.coalesce((c(p).cast("string") == r["v"]).cast("double"), F.lit(0.0)) for r in levels[1:]]
+    d = df.withColumn("__p", F.array(*axes))
+    points = N.distinct_points(d.where(c(target).isNotNull()).select("__p", c(target).cast("double").alias("__y")), "__p", y=F.avg("__y"))
+    queries = d.where(c(target).isNull()).select(F.col("__p").alias("q")).distinct().orderBy("q")
+    queries = written(queries.withColumn("qid", F.monotonically_increasing_id()).select("qid", "q"), "queries")
+    near = N.nearest_points(points, queries, neighbours, cell_points or N.CELL_POINTS)
+    w = F.least(F.col("m"), neighbours - F.col("before"))
+    mean = near.join(points.select("pid", "y"), "pid").groupBy("qid").agg((F.sum(w * F.col("y")) / F.sum(w)).alias("__fill"))
+    mean = mean.join(queries, "qid").select(F.col("q").alias("__q"), "__fill")
+    res = d.join(mean, F.col("__p") == F.col("__q"), "left")
+    return res.withColumn(out, F.coalesce(c(target).cast("double"), F.col("__fill"))).drop("__p", "__q", "__fill")

@@ -97,3 +97,51 @@ def q_isolation_forest(spark, sf):
 def q_fill_model_regression(spark, sf):
     d = ML.fill_model(orders_nulls(spark, sf), "o_totalprice", ["o_custkey", "o_orderstatus"], "linear")
     return fin(d.select("o_orderkey", "o_totalprice"))
+
+
+_LOF_SQL = """WITH r AS (SELECT coalesce(c_acctbal, 0.0) AS a, coalesce(c_nationkey, 0)::DOUBLE AS b FROM customer),
+  s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM r),
+  z AS (SELECT row_number() OVER () AS i, c_custkey, (coalesce(c_acctbal, 0.0) - ma) / sa AS x,
+    (coalesce(c_nationkey, 0)::DOUBLE - mb) / sb AS y FROM customer, s),
+  d AS (SELECT p.i, p.c_custkey, o.i AS j, sqrt(power(p.x - o.x, 2) + power(p.y - o.y, 2)) AS dist, o.x, o.y FROM z p, z o),
+  n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, x, y, i <> j) AS place FROM d QUALIFY place <= 21),
+  k AS (SELECT i, max(dist) AS kd FROM n WHERE i <> j GROUP BY i),
+  m AS (SELECT n.*, greatest(n.dist, k.kd) AS reach FROM n JOIN k ON k.i = n.j),
+  l AS (SELECT i, 1 / (avg(reach) FILTER (i <> j) + 1e-10) AS lrd, 1 / (avg(reach) FILTER (place <= 20) + 1e-10) AS new FROM m GROUP BY i),
+  f AS (SELECT m.i, any_value(m.c_custkey) AS c_custkey, avg(o.lrd) / any_value(l.new) AS lof
+    FROM m JOIN l o ON o.i = m.j JOIN l ON l.i = m.i WHERE place <= 20 GROUP BY m.i)
+  SELECT c_custkey, (lof - min(lof) OVER ()) / (max(lof) OVER () - min(lof) OVER ()) AS anomaly_score FROM f"""
+
+
+@register("local_outlier_factor", rsql(_LOF_SQL, ["anomaly_score"], 5))
+def q_local_outlier_factor(spark, sf):
+    d = ML.local_outlier_factor(tbl(spark, sf, "customer"), ["c_acctbal", "c_nationkey"])
+    return fin(d.select("c_custkey", "anomaly_score"), 5)
+
+
+@register("fill_model_neighbours", rsql(f"""WITH o AS (SELECT * FROM {ON}),
+  lv AS (SELECT list(DISTINCT o_orderstatus ORDER BY o_orderstatus)[2:] AS levels FROM o WHERE o_totalprice IS NOT NULL AND o_orderstatus IS NOT NULL),
+  h AS (SELECT o_orderkey, o_totalprice AS y, coalesce(o_custkey, 0)::DOUBLE AS x,
+    list_transform(levels, lambda v: CASE WHEN o_orderstatus = v THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS c FROM o, lv),
+  p AS (SELECT x, c, count(*) AS m, avg(y) AS y FROM h WHERE y IS NOT NULL GROUP BY x, c),
+  q AS (SELECT DISTINCT x, c FROM h WHERE y IS NULL),
+  d AS (SELECT q.x, q.c, p.m, p.y, coalesce(sum(p.m) OVER (PARTITION BY q.x, q.c ORDER BY
+    power(q.x - p.x, 2) + coalesce(list_sum(list_transform(range(1, len(p.c) + 1), lambda i: power(q.c[i] - p.c[i], 2))), 0.0), p.x, p.c
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q JOIN p ON true),
+  f AS (SELECT x, c, sum(least(m, 5 - before) * y) / sum(least(m, 5 - before)) AS fill FROM d WHERE before < 5 GROUP BY x, c)
+  SELECT o_orderkey, coalesce(h.y, f.fill) AS o_totalprice FROM h LEFT JOIN f ON h.x = f.x AND h.c = f.c""", ["o_totalprice"], 4))
+def q_fill_model_neighbours(spark, sf):
+    d = ML.fill_model(orders_nulls(spark, sf), "o_totalprice", ["o_custkey", "o_orderstatus"], "neighbours")
+    return fin(d.select("o_orderkey", "o_totalprice"), 4)
+
+
+@register("fill_model_tree")
+def q_fill_model_tree(spark, sf):
+    d = ML.fill_model(orders_nulls(spark, sf), "o_totalprice", ["o_custkey", "o_orderstatus"], "tree")
+    return fin(d.select("o_orderkey", "o_totalprice"))
+
+
+@register("fill_model_forest")
+def q_fill_model_forest(spark, sf):
+    d = ML.fill_model(orders_nulls(spark, sf), "o_totalprice", ["o_custkey", "o_orderstatus"], "forest")
+    return fin(d.select("o_orderkey", "o_totalprice"))

@@ -95,3 +95,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tessera/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df, name: str):
+    """``df`` as a Parquet table in the shared checkpoint folder: cuts the lineage at committed files."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
