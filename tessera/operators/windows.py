@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.common import as_list, c, join_null_safe, nan_as_null
+from tessera.plans import medians as M
 from tessera.plans import ordered as O
 
 _I = "__i"
@@ -25,11 +26,6 @@ def _rolling_expr(x: Column, stat: str, n: int, w: Window) -> Column:
     full = F.count(x).over(frame) == n
     if stat == "count":
         return F.when(F.col(_I) >= n - 1, F.count(x).over(frame))
-    if stat == "median":
-        arr = F.array_sort(F.collect_list(x).over(frame))
-        mid = (F.element_at(arr, n // 2 + 1) if n % 2 == 1 else
-               (F.element_at(arr, n // 2) + F.element_at(arr, n // 2 + 1)) / 2)
-        return F.when(full, mid)
     agg = {"mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp, "sum": F.sum}[stat]
     return F.when(full, agg(x).over(frame))
 
@@ -42,8 +38,10 @@ def rolling(df: DataFrame, col: str, n: int, stats: Sequence[str] = ("mean",), o
     out = out or {s: f"{col}_rolling_{s}" for s in stats}
     d, w = O.with_halo(df, order_by, partition_by, n, **kw)
     x = c(col).cast("double")
-    d = d.withColumns({out[s]: _rolling_expr(x, s, n, w) for s in stats})
-    return O.drop_halo(d)
+    d = d.withColumns({out[s]: _rolling_expr(x, s, n, w) for s in stats if s != "median"})
+    if "median" in stats:
+        d = M.rolling_median(d, col, n, as_list(partition_by), out["median"])
+    return O.drop_halo(d).select(*[c(x) for x in df.columns if x not in out.values()], *[c(out[s]) for s in stats])
 
 
 @nan_as_null
@@ -94,35 +92,15 @@ def expanding(df: DataFrame, col: str, stats: Sequence[str] = ("mean",), order_b
     return d.drop(O._BLK, *extra)
 
 
+@nan_as_null
 def expanding_median(df: DataFrame, col: str, order_by, partition_by=None, out: str | None = None,
-                     max_series_rows: int = 50_000_000) -> DataFrame:
-    """Expanding median per series with a sorted running list (``applyInPandas``, one task per series).
+                     rows_per_block: int | None = None) -> DataFrame:
+    """pandas ``expanding().median()``: the median of the series' values up to each row (null before the first).
 
-    Exact medians of every prefix need the whole prefix, so a series is one
-    task; ``max_series_rows`` guards a single enormous series (use
-    ``partition_by`` to split the work).
+    Long series are cut into blocks that need only the middle ranks of what
+    lies before them (``plans.medians``): no series has to fit into a task.
     """
-    order_by, parts = as_list(order_by), as_list(partition_by)
-    out = out or f"{col}_expanding_median"
-    if not parts:
-        df = df.withColumn("__series", F.lit(0))
-        parts = ["__series"]
-        drop = True
-    else:
-        drop = False
-    biggest = df.groupBy(*[c(p) for p in parts]).count().agg(F.max("count")).first()[0] or 0
-    if biggest > max_series_rows:
-        raise ValueError(f"a series has {biggest} rows; pass partition_by to split it")
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
-    okeys = order_by
-
-    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(okeys, kind="mergesort")
-        pdf[out] = pdf[col].astype("float64").expanding().median()
-        return pdf
-
-    res = df.groupBy(*[c(p) for p in parts]).applyInPandas(per_series, schema)
-    return res.drop("__series") if drop else res
+    return M.expanding_median(df, col, as_list(order_by), as_list(partition_by), out or f"{col}_expanding_median", rows_per_block)
 
 
 @nan_as_null

@@ -52,6 +52,8 @@ CASES = {
     "interpolate": (lambda d, s: O.interpolate_linear(d.withColumn("o", F.col("v")), "o", ["t", "u"], "k", s), lambda v: v.interpolate()),
     "rolling": (lambda d, s: W.rolling(d, "v", 3, ["sum"], ["t", "u"], "k", {"sum": "o"}, rows_per_block=s), lambda v: v.rolling(3).sum()),
     "expanding": (lambda d, s: W.expanding(d, "v", ["std"], ["t", "u"], "k", {"std": "o"}, s), lambda v: v.expanding().std()),
+    "rolling median": (lambda d, s: W.rolling(d, "v", 4, ["median"], ["t", "u"], "k", {"median": "o"}, rows_per_block=s), lambda v: v.rolling(4).median()),
+    "expanding median": (lambda d, s: W.expanding_median(d, "v", ["t", "u"], "k", "o", s), lambda v: v.expanding().median()),
     "ema": (lambda d, s: W.ema(d, "v", 4, ["t", "u"], "k", "o", s), lambda v: v.ewm(span=4, adjust=False).mean()),
 }
 
