@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.common import MAX_CATEGORIES, as_list, bounded_rows, c
+from tessera.functions.common import MAX_CATEGORIES, as_list, bounded_rows, c, nan_as_null
 from tessera.plans.quantiles import exact_quantiles
 
 _AGG = {
@@ -30,6 +30,7 @@ def _not_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
+@nan_as_null
 def grouped(df: DataFrame, keys, value: str, aggs: Sequence[str], names: dict[str, str] | None = None,
             drop_null_keys: bool = True) -> DataFrame:
     """groupBy(keys).agg(...) with exact medians; columns named by ``names`` or the agg name."""
@@ -48,6 +49,7 @@ def grouped(df: DataFrame, keys, value: str, aggs: Sequence[str], names: dict[st
 
 
 # -- AGG1 / AGG2 / AGG7 / AGG8 ------------------------------------------------------------------
+@nan_as_null
 def group_agg(df: DataFrame, keys, value: str, aggs: Sequence[str] = ("mean", "median", "sum", "count", "std", "min", "max"),
               top: int | None = None, sort_by: str | None = None) -> DataFrame:
     """Group analysis sorted by ``sort_by`` (default the first aggregate) descending; optional top-n."""
@@ -58,6 +60,7 @@ def group_agg(df: DataFrame, keys, value: str, aggs: Sequence[str] = ("mean", "m
 
 
 # -- AGG3 --------------------------------------------------------------------------------------
+@nan_as_null
 def column_stat(df: DataFrame, cols: Sequence[str], stat: str) -> DataFrame:
     """mean | median | min | max | sum | std | var over columns; std/var are population (numpy)."""
     cols = list(cols)
@@ -78,6 +81,7 @@ def format_value(x: Column, fmt: str) -> Column:
     return F.format_number(x, 2)
 
 
+@nan_as_null
 def metric(df: DataFrame, col: str, agg: str = "mean", fmt: str = "number", where: str | Column | None = None,
            order_by: str | None = None, index: int | None = None) -> DataFrame:
     """Metric card: mean | median | sum | min | max | count | first | last | at (row ``index`` by order)."""
@@ -101,6 +105,7 @@ def metric(df: DataFrame, col: str, agg: str = "mean", fmt: str = "number", wher
 
 
 # -- AGG6 ----------------------------------------------------------------------------------------
+@nan_as_null
 def metric_delta(df: DataFrame, col: str, kind: str = "previous", order_by: str | None = None,
                  reference: float | None = None, period: str | None = None, agg: str = "sum") -> DataFrame:
     """Current value vs a reference: previous row | first row | custom value | previous calendar period.
@@ -135,6 +140,7 @@ def metric_delta(df: DataFrame, col: str, kind: str = "previous", order_by: str
 
 
 # -- AGG9 ---------------------------------------------------------------------------------------
+@nan_as_null
 def top_with_other(df: DataFrame, name: str, value: str, k: int) -> DataFrame:
     """Sum by category; with more than k categories the top k-1 plus one "Other" row with the rest."""
     g = _not_null_keys(df, [name]).groupBy(c(name).alias("category")).agg(F.sum(c(value)).alias("total"))
@@ -152,6 +158,7 @@ def _top_keys(df: DataFrame, col: str, n: int) -> DataFrame:
             .orderBy(F.col("__n").desc(), "__v").limit(n).select("__v"))
 
 
+@nan_as_null
 def count_2way(df: DataFrame, a: str, b: str, n: int) -> DataFrame:
     """Counts by two categories, restricted to the top-n values of ``a``."""
     base = _not_null_keys(df, [a, b]).join(F.broadcast(_top_keys(df, a, n)), c(a) == F.col("__v"), "left_semi")
@@ -163,6 +170,7 @@ def _values(df: DataFrame, col: str, limit: int) -> list:
     return [r["v"] for r in rows]
 
 
+@nan_as_null
 def pivot_mean(df: DataFrame, row: str, col: str, value: str, top_rows: int | None = None, top_cols: int | None = None,
                fill: float | None = 0.0, max_categories: int = MAX_CATEGORIES) -> DataFrame:
     """Mean of ``value`` by row x column category; missing cells -> ``fill`` (None keeps null)."""
@@ -179,6 +187,7 @@ def pivot_mean(df: DataFrame, row: str, col: str, value: str, top_rows: int | No
     return p.na.fill(fill, subset=[str(v) for v in cols]) if fill is not None else p
 
 
+@nan_as_null
 def crosstab(df: DataFrame, a: str, b: str, normalise: str | None = None) -> DataFrame:
     """Long cross-tab (a, b, count[, share]); ``normalise='index'`` adds row proportions."""
     g = _not_null_keys(df, [a, b]).groupBy(c(a), c(b)).agg(F.count(F.lit(1)).alias("count"))
@@ -190,6 +199,7 @@ def crosstab(df: DataFrame, a: str, b: str, normalise: str | None = None) -> Dat
     return g
 
 
+@nan_as_null
 def crosstab_wide(df: DataFrame, a: str, b: str, max_categories: int = MAX_CATEGORIES) -> DataFrame:
     """Wide cross-tab of counts (missing combinations -> 0)."""
     base = _not_null_keys(df, [a, b])
@@ -198,6 +208,7 @@ def crosstab_wide(df: DataFrame, a: str, b: str, max_categories: int = MAX_CATEG
 
 
 # -- AGG14-21 --------------------------------------------------------------------------------------
+@nan_as_null
 def hierarchy_totals(df: DataFrame, path: Sequence[str], value: str) -> DataFrame:
     """Totals at every level of a category path (sunburst/treemap): rollup + level."""
     path = list(path)
@@ -206,6 +217,7 @@ def hierarchy_totals(df: DataFrame, path: Sequence[str], value: str) -> DataFram
     return base.rollup(*[c(p) for p in path]).agg(F.sum(c(value)).alias("total"), level.cast("int").alias("level"))
 
 
+@nan_as_null
 def flows(df: DataFrame, src: str, dst: str, value: str, n: int) -> DataFrame:
     """Flow totals source -> target among the n most frequent sources and targets (by rows), with node ids."""
     base = _not_null_keys(df, [src, dst])
@@ -227,6 +239,7 @@ def flows(df: DataFrame, src: str, dst: str, value: str, n: int) -> DataFrame:
             .join(F.broadcast(t), F.col("target").cast("string") == F.col("__t")).drop("__s", "__t"))
 
 
+@nan_as_null
 def funnel(df: DataFrame, stage: str, value: str, order: Sequence[str] | None = None, ascending: bool = False) -> DataFrame:
     """Sum per stage with % of the first stage, ordered by value (descending or ascending) or by a
     user order; stages the user did not list follow at the end by name."""
@@ -241,12 +254,14 @@ def funnel(df: DataFrame, stage: str, value: str, order: Sequence[str] | None =
     return g.withColumn("pct_of_first", F.col("value") * 100.0 / first)
 
 
+@nan_as_null
 def category_profile(df: DataFrame, cat: str, cols: Sequence[str], n: int) -> DataFrame:
     """Mean of several columns for the top-n categories (by count)."""
     base = _not_null_keys(df, [cat]).join(F.broadcast(_top_keys(df, cat, n)), c(cat) == F.col("__v"), "left_semi")
     return base.groupBy(c(cat)).agg(*[F.avg(c(x).cast("double")).alias(x) for x in cols])
 
 
+@nan_as_null
 def surface_grid(df: DataFrame, x: str, y: str, z: str, max_categories: int = MAX_CATEGORIES) -> DataFrame:
     """Mean z on the full (x, y) grid; absent cells -> 0.
 
@@ -260,6 +275,7 @@ def surface_grid(df: DataFrame, x: str, y: str, z: str, max_categories: int = MA
     return grid.join(means, [x, y], "left").select(c(x), c(y), F.coalesce("__z", F.lit(0.0)).alias(z))
 
 
+@nan_as_null
 def waterfall(df: DataFrame, cat: str, value: str, n: int) -> DataFrame:
     """The n rows with the largest values, running sum in that order, plus a Total row."""
     g = df.where(c(value).isNotNull()).select(c(cat).cast("string").alias("category"), c(value).alias("value"))
@@ -271,6 +287,7 @@ def waterfall(df: DataFrame, cat: str, value: str, n: int) -> DataFrame:
     return top.unionByName(tot)
 
 
+@nan_as_null
 def gauge(df: DataFrame, col: str, low: float, high: float) -> DataFrame:
     """Mean with a band label: low (< low), medium, high (>= high)."""
     m = F.avg(c(col).cast("double"))
@@ -278,6 +295,7 @@ def gauge(df: DataFrame, col: str, low: float, high: float) -> DataFrame:
         "mean", F.when(F.col("mean") < low, "low").when(F.col("mean") < high, "medium").otherwise("high").alias("band"))
 
 
+@nan_as_null
 def box_stats(df: DataFrame, value: str, by: str | None = None, top: int | None = None) -> DataFrame:
     """Q1, median, Q3, IQR, whiskers (extreme points within 1.5 IQR), outlier count, min, max, count."""
     keys = as_list(by)
@@ -302,6 +320,7 @@ def box_stats(df: DataFrame, value: str, by: str | None = None, top: int | None
 
 
 # -- FEA2 -----------------------------------------------------------------------------------------
+@nan_as_null
 def group_stats(df: DataFrame, keys, value: str, aggs: Sequence[str] = ("mean",)) -> DataFrame:
     """Group statistics joined back to every row as ``{keys}_{value}_{agg}``; null keys -> null.
 

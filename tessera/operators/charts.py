@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.common import as_list, c
+from tessera.functions.common import as_list, c, nan_as_null
 
 
 def _cap(df: DataFrame, cap: int | None, seed: int = 42) -> DataFrame:
@@ -20,6 +20,7 @@ def _cap(df: DataFrame, cap: int | None, seed: int = 42) -> DataFrame:
     return df.withColumn("__h", F.xxhash64(F.lit(seed), *[c(x) for x in df.columns])).orderBy("__h").limit(cap).drop("__h")
 
 
+@nan_as_null
 def line_data(df: DataFrame, x: str, ys: Sequence[str], group: str | None = None, cap: int | None = None) -> DataFrame:
     """Ordered (x, y..., group) points for line / area / multi-series charts."""
     cols = [c(x), *[c(y) for y in ys]] + ([c(group)] if group else [])
@@ -27,22 +28,26 @@ def line_data(df: DataFrame, x: str, ys: Sequence[str], group: str | None = None
     return out.orderBy(*([c(group)] if group else []), c(x))
 
 
+@nan_as_null
 def scatter_data(df: DataFrame, cols: Sequence[str], cap: int | None = None) -> DataFrame:
     """Projected columns without nulls (scatter, bubble, 3-D, pair plot, parallel coordinates)."""
     return _cap(df.select(*[c(x) for x in cols]).na.drop(), cap)
 
 
+@nan_as_null
 def animation_frames(df: DataFrame, frame: str, x: str, y: str, group: str | None = None) -> DataFrame:
     """Mean y per (frame, x[, group]) - one row per animated point."""
     keys = [c(frame), c(x)] + ([c(group)] if group else [])
     return df.groupBy(*keys).agg(F.avg(c(y)).alias(y))
 
 
+@nan_as_null
 def bar_with_error(df: DataFrame, cat: str, value: str) -> DataFrame:
     return df.where(c(cat).isNotNull()).groupBy(c(cat)).agg(F.avg(c(value)).alias("mean"),
                                                              F.stddev_samp(c(value)).alias("error"))
 
 
+@nan_as_null
 def candlestick(df: DataFrame, ts: str, value: str, period: str = "DAY") -> DataFrame:
     """Open / high / low / close per period (first and last by time)."""
     from tessera.operators.dates import trunc_ntz
@@ -51,6 +56,7 @@ def candlestick(df: DataFrame, ts: str, value: str, period: str = "DAY") -> Data
         F.min_by(x, c(ts)).alias("open"), F.max(x).alias("high"), F.min(x).alias("low"), F.max_by(x, c(ts)).alias("close"))
 
 
+@nan_as_null
 def timeline(df: DataFrame, start: str, group: str | None = None, label: str | None = None) -> DataFrame:
     """Event rows with end = the next start in the same group (the last event has none).
 
@@ -66,12 +72,14 @@ def timeline(df: DataFrame, start: str, group: str | None = None, label: str | N
     return res.select(*cols)
 
 
+@nan_as_null
 def map_points(df: DataFrame, lat: str, lon: str, size: str | None = None) -> DataFrame:
     """Rows with valid coordinates (|lat| <= 90, |lon| <= 180)."""
     cols = [c(lat), c(lon)] + ([c(size)] if size else [])
     return df.select(*cols).where(c(lat).between(-90, 90) & c(lon).between(-180, 180))
 
 
+@nan_as_null
 def density_grid(df: DataFrame, lat: str, lon: str, decimals: int = 1) -> DataFrame:
     """Point counts on a rounded lat/lon grid."""
     v = map_points(df, lat, lon)
@@ -79,11 +87,13 @@ def density_grid(df: DataFrame, lat: str, lon: str, decimals: int = 1) -> DataFr
         .agg(F.count(F.lit(1)).alias("count"))
 
 
+@nan_as_null
 def choropleth(df: DataFrame, region: str, value: str, agg: str = "sum") -> DataFrame:
     fn = {"sum": F.sum, "mean": F.avg, "count": F.count, "max": F.max, "min": F.min}[agg]
     return df.where(c(region).isNotNull()).groupBy(c(region)).agg(fn(c(value)).alias("value"))
 
 
+@nan_as_null
 def violin(df: DataFrame, value: str, by: str, points: int = 100) -> tuple[DataFrame, DataFrame]:
     """Box statistics and a KDE per group."""
     from tessera.operators.aggregate import box_stats
@@ -91,6 +101,7 @@ def violin(df: DataFrame, value: str, by: str, points: int = 100) -> tuple[DataF
     return box_stats(df, value, by), kde(df, value, points, by)
 
 
+@nan_as_null
 def chart_data(df: DataFrame, kind: str, **cols) -> DataFrame:
     fns = {"line": line_data, "scatter": scatter_data, "animation": animation_frames, "bar_error": bar_with_error,
            "candlestick": candlestick, "timeline": timeline, "map": map_points, "density": density_grid,

@@ -15,11 +15,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.common import c
+from tessera.functions.common import c, nan_as_null
 from tessera.plans.linalg import cross_products
 from tessera.plans.quantiles import exact_quantiles
 
 
+@nan_as_null
 def polynomial(df: DataFrame, cols: Sequence[str], degree: int = 2, mode: str = "full") -> DataFrame:
     """Degree-2..d terms (no bias, nulls -> 0), named like ``a_pow_2``, ``a_b``, ``a_pow_2_b``.
 
@@ -44,6 +45,7 @@ def polynomial(df: DataFrame, cols: Sequence[str], degree: int = 2, mode: str =
     return df.withColumns(new)
 
 
+@nan_as_null
 def standardized(df: DataFrame, cols: Sequence[str], fill: float | None = 0.0) -> tuple[DataFrame, list[str]]:
     """(x - mean) / population std per column (sklearn ``StandardScaler``); nulls -> ``fill`` afterwards."""
     from tessera.functions.common import scalar_values
@@ -61,6 +63,7 @@ def standardized(df: DataFrame, cols: Sequence[str], fill: float | None = 0.0) -
     return df.withColumns(out), names
 
 
+@nan_as_null
 def pca(df: DataFrame, cols: Sequence[str], k: int = 2, prefix: str = "PC") -> tuple[DataFrame, DataFrame]:
     """PCA on standardised columns (nulls -> 0).  Returns (rows with PC1..PCk, explained variance ratios).
 
@@ -90,6 +93,7 @@ def pca(df: DataFrame, cols: Sequence[str], k: int = 2, prefix: str = "PC") -> t
     return out, ev
 
 
+@nan_as_null
 def distance_to(df: DataFrame, cols: Sequence[str], metric: str = "euclidean", reference="mean",
                 out: str | None = None) -> DataFrame:
     """Distance of every row to a reference point (mean | median | min | max | dict of values).
@@ -130,6 +134,7 @@ _NP = {"np.where": "if", "np.log": "ln", "np.log10": "log10", "np.sqrt": "sqrt",
        "np.cos": "cos", "np.tan": "tan", "np.maximum": "greatest", "np.minimum": "least"}
 
 
+@nan_as_null
 def formula(df: DataFrame, expr: str, out: str) -> DataFrame:
     """User formula over columns as a SQL expression; ``np.*`` names map to SQL functions and
     ``mean(col)`` / ``std(col)`` / ``min|max|sum|median(col)`` become whole-column scalars."""

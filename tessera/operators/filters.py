@@ -45,16 +45,18 @@ def predicate(df: DataFrame, col: str, op: str, value=None) -> Column:
         return x == _lit_for(df, col, value)
     if op == "!=":
         return ~x.eqNullSafe(_lit_for(df, col, value))
+    floating = isinstance(df.schema[col].dataType, (T.FloatType, T.DoubleType))  # NaN is missing, though Spark ranks it above all
     if op in (">", ">=", "<", "<="):
         v = _lit_for(df, col, value)
-        return {">": x > v, ">=": x >= v, "<": x < v, "<=": x <= v}[op]
+        found = {">": x > v, ">=": x >= v, "<": x < v, "<=": x <= v}[op]
+        return found & ~F.isnan(x) if floating and op in (">", ">=") else found
     if op == "between":
         lo, hi = value
         return x.between(_lit_for(df, col, lo), _lit_for(df, col, hi))
     if op in ("is null", "is_null"):
-        return x.isNull()
+        return x.isNull() | F.isnan(x) if floating else x.isNull()
     if op in ("is not null", "not_null"):
-        return x.isNotNull()
+        return x.isNotNull() & ~F.isnan(x) if floating else x.isNotNull()
     if op == "contains":
         return x.cast("string").rlike(str(value))
     if op in ("starts with", "startswith"):
@@ -64,7 +66,8 @@ def predicate(df: DataFrame, col: str, op: str, value=None) -> Column:
     if op == "in":
         vals = [v.strip() for v in str(value).split(",")]
         if isinstance(df.schema[col].dataType, T.IntegralType):  # a whole number is matched by its plain spelling only
-            return x.isin([int(v) for v in vals if re.fullmatch(r"0|-?[1-9][0-9]{0,17}", v)])
+            whole = [int(v) for v in vals if re.fullmatch(r"0|-?[1-9][0-9]{0,18}", v)]
+            return x.isin([v for v in whole if -2 ** 63 <= v < 2 ** 63])
         return x.cast("string").isin(vals)
     raise ValueError(op)
 

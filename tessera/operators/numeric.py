@@ -91,7 +91,7 @@ def _boxcox_llf_aggs(y: Column, lams: Sequence[float]) -> list[Column]:
     aggs = [F.count(y).alias("n"), F.sum(F.ln(y)).alias("sl")]
     for i, lam in enumerate(lams):
         t = F.ln(y) if abs(lam) < 1e-12 else (F.pow(y, F.lit(lam)) - 1) / lam
-        aggs += [F.sum(t).alias(f"s{i}"), F.sum(t * t).alias(f"q{i}")]
+        aggs.append(F.var_pop(t).alias(f"v{i}"))  # merged about the mean: large values do not cancel
     return aggs
 
 
@@ -115,11 +115,8 @@ def boxcox_lambda(df: DataFrame, col: str, lo: float = -5.0, hi: float = 5.0, ro
             return float("nan")
         scores = []
         for i, lam in enumerate(lams):
-            s, q = r[f"s{i}"], r[f"q{i}"]
-            if s is None or q is None or not math.isfinite(s) or not math.isfinite(q):
-                continue
-            var = q / n - (s / n) ** 2
-            if var <= 0:
+            var = r[f"v{i}"]
+            if var is None or not math.isfinite(var) or var <= 0:
                 continue
             scores.append(((lam - 1) * sl - n / 2 * math.log(var), lam))
         if not scores:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import exprs as X
 from tessera.functions import special as S
-from tessera.functions.common import MAX_CATEGORIES, bounded_rows, c
+from tessera.functions.common import MAX_CATEGORIES, bounded_rows, c, nan_as_null
 from tessera.plans import ordered as O
 
 TEST_SCHEMA = ("test string, statistic double, p_value double, dof double, n long, alpha double, "
@@ -42,6 +42,7 @@ def _f(v):
 
 
 # -- STA1-3 / STA10: correlation --------------------------------------------------------------------
+@nan_as_null
 def average_ranks(df: DataFrame, col: str, out: str, by: Sequence[str] = (), **kw) -> DataFrame:
     """Average rank (1-based, ties share the mean rank) of non-null values, per ``by`` group.
 
@@ -63,6 +64,7 @@ def _pairs(cols):
     return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
 
 
+@nan_as_null
 def correlation(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
     """Long correlation matrix (column_a, column_b, correlation) over pairwise-complete rows."""
     cols = list(cols)
@@ -114,6 +116,7 @@ def _spearman_pairwise(df, cols):
     return out.unionByName(sym).unionByName(diag)
 
 
+@nan_as_null
 def kendall_tau(df: DataFrame, a: str, b: str, blocks: int | None = None, **kw) -> DataFrame:
     """Kendall tau-b over pairwise-complete rows, exact, without enumerating pairs.
 
@@ -190,6 +193,7 @@ def strength_label(r: Column) -> Column:
     return F.when(a >= 0.7, "strong").when(a >= 0.3, "moderate").otherwise("weak")
 
 
+@nan_as_null
 def correlation_pairs(df: DataFrame, cols: Sequence[str], method: str = "pearson", min_abs: float = 0.0) -> DataFrame:
     """Each pair once (column order), |r| >= min_abs, sorted by |r| desc, with strength and direction."""
     cols = list(cols)
@@ -201,6 +205,7 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], method: str = "pearson
             .orderBy(F.abs("correlation").desc(), "column_a", "column_b"))
 
 
+@nan_as_null
 def correlation_edges(df: DataFrame, cols: Sequence[str], threshold: float = 0.1, method: str = "pearson") -> DataFrame:
     """Correlation-network edges (src, dst, weight = |r|) with |r| > threshold."""
     p = correlation_pairs(df, cols, method)
@@ -216,6 +221,7 @@ def _tie_sums(d: DataFrame, x: Column) -> tuple[float, float, float]:
     return tuple(v or 0.0 for v in row)
 
 
+@nan_as_null
 def correlation_test(df: DataFrame, a: str, b: str, method: str = "pearson", alpha: float = 0.05) -> DataFrame:
     """r, p (t with n-2 dof), R^2, direction and strength label."""
     d = df.where(c(a).isNotNull() & c(b).isNotNull())
@@ -254,6 +260,7 @@ def correlation_test(df: DataFrame, a: str, b: str, method: str = "pearson", alp
 
 
 # -- STA4-6: t-tests ----------------------------------------------------------------------------------
+@nan_as_null
 def ttest_1samp(df: DataFrame, col: str, mu: float, alpha: float = 0.05) -> DataFrame:
     x = c(col).cast("double")
     r = df.agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s")).first()
@@ -274,6 +281,7 @@ def _group_moments(df: DataFrame, value: str, group: str, groups: Sequence | Non
     return bounded_rows(g.orderBy("g"), MAX_CATEGORIES, "groups")
 
 
+@nan_as_null
 def ttest_ind(df: DataFrame, value: str, group: str, a, b, equal_var: bool = False, alpha: float = 0.05) -> DataFrame:
     """Welch (default) or pooled two-sample t-test between groups ``a`` and ``b``."""
     rows = {r["g"]: r for r in _group_moments(df, value, group, [a, b])}
@@ -293,6 +301,7 @@ def ttest_ind(df: DataFrame, value: str, group: str, a, b, equal_var: bool = Fal
                      {"mean_a": m1, "mean_b": m2})
 
 
+@nan_as_null
 def ttest_paired(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFrame:
     d = df.where(c(a).isNotNull() & c(b).isNotNull()).select((c(a).cast("double") - c(b).cast("double")).alias("__d"))
     r = d.agg(F.count("__d").alias("n"), F.avg("__d").alias("m"), F.stddev_samp("__d").alias("s")).first()
@@ -303,6 +312,7 @@ def ttest_paired(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFram
 
 
 # -- STA7-8: ANOVA and Tukey ---------------------------------------------------------------------------
+@nan_as_null
 def anova_table(df: DataFrame, value: str, group: str, groups: Sequence | None = None) -> DataFrame:
     """Per group: count, mean, std, min, max."""
     x = c(value).cast("double")
@@ -313,6 +323,7 @@ def anova_table(df: DataFrame, value: str, group: str, groups: Sequence | None =
                                     F.min(x).alias("min"), F.max(x).alias("max"))
 
 
+@nan_as_null
 def anova_stats(df: DataFrame, value: str, group: str, groups: Sequence | None = None) -> DataFrame:
     """One-way ANOVA sums of squares and F as a one-row frame (all Spark-side)."""
     g = anova_table(df, value, group, groups)
@@ -326,6 +337,7 @@ def anova_stats(df: DataFrame, value: str, group: str, groups: Sequence | None =
                      ((F.col("ssb") / (k - 1)) / (F.col("ssw") / (N - k))).alias("f"), N.alias("n"))
 
 
+@nan_as_null
 def anova(df: DataFrame, value: str, group: str, groups: Sequence | None = None, alpha: float = 0.05) -> DataFrame:
     r = anova_stats(df, value, group, groups).first()
     p = S.f_sf(r["f"], r["df_between"], r["df_within"]) if r["f"] is not None else None
@@ -334,6 +346,7 @@ def anova(df: DataFrame, value: str, group: str, groups: Sequence | None = None,
                      {"df_within": r["df_within"]})
 
 
+@nan_as_null
 def tukey_hsd(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> DataFrame:
     """All pairs: mean difference, CI, adjusted p, reject (Tukey-Kramer)."""
     rows = _group_moments(df, value, group)
@@ -356,16 +369,21 @@ def tukey_hsd(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> Dat
 
 
 # -- STA9: chi-square -----------------------------------------------------------------------------------
-def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
+@nan_as_null
+def contingency(df: DataFrame, a: str, b: str, max_columns: int = 100_000) -> DataFrame:
     """Full grid of observed counts (zeros included) with expected counts.
 
     Built long, from grouped counts: every row total gets the list of column
-    totals (the grid is the result), and the counts are joined on.
+    totals (the grid is the result), and the counts are joined on.  More than
+    ``max_columns`` categories of ``b`` raise an error.
     """
     counts = df.where(c(a).isNotNull() & c(b).isNotNull()).groupBy(c(a).alias("__a"), c(b).alias("__b")).agg(
         F.count(F.lit(1)).alias("observed"))
     n = counts.agg(F.sum("observed")).scalar()
     rowt = counts.groupBy("__a").agg(F.sum("observed").alias("__rt"))
+    few = df.where(c(b).isNotNull()).select(c(b)).distinct().limit(max_columns + 1).count()
+    if few > max_columns:
+        raise ValueError(f"{b}: more than {max_columns} categories")
     colt = counts.groupBy("__b").agg(F.sum("observed").alias("__ct")).agg(F.collect_list(F.struct("__b", "__ct"))).scalar()
     grid = rowt.select("__a", "__rt", F.inline(colt).alias("__b", "__ct"))
     g = grid.join(counts, ["__a", "__b"], "left")
@@ -373,6 +391,7 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
                     (F.col("__rt") * F.col("__ct") / n).alias("expected"))
 
 
+@nan_as_null
 def chi2_stats(df: DataFrame, a: str, b: str) -> DataFrame:
     """chi2 (Yates-corrected for 2x2, like scipy), dof, n, cells with expected < 5, Cramer's V - one row.
 
@@ -397,6 +416,7 @@ def chi2_stats(df: DataFrame, a: str, b: str) -> DataFrame:
         "chi2 double, dof double, n long, small_expected long, cells long, cramers_v double, effect_label string")
 
 
+@nan_as_null
 def chi2_test(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFrame:
     r = chi2_stats(df, a, b).first()
     p = S.chi2_sf(r["chi2"], r["dof"]) if r["dof"] else None
@@ -405,6 +425,7 @@ def chi2_test(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFrame:
 
 
 # -- STA11-13: histogram, KDE, Q-Q --------------------------------------------------------------------
+@nan_as_null
 def histogram(df: DataFrame, col: str, bins: int = 10, by: str | None = None, norm: str = "count") -> DataFrame:
     """numpy-style histogram: ``bins`` equal bins over [min, max], last bin closed, empty bins kept.
 
@@ -446,6 +467,7 @@ def histogram(df: DataFrame, col: str, bins: int = 10, by: str | None = None, no
     return h
 
 
+@nan_as_null
 def kde(df: DataFrame, col: str, points: int = 1000, by: str | None = None, fine_bins: int = 10000) -> DataFrame:
     """Gaussian KDE (Scott bandwidth, like scipy) on ``points`` grid points between min and max, per group.
 
@@ -511,6 +533,7 @@ def _ppf(dist: str, p: Column, params: dict) -> Column:
     raise ValueError(dist)
 
 
+@nan_as_null
 def qq(df: DataFrame, col: str, dist: str = "normal", **kw) -> DataFrame:
     """Sorted sample vs theoretical quantiles at p = linspace(0.01, 0.99, n), fitted location/scale."""
     x = c(col).cast("double")
@@ -673,6 +696,7 @@ def _cdf_udf(dist: str, p: list[float]):
     return cdf_udf(dist, p)
 
 
+@nan_as_null
 def fit_distribution(df: DataFrame, col: str, dist: str = "normal", **kw) -> DataFrame:
     """One row: (distribution, params, ks, p_value, aic, bic, loglik, status)."""
     x = c(col).cast("double")
@@ -699,6 +723,7 @@ def fit_distribution(df: DataFrame, col: str, dist: str = "normal", **kw) -> Dat
                                              float(bic), float(ll), "ok")], schema)
 
 
+@nan_as_null
 def compare_fits(df: DataFrame, col: str, dists: Sequence[str] = ("normal", "lognormal", "exponential", "gamma",
                                                                   "weibull", "beta")) -> DataFrame:
     """Fits of several distributions ranked by AIC; ``best`` marks the minimum."""
@@ -710,6 +735,7 @@ def compare_fits(df: DataFrame, col: str, dists: Sequence[str] = ("normal", "log
     return out.withColumn("best", F.coalesce(F.col("aic") == best, F.lit(False)))
 
 
+@nan_as_null
 def shapiro(df: DataFrame, col: str, alpha: float = 0.05, **kw) -> DataFrame:
     """Shapiro-Wilk W and p (Royston 1992); weights are columns of the value rank."""
     x = c(col).cast("double")
@@ -735,6 +761,7 @@ def shapiro(df: DataFrame, col: str, alpha: float = 0.05, **kw) -> DataFrame:
                      None if p is None else ("normal" if p >= alpha else "not normal"))
 
 
+@nan_as_null
 def distribution_summary(df: DataFrame, col: str) -> DataFrame:
     """mean, median, std, IQR, min, max, skew, kurtosis (bias-corrected) of non-null values."""
     from tessera.operators.profile import summary_statistics
@@ -744,6 +771,7 @@ def distribution_summary(df: DataFrame, col: str) -> DataFrame:
 
 
 # -- STA17-21: regression and trends -------------------------------------------------------------------------
+@nan_as_null
 def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     """slope, intercept, r, r2, n, stderr of slope, p (t test of slope)."""
     d = df.where(c(x).isNotNull() & c(y).isNotNull())
@@ -762,6 +790,7 @@ def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
         "slope double, intercept double, r double, r2 double, n long, stderr double, p_value double")
 
 
+@nan_as_null
 def residuals(df: DataFrame, x: str, y: str) -> DataFrame:
     """Fitted values and residuals of y ~ x (slope/intercept as scalar subqueries)."""
     d = df.where(c(x).isNotNull() & c(y).isNotNull())
@@ -771,6 +800,7 @@ def residuals(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.withColumn("fitted", fitted).withColumn("residual", yy - F.col("fitted"))
 
 
+@nan_as_null
 def trend(df: DataFrame, value: str, order_by, kind: str = "linear", degree: int = 2, **kw) -> DataFrame:
     """Trend on row position: linear slope with labels, exponential (ln y; falls back to linear when y <= 0),
     or polynomial coefficients (lowest power first)."""
@@ -808,6 +838,7 @@ def trend(df: DataFrame, value: str, order_by, kind: str = "linear", degree: int
     raise ValueError(kind)
 
 
+@nan_as_null
 def lowess(df: DataFrame, x: str, y: str, frac: float = 0.1, anchors: int = 100) -> DataFrame:
     """LOWESS (tricube weights, local linear fit) at anchor points, interpolated linearly to every row.
 

@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import special as S
-from tessera.functions.common import as_list, c
+from tessera.functions.common import as_list, c, nan_as_null
 from tessera.plans import ordered as O
 
 _I = "__i"
 
 
+@nan_as_null
 def seasonal_decompose(df: DataFrame, value: str, order_by, period: int, model: str = "additive", **kw) -> DataFrame:
     """Classical decomposition (centred moving average trend, mean seasonal pattern).
 
@@ -58,6 +59,7 @@ def seasonal_decompose(df: DataFrame, value: str, order_by, period: int, model:
     return out.select("index", "observed", "trend", "seasonal", resid.alias("resid"))
 
 
+@nan_as_null
 def component_summary(dec: DataFrame) -> DataFrame:
     """mean / std / min / max of each decomposition component."""
     parts = ["observed", "trend", "seasonal", "resid"]
@@ -66,6 +68,7 @@ def component_summary(dec: DataFrame) -> DataFrame:
     return row.unpivot([], parts, "__c", "s").select("s.*")
 
 
+@nan_as_null
 def acf(df: DataFrame, value: str, order_by, lags: int = 50, **kw) -> DataFrame:
     """Autocorrelation for lags 0..L (statsmodels ``acf``, not adjusted) with the +/-1.96/sqrt(n) band."""
     x = c(value).cast("double")
@@ -84,6 +87,7 @@ def acf(df: DataFrame, value: str, order_by, lags: int = 50, **kw) -> DataFrame:
         "s.lag", "s.acf", (1.96 / F.sqrt(n.cast("double"))).alias("bound"))
 
 
+@nan_as_null
 def pacf(df: DataFrame, value: str, order_by, lags: int = 20, **kw) -> DataFrame:
     """Partial autocorrelation by Durbin-Levinson on adjusted autocovariances (Yule-Walker, 'ywadjusted')."""
     x = c(value).cast("double")
@@ -114,6 +118,7 @@ def pacf(df: DataFrame, value: str, order_by, lags: int = 20, **kw) -> DataFrame
     return df.sparkSession.createDataFrame([(k, v, bound) for k, v in enumerate(out)], "lag int, pacf double, bound double")
 
 
+@nan_as_null
 def adf(df: DataFrame, value: str, order_by, maxlag: int | None = None, autolag: str | None = "AIC",
         diff: int = 0, **kw) -> DataFrame:
     """Augmented Dickey-Fuller with a constant (statsmodels ``adfuller`` defaults).
@@ -188,6 +193,7 @@ _CAL = {
 }
 
 
+@nan_as_null
 def seasonality(df: DataFrame, ts: str, value: str, period: str = "weekday") -> DataFrame:
     """mean, median, min, max, std, count per calendar unit in calendar order; absent units -> 0."""
     from tessera.plans.quantiles import exact_quantiles
@@ -209,6 +215,7 @@ def seasonality(df: DataFrame, ts: str, value: str, period: str = "weekday") ->
                       F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
+@nan_as_null
 def seasonality_grid(df: DataFrame, ts: str, value: str, rows: str = "year", cols: str = "month") -> DataFrame:
     """Mean heatmap: year x month, month x weekday or isoweek x weekday (long form: row, col, mean)."""
     key = {"year": F.year, "month": F.month, "weekday": F.weekday, "week": F.weekofyear}

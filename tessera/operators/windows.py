@@ -196,6 +196,7 @@ def _ewm_from(y: float | None, weight: float, x, alpha: float):
     return np.concatenate([head, pd.Series(part).ewm(alpha=alpha, adjust=False).mean().to_numpy()])
 
 
+@nan_as_null
 def crossover(df: DataFrame, col: str, short: int, long: int, kind: str = "sma", order_by=None,
               partition_by=None, **kw) -> DataFrame:
     """Signal +1 (short above long) / -1 (below) / 0, and buy/sell where it changes by +/-2."""
@@ -215,6 +216,7 @@ def crossover(df: DataFrame, col: str, short: int, long: int, kind: str = "sma",
     return O.drop_halo(h)
 
 
+@nan_as_null
 def difference(df: DataFrame, col: str, k: int = 1, repeat: bool = False, order_by=None, partition_by=None,
                out: str | None = None, **kw) -> DataFrame:
     """``x - lag(x, k)`` (pandas ``diff(k)``), or k-fold differencing when ``repeat``."""
@@ -232,6 +234,7 @@ def difference(df: DataFrame, col: str, k: int = 1, repeat: bool = False, order_
     return O.drop_halo(d.withColumn(out, e))
 
 
+@nan_as_null
 def change_summary(df: DataFrame, col: str, order_by: str) -> DataFrame:
     """First, last, change, % change, min, max, range, mean in time order (one aggregate)."""
     x, o = c(col).cast("double"), c(order_by)
@@ -243,6 +246,7 @@ def change_summary(df: DataFrame, col: str, order_by: str) -> DataFrame:
                     "min", "max", (F.col("max") - F.col("min")).alias("range"), "mean")
 
 
+@nan_as_null
 def ecdf(df: DataFrame, col: str, by=None, **kw) -> DataFrame:
     """(value, ecdf = i / n) over sorted non-null values, per group; ties get increasing steps."""
     by = as_list(by)
@@ -258,6 +262,7 @@ def ecdf(df: DataFrame, col: str, by=None, **kw) -> DataFrame:
     return d.select("value", ((F.col("__r") + 1) / total).alias("ecdf"))
 
 
+@nan_as_null
 def is_monotonic(df: DataFrame, col: str, order_by, partition_by=None, **kw) -> DataFrame:
     """Non-decreasing / non-increasing in order (a null makes both false)."""
     d, w = O.with_halo(df, order_by, partition_by, 2, **kw)
