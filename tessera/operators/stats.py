@@ -838,50 +838,131 @@ def trend(df: DataFrame, value: str, order_by, kind: str = "linear", degree: int
     raise ValueError(kind)
 
 
+def _tricube_sums(lo, hi, counts, sx, sy, a: float, h: float) -> tuple[np.ndarray, np.ndarray]:
+    """(weighted sums of the cells that lie wholly on one side of ``a`` inside the window, places of the cells it cuts).
+
+    The sums are w, w u, w u^2, w y, w y u with u = (x - a) / h.  On either side
+    the weight (1 - |u|^3)^3 is a polynomial of u, so a cell's sums follow from
+    its moments ``sx``, ``sy`` of t = (x - middle) / half width by expanding
+    u = (half t + middle - a) / h.
+    """
+    inside = (hi >= a - h) & (lo <= a + h) & (counts > 0)
+    left, right = inside & (hi <= a) & (lo >= a - h), inside & (lo >= a) & (hi <= a + h)
+    total = np.zeros(5)
+    for side, cells in ((-1.0, left & ~right), (1.0, right)):
+        at = np.flatnonzero(cells)
+        middle, half = _middle(lo[at], hi[at])
+        alpha, beta = half / h, (middle - a) / h
+        power = np.zeros((_MOMENTS, len(at), _MOMENTS))  # of u, as coefficients of powers of t
+        power[0, :, 0] = 1.0
+        for m in range(1, _MOMENTS):
+            power[m] = beta[:, None] * power[m - 1]
+            power[m, :, 1:] += alpha[:, None] * power[m - 1, :, :-1]
+        weight = {0: 1.0, 3: -3.0 * side, 6: 3.0, 9: -side}
+        for k, (q, moments) in enumerate([(0, sx), (1, sx), (2, sx), (0, sy), (1, sy)]):
+            total[k] += sum(w * (power[m + q] * moments[at]).sum() for m, w in weight.items())
+    if total[0] < 1e-3 * counts[left | right].sum():  # all at the window's ends, where the polynomial cancels: row by row
+        return np.zeros(5), np.flatnonzero(inside)
+    return total, np.flatnonzero(inside & ~left & ~right)
+
+
+#: Powers 0 to 11 of the distance: tricube weights (9) times a square.
+_MOMENTS = 12
+
+
+def _middle(lo, hi):
+    """Middle and half width of a cell (1 for a single value)."""
+    half = (hi - lo) / 2
+    return lo + half, np.where(half > 0, half, 1.0)
+
+
+def _in_cells(df: DataFrame, x: str, edges: Sequence[float], out: str) -> DataFrame:
+    from pyspark.ml.feature import Bucketizer
+    if len(edges) < 2:
+        return df.withColumn(out, F.lit(0))
+    d = Bucketizer(splits=[float("-inf"), *edges[1:], float("inf")], inputCol=x, outputCol=out).transform(df)
+    return d.withColumn(out, F.col(out).cast("int"))
+
+
 @nan_as_null
-def lowess(df: DataFrame, x: str, y: str, frac: float = 0.1, anchors: int = 100) -> DataFrame:
+def lowess(df: DataFrame, x: str, y: str, frac: float = 0.1, anchors: int = 100, cells: int = 2048) -> DataFrame:
     """LOWESS (tricube weights, local linear fit) at anchor points, interpolated linearly to every row.
 
-    Anchors are exact quantiles of x.  Every anchor's radius is the distance to
-    its ``ceil(frac * n)``-th nearest point, found by grouped exact quantiles of
-    the distances; the weighted least-squares sums are one grouped aggregate.
-    Cost is rows x anchors (Cleveland's interpolation between anchors).
+    Anchors are exact quantiles of x; an anchor's radius is the distance to its
+    ``ceil(frac * n)``-th nearest row.  Rows are summarised once in ``cells``
+    ranges of x (counts and moments, on the driver); an anchor looks at single
+    rows only in the few ranges that its radius or its window's ends cut.
     """
-    from tessera.plans.quantiles import exact_quantiles, quantile_values
+    from tessera.plans.quantiles import quantile_values
+    spark = df.sparkSession
     xx, yy = c(x).cast("double"), c(y).cast("double")
     base = df.where(xx.isNotNull() & yy.isNotNull()).select(xx.alias("__x"), yy.alias("__y"))
-    n = base.count()
+    n, first, last = base.agg(F.count(F.lit(1)), F.min("__x"), F.max("__x")).first()
+    if not n:
+        return base.select(F.col("__x").alias(x), F.col("__y").alias(y), F.lit(None).cast("double").alias("lowess"))
     k = max(2, int(math.ceil(frac * n)))
-    qs = quantile_values(base, "__x", [i / (anchors - 1) for i in range(anchors)])
-    pts = sorted(set(q for q in qs if q is not None))
-    arr = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(float(p)).alias("a")) for i, p in enumerate(pts)])
-    ex = base.select("__x", "__y", F.explode(arr).alias("__an")).select(
-        "__x", "__y", F.col("__an.id").alias("__id"), F.col("__an.a").alias("__a"))
-    ex = ex.withColumn("__d", F.abs(F.col("__x") - F.col("__a")))
-    p = min(1.0, (k - 1 + 1e-6) / max(n - 1, 1))
-    radius = exact_quantiles(ex, "__d", [p], "__id").select("__id", F.col("q").alias("__h"))
-    j = ex.join(F.broadcast(radius), "__id")
-    h = F.greatest(F.col("__h"), F.lit(1e-12)) * 1.0000001
-    wgt = F.pow(1 - F.pow(F.least(F.col("__d") / h, F.lit(1.0)), 3), 3)
-    sums = j.where(F.col("__d") <= h).groupBy("__id", "__a").agg(
-        F.sum(wgt).alias("w"), F.sum(wgt * F.col("__x")).alias("wx"), F.sum(wgt * F.col("__y")).alias("wy"),
-        F.sum(wgt * F.col("__x") * F.col("__x")).alias("wxx"), F.sum(wgt * F.col("__x") * F.col("__y")).alias("wxy"))
+    pts = sorted({float(v) for v in quantile_values(base, "__x", [i / max(1, anchors - 1) for i in range(anchors)]) if v is not None})
+
+    # ranges of x: a value that fills a whole one is a range of its own
+    cuts = base.agg(F.percentile_approx("__x", [i / cells for i in range(1, cells)], 20 * cells)).first()[0]
+    often = {v for v, w in zip(cuts, cuts[1:]) if v == w}
+    edges = sorted({first, *cuts, *(math.nextafter(v, math.inf) for v in often if v < last)})
+    lo, hi = np.array(edges), np.array([*(math.nextafter(e, -math.inf) for e in edges[1:]), last])
+    d = _in_cells(base, "__x", edges, "__cell")
+    middle, half = _middle(lo, hi)
+    shape = F.broadcast(spark.createDataFrame([(i, float(m), float(w)) for i, (m, w) in enumerate(zip(middle, half))], "__cell int, __m double, __w double"))
+    t = (F.col("__x") - F.col("__m")) / F.col("__w")
+    powers, run = [], F.lit(1.0)
+    for p in range(_MOMENTS):
+        powers += [F.sum(run).alias(f"x{p}"), F.sum(run * F.col("__y")).alias(f"y{p}")]
+        run = run * F.col("__t")
+    moments = d.join(shape, "__cell").withColumn("__t", t).groupBy("__cell").agg(F.count(F.lit(1)).alias("n"), *powers)
+    counts, sx, sy = np.zeros(len(edges), np.int64), np.zeros((len(edges), _MOMENTS)), np.zeros((len(edges), _MOMENTS))
+    for r in moments.collect():  # one row per cell
+        counts[r["__cell"]] = r["n"]
+        sx[r["__cell"]], sy[r["__cell"]] = ([r[f"{v}{p}"] for p in range(_MOMENTS)] for v in "xy")
+
+    # radius: cells surely nearer than the k-th row are counted, rows of the undecided ones are ranked
+    near = [np.maximum(np.maximum(lo - a, a - hi), 0.0) for a in pts]
+    far = [np.maximum(np.abs(lo - a), np.abs(hi - a)) for a in pts]
+    undecided, need = [], []
+    goal = min(k, n)
+    for i in range(len(pts)):
+        def bound(dist):
+            order = np.argsort(dist, kind="stable")
+            return dist[order[np.searchsorted(np.cumsum(counts[order]), goal)]]
+        low, high = bound(near[i]), bound(far[i])
+        sure = far[i] < low
+        need.append((i, goal - int(counts[sure].sum())))
+        undecided += [(int(cell), i, pts[i]) for cell in np.flatnonzero(~sure & (near[i] <= high) & (counts > 0))]
+    asked = F.broadcast(spark.createDataFrame(undecided, "__cell int, __id int, __a double"))  # a few cells per anchor
+    dist = d.join(asked, "__cell").groupBy("__id", F.abs(F.col("__x") - F.col("__a")).alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.partitionBy("__id").orderBy("__d").rowsBetween(Window.unboundedPreceding, 0)
+    dist = dist.withColumn("__upto", F.sum("__n").over(upto)).join(F.broadcast(spark.createDataFrame(need, "__id int, __need long")), "__id")
+    radius = {r["__id"]: max(r["__h"], 1e-12) * 1.0000001 for r in
+              dist.where(F.col("__upto") >= F.col("__need")).groupBy("__id").agg(F.min("__d").alias("__h")).collect()}
+
+    sums, cut = [], []
+    for i, a in enumerate(pts):
+        total, places = _tricube_sums(lo, hi, counts, sx, sy, a, radius[i])
+        sums.append(total)
+        cut += [(int(cell), i, a, radius[i]) for cell in places]
+    if cut:
+        j = d.join(F.broadcast(spark.createDataFrame(cut, "__cell int, __id int, __a double, __h double")), "__cell")
+        u = (F.col("__x") - F.col("__a")) / F.col("__h")
+        w = F.pow(1 - F.pow(F.least(F.abs(u), F.lit(1.0)), 3), 3)
+        parts = j.withColumns({"__u": u, "__v": w}).groupBy("__id").agg(
+            *[F.sum(F.expr(e)).alias(f"s{i}") for i, e in enumerate(("__v", "__v * __u", "__v * __u * __u", "__v * __y", "__v * __y * __u"))])
+        for r in parts.collect():  # one row per anchor
+            sums[r["__id"]] = sums[r["__id"]] + np.array(r[1:])
     fitted = []
-    for r in sorted(sums.collect(), key=lambda r: r["__a"]):  # one row per anchor
-        den = r["w"] * r["wxx"] - r["wx"] ** 2
-        if abs(den) <= 1e-12 * max(1.0, abs(r["w"] * r["wxx"])):
-            fitted.append((r["__a"], r["wy"] / r["w"]))
-        else:
-            b = (r["w"] * r["wxy"] - r["wx"] * r["wy"]) / den
-            fitted.append((r["__a"], (r["wy"] - b * r["wx"]) / r["w"] + b * r["__a"]))
-    xs = F.array(*[F.lit(float(a)) for a, _ in fitted])
-    ys = F.array(*[F.lit(float(v)) for _, v in fitted])
+    for a, (s0, s1, s2, t0, t1) in zip(pts, sums):
+        den = s0 * s2 - s1 * s1
+        fitted.append((a, float(t0 / s0 if den <= 1e-12 * s0 * max(s2, 1e-300) else (s2 * t0 - s1 * t1) / den)))
     if len(fitted) == 1:
-        smooth = F.lit(fitted[0][1])
-    else:
-        idx = F.size(F.filter(xs, lambda e: e <= F.col("__x")))
-        i0 = F.greatest(F.least(idx, F.lit(len(fitted) - 1)), F.lit(1))
-        x0, x1 = F.element_at(xs, i0), F.element_at(xs, i0 + 1)
-        y0, y1 = F.element_at(ys, i0), F.element_at(ys, i0 + 1)
-        smooth = y0 + (y1 - y0) * (F.col("__x") - x0) / (x1 - x0)
-    return base.select(F.col("__x").alias(x), F.col("__y").alias(y), smooth.alias("lowess"))
+        return base.select(F.col("__x").alias(x), F.col("__y").alias(y), F.lit(fitted[0][1]).alias("lowess"))
+    steps = [(i, p, v, p1, v1) for i, ((p, v), (p1, v1)) in enumerate(zip(fitted, fitted[1:]))]
+    lines = F.broadcast(spark.createDataFrame(steps, "__step int, __x0 double, __y0 double, __x1 double, __y1 double"))
+    d = _in_cells(base, "__x", [p for p, _ in fitted[:-1]], "__step").join(lines, "__step")
+    smooth = F.col("__y0") + (F.col("__y1") - F.col("__y0")) * (F.col("__x") - F.col("__x0")) / (F.col("__x1") - F.col("__x0"))
+    return d.select(F.col("__x").alias(x), F.col("__y").alias(y), smooth.alias("lowess"))
