@@ -1,8 +1,8 @@
 """Clustering, anomaly flags and model-based imputation (FEA6-9, CLN9).
 
 k-means and the divisive hierarchy use ``pyspark.ml``; the isolation forest
-grows its trees on a bounded seeded sample (100 x 256 rows) on the driver and
-scores every row in Arrow batches on the executors.
+grows one tree per task and scores every row in Arrow batches; neighbours of
+the local outlier factor and of imputation come from an exact spatial join.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,28 +105,55 @@ def _path_lengths(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
     return depth
 
 
+def _forest(d: DataFrame, z: Sequence[str], identity: Sequence, trees: int, sample_size: int, seed: int) -> list[np.ndarray]:
+    """Trees grown one per task, each on the ``sample_size`` rows with the smallest hash of (tree, identity).
+
+    Candidates are the rows whose own hash is below a threshold (about twice
+    what all trees need, or every row of a small table), so the samples are
+    the same however the rows lie in partitions.
+    """
+    n = d.count()
+    share = min(1.0, 2.0 * trees * sample_size / max(1, n))
+    pool = d.withColumn("__h", F.xxhash64(F.lit(seed), *identity))
+    pool = pool.where(F.pmod("__h", F.lit(1 << 30)) < math.ceil(share * (1 << 30))).select("__h", *z)
+    pool = written(pool, "forest-pool")  # at most about 2 * trees * sample_size rows
+    drawn = pool.withColumn("__tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("__t", F.xxhash64("__tree", "__h"))
+    first = Window.partitionBy("__tree").orderBy("__t", *z)
+    drawn = drawn.withColumn("__place", F.row_number().over(first)).where(F.col("__place") <= sample_size)
+    limit = int(math.ceil(math.log2(max(min(sample_size, n), 2))))
+
+    def grow(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("__place")
+        x = np.column_stack([table.column(name).to_numpy() for name in z])
+        tree = _grow(x, np.random.default_rng([seed, key[0].as_py()]), limit)
+        return pa.table({"__tree": pa.array([key[0].as_py()], pa.int32()), "nodes": pa.array([tree.ravel().tolist()], pa.list_(pa.float64()))})
+
+    grown = drawn.groupBy("__tree").applyInArrow(grow, "__tree int, nodes array<double>").orderBy("__tree").collect()
+    return [np.array(r["nodes"]).reshape(-1, 5) for r in grown]  # trees * 2 * sample_size nodes at most
+
+
 def isolation_forest(df: DataFrame, cols: Sequence[str], trees: int = 100, sample_size: int = 256, seed: int = 42,
                      key=None, out: str = "anomaly") -> DataFrame:
     """Adds ``{out}_score`` (2^(-E[h]/c(psi))) and ``out`` = 1 when the score exceeds 0.5, else 0.
 
-    The training sample (trees x sample_size rows, a seeded-hash take) is the
-    only data on the driver; trees are broadcast and rows scored per batch.
+    Each tree draws its own ``sample_size`` rows by a hash of the row's ``key``
+    (without key: of its values and its number among equal rows), so the same
+    rows train it at any partitioning.  Missing values count as the mean; an
+    empty table gives no rows.
     """
     cols = list(cols)
     d, z = standardized(df, cols)
-    hcols = [c(k) for k in as_list(key)] or [F.col(x) for x in z]
-    total = trees * sample_size
-    sample = (d.withColumn("__h", F.xxhash64(F.lit(seed), *hcols)).orderBy("__h").limit(total)
-              .select(*z).toPandas().to_numpy(dtype="float64"))
-    rng = np.random.default_rng(seed)
-    psi = min(sample_size, len(sample))
-    limit = int(math.ceil(math.log2(max(psi, 2))))
-    forest = []
-    for _ in range(trees):
-        idx = rng.choice(len(sample), size=psi, replace=False) if len(sample) > psi else np.arange(len(sample))
-        forest.append(_grow(sample[idx], rng, limit))
+    if key is None:
+        raw = [f"__v{i}" for i in range(len(cols))]
+        same = d.groupBy(*[c(x).alias(v) for x, v in zip(cols, raw)], *z).agg(F.count(F.lit(1)).alias("__n"))
+        rows = same.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+        identity = [*raw, "__copy"]
+    else:
+        rows, identity = d, [c(k) for k in as_list(key)]
+    forest = _forest(rows, z, identity, trees, sample_size, seed)
+    psi = int(forest[0][0, 4]) if forest else 0
     cn = _c_factor(psi)
-    bc = df.sparkSession.sparkContext.broadcast(forest)
+    bc = df.sparkSession.sparkContext.broadcast(forest)  # bounded by trees * sample_size
     schema = T.StructType(d.schema.fields + [T.StructField(f"{out}_score", T.DoubleType()),
                                              T.StructField(out, T.IntegerType())])
     zcols = list(z)

@@ -93,3 +93,15 @@ def test_distance_and_formula(spark):
     assert [r["f"] for r in f] == [2.0, 0.0]
     with pytest.raises(ValueError):
         FE.formula(df, "system('x')", "f")
+
+
+def test_isolation_forest_is_the_same_at_any_partitioning(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(0, 1, (600, 2)))] + [(900 + i, 3.0, 3.0) for i in range(300)] + [(2000, 40.0, -40.0)]
+    df = spark.createDataFrame(rows, "id int, x double, y double")
+    for key in ("id", None):
+        one, two = ({r["id"]: r["anomaly_score"] for r in ML.isolation_forest(d, ["x", "y"], trees=20, sample_size=64, key=key).collect()}
+                    for d in (df.coalesce(1), df.repartition(7, "x")))
+        assert one == pytest.approx(two) and max(one, key=one.get) == 2000
+        assert len({one[900 + i] for i in range(300)}) == 1
+    assert ML.isolation_forest(df.where("false"), ["x", "y"], key="id").count() == 0
