@@ -1,5 +1,5 @@
 """Sampling (SRC5, SMP1-4).  Exact-size samples order rows by a seeded hash and
-keep the first n (a distributed top-k); strata use the block row index of
+keep those below an exact threshold; strata use the block row index of
 ``plans.ordered`` so a hot stratum is never one task."""
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.common import as_list, c
 from tessera.plans import ordered as O
@@ -23,8 +24,30 @@ def sample_frac(df: DataFrame, frac: float, seed: int = 42) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, key=None) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows: the n smallest seeded hashes."""
-    return df.withColumn("__h", _hash(df, key, seed)).orderBy("__h").limit(n).drop("__h")
+    """Exactly ``min(n, rows)`` rows: the n smallest seeded hashes.
+
+    The n-th smallest hash is found from counts of hash prefixes (65,536 at a
+    time), so the sample is a filter whatever its size; of rows that tie on
+    the whole hash, the first by their values complete it.
+    """
+    d = df.withColumn("__h", _hash(df, key, seed))
+    below, last, need = F.lit(False), F.lit(True), int(n)
+    for shift in (48, 32, 16, 0):
+        prefix = F.shiftright("__h", shift) if shift == 48 else F.shiftright("__h", shift).bitwiseAND(0xFFFF)
+        counts = d.where(last).groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
+        upto = 0
+        for r in counts:
+            if upto + r["n"] > need:
+                break
+            upto += r["n"]
+        else:
+            return d.where(below | last).drop("__h")
+        below, last, need = below | (last & (prefix < r["p"])), last & (prefix == r["p"]), need - upto
+        if not need:
+            return d.where(below).drop("__h")
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    tied = O.sorted_codes(d.where(last), plain, "__place").where(F.col("__place") < need).drop("__place")
+    return d.where(below).unionByName(tied).drop("__h")
 
 
 def sample_stratified(df: DataFrame, by, frac: float, key=None, seed: int = 42, **kw) -> DataFrame:

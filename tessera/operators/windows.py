@@ -59,7 +59,7 @@ def expanding(df: DataFrame, col: str, stats: Sequence[str] = ("mean",), order_b
     order_by, parts = as_list(order_by), as_list(partition_by)
     out = out or {s: f"{col}_expanding_{s}" for s in stats}
     x = c(col).cast("double")
-    d, nb = O.add_blocks(df, order_by, rows_per_block)
+    d, nb = O.add_blocks(df, order_by, rows_per_block, parts)
     extra = []
     y = x
     if {"std", "var"} & set(stats):  # squares are taken about the series mean, so large values do not cancel
@@ -75,7 +75,7 @@ def expanding(df: DataFrame, col: str, stats: Sequence[str] = ("mean",), order_b
     extra += [f"__{k}" for k in sums]
     col_of = {k: F.col(f"__{k}") for k in sums}
     if nb > 1:
-        summ = d.groupBy(*[c(p) for p in parts], O._BLK).agg(*[f(v).alias(f"__b{k}") for k, (f, v) in sums.items()])
+        summ = O.carried(d).groupBy(*[c(p) for p in parts], O._BLK).agg(*[f(v).alias(f"__b{k}") for k, (f, v) in sums.items()])
         carry = O._carry(summ, parts, {f"__c{k}": merge[k](f"__b{k}") for k in sums})
         d = O._join_carry(d, carry, parts, nb)
         extra += [f"__c{k}" for k in sums]

@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 from tessera.functions.common import as_list, c, join_null_safe
 
 ROWS_PER_BLOCK = 1_000_000
+#: Series longer than a block that are told apart by a broadcast list; with more of them all rows are cut by ranges.
+MOST_LONG_SERIES = 100_000
 _BLK = "__blk"
 _I = "__i"
 
@@ -50,23 +52,47 @@ def _key_double(df: DataFrame, key: str) -> Column:
     raise TypeError(f"order key {key} must be numeric, date or timestamp")
 
 
-def add_blocks(df: DataFrame, order_by: Sequence[str], rows_per_block: int | None = None) -> tuple[DataFrame, int]:
+def add_blocks(df: DataFrame, order_by: Sequence[str], rows_per_block: int | None = None, parts: Sequence[str] = ()
+               ) -> tuple[DataFrame, int]:
     """Tag rows with ``__blk``: ranges of the order keys of about ``rows_per_block`` rows.
 
-    Ranges come from a quantile sketch of the first key; a value of it that
-    alone fills several blocks is split by ranges of the next key, and so on.
-    Returns the frame and the number of blocks (1 means no carry is needed).
+    Only series longer than that are cut; the rows of every shorter one share
+    the block -1, which needs no carry (``carried``).  Ranges come from a
+    quantile sketch of the first key; a value of it that alone fills several
+    blocks is split by ranges of the next key, and so on.  Returns the frame
+    and the number of blocks (1 means no carry is needed).
     """
     rpb = rows_per_block or ROWS_PER_BLOCK
-    nblocks = max(1, math.ceil(df.count() / rpb))
+    rows = df.count()
+    if rows <= rpb:
+        return df.withColumn(_BLK, F.lit(0)), 1
+    if parts:
+        long = df.groupBy(*[c(p) for p in parts]).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > rpb)
+        series, rows = long.agg(F.count(F.lit(1)), F.coalesce(F.sum("__rows"), F.lit(0))).first()
+        if not series:
+            return df.withColumn(_BLK, F.lit(0)), 1
+        if series <= MOST_LONG_SERIES:
+            marked = join_null_safe(df, long.withColumn("__long", F.lit(True)).drop("__rows"), parts, "left", broadcast=True)
+            d, n = _cut(marked, marked.where("__long"), order_by, math.ceil(rows / rpb))
+            return d.withColumn(_BLK, F.when(F.col("__long"), F.col(_BLK)).otherwise(F.lit(-1))).drop("__long"), max(2, n)
+    return _cut(df, df, order_by, math.ceil(rows / rpb))
+
+
+def carried(d: DataFrame) -> DataFrame:
+    """The rows whose blocks take part in a carry."""
+    return d.where(F.col(_BLK) >= 0)
+
+
+def _cut(df: DataFrame, sample: DataFrame, order_by: Sequence[str], nblocks: int) -> tuple[DataFrame, int]:
+    """``df`` with the block of every row, by ranges that hold equal numbers of rows of ``sample``."""
     if nblocks == 1:
         return df.withColumn(_BLK, F.lit(0)), 1
     if not _has_double(df, order_by[0]):
         raise TypeError(f"order key {order_by[0]} must be numeric, date or timestamp")
     keys = [_key_double(df, k) for k in order_by if _has_double(df, k)]
-    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name != "__long"]
     keys.append(F.xxhash64(*[c(p) for p in plain]).cast("double"))  # rows that tie on every key have no order: spread them
-    tree, n = _split(df, keys, nblocks, 0)
+    tree, n = _split(sample, keys, nblocks, 0)
     names = [f"__kd{i}" for i in range(len(keys))]
     d = df.withColumns(dict(zip(names, keys)))
     return _with_block(d, tree, names, _BLK).drop(*names), n
@@ -137,11 +163,11 @@ def row_index(df: DataFrame, order_by, partition_by=None, out: str = _I, rows_pe
               ) -> DataFrame:
     """0-based position of each row within its series, by ``order_by``."""
     order_by, parts = as_list(order_by), as_list(partition_by)
-    d, nb = add_blocks(df, order_by, rows_per_block)
+    d, nb = add_blocks(df, order_by, rows_per_block, parts)
     w = Window.partitionBy(*[c(p) for p in parts], _BLK).orderBy(*_order_cols(order_by))
     d = d.withColumn("__rn", F.row_number().over(w) - 1)
     if nb > 1:
-        summ = d.groupBy(*[c(p) for p in parts], _BLK).agg(F.count(F.lit(1)).alias("__cnt"))
+        summ = carried(d).groupBy(*[c(p) for p in parts], _BLK).agg(F.count(F.lit(1)).alias("__cnt"))
         carry = _carry(summ, parts, {"__off": F.sum("__cnt")})
         d = _join_carry(d, carry, parts, nb).withColumn(out, (F.coalesce("__off", F.lit(0)) + F.col("__rn")).cast("long"))
         d = d.drop("__off")
@@ -157,12 +183,12 @@ def cumulative(df: DataFrame, cols, how: str, order_by, partition_by=None, out:
     order_by, parts, cols = as_list(order_by), as_list(partition_by), as_list(cols)
     agg = {"sum": F.sum, "product": F.product, "min": F.min, "max": F.max}[how]
     out = out or {x: x for x in cols}
-    d, nb = add_blocks(df, order_by, rows_per_block)
+    d, nb = add_blocks(df, order_by, rows_per_block, parts)
     w = Window.partitionBy(*[c(p) for p in parts], _BLK).orderBy(*_order_cols(order_by)) \
         .rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumns({f"__l{i}": agg(c(x)).over(w) for i, x in enumerate(cols)})
     if nb > 1:
-        summ = d.groupBy(*[c(p) for p in parts], _BLK).agg(*[agg(c(x)).alias(f"__s{i}") for i, x in enumerate(cols)])
+        summ = carried(d).groupBy(*[c(p) for p in parts], _BLK).agg(*[agg(c(x)).alias(f"__s{i}") for i, x in enumerate(cols)])
         carry = _carry(summ, parts, {f"__c{i}": agg(f"__s{i}") for i in range(len(cols))})
         d = _join_carry(d, carry, parts, nb)
     else:
@@ -202,7 +228,7 @@ def _fill(d: DataFrame, nb: int, values: dict[str, Column], order_by, parts, for
     d = d.withColumns({f"__l{i}": local[k] for i, k in enumerate(names)})
     if nb > 1:
         pick = F.max_by if forward else F.min_by
-        summ = d.groupBy(*[c(p) for p in parts], _BLK).agg(
+        summ = carried(d).groupBy(*[c(p) for p in parts], _BLK).agg(
             *[pick(F.col(f"__v{i}"), F.when(F.col(f"__v{i}").isNotNull(), order)).alias(f"__s{i}")
               for i in range(len(names))])
         if forward:
@@ -223,13 +249,13 @@ def _fill(d: DataFrame, nb: int, values: dict[str, Column], order_by, parts, for
 
 def fill_forward(df: DataFrame, cols, order_by, partition_by=None, rows_per_block: int | None = None) -> DataFrame:
     order_by, parts, cols = as_list(order_by), as_list(partition_by), as_list(cols)
-    d, nb = add_blocks(df, order_by, rows_per_block)
+    d, nb = add_blocks(df, order_by, rows_per_block, parts)
     return _fill(d, nb, {x: c(x) for x in cols}, order_by, parts, True).drop(_BLK)
 
 
 def fill_backward(df: DataFrame, cols, order_by, partition_by=None, rows_per_block: int | None = None) -> DataFrame:
     order_by, parts, cols = as_list(order_by), as_list(partition_by), as_list(cols)
-    d, nb = add_blocks(df, order_by, rows_per_block)
+    d, nb = add_blocks(df, order_by, rows_per_block, parts)
     return _fill(d, nb, {x: c(x) for x in cols}, order_by, parts, False).drop(_BLK)
 
 
@@ -238,7 +264,7 @@ def interpolate_linear(df: DataFrame, cols, order_by, partition_by=None, rows_pe
     """Linear interpolation by position; leading nulls stay null, trailing take the last value."""
     order_by, parts, cols = as_list(order_by), as_list(partition_by), as_list(cols)
     d = row_index(df, order_by, parts, _I, rows_per_block)
-    d, nb = add_blocks(d, [_I], rows_per_block)
+    d, nb = add_blocks(d, [_I], rows_per_block, parts)
     vals = {f"__p{i}": F.when(c(x).isNotNull(), F.struct(c(x).cast("double").alias("v"), F.col(_I).alias("i")))
             for i, x in enumerate(cols)}
     d = _fill(d, nb, vals, [_I], parts, True)

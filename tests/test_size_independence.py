@@ -125,3 +125,28 @@ def test_nan_is_missing(spark):
     assert [r["x"] for r in C.fill_mean(d, "x").orderBy("id").collect()] == [1.0, 2.0, 3.0, 2.0]
     assert C.drop_missing(d).count() == 2
     assert [r["x"] for r in C.fill_forward(d, ["x"], "id").orderBy("id").collect()] == [1.0, 1.0, 3.0, 3.0]
+
+
+def test_many_short_series_need_no_carry(spark):
+    """2,000 series of ten rows and one long one: only the long one is cut and summarised."""
+    rows = [(k, t, float((k * 7 + t * 3) % 11)) for k in range(2000) for t in range(10)] + [(-1, t, float(t % 13)) for t in range(1500)]
+    df = spark.createDataFrame(rows, "k int, t int, v double").repartition(4)
+    d, nb = O.add_blocks(df, ["t"], 500, ["k"])
+    carries = O.carried(d).groupBy("k", O._BLK).count().count()
+    assert nb == 3 and carries < 0.01 * len(rows)
+    assert O.add_blocks(df.where("k >= 0"), ["t"], 500, ["k"])[1] == 1
+    pdf = pd.DataFrame(rows, columns=["k", "t", "v"])
+    got = O.cumulative(df, "v", "sum", ["t"], "k", {"v": "o"}, 500).toPandas().sort_values(["k", "t"])["o"].to_numpy()
+    assert np.allclose(got, pdf.sort_values(["k", "t"]).groupby("k")["v"].cumsum().to_numpy())
+
+
+@pytest.mark.parametrize("n", [0, 1, 137, 700, 1000, 5000])
+def test_exact_samples_of_any_size(spark, n):
+    from tessera.operators import sampling as SM
+    df = spark.createDataFrame([(i if i < 600 else 600, "same" if i >= 600 else "x") for i in range(1000)], "i int, s string").repartition(5)
+    out = SM.sample_n(df, n, 7)
+    rows = sorted(map(tuple, out.collect()))
+    assert len(rows) == min(n, 1000) and out.columns == df.columns
+    assert rows == sorted(map(tuple, SM.sample_n(df.coalesce(1), n, 7).collect()))
+    by_key = SM.sample_n(df, n, 7, key="s").collect()
+    assert len(by_key) == min(n, 1000)
