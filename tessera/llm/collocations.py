@@ -26,12 +26,14 @@ from tessera.llm import bloom
 from tessera.llm.common import keep, slices
 
 #: Words of a shard at most (bounds a task's memory).
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 6_000_000
 #: First bits of a code that name a segment of a broadcast filter, at most: 64 segments of 512 KB.
 FILTER_POWER = 6
 #: Codes of one range of the exact counts, about.
 RANGE_CODES = 1 << 20
 LONGEST = 5
+#: Phrases a task counts before it sends them on.
+PHRASES_HELD = 1_000_000
 #: Languages at most (their totals go to every task); more raise an error.
 MOST_LANGS = 100_000
 
@@ -222,37 +224,50 @@ def _exact(support: int):
 
 
 def _phrases(support_filters, longest: int, power: int):
-    """Per slice, language and range: the phrases that the filters hold, their words and counts."""
+    """Per task, language and range: the phrases that the filters hold, their words and counts."""
+    def found(lang, tokens, words, codes):
+        one = np.where(tokens >= 0, codes[tokens], np.uint64(0))
+        level = one
+        for size in range(1, longest + 1):
+            level = _longer(level, one, size) if size > 1 else one
+            some = np.flatnonzero(level)
+            hit = np.zeros(len(some), bool)
+            for f in support_filters:
+                hit |= f(level[some])
+            at = some[hit]
+            if not len(at):
+                return
+            going = np.zeros_like(level)
+            going[at] = level[at]
+            level = going
+            own, first, n = np.unique(level[at], return_index=True, return_counts=True)
+            spelled = [words.take(pa.array(tokens[at[first] + i])) for i in range(size)]
+            yield pa.table({"part": bloom.segment_of(own, power).astype(np.int32), "lang": pa.array([lang] * len(own)).dictionary_encode().cast(pa.string()),
+                            "phrase": pc.binary_join_element_wise(*spelled, b" ") if size > 1 else spelled[0],
+                            "words": np.full(len(own), size, np.int32), "count": n.astype(np.int64)})
+
+    def packed(held):
+        total = pa.concat_tables(held).group_by(["part", "lang", "phrase", "words"]).aggregate([("count", "sum")])
+        total = total.sort_by([("lang", "ascending"), ("part", "ascending")]).combine_chunks()
+        part = total.column("part").to_numpy()
+        lang = pc.index_in(total.column("lang"), pc.unique(total.column("lang"))).to_numpy()
+        ends = np.append(np.flatnonzero(np.diff(part) | np.diff(lang)) + 1, len(part)).astype(np.int32)
+        offsets, last = pa.array(np.append(np.int32(0), ends)), pa.array(ends - 1)
+        lists = [pa.ListArray.from_arrays(offsets, pa.concat_arrays(total.column(c).chunks)) for c in ("phrase", "words", "count_sum")]
+        return pa.table([total.column("part").take(last), total.column("lang").take(last), *lists],
+                        names=["part", "lang", "phrase", "words", "count"]).to_batches()
+
     def work(batches):
-        for lang, tokens, words, codes in _tokens(batches):
-            one = np.where(tokens >= 0, codes[tokens], np.uint64(0))
-            rows, level = [], one
-            for size in range(1, longest + 1):
-                level = _longer(level, one, size) if size > 1 else one
-                some = np.flatnonzero(level)
-                hit = np.zeros(len(some), bool)
-                for f in support_filters:
-                    hit |= f(level[some])
-                at = some[hit]
-                if not len(at):
-                    break
-                going = np.zeros_like(level)
-                going[at] = level[at]
-                level = going
-                found, first, n = np.unique(level[at], return_index=True, return_counts=True)
-                spelled = [words.take(pa.array(tokens[at[first] + i])) for i in range(size)]
-                phrase = pc.binary_join_element_wise(*spelled, b" ") if size > 1 else spelled[0]
-                rows.append((bloom.segment_of(found, power), phrase, np.full(len(found), size, np.int32), n.astype(np.int64)))
-            if not rows:
-                continue
-            part = np.concatenate([r[0] for r in rows])
-            order = np.argsort(part, kind="stable")
-            ends = np.append(np.flatnonzero(np.diff(part[order])) + 1, len(part)).astype(np.int32)
-            offsets = pa.array(np.append(np.int32(0), ends))
-            columns = [pa.concat_arrays([r[1] for r in rows]).take(pa.array(order)), *(pa.array(np.concatenate([r[k] for r in rows])[order]) for k in (2, 3))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[order][ends - 1].astype(np.int32)), pa.array([lang] * len(ends)), *(pa.ListArray.from_arrays(offsets, c) for c in columns)],
-                names=["part", "lang", "phrase", "words", "count"])
+        held, entries = [], 0
+        for slice_ in _tokens(batches):
+            for table in found(*slice_):
+                held.append(table)
+                entries += len(table)
+            if entries > PHRASES_HELD:
+                yield from packed(held)
+                held, entries = [], 0
+        if held:
+            yield from packed(held)
     return work
 
 
