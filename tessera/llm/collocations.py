@@ -169,7 +169,7 @@ def _propose(totals: dict[str, int], support: int, sizes: range, power: int, sha
                 while True:
                     _, codes = levels.send(going)
                     local, n = _counted(codes)
-                    going = local[n * totals[lang] >= support * own]
+                    going = local[n * totals.get(lang, 0) >= support * own]  # a language without words has no total
                     found.append(going)
             except StopIteration:
                 pass
