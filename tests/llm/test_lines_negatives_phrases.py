@@ -156,7 +156,7 @@ def phrase_data():
     rng = random.Random(8)
     chunks = ["New York", "in the end of", "a b c d e", "Übung macht", "x y x y x y", "the", "of", "salt and pepper", "1.5", "zz\x0bqq", "tab\there"]
     data = [(rng.choice(["en", "en", "en", "de", None]), rng.choice([" ", ", ", ".\n", "  "]).join(
-        rng.choice([*chunks, f"w{rng.randint(0, 60)}"]) for _ in range(rng.randint(0, 40)))) for _ in range(160)]
+        rng.choice([*chunks, f"w{rng.randint(0, 60)}"]) for _ in range(rng.randint(0, 40)))) for _ in range(400)]
     return data + [("und", "New York " * 30), (None, None), ("fr", ""), ("it", " ,.;\n"), ("en", None), ("pt", "uma vez " * 9)]
 
 
