@@ -27,6 +27,11 @@ IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"
                "option": {"option"}}
 CLOSES_P = BLOCK_TAGS - {"body", "html", "head", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend"}
 
+#: A "p" is not ended across the first, list items, cells and options not across the second.
+_KEEPS_P = frozenset("article section div li td th blockquote body main aside footer header nav".split())
+_KEEPS_ITEMS = frozenset("ul ol menu dl table select".split())
+_ENDED = frozenset({"p"}).union(*IMPLIED_END.values())
+
 #: Words in class, id or role of an element that mark boilerplate, and those that mark content.
 BAD_NAMES = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comentarios
 kommentare commentaires consent cookie cookies copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter
@@ -49,17 +54,23 @@ WEIGHTS = {
     "link_share": -2500,    # share of the characters inside links
     "article": 2500,        # inside article or main
     "good_name": 1200,
-    "boiler_tag": -9000,    # inside nav, aside, footer, form, dialog, menu or a page header
+    "boiler_tag": -9000,    # inside nav, aside, footer, dialog, menu, a page header, or a form that is no frame
     "bad_name": -5000,      # a long paragraph of an article that is also named as content outweighs it
     "list_item": -400,
     "heading": 300,
     "paragraph": 600,
 }
+SENTENCE_ENDS = ".!?…\"'”»)"
+#: Words in sentences that a form must hold to be the frame of a page.
+FRAME_WORDS = 50
 #: Smoothness: capacity between following blocks, and between blocks with the same parent element.
 ADJACENT, SAME_PARENT = 250, 450
 
+#: A quote opens a value only after "="; it is not closed where the value holds a ">" and the next quote follows
+#: a "=" itself (that one opens another value).  The tag then ends at its first ">", or with the page.
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^<]+|<)", re.S)
+                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"(?:[^\">]*\"|[^\"]*(?<!=)\")|=\s*'(?:[^'>]*'|[^']*(?<!=)')|=)*+)(?:>|\Z)"
+                    r"|([^<]+|<)", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME_PART = re.compile(r"[a-z]+")
 
@@ -78,10 +89,12 @@ def _name_marks(attributes: str) -> tuple[bool, bool]:
 
 
 def blocks(html: str) -> list[tuple[str, dict]]:
-    """(text, features) of every block of visible text, in page order."""
+    """(text, features) of every block of visible text, in page order; linear in the page."""
     out: list[tuple[str, dict]] = []
-    # open elements: (tag, serial, good, bad, boiler, article)
-    stack: list[tuple] = [("", 0, False, False, False, False)]
+    # open elements: (tag, serial, good, bad, boiler, article, place of the innermost block element, form, fieldset,
+    # places that a start tag may end)
+    stack: list[tuple] = [("", 0, False, False, False, False, 0, 0, 0, {})]
+    places: dict[str, list[int]] = {}  # tag -> places of its open elements
     serial = 0
     parts: list[str] = []
     linked = in_link = 0
@@ -90,24 +103,22 @@ def blocks(html: str) -> list[tuple[str, dict]]:
         nonlocal parts, linked
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
         if text:
-            top = next(e for e in reversed(stack) if e[0] in BLOCK_TAGS or not e[0])
-            place = stack.index(top)
-            out.append((text, {"tag": top[0], "parent": stack[place - 1][1] if place else 0, "good": stack[-1][2], "bad": stack[-1][3],
-                               "boiler": stack[-1][4], "article": stack[-1][5], "linked": min(linked, len(text))}))
+            inner = stack[-1]
+            place = inner[6]
+            out.append((text, {"tag": stack[place][0], "parent": stack[place - 1][1] if place else 0, "good": inner[2], "bad": inner[3],
+                               "boiler": inner[4], "article": inner[5], "form": inner[7], "fieldset": inner[8],
+                               "linked": min(linked, len(text))}))
         parts, linked = [], 0
 
-    def close(tags, within=None):
-        """Close the innermost open element of ``tags``, and what is open inside it."""
+    def close_at(k):
+        """Close the open element at place ``k``, and what is open inside it."""
         nonlocal in_link
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                if any(e[0] in BLOCK_TAGS for e in stack[k:]):
-                    close_block()
-                in_link -= sum(e[0] == "a" for e in stack[k:])
-                del stack[k:]
-                return
-            if within and stack[k][0] in within:
-                return
+        if stack[-1][6] >= k:
+            close_block()
+        for e in stack[k:]:
+            places[e[0]].pop()
+            in_link -= e[0] == "a"
+        del stack[k:]
 
     at, n = 0, len(html)
     lower = None
@@ -126,7 +137,8 @@ def blocks(html: str) -> list[tuple[str, dict]]:
         if m[2]:
             if tag in BLOCK_TAGS:
                 close_block()
-            close((tag,))
+            if places.get(tag):
+                close_at(places[tag][-1])
             continue
         if tag in RAW_TAGS and not m[4].endswith("/"):
             if tag in BLOCK_TAGS:
@@ -145,31 +157,59 @@ def blocks(html: str) -> list[tuple[str, dict]]:
             continue
         if tag in BLOCK_TAGS:
             close_block()
-            if tag in CLOSES_P:
-                close(("p",), within={"article", "section", "div", "li", "td", "th", "blockquote", "body", "main", "aside", "footer", "header", "nav"})
-            if tag in IMPLIED_END:
-                close(IMPLIED_END[tag], within={"ul", "ol", "menu", "dl", "table", "select"})
+            ends = ({"p"} if tag in CLOSES_P else set(), IMPLIED_END.get(tag, ()))
+            for tags in ends:
+                open_ends = stack[-1][9]
+                k = max((open_ends[t] for t in tags if t in open_ends), default=0)
+                if k:
+                    close_at(k)
         elif tag == "br":
             parts.append(" ")
         if tag in VOID_TAGS or m[4].endswith("/"):
             continue
         serial += 1
-        top = stack[-1]
+        top, place = stack[-1], len(stack)
         good, bad = _name_marks(m[4]) if m[4] and tag not in ("a", "html", "body") else (False, False)
-        boiler = tag in ("nav", "aside", "footer", "form", "dialog", "menu", "fieldset") or (tag == "header" and not top[5])
+        boiler = tag in ("nav", "aside", "footer", "dialog", "menu") or (tag == "header" and not top[5])
         article = tag in ("article", "main")
-        # a bad name ends an outer good one; the outermost article ends a bad one around it
-        stack.append((tag, serial, good or (top[2] and not bad), bad or (top[3] and (top[5] or not article)), boiler or top[4], article or top[5]))
+        outermost = article and not top[5]  # ends a form, a fieldset or a bad name around it
+        form = 0 if outermost else top[7] or (serial if tag == "form" else 0)
+        fieldset = 0 if outermost else top[8] or (serial if tag == "fieldset" else 0)
+        open_ends = top[9]
+        if tag in _ENDED or tag in _KEEPS_P or tag in _KEEPS_ITEMS:
+            open_ends = {t: k for t, k in open_ends.items() if not (tag in _KEEPS_P if t == "p" else tag in _KEEPS_ITEMS)}
+            if tag in _ENDED:
+                open_ends[tag] = place
+        # a bad name ends an outer good one
+        stack.append((tag, serial, good or (top[2] and not bad), bad or (top[3] and not outermost), boiler or top[4], article or top[5],
+                      place if tag in BLOCK_TAGS else top[6], form, fieldset, open_ends))
+        places.setdefault(tag, []).append(place)
         in_link += tag == "a"
     close_block()
     return out
 
 
+def mark_forms(found: list[tuple[str, dict]]):
+    """Blocks inside a form or fieldset are boilerplate, unless it is the page's frame: it holds most of the words in the page's
+    sentences outside other boilerplate, and at least ``FRAME_WORDS`` of them."""
+    held: dict[int, int] = {}
+    total = 0
+    for text, f in found:
+        words = text.count(" ") + 1
+        if words >= 8 and text[-1] in SENTENCE_ENDS and not (f["boiler"] or f["bad"]) and f["linked"] * 2 < len(text):
+            total += words
+            for x in (f["form"], f["fieldset"]):
+                held[x] = held.get(x, 0) + words
+    frames = {0} | {x for x, words in held.items() if words >= FRAME_WORDS and 2 * words > total}
+    for _, f in found:
+        f["boiler"] |= not (f["form"] in frames and f["fieldset"] in frames)
+
+
 def score(text: str, f: dict) -> int:
     """Log-odds of content in thousandths."""
     w = WEIGHTS
     s = w["bias"] + w["word"] * min(40, text.count(" ") + 1)
-    if text[-1] in ".!?…\"'”»)":
+    if text[-1] in SENTENCE_ENDS:
         s += w["sentence"]
     s += w["link_share"] * f["linked"] // len(text)
     if f["article"]:
@@ -191,51 +231,92 @@ def score(text: str, f: dict) -> int:
 
 
 def min_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
-    """Which nodes are on the source side of a minimum cut.
+    """Which nodes are on the source side of the smallest minimum cut.
 
     A node's positive score is its capacity from the source, a negative one
-    its capacity to the sink; edges (i, j, capacity) go both ways.  Shortest
-    augmenting paths are searched from all nodes the source can still feed.
+    its capacity to the sink; edges (i, j, capacity) go both ways.  A node
+    whose terminal capacity outweighs all its edges has its side at once, and
+    its edges become terminal capacities of its neighbours; flow is pushed
+    among the others only, along shortest paths of one length at a time.
     """
     n = len(scores)
-    feed = [max(0, s) for s in scores]
-    drain = [max(0, -s) for s in scores]
+    score = list(scores)
     room: list[dict[int, int]] = [{} for _ in range(n)]
     for i, j, c in edges:
         room[i][j] = room[i].get(j, 0) + c
         room[j][i] = room[j].get(i, 0) + c
+    weight = [sum(r.values()) for r in room]
+    side: list[bool | None] = [None] * n
+    todo = deque(range(n))
+    while todo:
+        i = todo.popleft()
+        if side[i] is not None or -weight[i] < score[i] <= weight[i]:
+            continue
+        side[i] = score[i] > 0
+        for j, c in room[i].items():
+            if side[j] is None:
+                score[j] += c if side[i] else -c
+                weight[j] -= c
+                del room[j][i]
+                todo.append(j)
+        room[i] = {}
+    left = [i for i in range(n) if side[i] is None]
+    feed = {i: score[i] for i in left if score[i] > 0}
+    drain = {i: -score[i] for i in left if score[i] < 0}
     while True:
-        came = [-2] * n
-        queue = deque()
-        for i in range(n):
-            if feed[i]:
-                came[i] = -1
-                queue.append(i)
-        end = -1
+        level = dict.fromkeys(feed, 0)
+        queue, far = deque(feed), n
         while queue:
             i = queue.popleft()
-            if drain[i]:
-                end = i
-                break
+            if i in drain:
+                far = min(far, level[i])
+            if level[i] >= far:  # nearest sinks only
+                continue
             for j, c in room[i].items():
-                if c and came[j] == -2:
-                    came[j] = i
+                if c and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if end < 0:
-            return [c != -2 for c in came]
-        push, j = drain[end], end
-        while came[j] >= 0:
-            push = min(push, room[came[j]][j])
-            j = came[j]
-        push = min(push, feed[j])
-        feed[j] -= push
-        drain[end] -= push
-        j = end
-        while came[j] >= 0:
-            i = came[j]
-            room[i][j] -= push
-            room[j][i] += push
-            j = i
+        if far == n:
+            return [x if x is not None else i in level for i, x in enumerate(side)]
+        _push_level(feed, drain, room, level, far)
+
+
+def _push_level(feed: dict[int, int], drain: dict[int, int], room: list[dict[int, int]], level: dict[int, int], far: int):
+    """Push flow from every node in ``feed`` to sinks at level ``far`` along rising levels until none is left."""
+    untried: dict[int, list[int]] = {}
+    for source in list(feed):
+        path = [source]
+        while path:
+            i = path[-1]
+            if level[i] == far and i in drain:
+                push = min(feed[source], drain[i], *(room[a][b] for a, b in zip(path, path[1:])))
+                first = len(path)
+                for k in range(len(path) - 2, -1, -1):
+                    a, b = path[k], path[k + 1]
+                    room[a][b] -= push
+                    room[b][a] += push
+                    if not room[a][b]:
+                        first = k + 1  # go on from before the first full edge
+                feed[source] -= push
+                drain[i] -= push
+                if not drain[i]:
+                    del drain[i]
+                if not feed[source]:
+                    del feed[source]
+                    break
+                del path[first:]
+                continue
+            if i not in untried:
+                untried[i] = [j for j in room[i] if level.get(j, -1) == level[i] + 1] if level[i] < far else []
+            nexts = untried[i]
+            while nexts and not room[i][nexts[-1]]:
+                nexts.pop()
+            if nexts:
+                path.append(nexts[-1])
+            else:
+                path.pop()
+                if path:
+                    untried[path[-1]].pop()
 
 
 def main_text(html: str | None) -> str:
@@ -243,6 +324,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     found = blocks(html)
+    mark_forms(found)
     scores = [score(t, f) for t, f in found]
     edges, last = [], {}
     for i, (_, f) in enumerate(found):
@@ -258,7 +340,8 @@ def main_text(html: str | None) -> str:
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
-    Null or empty html, and pages without content, give the empty text; null
+    Null or empty html, and pages without content, give the empty text; a tag
+    whose quote is never closed ends at its first ">" and is no text; null
     ids and urls and repeated rows pass through; empty table: empty result.
     """
     src = df.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"),

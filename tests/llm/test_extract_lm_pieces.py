@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -55,6 +56,57 @@ def test_names_that_only_hold_a_bad_word_do_not_lose_the_article(open_, close):
     assert extract.main_text(f"<body>{open_}{BODY}{close}</body>") == "\n".join(LONG)
 
 
+OTHER = '<p>Buy the best shoes of the year now, they are cheap and they fit every foot that walks on the streets of the town.</p>'
+LAYOUTS = {
+    "whole page form": f'<form id="aspnetForm"><nav><a href="/">Home</a></nav><div id="content">{BODY}</div><footer>All rights reserved.</footer></form>',
+    "article in a form": f"<form><fieldset><legend>Read</legend><article>{BODY}</article></fieldset></form>",
+    "form in an article": f"<article>{BODY}<form><p>Leave your address here and we will write to you every week of the year.</p><input></form></article>",
+    "fieldset beside the text": f"<main>{BODY}</main><fieldset><legend>Answer</legend><p>Please tell us what you think of this page today.</p></fieldset>",
+    "unclosed quote in a link": f'<article><p>{LONG[0]}</p><p><a href="http://x.y>{LONG[1]}</a></p><p class="z">{LONG[2]}</p></article>'.replace(
+        LONG[1] + "</a>", "</a>" + LONG[1]),
+    "bracket inside a value": f'<article title="a > b">{BODY}</article>',
+    "tags inside a value": f"<article><div data-x='<p class=\"y\">no</p>'></div>{BODY}</article>",
+    "apostrophe outside a value": f"<article it's>{BODY}</article>",
+    "upper case": f"<BODY><NAV><A HREF='/'>Home</A></NAV><ARTICLE>{BODY.replace('<p>', '<P>').replace('</p>', '</P>')}</ARTICLE></BODY>",
+    "no end tags": "<article>" + "".join(f"<p>{t}" for t in LONG),
+    "table layout": f"<table><tr><td><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul><td class=content>{BODY}<tr><td><a href=/c>Next</a></table>",
+    "text in divs": '<div class="post">' + "".join(f"<div>{t}</div>" for t in LONG) + '</div><div class="sidebar"><a href="/a">One</a></div>',
+    "breadcrumb and tags": f'<div class="breadcrumb"><a href=/>Home</a> / <a href=/x>News</a></div><article>{BODY}</article><div class="tags"><a href=/t>fish</a></div>',
+    "advert inside the article": f'<article><p>{LONG[0]}</p><div class="ad">{OTHER}</div><p>{LONG[1]}</p><p>{LONG[2]}</p></article>',
+    "dialog": f'<dialog open><p>We use cookies on this site, please accept them all to go on with it.</p></dialog><main>{BODY}</main>',
+    "reader comments": f'<article>{BODY}</article><div id="comments"><div class="comment">{OTHER}</div><div class="comment">{OTHER}</div></div>',
+    "role names": f'<div role="banner">{OTHER}</div><div role="main">{BODY}</div><div role="contentinfo">{OTHER}</div>',
+    "scripts and styles": f"<article><style>p > a {{}}</style>{BODY}<script>if (a < b) write('<p>no</p>')</script></article>",
+    "hidden in a comment": f"<article><!-- {OTHER} -->{BODY}</article>",
+    "inline markup": "<article>" + BODY.replace("words", "<b>wo<i>rd</i>s</b>").replace("reader", "<a href=/r>reader</a>") + "</article>",
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(name):
+    assert extract.main_text(f"<body>{LAYOUTS[name]}</body>") == "\n".join(LONG)
+
+
+def test_a_sign_in_form_is_not_a_frame():
+    form = "<form><p>Sign in with the name that you have chosen for yourself here.</p><label>Name</label><input><button>Go</button></form>"
+    assert extract.main_text(f"<body>{form}</body>") == ""
+
+
+def test_large_pages_take_linear_time():
+    page = "".join(f"<div><p>{'word ' * (i % 30)}text.</p><h2>a {i}</h2></div>" for i in range(25000))
+    odd = ["<div>" * 20000 + "x", "<p>" + "<span>" * 10000 + "<div>x</div>" * 10000, '<a href="x>' * 20000, "<p><b>x" * 10000]
+    start = time.process_time()
+    assert extract.main_text(page).count("\n") > 10000
+    for h in odd:
+        extract.main_text(h)
+    assert time.process_time() - start < 30
+
+
+def test_unclosed_quotes_leave_no_markup():
+    assert extract.main_text('<article><p>Before <a href="http://x.y>link</a> more words</p><p class="x>Lost <b class="y">bold</b> end.</p></article>') \
+        == "Before link more words\nLost bold end."
+
+
 @pytest.mark.parametrize("name", ["ad", "sidebar-left", "related-posts", "comment-list", "article-sidebar", "cookie-notice", "post-comments", "share_buttons"])
 def test_named_boilerplate_still_goes(name):
     extra = f'<div class="{name}"><p>{LONG[0].replace("first", "other")}</p><p>Buy the best shoes of the year now.</p></div>'
