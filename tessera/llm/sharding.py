@@ -21,17 +21,35 @@ SLOTS = 4096
 
 
 def records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes + 1; null text: 1), text_crc32, vslot.
-
-    The slot is a hash of the id and the text's checksum, so rows without id
-    spread too; identical rows share a slot.
-    """
+    """doc_id, size (UTF-8 bytes + 1; null text: 1), text_crc32, vslot (a hash of the id and the text's checksum)."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rec = df.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
                     F.crc32(text).cast("long").alias("text_crc32"))
     return rec.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
 
 
+def stored_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+    """``records``, written once; rows that are repeated more often than a slot has rows on average get slots of their own.
+
+    An (id, checksum) with more than the mean number of rows a slot and 16
+    more is spread by the number of the written row: at most ``slots`` such
+    keys exist, and they are counted only in slots of over four times the mean.
+    """
+    spark = df.sparkSession
+    rec = keep(spark, records(df, id_col, text_col, slots).withColumn("row", F.monotonically_increasing_id()), "shard-records")
+    counts = rec.groupBy("vslot").agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row per slot
+    mean = sum(r["n"] for r in counts) / slots
+    full = [r["vslot"] for r in counts if r["n"] > 4 * mean + 16]
+    if not full:
+        return rec.drop("row")
+    hot = (rec.where(F.col("vslot").isin(full)).groupBy("doc_id", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+           .where(F.col("n") > mean + 16).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), F.lit(True).alias("__hot")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_crc32") == F.col("__crc"))
+    spread = F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(slots)).cast("int")
+    marked = rec.join(F.broadcast(hot), same, "left").withColumn("vslot", F.when(F.col("__hot"), spread).otherwise(F.col("vslot")))
+    return marked.drop("row", "__id", "__crc", "__hot")
+
+
 def slot_loads(rec: DataFrame, slots: int = SLOTS) -> list[tuple[int, int]]:
     """Bytes of every slot, empty ones too (driver data bounded by the number of slots)."""
     got = {r["vslot"]: int(r["bytes"]) for r in rec.groupBy("vslot").agg(F.sum("size").alias("bytes")).collect()}
@@ -132,11 +150,12 @@ def shard_by_bytes(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_
 
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null
     under this law), virtual_slot, map_version.  Null text: size 1, checksum of
-    the empty text; null ids are hashed by their text; repeated rows share a
-    virtual slot and take different positions; empty table: empty result.
+    the empty text; null ids are hashed by their text; repeated rows take
+    different positions, and often repeated ones are spread over the slots;
+    empty table: empty result.
     """
     spark = df.sparkSession
-    rec = keep(spark, records(df, id_col, text_col, slots), "shard-records")
+    rec = stored_records(df, id_col, text_col, slots)
     slot_map = balanced_map(slot_loads(rec, slots), shards)
     stored = store_map(spark, slot_map, map_path or scratch_path(spark, "slot-map"), 0)
     return place(rec, stored).select(

@@ -111,6 +111,17 @@ def test_shards(spark):
     assert sharding.shard_by_bytes(empty(spark)).count() == 0
 
 
+def test_repeated_rows_spread_over_the_shards(spark):
+    data = [(None, "same text")] * 1000 + [(7, "other")] * 800 + [(k, "text %d" % k) for k in range(10, 1210)]
+    out = sharding.shard_by_bytes(frame(spark, data=data).repartition(3), shards=8)
+    res = got(out, "doc_id", "size", "text_crc32", "shard", "slot")
+    assert sorted((str(r[0]), r[1], r[2]) for r in res) == sorted((str(i), len(t) + 1, zlib.crc32(t.encode())) for i, t in data)
+    for shard in range(8):
+        mine = [r for r in res if r[3] == shard]
+        assert sorted(r[4] for r in mine) == list(range(len(mine)))
+        assert abs(sum(r[1] for r in mine) * 8 / sum(r[1] for r in res) - 1) < 0.03
+
+
 def test_map_edits():
     rng = random.Random(3)
     loads = [(s, rng.randint(0, 1000)) for s in range(512)]
