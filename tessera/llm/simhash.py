@@ -1,18 +1,21 @@
 """SimHash near-duplicate detection with BK-trees.
 
 Fingerprints are 64-bit SimHashes of word shingles.  Two fingerprints within
-``radius`` bits agree on at least one of ``radius + 1`` bit blocks, so every
-distinct fingerprint is routed to the shard of each of its blocks; a shard
-builds a BK-tree (children keyed by their integer Hamming distance to the
-parent) and searches it for its own members, following only the edges within
-the radius of the distance to the node.  A shard above ``MAX_TREE`` members is
-divided again by the blocks of its remaining bits - the same argument makes
-that exact - so no tree grows with the corpus.  A shard reports a spanning
-forest of its links, never all pairs, and components are joined as tables.
+``radius`` bits agree on at least one of ``radius + 1`` bit blocks and so on
+the first bits of that block.  Every distinct fingerprint is routed to the
+shard of the first bits of each of its blocks, as many bits as leave about
+``SHARD`` members in a shard; a shard builds a BK-tree (children keyed by
+their integer Hamming distance to the parent) and searches it for all its
+members, following only the edges within the radius of the distance to the
+node.  A shard above ``MAX_TREE`` members is divided again by the blocks of
+its remaining bits, taken whole - the same argument makes that exact - so no tree grows
+with the corpus.  A shard reports a spanning forest of its links, never all
+pairs, and components are joined as tables.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep
+from tessera.llm.common import keep, slots_for
 from tessera.llm.components import components
 
-#: Distinct fingerprints in one BK-tree.
-MAX_TREE = 16384
+#: Distinct fingerprints in one BK-tree: on average, and at most.
+SHARD, MAX_TREE = 4096, 16384
 #: Shingle hashes whose bits are counted together (bounds the memory of a batch).
 HASH_BLOCK = 1 << 17
 
@@ -157,10 +160,7 @@ def _tree_links(radius: int):
             a, b = [], []
             for fps in f["fps"]:
                 v = np.asarray(fps, np.int64)
-                if len(v) == 2:
-                    links = [(0, 1)] if np.bitwise_count(v[:1].view(np.uint64) ^ v[1:].view(np.uint64))[0] <= radius else []
-                else:
-                    links = spanning_links(v.view(np.uint64), radius)
+                links = spanning_links(v.view(np.uint64), radius)
                 a += [v[i] for i, _ in links]
                 b += [v[j] for _, j in links]
             yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
@@ -172,30 +172,35 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _block_masks(fixed: int, parts: int) -> list[int]:
-    """The bits outside ``fixed`` in ``parts`` runs of near equal length, each with the fixed bits."""
+def _block_masks(fixed: int, parts: int, bits: int) -> list[int]:
+    """The first ``bits`` of each of ``parts`` runs of near equal length of the bits outside ``fixed``, each with the fixed bits."""
     free = [i for i in range(64) if not fixed >> i & 1]
     cuts = [len(free) * k // parts for k in range(parts + 1)]
-    return [fixed | sum(1 << i for i in free[cuts[k]:cuts[k + 1]]) for k in range(parts)]
+    return [fixed | sum(1 << i for i in free[cuts[k]:min(cuts[k] + bits, cuts[k + 1])]) for k in range(parts)]
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 2, max_tree: int = MAX_TREE) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = 2, max_tree: int = MAX_TREE, shard: int = SHARD) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect all fingerprints within ``radius`` bits."""
     spark = fps.sparkSession
+    shard = min(shard, max_tree)
     links = None
     masks = {1: 0}  # shard family -> its fixed bits
     rows = fps.select("fp", F.lit(1).alias("family"))
+    total = rows.count()  # fingerprints at this level
     while True:
-        children = {f: [(f * (radius + 2) + k, m) for k, m in enumerate(_block_masks(bits, radius + 1), 1)]
-                    for f, bits in masks.items()}
+        bits = max(0, math.ceil(math.log2(max(1, total) / shard))) if links is None else 64  # a large shard is divided by whole blocks
+        parts = radius + 1 if bits else 1  # without bits one tree holds all
+        children = {f: [(f * (radius + 2) + k, m) for k, m in enumerate(_block_masks(fixed, parts, bits), 1)]
+                    for f, fixed in masks.items()}
         masks = {f: m for c in children.values() for f, m in c}
         pick = F.create_map(*[x for f, c in children.items() for x in (
             F.lit(f), F.array(*[F.struct(F.lit(g).alias("family"), F.lit(_signed(m)).cast("long").alias("mask")) for g, m in c]))])
         rows = rows.select("fp", F.explode(F.element_at(pick, F.col("family"))).alias("s"))
         rows = rows.select("fp", F.col("s.family").alias("family"), F.col("fp").bitwiseAND(F.col("s.mask")).alias("block"))
         sizes = keep(spark, rows.groupBy("family", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-shards")
-        grown = rows.join(sizes, ["family", "block"])
-        trees = grown.where(F.col("n") <= max_tree).groupBy("family", "block").agg(F.collect_list("fp").alias("fps"))
+        tasks = slots_for(parts * total, 8 * shard)
+        grown = rows.join(sizes.where(F.col("n") <= max_tree), ["family", "block"])
+        trees = grown.repartition(tasks, "family", "block").groupBy("family", "block").agg(F.collect_list("fp").alias("fps"))
         found = keep(spark, trees.select("fps").mapInPandas(_tree_links(radius), "a long, b long"), "simhash-links")
         links = found if links is None else links.union(found)
         big = sizes.where(F.col("n") > max_tree)
@@ -203,6 +208,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, max_tree: int = MAX_TREE)
             return links
         masks = {r[0]: masks[r[0]] for r in big.select("family").distinct().collect()}  # at most (radius + 1) ** level families
         rows = keep(spark, rows.join(big.select("family", "block"), ["family", "block"], "left_semi"), "simhash-rows")
+        total = rows.count()
 
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, max_tree: int, sha: bool = False) -> DataFrame:

@@ -163,6 +163,20 @@ def test_large_shards_are_divided_exactly(spark):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({roots.get(v, v) for v in signed})
 
 
+@pytest.mark.parametrize("shard", [64, 100_000])
+def test_shards_of_every_size_find_all_links(spark, shard):
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 2 ** 64, 4000, dtype=np.uint64)
+    for k in range(0, 2000, 2):  # a partner at 1 to 4 bits
+        values[k + 1] = values[k] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, 1 + k // 2 % 4, replace=False)))
+    values = np.unique(values)
+    near = [(i, i + 1 + int(j)) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(values[i + 1:] ^ values[i]) <= 2)]
+    fps = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    links = got(simhash.fingerprint_links(fps, radius=2, shard=shard))
+    want = {frozenset((int(values[i].view(np.int64)), int(values[j].view(np.int64)))) for i, j in near}
+    assert len(want) >= 500 and {frozenset(r) for r in links} == want
+
+
 def test_components_long_chain(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (5, 5), (101, 100)]
     assert dict(got(components.components(spark.createDataFrame(edges, "a long, b long")))) == {
