@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -467,58 +468,72 @@ def histogram(df: DataFrame, col: str, bins: int = 10, by: str | None = None, no
     return h
 
 
+#: Gaussian sums: boxes half a bandwidth wide, kernels expanded to this many terms about the box's centre and cut off
+#: beyond this many bandwidths.  One value's kernel (1 at its peak) is off by less than 1e-11.
+_KDE_TERMS, _KDE_REACH = 12, 8.5
+
+
+def _hermite(terms: int) -> list[list[int]]:
+    """Coefficients (by rising power) of the probabilists' Hermite polynomials of degree 0 to ``terms`` - 1."""
+    he = [[1], [0, 1]]
+    for k in range(1, terms - 1):
+        shifted = [0, *he[k]]
+        he.append([x - k * y for x, y in zip(shifted, he[k - 1] + [0, 0])])
+    return he[:terms]
+
+
 @nan_as_null
-def kde(df: DataFrame, col: str, points: int = 1000, by: str | None = None, fine_bins: int = 10000) -> DataFrame:
+def kde(df: DataFrame, col: str, points: int = 1000, by: str | None = None) -> DataFrame:
     """Gaussian KDE (Scott bandwidth, like scipy) on ``points`` grid points between min and max, per group.
 
-    One aggregate gives n, std, min and max per group; one grouped aggregate
-    linearly bins the values on a fine grid (at most ``fine_bins + 1`` rows per
-    group); each group's densities are then evaluated from its bins in an
-    Arrow batch.  Nothing is collected to the driver.
+    One aggregate gives n, std, min and max per group.  Values fall into boxes
+    half a bandwidth wide, and one grouped aggregate sums the powers of their
+    distance to the box's centre; a box then adds its expansion to the grid
+    points in reach, which every grid point gets from a few dozen boxes
+    whatever the number of rows.  The error is below 1e-11 of a kernel's peak.
+    A group without spread has NaN densities.
     """
-    import pandas as pd
     x = c(col).cast("double")
     keys = [by] if by else []
     base = df.where(x.isNotNull())
     if by:
         base = base.where(c(by).isNotNull())
-    gk = [c(k) for k in keys] if keys else [F.lit(0).alias("__g")]
-    gnames = keys if keys else ["__g"]
-    base = base.select(*gk, x.alias("__x"))
+    gnames = keys or ["__g"]
+    base = base.select(*([c(by)] if by else [F.lit(0).alias("__g")]), x.alias("__x"))
     st = base.groupBy(*gnames).agg(F.count("__x").alias("__n"), F.stddev_samp("__x").alias("__sd"),
                                     F.min("__x").alias("__a"), F.max("__x").alias("__b"))
-    j = base.join(st, gnames)  # one row of statistics per group; AQE broadcasts it when small
-    step = F.when(F.col("__b") > F.col("__a"), (F.col("__b") - F.col("__a")) / (fine_bins - 1)).otherwise(F.lit(1.0))
-    pos = (F.col("__x") - F.col("__a")) / step
-    i0 = F.floor(pos)
-    frac = pos - i0
-    binned = j.select(*gnames, "__n", "__sd", "__a", "__b", step.alias("__st"),
-                      F.explode(F.array(F.struct(i0.cast("long").alias("i"), (1 - frac).alias("w")),
-                                        F.struct((i0 + 1).cast("long").alias("i"), frac.alias("w")))).alias("__s"))
-    bins = binned.groupBy(*gnames, "__n", "__sd", "__a", "__b", "__st", F.col("__s.i").alias("__i")) \
-        .agg(F.sum("__s.w").alias("__w"))
-    key_fields = [df.schema[k] for k in keys] if keys else [T.StructField("__g", T.IntegerType(), False)]
-    schema = T.StructType(key_fields + [T.StructField("x", T.DoubleType()), T.StructField("density", T.DoubleType())])
-    npts = points
-
-    def dens(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, sd, a, b, st_ = (float(pdf[k].iloc[0]) for k in ("__n", "__sd", "__a", "__b", "__st"))
-        centres = a + pdf["__i"].to_numpy(dtype="float64") * st_
-        w = pdf["__w"].to_numpy(dtype="float64")
-        grid = np.linspace(a, b, npts)
-        h = (sd if sd == sd else 0.0) * n ** (-1 / 5)
-        if h > 0:
-            z = (grid[:, None] - centres[None, :]) / h
-            d = (np.exp(-0.5 * z * z) @ w) / (n * h * math.sqrt(2 * math.pi))
-        else:
-            d = np.full(npts, np.nan)
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * npts for k in gnames})
-        out["x"] = grid
-        out["density"] = d
-        return out
-
-    res = bins.groupBy(*gnames).applyInPandas(dens, schema)
-    return res.drop("__g") if not keys else res
+    a, b, h, n = F.col("__a"), F.col("__b"), F.col("__h"), F.col("__n")
+    st = st.withColumn("__h", F.col("__sd") * F.pow(n, -0.2))
+    step = (b - a) / F.lit(max(points - 1, 1))
+    box = F.floor((F.col("__x") - a) * 2 / h)
+    # one row of statistics per group; AQE broadcasts it when small
+    d = base.join(st.where((h > 0) & (h < float("inf"))).select(*gnames, "__a", "__h"), gnames).withColumn("__box", box)
+    d = d.withColumn("__u", (F.col("__x") - a) / h - (F.col("__box") + 0.5) / 2)
+    power, sums = F.lit(1.0), []
+    for k in range(_KDE_TERMS):
+        sums.append((F.sum(power) / math.factorial(k)).alias(f"__m{k}"))
+        power = power * F.col("__u")
+    boxes = d.groupBy(*gnames, "__box").agg(*sums)
+    he = _hermite(_KDE_TERMS)
+    terms = []  # the expansion as a polynomial of the distance in bandwidths
+    for i in range(_KDE_TERMS):
+        parts = [F.col(f"__m{k}") * float(he[k][i]) for k in range(i, _KDE_TERMS) if he[k][i]]
+        terms.append(reduce(lambda p, q: p + q, parts).alias(f"__c{i}"))
+    boxes = boxes.select(*gnames, ((F.col("__box") + 0.5) / 2).alias("__centre"), *terms).join(st, gnames)
+    place = F.col("__centre") * h / step  # of the box's centre on the grid
+    reach = F.lit(_KDE_REACH) * h / step
+    first, last = F.greatest(F.ceil(place - reach), F.lit(0)), F.least(F.floor(place + reach), F.lit(points - 1))
+    near = boxes.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("__i"))
+    t = F.col("__i") * step / h - F.col("__centre")
+    near = near.withColumn("__t", t)
+    value = F.col(f"__c{_KDE_TERMS - 1}")
+    for i in range(_KDE_TERMS - 2, -1, -1):
+        value = value * F.col("__t") + F.col(f"__c{i}")
+    sums = near.groupBy(*gnames, "__i").agg(F.sum(value * F.exp(F.col("__t") * F.col("__t") * -0.5)).alias("__s"))
+    grid = st.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("__i"))
+    at = F.when(F.col("__i") == points - 1, b).otherwise(a + F.col("__i") * step) if points > 1 else a
+    density = F.when((h > 0) & (h < float("inf")), F.coalesce("__s", F.lit(0.0)) / (n * h * math.sqrt(2 * math.pi))).otherwise(F.lit(float("nan")))
+    return grid.join(sums, [*gnames, "__i"], "left").select(*keys, at.alias("x"), density.alias("density"))
 
 
 def _ppf(dist: str, p: Column, params: dict) -> Column:

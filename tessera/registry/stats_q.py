@@ -216,19 +216,13 @@ def q_histogram_by_group_percent(spark, sf):
     return fin(ST.histogram(tbl(spark, sf, "events"), "value", 8, by="event_type", norm="percent"))
 
 
-def _kde_sql(table, col, points=200, fine=10000):
-    return rsql(f"""WITH d AS (SELECT {col} AS x FROM {table} WHERE {col} IS NOT NULL),
-  st AS (SELECT count(*) AS n, stddev_samp(x) AS sd, min(x) AS a, max(x) AS b,
-         CASE WHEN max(x) > min(x) THEN (max(x) - min(x)) / {float(fine - 1)} ELSE 1.0 END AS fs FROM d),
-  p AS (SELECT (x - a) / fs AS pos FROM d, st),
-  w AS (SELECT floor(pos)::BIGINT AS i, 1 - (pos - floor(pos)) AS w FROM p
-        UNION ALL SELECT floor(pos)::BIGINT + 1, pos - floor(pos) FROM p),
-  bins AS (SELECT i, sum(w) AS w FROM w GROUP BY i),
+def _kde_sql(table, col, points=200):
+    return rsql(f"""WITH d AS (SELECT {col}::DOUBLE AS x FROM {table} WHERE {col} IS NOT NULL AND NOT isnan({col}::DOUBLE)),
+  st AS (SELECT count(*) AS n, stddev_samp(x) AS sd, min(x) AS a, max(x) AS b FROM d),
   grid AS (SELECT CASE WHEN j = {points - 1} THEN b ELSE j * ((b - a) / {float(points - 1)}) + a END AS gx
            FROM st, (SELECT unnest(generate_series(0, {points - 1})) AS j))
-  SELECT gx AS x, sum(exp(-0.5 * power((gx - (a + bins.i * fs)) / (sd * power(n, -0.2)), 2)) * bins.w)
-         / (n * (sd * power(n, -0.2)) * sqrt(2 * pi())) AS density
-  FROM grid, bins, st GROUP BY gx, n, sd""", ["x", "density"])
+  SELECT gx AS x, sum(exp(-0.5 * power((gx - d.x) / (sd * power(n, -0.2)), 2))) / (n * (sd * power(n, -0.2)) * sqrt(2 * pi())) AS density
+  FROM grid, d, st GROUP BY gx, n, sd""", ["x", "density"])
 
 
 @register("kde", _kde_sql("events", "value"))

@@ -100,15 +100,22 @@ def test_histogram_matches_numpy(spark):
     assert [r["lower"] for r in h] == pytest.approx(edges[:-1].tolist())
 
 
-def test_kde_close_to_exact(spark):
+@pytest.mark.parametrize("points", [1, 50, 700])
+def test_kde_is_the_direct_sum(spark, points):
     rng = np.random.default_rng(6)
-    v = rng.normal(0, 1, 400)
-    df = spark.createDataFrame([(float(x),) for x in v], "v double")
-    k = ST.kde(df, "v", 50).orderBy("x").collect()
-    h = v.std(ddof=1) * len(v) ** (-1 / 5)
-    for r in k[::7]:
-        exact = np.exp(-0.5 * ((r["x"] - v) / h) ** 2).sum() / (len(v) * h * math.sqrt(2 * math.pi))
-        assert r["density"] == pytest.approx(exact, rel=1e-3)
+    groups = {"normal": rng.normal(0, 1, 900), "outlier": np.append(rng.normal(5, 1e-3, 60), 1e6), "ties": np.repeat([1.0, 1.0, 4.0], 20),
+              "large": 1e12 + rng.exponential(3, 200)}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("flat", 3.0)] * 4 + [("one", 2.0), ("flat", None), (None, 5.0), ("one", float("nan"))]
+    got = ST.kde(spark.createDataFrame(rows, "g string, v double").repartition(5), "v", points, by="g").orderBy("g", "x").collect()
+    assert len(got) == 6 * points
+    for g, v in groups.items():
+        h = v.std(ddof=1) * len(v) ** (-1 / 5)
+        mine = [r for r in got if r["g"] == g]
+        x = np.array([r["x"] for r in mine])
+        assert x == pytest.approx(np.linspace(v.min(), v.max(), points), rel=1e-14)
+        exact = np.exp(-0.5 * ((x[:, None] - v[None, :]) / h) ** 2).sum(axis=1) / (len(v) * h * math.sqrt(2 * math.pi))
+        assert [r["density"] for r in mine] == pytest.approx(exact, abs=(1e-4 if g == "large" else 1e-9) / h)
+    assert all(math.isnan(r["density"]) for r in got if r["g"] in ("flat", "one"))
 
 
 def test_fits(spark):
