@@ -118,14 +118,55 @@ def pacf(df: DataFrame, value: str, order_by, lags: int = 20, **kw) -> DataFrame
     return df.sparkSession.createDataFrame([(k, v, bound) for k, v in enumerate(out)], "lag int, pacf double, bound double")
 
 
+def _lag_products(base: DataFrame, value: str, order_by, lags: int, **kw) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, G, first values): G = X'X over rows t > ``lags`` of [1, y_(t-1), dy_(t-1) .. dy_(t-lags), dy_t], and y_0 .. y_lags.
+
+    One pass: a block with its halo is an array whose lagged differences are
+    views of it, multiplied a bounded slice at a time; no lag column is made.
+    """
+    import pandas as pd
+    p = lags + 3
+    full, _ = O.with_halo(base, order_by, None, lags + 2, **kw)
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__i")
+        y = pdf["y"].to_numpy(dtype="float64")
+        dy = np.diff(y)
+        g, n = np.zeros((p, p)), max(0, len(dy) - lags)
+        step = max(1, (1 << 22) // p)
+        for q in range(0, n, step):
+            m = min(step, n - q)
+            runs = np.lib.stride_tricks.sliding_window_view(dy[q:q + m + lags], lags + 1)  # ends at dy_t
+            x = np.column_stack([np.ones(m), y[q + lags:q + lags + m], runs[:, :-1][:, ::-1], runs[:, -1]])
+            g += x.T @ x
+        ii, jj = np.triu_indices(p)
+        out = pd.DataFrame({"i": ii, "j": jj, "v": g[ii, jj], "n": n})
+        if pdf["__i"].iloc[0] == 0:
+            first = y[:lags + 1]
+            out = pd.concat([out, pd.DataFrame({"i": -1, "j": np.arange(len(first)), "v": first, "n": 0})])
+        return out
+
+    rows = (full.select("__b2", "__i", c(value).cast("double").alias("y")).groupBy("__b2")
+            .applyInPandas(products, "i int, j int, v double, n long")
+            .groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect())  # (lags + 3)^2 / 2 rows
+    G, n = np.zeros((p, p)), 0
+    first = sorted((r["j"], r["v"]) for r in rows if r["i"] < 0)
+    for r in rows:
+        if r["i"] >= 0:
+            G[r["i"], r["j"]] = G[r["j"], r["i"]] = r["v"]
+            n = r["n"]
+    return int(n), G, np.array([v for _, v in first])
+
+
 @nan_as_null
 def adf(df: DataFrame, value: str, order_by, maxlag: int | None = None, autolag: str | None = "AIC",
         diff: int = 0, **kw) -> DataFrame:
     """Augmented Dickey-Fuller with a constant (statsmodels ``adfuller`` defaults).
 
-    The cross-product matrix of [1, y_(t-1), dy_(t-1..maxlag)] and dy_t is one
-    aggregate over the halo frame; lag selection by AIC and the final OLS run on
-    that small matrix.  ``diff`` differences the series first.
+    The cross-product matrix of [1, y_(t-1), dy_(t-1..maxlag)] and dy_t is
+    summed in one pass over blocks; lag selection by AIC and the final OLS run
+    on that small matrix, to which the rows that fewer lags leave at the
+    beginning are added.  ``diff`` differences the series first.
     """
     x = c(value).cast("double")
     base = df.select(*[c(o) for o in as_list(order_by)], x.alias("__y")).where(F.col("__y").isNotNull())
@@ -138,21 +179,18 @@ def adf(df: DataFrame, value: str, order_by, maxlag: int | None = None, autolag:
     if maxlag is None:
         maxlag = int(math.ceil(12.0 * (nobs / 100.0) ** 0.25))
         maxlag = min(nobs // 2 - 2, maxlag)
-    L = maxlag
-    full, w = O.with_halo(base, order_by, None, L + 2, **kw)
-    y = F.col("__y")
-    cols = {"__dy": y - F.lag(y, 1).over(w), "__ylag": F.lag(y, 1).over(w), "__one": F.lit(1.0)}
-    for k in range(1, L + 1):
-        cols[f"__d{k}"] = F.lag(y, k).over(w) - F.lag(y, k + 1).over(w)
-    full = full.withColumns(cols).where(~F.col("__halo")).cache()  # read by the two cross-product passes
-    names = ["__one", "__ylag"] + [f"__d{k}" for k in range(1, L + 1)]
-
-    def moments(min_t: int):
-        """Cross products of all regressors over rows t >= min_t (Arrow batches, summed by Spark)."""
-        from tessera.plans.linalg import cross_products
-        sub = full.where(F.col("__i") >= min_t)
-        n, G = cross_products(sub, names + ["__dy"])
-        p = len(names)
+    L = max(0, maxlag)
+    count, gram, first = _lag_products(base, "__y", order_by, L, **kw)
+
+    def moments(lags: int):
+        """n, X'X, X'y, y'y of the regression with ``lags`` lags over rows t > ``lags``."""
+        keep = [*range(lags + 2), L + 2]
+        n, G = count, gram[np.ix_(keep, keep)]
+        d = np.diff(first)
+        for t in range(lags + 1, len(first)):
+            row = np.array([1.0, first[t - 1], *d[t - 1 - lags:t - 1][::-1], d[t - 1]])
+            n, G = n + 1, G + np.outer(row, row)
+        p = lags + 2
         return n, G[:p, :p], G[:p, p], G[p, p]
 
     def ols(n, XtX, Xty, yy):
@@ -165,7 +203,7 @@ def adf(df: DataFrame, value: str, order_by, maxlag: int | None = None, autolag:
 
     if autolag:
         best = None
-        n, XtX, Xty, yy = moments(L + 1)
+        n, XtX, Xty, yy = moments(L)
         for k in range(0, L + 1):
             q = 2 + k
             beta, cov, llf = ols(n, XtX[:q, :q], Xty[:q], yy)
@@ -175,11 +213,10 @@ def adf(df: DataFrame, value: str, order_by, maxlag: int | None = None, autolag:
         usedlag = best[1]
     else:
         usedlag = L
-    n, XtX, Xty, yy = moments(usedlag + 1)
+    n, XtX, Xty, yy = moments(usedlag)
     q = 2 + usedlag
     beta, cov, _ = ols(n, XtX[:q, :q], Xty[:q], yy)
     stat = float(beta[1] / math.sqrt(cov[1, 1]))
-    full.unpersist()
     crit = S.adf_critical(n)
     row = (stat, S.adf_pvalue(stat), usedlag, n, crit["1%"], crit["5%"], crit["10%"])
     return df.sparkSession.createDataFrame([row], "statistic double, p_value double, lags int, nobs long, "

@@ -258,3 +258,26 @@ def test_kendall_with_hot_values(spark, blocks):
     s = sum(np.sign(x[i] - x[:i]) @ np.sign(y[i] - y[:i]) for i in range(len(x)))
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
     assert ST.kendall_tau(df, "x", "y", blocks=blocks).first()["s"] == s
+
+
+@pytest.mark.parametrize("rows_per_block", [30, None])
+@pytest.mark.parametrize("maxlag,autolag", [(None, "AIC"), (7, "AIC"), (4, None), (0, None)])
+def test_unit_root_regression_over_blocks(spark, rows_per_block, maxlag, autolag):
+    rng = np.random.default_rng(12)
+    y = np.cumsum(rng.normal(0, 1, 300)) * 0.2 + rng.normal(0, 1, 300)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "t long, y double").repartition(4)
+    got = TS.adf(df, "y", "t", maxlag, autolag, rows_per_block=rows_per_block).first()
+    top = math.ceil(12 * 3 ** 0.25) if maxlag is None else maxlag
+    dy = np.diff(y)
+
+    def fit(lags, skip):
+        x = np.array([[1.0, y[t - 1], *(dy[t - 1 - k] for k in range(1, lags + 1))] for t in range(skip + 1, len(y))])
+        z = dy[skip:]
+        beta, ssr = np.linalg.lstsq(x, z, rcond=None)[0], None
+        ssr = ((z - x @ beta) ** 2).sum()
+        se = math.sqrt(ssr / (len(z) - len(beta)) * np.linalg.inv(x.T @ x)[1, 1])
+        return beta[1] / se, len(z) * (math.log(2 * math.pi) + math.log(ssr / len(z)) + 1) + 2 * len(beta), len(z)
+
+    used = min(range(top + 1), key=lambda k: fit(k, top)[1]) if autolag else top
+    stat, _, n = fit(used, used)
+    assert (got["lags"], got["nobs"]) == (used, n) and got["statistic"] == pytest.approx(stat, rel=1e-9)
