@@ -63,14 +63,14 @@ def test_stages_with_awkward_rows(spark):
 
 def test_registered():
     q = E.queries()
-    assert "pipeline" in q and sum(k.startswith("op") and k[2].isdigit() for k in q) == 10
+    assert "pipeline" in q and sum(k.startswith("op") and k[2].isdigit() for k in q) == 13
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql_twins(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     rel = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in rel.description]
