@@ -4,8 +4,10 @@ A unit is a line, a sentence of a line, a run of consecutive short sentences
 (across lines) that reaches ``min_words`` words, or a paragraph that has short
 lines.  Units of at least ``min_words`` words are normalised and hashed;
 digests are grouped over the whole corpus, the earliest ranked occurrence
-(smallest id, then smallest offset) stays and every other one is removed.
-Spans are kept in the offsets of the original text.
+(smallest id, then smallest offset) stays.  The others of a text are joined
+where they touch or overlap, and a joined run of at least ``min_run`` words is
+removed: a sentence that two texts share by chance stays, a shared passage of
+many such sentences goes.  Spans are kept in the offsets of the original text.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from pyspark.sql.functions import pandas_udf
 
 from tessera.llm.common import keep, private
 
-#: Units with fewer words are never removed: short lines repeat by chance.
+#: Pieces of text with fewer words are units only together with those beside them.
 MIN_WORDS = 8
+#: Repeated units that touch are removed from this many words on: single sentences repeat by chance.
+MIN_RUN = 20
 #: A paragraph is a unit with this many times the least words.
 PARAGRAPH = 3
 
@@ -142,7 +146,7 @@ def units(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFram
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, th, start, len, keep_id: every occurrence to remove, in original offsets, and the id that keeps the unit."""
+    """doc_id, th, start, len, keep_id: every occurrence but the first, in original offsets, and the id that keeps the unit."""
     u = keep(df.sparkSession, units(df, id_col, text_col, min_words), "substring-units")
     first = (u.where(~F.col("again")).groupBy("h1", "h2")
              .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
@@ -156,29 +160,33 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 SPAN = 1 << 32
 
 
-def _cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Each text without the union of its spans, and that union."""
-    for texts, spans in parts:
-        out, removed = [], []
-        for t, s in zip(texts, spans):
-            union: list[list[int]] = []
-            if t is not None and s is not None:
-                for a, n in sorted(divmod(int(x), SPAN) for x in s):
-                    if union and a <= union[-1][1]:
-                        union[-1][1] = max(union[-1][1], a + n)
-                    else:
-                        union.append([a, a + n])
-            if union:
-                starts, ends = [0, *(e for _, e in union)], [*(a for a, _ in union), len(t)]
-                t = "".join(t[a:b] for a, b in zip(starts, ends))
-            out.append(t)
-            removed.append([a * SPAN + e - a for a, e in union])
-        yield pd.DataFrame({"text": out, "removed": removed})
+def _cutter(min_run: int):
+    def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        """Each text without the runs of its spans that have ``min_run`` words, and those runs."""
+        for texts, spans in parts:
+            out, removed = [], []
+            for t, s in zip(texts, spans):
+                union: list[list[int]] = []
+                if t is not None and s is not None:
+                    for a, n in sorted(divmod(int(x), SPAN) for x in s):
+                        if union and a <= union[-1][1]:
+                            union[-1][1] = max(union[-1][1], a + n)
+                        else:
+                            union.append([a, a + n])
+                    union = [[a, e] for a, e in union if len(t[a:e].split()) >= min_run]
+                if union:
+                    starts, ends = [0, *(e for _, e in union)], [*(a for a, _ in union), len(t)]
+                    t = "".join(t[a:b] for a, b in zip(starts, ends))
+                out.append(t)
+                removed.append([a * SPAN + e - a for a, e in union])
+            yield pd.DataFrame({"text": out, "removed": removed})
+
+    return pandas_udf(cut, "text string, removed array<long>")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                   removed_col: str | None = None) -> DataFrame:
-    """``df`` with repeated units cut out of the text, other columns unchanged.
+                   removed_col: str | None = None, min_run: int = MIN_RUN) -> DataFrame:
+    """``df`` with runs of repeated units (``min_run`` words or more) cut out of the text, other columns unchanged.
 
     ``removed_col`` adds the removed spans (array of start, length in
     characters of the original text, merged and in order).  Null and empty
@@ -193,7 +201,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                .agg(F.collect_set(F.col("start") * F.lit(SPAN) + F.col("len")).alias(k["spans"])))
     src = df.withColumn(k["hash"], F.xxhash64(F.col(f"`{text_col}`")))
     src = src.join(per_doc, F.col(f"`{id_col}`").eqNullSafe(F.col(k["id"])) & (F.col(k["hash"]) == F.col(k["hash2"])), "left")
-    src = src.withColumn(k["cut"], pandas_udf(_cut, "text string, removed array<long>")(F.col(f"`{text_col}`").cast("string"), F.col(k["spans"])))
+    src = src.withColumn(k["cut"], _cutter(min_run)(F.col(f"`{text_col}`").cast("string"), F.col(k["spans"])))
     out = [F.col(f"{k['cut']}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
     if removed_col:
         out.append(F.transform(F.col(f"{k['cut']}.removed"), lambda x: F.struct(

@@ -184,13 +184,56 @@ def test_components_long_chain(spark):
 
 
 # ---- substring dedup ------------------------------------------------------------------------------
-def brute_substring(data, least=substring.MIN_WORDS):
-    """Documents in rank order (null ids last); a unit stays at its first occurrence."""
+def brute_units(text, least):
+    """(start, end, words) of every unit, found by trying all runs of sentences."""
+    def words(a, b):
+        return len(text[a:b].split())
+    lines, at = [], 0
+    for line in text.split("\n"):
+        lines.append((at, at + len(line)))
+        at += len(line) + 1
+    pieces, spans = [], set()
+    for a, b in lines:
+        if words(a, b) >= least:
+            spans.add((a, min(b + 1, len(text))))
+        cuts = [a] + [k for k in range(a + 1, b) if text[k] not in " \t\r\v\f" and re.search(r"[.!?][ \t\r\v\f]+$", text[a:k])]
+        if re.search(r"[.!?][ \t\r\v\f]+$", text[a:b]):
+            cuts.append(b)
+        cuts.append(b)
+        for s, e in zip(cuts, cuts[1:]):
+            if words(s, e):
+                pieces.append((s, e, s == a, e == b))
+                if words(s, e) >= least and len(cuts) > 2:
+                    spans.add((s, e))
+    for i in range(len(pieces)):
+        for j in range(i + 1, len(pieces)):
+            n = [words(*p[:2]) for p in pieces[i:j + 1]]
+            if max(n) >= least:
+                break
+            if sum(n) >= least and min(sum(n[1:]), sum(n[:-1])) < least:
+                spans.add((pieces[i][0], min(pieces[j][1] + (pieces[i][2] and pieces[j][3]), len(text))))
+    at = 0
+    for end in [m.end() for m in re.finditer(r"\n[^\S\n]*\n", text)] + [len(text)]:
+        n = [len(x.split()) for x in text[at:end].split("\n")]
+        if sum(n) >= 3 * least and any(0 < x < least for x in n):
+            spans.add((at, end))
+        at = end
+    first, out = {}, []
+    for a, b in sorted(spans, key=lambda x: (x[0], -x[1])):
+        key = tuple(text[a:b].lower().split())
+        if key not in first or a >= first[key]:
+            out.append((a, b, key))
+        first.setdefault(key, b)
+    return out
+
+
+def brute_substring(data, least=8, run=20):
+    """Documents in rank order (null ids last); a unit stays at its first occurrence, and so do short runs of repeats."""
     first = {}
     units = {}
     for i, t in data:
         if t:
-            units[(i, t)] = [(a, b, key) for a, b, key in substring.unit_spans(t, least)]
+            units[(i, t)] = brute_units(t, least)
     for (i, t), found in units.items():
         for a, b, key in found:
             rank = (i is None, i or 0)
@@ -201,12 +244,20 @@ def brute_substring(data, least=substring.MIN_WORDS):
         if not t:
             out.append((i, t))
             continue
-        gone, seen = set(), set()
+        mark, seen = [0] * len(t), set()
         for a, b, key in units[(i, t)]:
             if first[key] != (i is None, i or 0) or key in seen:
-                gone |= set(range(a, b))
+                mark[a:b] = [1] * (b - a)
             seen.add(key)
-        out.append((i, "".join(c for k, c in enumerate(t) if k not in gone)))
+        kept, k = [], 0
+        while k < len(t):
+            e = k
+            while e < len(t) and mark[e] == mark[k]:
+                e += 1
+            if not mark[k] or len(t[k:e].split()) < run:
+                kept.append(t[k:e])
+            k = e
+        out.append((i, "".join(kept)))
     return Counter(out)
 
 
@@ -242,6 +293,23 @@ def test_substring_planted_passage_and_clean_text(spark):
     assert [out[10 + k] for k in range(5)] == clean
 
 
+def test_repeats_of_few_words_stay(spark):
+    rng = random.Random(3)
+    def words(n):
+        return " ".join("r%d" % rng.randint(0, 10 ** 6) for _ in range(n)) + "."
+    chance, ten, passage = words(13), [words(10), words(10)], " ".join(words(9) for _ in range(7))
+    data = [(k, f"{words(20)} {chance} {words(20)}\n{ten[0]}\n{words(12)}\n{ten[1]}\n{words(9)}\n{passage} {words(5)}") for k in range(3)]
+    data += [(8, chance), (9, f"{words(9)}\n{ten[0]}\n{ten[1]}\n{words(9)}")]
+    df = frame(spark, data=data)
+    out = dict(got(substring.remove_repeats(df), "doc_id", "text"))
+    assert out[0] == data[0][1] and out[8] == chance
+    for k in (1, 2):
+        assert chance in out[k] and ten[0] in out[k] and ten[1] in out[k]
+        assert not set(passage.split()) & set(out[k].split())
+    assert ten[0] not in out[9] and ten[1] not in out[9]  # twenty words together
+    assert chance not in dict(got(substring.remove_repeats(df, min_run=0), "doc_id", "text"))[1]
+
+
 def test_units_cover_lines_and_sentences():
     text = "One two three four five six seven eight. Nine ten.\nshort line\nA b c d e f g h"
     spans = [(a, b) for a, b, _ in substring.unit_spans(text)]
