@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import exprs as X
+from tessera.functions import fits
 from tessera.functions import special as S
 from tessera.functions.common import MAX_CATEGORIES, bounded_rows, c, nan_as_null
 from tessera.plans import ordered as O
+from tessera.session import written
 
 TEST_SCHEMA = ("test string, statistic double, p_value double, dof double, n long, alpha double, "
                "reject boolean, effect double, label string")
@@ -571,95 +573,92 @@ def qq(df: DataFrame, col: str, dist: str = "normal", **kw) -> DataFrame:
 
 
 # -- STA14-16: fits and normality --------------------------------------------------------------------------
-def _moments(df, x):
-    pos = F.when(x > 0, x)
-    return df.agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_pop(x).alias("sdp"),
-                  F.min(x).alias("a"), F.max(x).alias("b"), F.avg(F.ln(pos)).alias("ml"),
-                  F.stddev_pop(F.ln(pos)).alias("sl"), F.count(pos).alias("npos"), F.sum(F.ln(pos)).alias("sumlog")).first()
+#: Boxes a unit of asinh((x - centre) / scale), and a unit of ln x divided by its spread.
+_BOXES, _LOG_BOXES = 32, 8
+_EDGE = 1e-9
 
 
-def _fit_params(df: DataFrame, x: Column, dist: str, m) -> tuple[list[float], str]:
+def _box_sums(z: Column, weight: Column) -> list[Column]:
+    power, out = weight, []
+    for j in range(fits.DEGREE):
+        out.append(F.sum(power).alias(f"z{j}"))
+        power = power * z
+    return out
+
+
+def _linear_points(vc: DataFrame, centre: float, scale: float):
+    """Weighted points for functions of x that are smooth at the width ``scale`` around ``centre``: box widths grow outwards."""
+    k = F.floor(F.asinh((F.col("__x") - centre) / scale) * _BOXES)
+    lo, hi = F.sinh(k / _BOXES) * scale + centre, F.sinh((k + 1) / _BOXES) * scale + centre
+    d = vc.select("__c", k.alias("k"), ((lo + hi) / 2).alias("at"), ((hi - lo) / 2).alias("half"), "__x")
+    return _points(d.groupBy("k", "at", "half").agg(*_box_sums((F.col("__x") - F.col("at")) / F.col("half"), F.col("__c"))))
+
+
+def _log_points(vc: DataFrame, width: float):
+    """Weighted points for functions of ln x that are smooth at ``width``."""
+    k = F.floor(F.ln("__x") / width)
+    d = vc.select("__c", k.alias("k"), (k * width + width / 2).alias("at"), F.lit(width / 2).alias("half"), F.ln("__x").alias("__u"))
+    return _points(d.groupBy("k", "at", "half").agg(*_box_sums((F.col("__u") - F.col("at")) / F.col("half"), F.col("__c"))))
+
+
+def _points(boxes: DataFrame):
+    rows = boxes.drop("k").toPandas()
+    return fits.box_points(rows["at"], rows["half"], rows[[f"z{j}" for j in range(fits.DEGREE)]])
+
+
+def _fit_sums(vc: DataFrame) -> dict | None:
+    """What the estimates need, from two aggregates over the value counts; None without values."""
+    x, w = F.col("__x"), F.col("__c")
+    lx = F.ln(F.when(x > 0, x))
+    m = vc.agg(F.sum(w).alias("n"), (F.sum(w * x) / F.sum(w)).alias("m"), F.min(x).alias("a"), F.max(x).alias("b"),
+               F.coalesce(F.sum(F.when(x > 0, w)), F.lit(0)).alias("npos"),
+               (F.sum(w * lx) / F.sum(F.when(x > 0, w))).alias("ml"),
+               F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias("q")).first().asDict()
+    if not m["n"]:
+        return None
+    span = (m["b"] - m["a"]) or 1.0
+    z = F.least(F.greatest((x - m["a"]) / span, F.lit(_EDGE)), F.lit(1 - _EDGE))
+    m |= vc.agg(F.sum(w * (x - m["m"]) ** 2).alias("ss"), F.sum(w * (lx - F.lit(m["ml"])) ** 2).alias("sl"),
+                F.sum(w * F.ln(z)).alias("l1"), F.sum(w * F.ln(1 - z)).alias("l2"), F.sum(w * z).alias("mz")).first().asDict()
+    m["sd"] = math.sqrt(m["ss"] / m["n"])
+    m["sl"] = None if m["sl"] is None else math.sqrt(m["sl"] / m["npos"])
+    return m
+
+
+def _fit_params(vc: DataFrame, dist: str, m) -> tuple[list[float], str]:
     n = m["n"]
+    if dist in ("lognormal", "gamma", "weibull") and m["npos"] < n:
+        return [], "needs positive data"
+    if dist == "exponential":
+        return ([m["m"]], "ok") if m["m"] > 0 else ([], "needs a positive mean")
+    if m["b"] <= m["a"]:
+        return [], "constant data"
     if dist == "normal":
-        return [m["m"], m["sdp"]], "ok"
+        return [m["m"], m["sd"]], "ok"
     if dist == "lognormal":
-        if m["npos"] < n:
-            return [], "needs positive data"
         return [m["ml"], m["sl"]], "ok"
-    if dist == "exponential":
-        return [m["m"]], "ok"
     if dist == "uniform":
         return [m["a"], m["b"] - m["a"]], "ok"
     if dist == "gamma":
-        if m["npos"] < n:
-            return [], "needs positive data"
-        s = math.log(m["m"]) - m["ml"]
-        k = (3 - s + math.sqrt((s - 3) ** 2 + 24 * s)) / (12 * s) if s > 0 else float("inf")
-        for _ in range(50):
-            k_new = k - (math.log(k) - S.digamma(k) - s) / (1 / k - S.trigamma(k))
-            if abs(k_new - k) < 1e-12:
-                k = k_new
-                break
-            k = k_new
-        return [k, m["m"] / k], "ok"
-    if dist == "weibull":
-        if m["npos"] < n:
-            return [], "needs positive data"
-        k = 1.2 / (m["sl"] or 1.0)
-        lx = F.ln(x)
-        for _ in range(25):
-            r = df.agg(F.sum(F.pow(x, k)).alias("s0"), F.sum(F.pow(x, k) * lx).alias("s1"),
-                       F.sum(F.pow(x, k) * lx * lx).alias("s2")).first()
-            f = r["s1"] / r["s0"] - 1 / k - m["ml"]
-            fp = (r["s2"] * r["s0"] - r["s1"] ** 2) / r["s0"] ** 2 + 1 / k ** 2
-            step = f / fp
-            k = max(k - step, k / 2)
-            if abs(step) < 1e-10:
-                break
-        s0 = df.agg(F.avg(F.pow(x, k))).first()[0]
-        return [k, s0 ** (1 / k)], "ok"
+        return fits.gamma_params(m["m"], m["ml"]), "ok"
     if dist == "beta":
-        a_, b_ = m["a"], m["b"]
-        if b_ <= a_:
-            return [], "constant data"
-        z = (x - a_) / (b_ - a_)
-        eps = 1e-9
-        zc = F.least(F.greatest(z, F.lit(eps)), F.lit(1 - eps))
-        r = df.agg(F.avg(zc).alias("mz"), F.var_pop(zc).alias("vz"), F.avg(F.ln(zc)).alias("l1"),
-                   F.avg(F.ln(1 - zc)).alias("l2")).first()
-        common = r["mz"] * (1 - r["mz"]) / r["vz"] - 1
-        al, be = r["mz"] * common, (1 - r["mz"]) * common
-        for _ in range(100):
-            g1 = S.digamma(al) - S.digamma(al + be) - r["l1"]
-            g2 = S.digamma(be) - S.digamma(al + be) - r["l2"]
-            t0 = S.trigamma(al + be)
-            j11, j12, j22 = S.trigamma(al) - t0, -t0, S.trigamma(be) - t0
-            det = j11 * j22 - j12 * j12
-            da, db = (g1 * j22 - g2 * j12) / det, (j11 * g2 - j12 * g1) / det
-            al, be = max(al - da, al / 2), max(be - db, be / 2)
-            if abs(da) + abs(db) < 1e-12:
-                break
-        return [al, be, a_, b_ - a_], "ok"
+        span = m["b"] - m["a"]
+        return [*fits.beta_params(m["mz"] / n, (m["sd"] / span) ** 2, m["l1"] / n, m["l2"] / n), m["a"], span], "ok"
+    if dist == "weibull":
+        width = m["sl"] / _LOG_BOXES
+        while True:  # the boxes must be narrow for the shape that they give
+            shape, scale = fits.weibull_params(*_log_points(vc, width), m["ml"])
+            if shape * width <= 0.5:
+                return [shape, scale], "ok"
+            width = 0.2 / shape
     if dist == "t":
-        mu, sig, nu = m["m"], m["sdp"], 10.0
-        for _ in range(40):  # EM for location-scale t
-            w = (nu + 1) / (nu + ((x - mu) / sig) ** 2)
-            r = df.agg(F.sum(w).alias("sw"), F.sum(w * x).alias("swx"), F.count(x).alias("n")).first()
-            mu_new = r["swx"] / r["sw"]
-            r2 = df.agg(F.sum(w * (x - mu_new) ** 2).alias("q"), F.avg(F.ln(w) - w).alias("lw")).first()
-            sig_new = math.sqrt(r2["q"] / r["n"])
-            c_ = 1 + r2["lw"] + S.digamma((nu + 1) / 2) - math.log((nu + 1) / 2)
-            lo, hi = 0.05, 1e4
-            for _ in range(80):
-                mid = math.sqrt(lo * hi)
-                val = -S.digamma(mid / 2) + math.log(mid / 2) + c_
-                lo, hi = (mid, hi) if val > 0 else (lo, mid)
-            nu_new = math.sqrt(lo * hi)
-            done = abs(mu_new - mu) + abs(sig_new - sig) < 1e-9 * (1 + abs(sig))
-            mu, sig, nu = mu_new, sig_new, nu_new
-            if done:
-                break
-        return [nu, mu, sig], "ok"
+        width = min(m["sd"], (m["q"][2] - m["q"][0]) or m["sd"])
+        centre = m["q"][1]
+        while True:  # the boxes must be narrow for the centre that they give
+            nu, mu, sigma = fits.t_params(*_linear_points(vc, centre, width), m["m"], m["sd"])
+            if sigma * math.sqrt(nu) >= width / 4 and abs(mu - centre) <= 4 * width:
+                return [nu, mu, sigma], "ok"
+            centre, width = mu, min(width, sigma * math.sqrt(nu))
     raise ValueError(dist)
 
 
@@ -711,41 +710,61 @@ def _cdf_udf(dist: str, p: list[float]):
     return cdf_udf(dist, p)
 
 
+_FIT_SCHEMA = ("distribution string, params array<double>, ks double, p_value double, aic double, bic double, "
+               "loglik double, status string")
+
+
 @nan_as_null
-def fit_distribution(df: DataFrame, col: str, dist: str = "normal", **kw) -> DataFrame:
-    """One row: (distribution, params, ks, p_value, aic, bic, loglik, status)."""
+def fit_distributions(df: DataFrame, col: str, dists: Sequence[str], **kw) -> DataFrame:
+    """One row per distribution: (distribution, params, ks, p_value, aic, bic, loglik, status).
+
+    The rows are read once, into a written table of values and their counts.
+    Two aggregates over that table give the moments, one more the boxes of a
+    Weibull or t fit (``functions.fits``), and one ranked pass every
+    Kolmogorov-Smirnov distance and log-likelihood at once.  ``status`` says
+    why a distribution has no fit (no data, constant data, values that are
+    not positive).
+    """
     x = c(col).cast("double")
-    base = df.where(x.isNotNull()).select(x.alias("__x"))
-    xc = F.col("__x")
-    m = _moments(base, xc)
-    params, status = _fit_params(base, xc, dist, m)
-    schema = ("distribution string, params array<double>, ks double, p_value double, aic double, bic double, "
-              "loglik double, status string")
-    if status != "ok":
-        return df.sparkSession.createDataFrame([(dist, None, None, None, None, None, None, status)], schema)
-    ll = base.agg(F.sum(_logpdf(dist, xc, params))).first()[0]
-    kcount = len(params) - (2 if dist == "beta" else 0)
-    n = m["n"]
-    cdf = _cdf_column(dist, xc, params)
-    d = O.row_index(base, ["__x"], None, "__r", **kw)
-    fx = cdf if cdf is not None else _cdf_udf(dist, params)(F.col("__x"))
-    d = d.withColumn("__F", fx)
-    ks = d.agg(F.max(F.greatest((F.col("__r") + 1) / n - F.col("__F"), F.col("__F") - F.col("__r") / n))).first()[0]
-    p = S.kolmogorov_sf(ks, n)
-    aic = 2 * kcount - 2 * ll
-    bic = kcount * math.log(n) - 2 * ll
-    return df.sparkSession.createDataFrame([(dist, [float(v) for v in params], float(ks), float(p), float(aic),
-                                             float(bic), float(ll), "ok")], schema)
+    vc = written(df.where(x.isNotNull()).groupBy(x.alias("__x")).agg(F.count(F.lit(1)).alias("__c")), "value-counts")
+    m = _fit_sums(vc)
+    fitted = {d: _fit_params(vc, d, m) if m else ([], "no data") for d in dists}
+    good = [d for d in fitted if fitted[d][1] == "ok"]
+    found = {}
+    if good:
+        n, xc, w = m["n"], F.col("__x"), F.col("__c")
+        ranked = O.cumulative(vc, ["__c"], "sum", ["__x"], None, {"__c": "__cum"}, **kw)
+        cdfs = {d: _cdf_column(d, xc, fitted[d][0]) for d in good}
+        ranked = ranked.withColumns({f"__F{i}": cdfs[d] if cdfs[d] is not None else _cdf_udf(d, fitted[d][0])(xc)
+                                     for i, d in enumerate(good)})
+        aggs = []
+        for i, d in enumerate(good):
+            fx = F.col(f"__F{i}")
+            aggs += [F.max(F.greatest(F.col("__cum") / n - fx, fx - (F.col("__cum") - w) / n)).alias(f"ks{i}"),
+                     F.sum(w * _logpdf(d, xc, fitted[d][0])).alias(f"ll{i}")]
+        found = ranked.agg(*aggs).first()
+    rows = []
+    for d in dists:
+        params, status = fitted[d]
+        if status != "ok":
+            rows.append((d, None, None, None, None, None, None, status))
+            continue
+        ks, ll = found[f"ks{good.index(d)}"], found[f"ll{good.index(d)}"]
+        count = len(params) - (2 if d == "beta" else 0)
+        rows.append((d, [float(v) for v in params], float(ks), float(S.kolmogorov_sf(ks, n)), float(2 * count - 2 * ll),
+                     float(count * math.log(n) - 2 * ll), float(ll), "ok"))
+    return df.sparkSession.createDataFrame(rows, _FIT_SCHEMA)
+
+
+def fit_distribution(df: DataFrame, col: str, dist: str = "normal", **kw) -> DataFrame:
+    """``fit_distributions`` for one distribution."""
+    return fit_distributions(df, col, [dist], **kw)
 
 
-@nan_as_null
 def compare_fits(df: DataFrame, col: str, dists: Sequence[str] = ("normal", "lognormal", "exponential", "gamma",
                                                                   "weibull", "beta")) -> DataFrame:
     """Fits of several distributions ranked by AIC; ``best`` marks the minimum."""
-    out = None
-    for d in dists:
-        f = fit_distribution(df, col, d)
-        out = f if out is None else out.unionByName(f)
+    out = fit_distributions(df, col, list(dists))
     best = out.where(F.col("status") == "ok").agg(F.min("aic")).scalar()
     return out.withColumn("best", F.coalesce(F.col("aic") == best, F.lit(False)))
 

@@ -565,13 +565,9 @@ _FIT_DISTS = ["normal", "lognormal", "exponential", "uniform"]
                                   " UNION ALL ".join(_fit_sql(d) for d in _FIT_DISTS),
                                   ["p1", "p2", "ks", "p_value", "aic", "bic", "loglik"], 5))
 def q_fit_closed_form(spark, sf):
-    out = None
-    for dist in _FIT_DISTS:
-        f = ST.fit_distribution(tbl(spark, sf, "events"), "value", dist).select(
-            "distribution", F.col("params")[0].alias("p1"),
-            (F.col("params")[1] if dist != "exponential" else F.lit(None).cast("double")).alias("p2"),
-            "ks", "p_value", "aic", "bic", "loglik")
-        out = f if out is None else out.unionByName(f)
+    out = ST.fit_distributions(tbl(spark, sf, "events"), "value", _FIT_DISTS).select(
+        "distribution", F.col("params")[0].alias("p1"), F.try_element_at("params", F.lit(2)).alias("p2"),
+        "ks", "p_value", "aic", "bic", "loglik")
     return fin(out, 5)
 
 

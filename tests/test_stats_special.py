@@ -133,6 +133,76 @@ def test_fits(spark):
     assert cmp_["distribution"] == "gamma"
 
 
+def _direct_like(dist, v, p):
+    """Log-likelihood summed over the values themselves."""
+    if dist == "t":
+        nu, mu, s = p
+        return (len(v) * (math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi) - math.log(s))
+                - (nu + 1) / 2 * np.log1p(((v - mu) / s) ** 2 / nu).sum())
+    if dist == "weibull":
+        return (math.log(p[0] / p[1]) + (p[0] - 1) * np.log(v / p[1]) - (v / p[1]) ** p[0]).sum()
+    k, th = p
+    return ((k - 1) * np.log(v) - v / th - math.lgamma(k) - k * math.log(th)).sum()
+
+
+def _fit_samples():
+    rng = np.random.default_rng(3)
+    cauchy = 1e6 + rng.standard_t(1.0, 1500) * 0.01  # far from zero, heavy tails
+    return {"t": [rng.standard_t(4.0, 3000) * 2 + 7, cauchy, np.round(rng.standard_t(3.0, 3000), 1)],
+            "weibull": [rng.weibull(1.7, 3000) * 5, 1000 * rng.weibull(60.0, 800), rng.weibull(0.3, 800)],
+            "gamma": [rng.gamma(0.7, 9.0, 2000)]}
+
+
+@pytest.mark.parametrize("dist", ["t", "weibull", "gamma"])
+def test_fits_are_at_the_top_of_the_likelihood(spark, dist):
+    for v in _fit_samples()[dist]:
+        df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (math.nan,)], "v double")
+        r = ST.fit_distributions(df, "v", [dist]).first()
+        p = list(r["params"])
+        top = _direct_like(dist, v, p)
+        assert r["loglik"] == pytest.approx(top, rel=1e-10, abs=1e-6)
+        for i in range(len(p)):
+            for step in (1 - 1e-4, 1 + 1e-4):
+                near = [q * step if j == i and not (dist == "t" and i == 1) else q for j, q in enumerate(p)]
+                if dist == "t" and i == 1:
+                    near[1] = p[1] + (step - 1) * p[2]
+                assert _direct_like(dist, v, near) <= top + 1e-9 * abs(top)
+        if dist == "weibull":  # the equations hold to rounding on the values themselves
+            e, u = (v / v.max()) ** p[0], np.log(v)
+            assert (e @ u) / e.sum() - 1 / p[0] - u.mean() == pytest.approx(0, abs=1e-10)
+
+
+def test_fits_read_the_rows_once(spark):
+    v = np.random.default_rng(5).gamma(2.0, 3.0, 4000)
+    read = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(float(x),) for x in np.round(v, 2) + 0.01], "v double")
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    names = ["normal", "lognormal", "exponential", "uniform", "gamma", "weibull", "beta", "t"]
+    whole = ST.fit_distributions(df.mapInArrow(count, "v double"), "v", names).collect()
+    assert read.value == 4000 and [r["status"] for r in whole] == ["ok"] * 8
+    blocks = ST.fit_distributions(df, "v", names, rows_per_block=100).collect()
+    for a, b in zip(whole, blocks):
+        assert a["ks"] == pytest.approx(b["ks"], rel=1e-9) and a["params"] == pytest.approx(b["params"], rel=1e-9)
+
+
+def test_fits_without_data(spark):
+    def status(values):
+        df = spark.createDataFrame([(x,) for x in values], "v double")
+        return {r["distribution"]: r["status"] for r in ST.fit_distributions(
+            df, "v", ["normal", "lognormal", "exponential", "uniform", "gamma", "weibull", "beta", "t"]).collect()}
+    assert set(status([]).values()) == {"no data"} == set(status([None, math.nan]).values())
+    flat = status([3.0] * 5)
+    assert flat.pop("exponential") == "ok" and set(flat.values()) == {"constant data"}
+    mixed = status([-2.0, -1.0, 0.5, 1.0])
+    assert [mixed[d] for d in ("lognormal", "gamma", "weibull")] == ["needs positive data"] * 3
+    assert mixed["exponential"] == "needs a positive mean" and mixed["t"] == mixed["beta"] == "ok"
+
+
 def test_trends_and_lowess(spark):
     x = np.arange(60, dtype=float)
     y = 2.0 + 0.5 * x - 0.01 * x ** 2
