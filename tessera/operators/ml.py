@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -172,8 +173,65 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], trees: int = 100, sampl
 
 
 # -- DBSCAN -------------------------------------------------------------------------------------
+#: From this many parts of a cell's side on, every point is a box: doubles tell no smaller parts apart.
+_FINEST = 1 << 40
+
+
+def _dense_links(points: DataFrame, gcols: list[str], zc: list[str], side: float, eps: float, offsets) -> DataFrame:
+    """(u, v): pairs of neighbouring cells that hold a point each within ``eps`` of the other.
+
+    A search for a close pair that goes down both cells at once.  A box is the
+    bounding box of a part of a cell's points and one of them; a pair of boxes
+    farther apart than ``eps`` is dropped, and a pair of cells is linked by
+    two points or two whole boxes within ``eps``.  What is left undecided is
+    halved on every axis, with the points of undecided boxes only, until
+    nothing is left; boxes of equal points decide themselves.
+    """
+    reach, parts = eps * eps, len(zc)
+    up = [f"__p{i}" for i in range(parts)]
+    at = [f"__f{i}" for i in range(parts)]
+    links, undecided, level = [], None, 1
+    live = points.select(*gcols, *zc)
+    while True:
+        cell = live.select("*", *[F.floor((F.col(z) / side - F.col(g)) * level).cast("long").alias(f)
+                                  for z, g, f in zip(zc, gcols, at)])
+        boxes = cell.groupBy(*gcols, *at, *(zc if level >= _FINEST else [])).agg(*[F.min(z).alias(f"lo{z}") for z in zc], *[F.max(z).alias(f"hi{z}") for z in zc],
+                                              F.min(F.struct(*zc)).alias("one"))
+        boxes = written(boxes.select("*", *[F.shiftright(f, 1).alias(p) for f, p in zip(at, up)]), "dbscan-boxes")
+        left, right = (boxes.select(*[F.col(x).alias(side_ + x) for x in boxes.columns]) for side_ in ("a", "b"))
+        if undecided is None:
+            left = left.withColumn("__o", F.explode(offsets))
+            near = [F.col(f"a{g}") + F.col("__o")[i] == F.col(f"b{g}") for i, g in enumerate(gcols)]
+            first = F.struct(*[F.col(f"a{g}") for g in gcols]) < F.struct(*[F.col(f"b{g}") for g in gcols])
+            pairs = left.join(right, near).where(first)
+        else:
+            pairs = undecided.join(left, [f"a{x}" for x in gcols + up]).join(right, [f"b{x}" for x in gcols + up])
+        apart, across, found = F.lit(0.0), F.lit(0.0), F.lit(0.0)
+        for z in zc:
+            lo_a, hi_a, lo_b, hi_b = (F.col(x + z) for x in ("alo", "ahi", "blo", "bhi"))
+            apart = apart + F.greatest(lo_b - hi_a, lo_a - hi_b, F.lit(0.0)) ** 2
+            across = across + F.greatest(hi_b - lo_a, hi_a - lo_b) ** 2
+            found = found + (F.col("aone")[z] - F.col("bone")[z]) ** 2
+        cells = [f"a{g}" for g in gcols] + [f"b{g}" for g in gcols]
+        pairs = written(pairs.where(apart <= reach).select(*cells, *[f"a{f}" for f in at], *[f"b{f}" for f in at],
+                                                           ((across <= reach) | (found <= reach)).alias("sure")), "dbscan-frontier")
+        linked = pairs.where("sure").select(*cells).distinct()
+        links.append(linked)
+        undecided = written(pairs.where("not sure").join(linked, cells, "left_anti").select(
+            *cells, *[F.col(s_ + f).alias(s_ + p) for s_ in ("a", "b") for f, p in zip(at, up)]), "dbscan-undecided")
+        if undecided.isEmpty():
+            break
+        open_boxes = undecided.select(*[F.col(f"a{x}").alias(x) for x in gcols + up]).union(
+            undecided.select(*[F.col(f"b{x}").alias(x) for x in gcols + up])).distinct()
+        inside = cell.select(*gcols, *zc, *[F.col(f).alias(p) for f, p in zip(at, up)])
+        live = written(inside.join(open_boxes, gcols + up, "left_semi").select(*gcols, *zc).distinct(), "dbscan-live")
+        level *= 2
+    return reduce(DataFrame.union, links).select(F.struct(*[F.col(f"a{g}").alias(g) for g in gcols]).alias("u"),
+                                                 F.struct(*[F.col(f"b{g}").alias(g) for g in gcols]).alias("v"))
+
+
 def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: int = 5, out: str = "dbscan_cluster",
-           key: str | None = None, max_rounds: int = 100, fine: int = 4) -> DataFrame:
+           key: str | None = None) -> DataFrame:
     """DBSCAN on standardised columns (label -1 = noise), grid based, without all-pairs in dense regions.
 
     Cells have side eps / sqrt(d), so points sharing a cell are neighbours:
@@ -182,12 +240,12 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
     (fewer than ``min_samples`` points), which bounds the pairs by
     ``min_samples x (neighbour cells) x n``.  Core cells are graph nodes; two
     neighbouring core cells are linked when some core pair is within eps:
-    enumerated when one side is sparse, decided on a ``fine``-times finer
-    grid (box distances) when both are dense, enumerating only the fine-cell
-    pairs that straddle the eps boundary.  Components come from iterated
-    min-label propagation over the cell graph (checkpointed); border points
-    take the smallest adjacent core label; clusters are numbered by their
-    smallest point key.  Supports up to 4 dimensions.
+    enumerated when one side is sparse, found by ``_dense_links`` when both
+    are dense.  Components come from min-label propagation over the cell
+    graph (checkpointed) until a round changes nothing; border points take the
+    smallest adjacent core label; clusters are numbered by their smallest
+    point key.  Without ``key`` the rows are written with a row number first,
+    so a lost executor cannot renumber them.  Supports up to 4 dimensions.
     """
     import itertools
     import math as _m
@@ -198,7 +256,7 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
         raise ValueError("dbscan grid search supports up to 4 dimensions")
     d, z = standardized(df, cols)
     if key is None:
-        d = d.withColumn("__id", F.monotonically_increasing_id())
+        d = written(d.withColumn("__id", F.monotonically_increasing_id()), "dbscan-rows")
         key = "__id"
     side = eps / _m.sqrt(d_)
     reach = int(_m.ceil(_m.sqrt(d_))) + 1
@@ -223,9 +281,9 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
         return j.where(dist2 <= eps * eps)
 
     sparse = pts.where(F.col("__cnt") < min_samples)
-    sp_pairs = neighbours(sparse, pts, "a", "b").select(
+    sp_pairs = written(neighbours(sparse, pts, "a", "b").select(
         "a", "b", *[F.col(f"a{g}").alias(f"ca{i}") for i, g in enumerate(gcols)],
-        *[F.col(g).alias(f"cb{i}") for i, g in enumerate(gcols)]).persist()  # read three times below
+        *[F.col(g).alias(f"cb{i}") for i, g in enumerate(gcols)]), "dbscan-pairs")
     sp_core = sp_pairs.groupBy("a").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_samples) \
         .select(F.col("a").alias("__pid"))
     core = pts.where(F.col("__cnt") >= min_samples).select("__pid").unionByName(sp_core)
@@ -239,40 +297,15 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
         .join(core_ids.withColumnRenamed("__c", "b"), "b", "left_semi") \
         .select(F.struct(*[F.col(f"ca{i}").alias(g) for i, g in enumerate(gcols)]).alias("u"),
                 F.struct(*[F.col(f"cb{i}").alias(g) for i, g in enumerate(gcols)]).alias("v"))
-    # dense-dense neighbours: fine cells, box distances, enumerate only straddling fine pairs
-    dense_pts = pts.where(F.col("__cnt") >= min_samples)
-    fside = side / fine
-    fcols = [f"__f{i}" for i in range(d_)]
-    dense_pts = dense_pts.select("*", *[F.floor(F.col(c_) / fside).cast("long").alias(f) for c_, f in zip(zc, fcols)])
-    fcells = dense_pts.select(*gcols, *fcols).distinct()
-    fa = fcells.select(*[F.col(g).alias(f"a{g}") for g in gcols], *[F.col(f).alias(f"a{f}") for f in fcols],
-                       F.explode(off_arr).alias("__o"))
-    fa = fa.select("*", *[(F.col(f"a{g}") + F.col("__o")[i]).alias(g) for i, g in enumerate(gcols)])
-    fb = fcells.select(*gcols, *[F.col(f).alias(f"b{f}") for f in fcols])
-    fp = fa.join(fb, gcols).where(F.struct(*[F.col(f"a{g}") for g in gcols]) < F.struct(*[F.col(g) for g in gcols]))
-    # box distances between fine cells (index gap k -> min (|k|-1)*fside, max (|k|+1)*fside)
-    gap = [F.abs(F.col(f"b{f}") - F.col(f"a{f}")) for f in fcols]
-    mind2 = sum((F.greatest(g_ - 1, F.lit(0)) * fside) ** 2 for g_ in gap)
-    maxd2 = sum(((g_ + 1) * fside) ** 2 for g_ in gap)
-    fp = fp.where(mind2 <= eps * eps).withColumn("__sure", maxd2 <= eps * eps)
-    uv = [F.struct(*[F.col(f"a{g}").alias(g) for g in gcols]).alias("u"), F.struct(*[F.col(g) for g in gcols]).alias("v")]
-    e2 = fp.where("__sure").select(*uv)
-    edge_fp = fp.where(~F.col("__sure"))
-    pa = dense_pts.select(*[F.col(g).alias(f"a{g}") for g in gcols], *[F.col(f).alias(f"a{f}") for f in fcols],
-                          *[F.col(c_).alias(f"a{c_}") for c_ in zc])
-    pb = dense_pts.select(*gcols, *[F.col(f).alias(f"b{f}") for f in fcols], *[F.col(c_).alias(f"b{c_}") for c_ in zc])
-    straddle = edge_fp.join(pa, [f"a{g}" for g in gcols] + [f"a{f}" for f in fcols]) \
-        .join(pb, gcols + [f"b{f}" for f in fcols])
-    dist2 = sum(((F.col(f"a{c_}") - F.col(f"b{c_}")) ** 2 for c_ in zc), F.lit(0.0))
-    e3 = straddle.where(dist2 <= eps * eps).select(*uv)
-    edges = e1.unionByName(e2).unionByName(e3).where(F.col("u") != F.col("v")).distinct()
+    e2 = _dense_links(pts.where(F.col("__cnt") >= min_samples).select(*gcols, *zc), gcols, zc, side, eps, off_arr)
+    edges = e1.unionByName(e2).where(F.col("u") != F.col("v")).distinct()
     edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
     from tessera.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
     labels = core_cells.select(cell_id.alias("u"), cell_id.alias("__lab")).checkpoint()
     edges = edges.checkpoint()
-    for r in range(max_rounds):
+    while True:
         prop = edges.join(labels.withColumnRenamed("u", "v").withColumnRenamed("__lab", "__vl"), "v") \
             .groupBy("u").agg(F.min("__vl").alias("__m"))
         new = labels.join(prop, "u", "left").select("u", F.least("__lab", F.coalesce("__m", "__lab")).alias("__lab"))

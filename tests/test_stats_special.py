@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -320,6 +321,49 @@ def test_dbscan_matches_brute_force(spark):
     assert [got[i] for i in range(len(Z))] == expect
 
 
+@pytest.mark.parametrize("dims", [1, 2, 3])
+def test_links_of_dense_cells(spark, dims, monkeypatch):
+    from tessera.operators import ml as ML
+    rng = np.random.default_rng(dims)
+    eps = 1.0
+    side = eps / math.sqrt(dims)
+    reach = math.ceil(math.sqrt(dims)) + 1
+    offs = [o for o in itertools.product(range(-reach, reach + 1), repeat=dims)
+            if sum(max(abs(v) - 1, 0) ** 2 for v in o) * side * side <= eps * eps]
+    z = np.vstack([rng.uniform(0, side * 4, (60, dims)),  # some cells with few points: many pairs near the limit
+                   np.repeat(rng.uniform(0, side, (1, dims)), 30, axis=0)])
+    if dims == 1:
+        z = np.vstack([z, [[10.25], [11.25], [20.0], [21.0 + 1e-15], [30.0], [np.nextafter(31.0, 32)]]])
+    if dims == 2:  # an arc just outside the reach of a point and one just inside
+        turn = rng.uniform(0, math.pi / 2, (400, 1))
+        ring = np.hstack([np.cos(turn), np.sin(turn)])
+        z = np.vstack([z, [[40.0, 40.0]], 40 + ring * (1 + 1e-7), [[60.0, 60.0]], 60 + ring * (1 - 1e-7)])
+    g = np.floor(z / side).astype(int)
+    want = set()
+    for i in range(len(z)):
+        d2 = np.zeros(len(z))
+        for j in range(dims):
+            d2 = d2 + (z[i, j] - z[:, j]) ** 2
+        want |= {(tuple(map(int, g[i])), tuple(map(int, g[k]))) for k in np.where(d2 <= eps * eps)[0] if tuple(g[i]) < tuple(g[k])}
+    gcols, zc = [f"__g{j}" for j in range(dims)], [f"__z{j}" for j in range(dims)]
+    df = spark.createDataFrame([(*map(int, a), *map(float, b)) for a, b in zip(g, z)],
+                               ", ".join([f"{x} long" for x in gcols] + [f"{x} double" for x in zc]))
+    offsets = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])
+    for finest in (ML._FINEST, 4):
+        monkeypatch.setattr(ML, "_FINEST", finest)
+        got = [(tuple(r["u"]), tuple(r["v"])) for r in ML._dense_links(df, gcols, zc, side, eps, offsets).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_dbscan_touching_dense_cells(spark):
+    from tessera.operators import ml as ML
+    # two strips of many points 1.5 apart and a bridge; standardised by the population's mean and deviation
+    df = spark.range(60000).select("id", (F.col("id") % 2 * 1.5 + F.rand(1) * 0.2).alias("x"), (F.rand(2) * 0.2).alias("y"))
+    sd = df.agg(F.stddev_pop("x")).first()[0]
+    two = ML.dbscan(df, ["x", "y"], 0.8, 10, out="c").groupBy((F.col("id") % 2).alias("s"), "c").count().collect()
+    assert sd > 0 and sorted((r["s"], r["c"], r["count"]) for r in two) in ([(0, 0, 30000), (1, 1, 30000)], [(0, 1, 30000), (1, 0, 30000)])
+
+
 @pytest.mark.parametrize("blocks", [1, 4, 9])
 def test_kendall_with_hot_values(spark, blocks):
     rng = np.random.default_rng(4)
