@@ -69,3 +69,17 @@ def test_empty_and_one_row(spark):
     one = spark.createDataFrame([(1, 3.0, "a")], "id int, x double, c string")
     r = P.summary_statistics(one, ["x"]).first()
     assert r["median"] == 3.0 and r["std"] is None and r["skew"] is None
+
+
+def test_hot_values_need_one_sketch(spark, monkeypatch):
+    """Values with more rows than a bracket may hold are counted, not narrowed again and again; columns share the passes."""
+    from tessera.plans import quantiles as Q
+
+    calls, plain = [], F.percentile_approx
+    monkeypatch.setattr(Q.F, "percentile_approx", lambda *a: calls.append(a) or plain(*a))
+    df = spark.range(900).select((F.col("id") % 3).alias("g"), (F.col("id") % 4).cast("double").alias("a"), (F.col("id") * 7 % 900).cast("double").alias("b"))
+    got = {(r["column"], r["p"]): r["q"] for r in Q.quantile_long(df, ["a", "b"], [0.25, 0.5], max_bracket_rows=20).collect()}
+    assert got == {("a", 0.25): 0.75, ("a", 0.5): 1.5, ("b", 0.25): 224.75, ("b", 0.5): 449.5}
+    assert len(calls) == 2
+    by = {(r["g"], r["q"]) for r in exact_quantiles(df, "a", [0.5], "g", max_bracket_rows=20).collect()}
+    assert by == {(0, 1.5), (1, 1.5), (2, 1.5)} and len(calls) == 3
