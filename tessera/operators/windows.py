@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,79 +110,158 @@ def ema(df: DataFrame, col: str, span: float, order_by, partition_by=None, out:
     """pandas ``ewm(span, adjust=False).mean()``: y0 = x0, y = (1-a) y + a x with a = 2 / (span + 1).
 
     Nulls follow pandas (``ignore_na=False``): a null repeats the last value
-    and lets its weight decay; leading nulls stay null.  Blocks of the row
-    index are processed independently (``applyInPandas``): behind its first
-    value a block maps the running value y to A y + B, so the blocks are
-    chained per series by their summaries and rerun from the right state.
+    and lets its weight decay; leading nulls stay null.  Blocks are read in
+    order as a stream of Arrow batches: behind its first value a block maps the
+    running value y to A y + B, so the blocks of long series are chained by
+    their summaries and run from the right state.
     """
-    order_by, parts = as_list(order_by), as_list(partition_by)
     out = out or f"{col}_ema_{span:g}"
-    alpha = 2.0 / (span + 1.0)
-    size = rows_per_block or O.ROWS_PER_BLOCK
-    d = O.row_index(df, order_by, parts, _I, rows_per_block).withColumn("__b", F.floor(F.col(_I) / size))
-    if not parts:
-        d = d.withColumn("__series", F.lit(0))
-    gparts = parts or ["__series"]
-    keys = gparts + ["__b"]
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(_I)[col].astype("float64").to_numpy()
-        lead, first, a, b, tail = _ewm_map(x, alpha)
-        row = {k: pdf[k].iloc[0] for k in keys}
-        row.update({"__n": len(x), "__lead": lead, "__x0": first, "__a": a, "__bb": b, "__tail": tail})
-        return pd.DataFrame([row])
+    return _emas(df, col, {out: span}, order_by, partition_by, rows_per_block)
+
 
+def _emas(df: DataFrame, col: str, spans: dict[str, float], order_by, partition_by=None, rows_per_block: int | None = None,
+          previous: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with the EMAs ``spans`` (name: span) in one pass; ``previous`` (name: new name) also gives the
+    values at the row before, and ``__has_prev`` (false at the first row of a series)."""
+    order_by, parts = as_list(order_by), as_list(partition_by)
+    alphas, previous = [2.0 / (s + 1.0) for s in spans.values()], previous or {}
+    d, nb = O.add_blocks(df, order_by, rows_per_block, parts)
+    keys = [*parts, O._BLK]
+    # rows come out of the window sorted by its keys; __new marks the first of every (series, block)
+    first = F.row_number().over(Window.partitionBy(*[c(k) for k in keys]).orderBy(*[c(o) for o in order_by])) == 1
+    d = d.withColumn("__x", c(col).cast("double"))
+    carries = [f"__{v}{k}" for k in range(len(alphas)) for v in ("y", "w")]
+    if nb > 1:
+        d = join_null_safe(d, _ema_carries(d, parts, first, alphas), keys, "left", broadcast=not parts)
+    else:
+        d = d.withColumns({"__seen": F.lit(False), **{k: F.lit(None).cast("double") for k in carries}})
+    d = d.withColumn("__new", first)
+
+    def run(batches):
+        states = [(None, 1.0)] * len(alphas)
+        for b in batches:
+            x, new = (b.column(k).to_numpy(zero_copy_only=False) for k in ("__x", "__new"))
+            starts = np.flatnonzero(new)
+            values = [np.empty(len(x)) for _ in alphas]
+            before = [np.empty(len(x)) for _ in alphas] if previous else []
+            has = np.ones(len(x), bool)
+            for i, j in zip(*_segments(starts, len(x))):
+                if new[i]:
+                    carry = [b.column(k)[i].as_py() for k in carries]
+                    states = [(y, 1.0 if w is None else w) for y, w in zip(carry[::2], carry[1::2])]
+                    has[i] = bool(b.column("__seen")[i].as_py())
+                for k, alpha in enumerate(alphas):
+                    y, weight = states[k]
+                    values[k][i:j] = _ewm_from(y, weight, x[i:j], alpha)
+                    if previous:
+                        before[k][i] = np.nan if y is None else y
+                        before[k][i + 1:j] = values[k][i:j - 1]
+                    states[k] = _ewm_after(y, weight, x[i:j], values[k][i:j], alpha)
+            cols = [b.column(k) for k in kept] + [pa.array(v, from_pandas=True) for v in values]
+            if previous:
+                cols += [pa.array(v, from_pandas=True) for v in before] + [pa.array(has)]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    added = [*spans, *((*(previous[k] for k in spans), "__has_prev") if previous else ())]
+    kept = df.columns
+    names = [*kept, *added]
+    fields = [T.StructField(k, T.BooleanType() if k == "__has_prev" else T.DoubleType()) for k in added]
+    return d.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+
+
+def _segments(starts: np.ndarray, n: int):
+    """Bounds of the runs of rows of one block in a batch of ``n`` rows."""
+    if not n:
+        return [], []
+    cuts = starts[starts > 0].tolist()
+    return [0, *cuts], [*cuts, n]
+
+
+def _ema_carries(d: DataFrame, parts: list[str], first: Column, alphas: list[float]) -> DataFrame:
+    """Per block of a long series: whether rows come before it, and the state (value, weight) of every EMA before it."""
+    from tessera.session import written
+
+    keys = [*parts, O._BLK]
     key_fields = [d.schema[k] for k in keys]
-    sschema = T.StructType(key_fields + [T.StructField(k, T.LongType()) for k in ("__n", "__lead")]
-                           + [T.StructField(k, T.DoubleType()) for k in ("__x0", "__a", "__bb")] + [T.StructField("__tail", T.LongType())])
-    summ = d.select(*keys, _I, col).groupBy(*keys).applyInPandas(summarise, sschema)
-
-    def carries(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__b")
-        y, weight, ins = None, 1.0, []
-        for n, lead, x0, a, b, tail in zip(*(pdf[k] for k in ("__n", "__lead", "__x0", "__a", "__bb", "__tail"))):
-            ins.append((float("nan") if y is None else y, weight))
-            if lead == n:  # nothing but nulls: only the weight decays
-                weight *= (1 - alpha) ** n
-                continue
-            y = a * _ewm_first(y, weight * (1 - alpha) ** lead, x0, alpha) + b
-            weight = (1 - alpha) ** tail
-        return pdf[keys].assign(__yin=[i[0] for i in ins], __win=[i[1] for i in ins])
-
-    cschema = T.StructType(key_fields + [T.StructField("__yin", T.DoubleType()), T.StructField("__win", T.DoubleType())])
-    carry = summ.groupBy(*gparts).applyInPandas(carries, cschema)
-    j = join_null_safe(d, carry, keys, "left")
-    oschema = T.StructType(j.schema.fields + [T.StructField(out, T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(_I)
-        y, weight = pdf["__yin"].iloc[0], pdf["__win"].iloc[0]
-        pdf[out] = _ewm_from(None if pd.isna(y) else float(y), weight, pdf[col].astype("float64").to_numpy(), alpha)
-        return pdf
-
-    res = j.groupBy(*keys).applyInPandas(run, oschema)
-    return res.drop(_I, "__b", "__yin", "__win", *(["__series"] if not parts else []))
+    maps = [f"__{v}{k}" for k in range(len(alphas)) for v in ("a", "b")]
+
+    def summarise(batches):
+        own, state = None, None
+
+        def row():
+            n, lead, x0, tail, ends = state
+            cols = [pa.array([n]), pa.array([lead]), pa.array([x0], pa.float64()), pa.array([tail])]
+            cols += [pa.array([v], pa.float64()) for e in ends for v in (e[1][0] - e[0][0], e[0][0])]
+            return pa.RecordBatch.from_arrays([*own.columns, *cols], names=[*keys, "__n", "__lead", "__x0", "__tail", *maps])
+
+        for b in batches:
+            x, new = (b.column(k).to_numpy(zero_copy_only=False) for k in ("__x", "__new"))
+            for i, j in zip(*_segments(np.flatnonzero(new), len(x))):
+                if new[i]:
+                    if own is not None:
+                        yield row()
+                    own = b.select(keys).slice(i, 1)
+                    state = (0, 0, float("nan"), 0, [[(0.0, 1.0), (1.0, 1.0)] for _ in alphas])
+                n, lead, x0, tail, ends = state
+                part = x[i:j]
+                some = np.flatnonzero(~np.isnan(part))
+                if n == lead and not len(some):  # nothing but nulls so far
+                    state = (n + len(part), lead + len(part), x0, tail, ends)
+                    continue
+                if n == lead:
+                    lead, x0 = lead + int(some[0]), float(part[some[0]])
+                    rest = part[some[0] + 1:]
+                else:
+                    rest = part
+                ends = [[_ewm_after(y, w, rest, _ewm_from(y, w, rest, alpha), alpha) for y, w in e] for e, alpha in zip(ends, alphas)]
+                tail = len(part) - 1 - int(some[-1]) if len(some) else tail + len(part)
+                state = (n + len(part), lead, x0, tail, ends)
+        if own is not None:
+            yield row()
+
+    longs = [T.StructField(k, T.LongType()) for k in ("__n", "__lead")]
+    schema = T.StructType([*key_fields, *longs, T.StructField("__x0", T.DoubleType()), T.StructField("__tail", T.LongType()),
+                           *(T.StructField(k, T.DoubleType()) for k in maps)])
+    summ = O.carried(d).withColumn("__new", first).select(*[c(k) for k in keys], "__x", "__new").mapInArrow(summarise, schema)
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(O._BLK)
+        states, seen, rows = [(None, 1.0)] * len(alphas), 0, []
+        for r in pdf.itertuples(index=False):
+            r = dict(zip(pdf.columns, r))
+            rows.append([seen > 0, *(v for y, w in states for v in (np.nan if y is None else y, w))])
+            seen += r["__n"]
+            for k, alpha in enumerate(alphas):
+                y, weight = states[k]
+                if r["__lead"] == r["__n"]:  # nothing but nulls: only the weight decays
+                    states[k] = (y, weight * (1 - alpha) ** r["__n"])
+                else:
+                    y = r[f"__a{k}"] * _ewm_first(y, weight * (1 - alpha) ** r["__lead"], r["__x0"], alpha) + r[f"__b{k}"]
+                    states[k] = (y, (1 - alpha) ** r["__tail"])
+        names = ["__seen", *(f"__{v}{k}" for k in range(len(alphas)) for v in ("y", "w"))]
+        return pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+
+    schema = T.StructType([*key_fields, T.StructField("__seen", T.BooleanType()),
+                           *(T.StructField(f"__{v}{k}", T.DoubleType()) for k in range(len(alphas)) for v in ("y", "w"))])
+    # a row per block: small
+    by_series = summ.withColumn("__series", F.lit(0)).groupBy("__series", *[c(p) for p in parts])
+    return written(by_series.applyInPandas(lambda pdf: chain(pdf.drop(columns="__series")), schema), "ema-carries")
 
 
 def _ewm_first(y: float | None, weight: float, x: float, alpha: float) -> float:
     """The running value after the next non-null ``x``: the old value has ``weight`` left."""
-    if y is None:
+    if y is None or y == x:
         return x
     old = weight * (1 - alpha)
     return (old * y + alpha * x) / (old + alpha)
 
 
-def _ewm_map(x, alpha: float):
-    """(leading nulls, first value, A, B, trailing nulls): after the first value y the block ends at A y + B."""
+def _ewm_after(y: float | None, weight: float, x, values, alpha: float):
+    """The state (value, its weight) after a run ``x`` that gave ``values``."""
     some = np.flatnonzero(~np.isnan(x))
     if not len(some):
-        return len(x), float("nan"), 1.0, 0.0, 0
-    lead, ends = int(some[0]), []
-    for y in (0.0, 1.0):
-        part = x[lead:].copy()
-        part[0] = y
-        ends.append(float(pd.Series(part).ewm(alpha=alpha, adjust=False).mean().iloc[-1]))
-    return lead, float(x[lead]), ends[1] - ends[0], ends[0], int(len(x) - 1 - some[-1])
+        return y, weight * (1 - alpha) ** len(x)
+    return float(values[-1]), (1 - alpha) ** int(len(x) - 1 - some[-1])
 
 
 def _ewm_from(y: float | None, weight: float, x, alpha: float):
@@ -200,20 +280,21 @@ def _ewm_from(y: float | None, weight: float, x, alpha: float):
 def crossover(df: DataFrame, col: str, short: int, long: int, kind: str = "sma", order_by=None,
               partition_by=None, **kw) -> DataFrame:
     """Signal +1 (short above long) / -1 (below) / 0, and buy/sell where it changes by +/-2."""
-    if kind == "sma":
-        d = moving_averages(df, col, short, long, order_by, partition_by, **kw)
-        s, l_ = f"sma_{short}", f"sma_{long}"
-    else:
-        d = ema(df, col, short, order_by, partition_by, out=f"ema_{short}", **kw)
-        d = ema(d, col, long, order_by, partition_by, out=f"ema_{long}", **kw)
+    def signal(s, l_):
+        return F.when(F.col(s) > F.col(l_), 1).when(F.col(s) < F.col(l_), -1).otherwise(0)
+
+    def acted(d: DataFrame) -> DataFrame:
+        return d.withColumn("action", F.when(F.col("signal_change") == 2, "buy").when(F.col("signal_change") == -2, "sell"))
+
+    if kind != "sma":  # the row before is at hand where the averages are made
         s, l_ = f"ema_{short}", f"ema_{long}"
-    sig = F.when(F.col(s) > F.col(l_), 1).when(F.col(s) < F.col(l_), -1).otherwise(0)
-    d = d.withColumn("signal", sig)
+        d = _emas(df, col, {s: short, l_: long}, order_by, partition_by, previous={s: "__s", l_: "__l"}, **kw)
+        change = F.when(F.col("__has_prev"), F.col("signal") - signal("__s", "__l")).otherwise(0)
+        return acted(d.withColumn("signal", signal(s, l_)).withColumn("signal_change", change)).drop("__s", "__l", "__has_prev")
+    d = moving_averages(df, col, short, long, order_by, partition_by, **kw).withColumn("signal", signal(f"sma_{short}", f"sma_{long}"))
     h, w = O.with_halo(d, order_by, partition_by, 2, **kw)
     ch = F.coalesce(F.col("signal") - F.lag("signal").over(w), F.lit(0))
-    h = h.withColumn("signal_change", ch).withColumn(
-        "action", F.when(F.col("signal_change") == 2, "buy").when(F.col("signal_change") == -2, "sell"))
-    return O.drop_halo(h)
+    return O.drop_halo(acted(h.withColumn("signal_change", ch)))
 
 
 @nan_as_null

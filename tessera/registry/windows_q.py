@@ -80,7 +80,7 @@ def _ema_sql(span, table="events", order="event_id", key="event_id"):
 
 @register("ema", rsql(_ema_sql(10) + " SELECT k AS event_id, y AS ema FROM r", ["ema"]))
 def q_ema(spark, sf):
-    return fin(W.ema(tbl(spark, sf, "events"), "value", 10, "event_id", out="ema").select("event_id", "ema"))
+    return fin(W.ema(tbl(spark, sf, "events").select("event_id", "value"), "value", 10, "event_id", out="ema").select("event_id", "ema"))
 
 
 @register("crossover_sma", """WITH m AS (SELECT event_id,
@@ -109,7 +109,7 @@ def _ema2_sql():
 
 @register("crossover_ema", _ema2_sql())
 def q_crossover_ema(spark, sf):
-    d = W.crossover(tbl(spark, sf, "events"), "value", 5, 20, "ema", "event_id")
+    d = W.crossover(tbl(spark, sf, "events").select("event_id", "value"), "value", 5, 20, "ema", "event_id")
     return d.select("event_id", "signal", "signal_change", "action")
 
 

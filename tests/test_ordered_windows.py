@@ -95,3 +95,26 @@ def test_ecdf_ties(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (3.0,)], "v double")
     got = sorted((r["value"], r["ecdf"]) for r in W.ecdf(df, "v").collect())
     assert got == [(1.0, 0.25), (2.0, 0.5), (2.0, 0.75), (3.0, 1.0)]
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_ema_crossover_reads_rows_as_a_stream(spark, block):
+    """No group of rows is held by a Python worker, and both averages and the row before come from one ordered pass."""
+    import pandas as pd
+
+    x = [None, 5.0, 5.0, 5.0, 7.0, None, 1.0, 2.0, 9.0, 9.5, 3.0, None]
+    rows = [(k, i, v if k != "b" else 4.0) for k in ("a", None, "b") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, i int, v double")
+    d = W.crossover(df, "v", 2, 4, "ema", "i", "k", rows_per_block=block)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+    got = {(r["k"], r["i"]): r for r in d.collect()}
+    for key in ("a", None, "b"):
+        s = pd.Series([v for k, _, v in rows if k == key], dtype=float)
+        a, b = (s.ewm(span=n, adjust=False).mean() for n in (2, 4))
+        signal = (a > b).astype(int) - (a < b).astype(int)
+        change = signal.diff().fillna(0).astype(int)
+        for i in range(len(x)):
+            r = got[key, i]
+            assert (r["ema_2"], r["ema_4"]) == (pytest.approx(a[i]) if a[i] == a[i] else None, pytest.approx(b[i]) if b[i] == b[i] else None)
+            assert (r["signal"], r["signal_change"]) == (signal[i], change[i])
