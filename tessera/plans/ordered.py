@@ -28,6 +28,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,55 +94,89 @@ def _cut(df: DataFrame, sample: DataFrame, order_by: Sequence[str], nblocks: int
     keys = [_key_double(df, k) for k in order_by if _has_double(df, k)]
     plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name != "__long"]
     keys.append(F.xxhash64(*[c(p) for p in plain]).cast("double"))  # rows that tie on every key have no order: spread them
-    tree, n = _split(sample, keys, nblocks, 0)
     names = [f"__kd{i}" for i in range(len(keys))]
-    d = df.withColumns(dict(zip(names, keys)))
-    return _with_block(d, tree, names, _BLK).drop(*names), n
+    ranges, n = _split(sample.select(*[k.alias(x) for x, k in zip(names, keys)]), names, nblocks)
+    return _with_block(df.withColumns(dict(zip(names, keys))), ranges, names, _BLK).drop(*names), n
 
 
 def _has_double(df: DataFrame, key: str) -> bool:
     return isinstance(df.schema[key].dataType, (T.NumericType, T.TimestampNTZType, T.TimestampType, T.DateType))
 
 
-def _split(df: DataFrame, keys: list[Column], nblocks: int, first: int):
-    """(ranges of the first key, number of blocks); a range is (from, block, deeper ranges or None)."""
-    grid = max(1024, nblocks)
-    bounds = df.agg(F.percentile_approx(keys[0], [i / grid for i in range(1, grid)], 20 * grid)).first()[0] or []
-    at = [bounds[min(len(bounds) - 1, round(j * grid / nblocks) - 1)] for j in range(1, nblocks)] if bounds else []
-    ranges, block = [(None, first, None)], first + 1
-    for v in sorted(set(at)):
-        if ranges[-1][0] is not None and float(v) <= ranges[-1][0]:
-            continue
-        share = at.count(v)
-        if share > 1 and len(keys) > 1:  # one value fills several blocks: its rows are split by the next key
-            deeper, n = _split(df.where(keys[0] == F.lit(float(v))), keys[1:], share, block)
-            ranges.append((float(v), block, deeper))
-            block += n
-            ranges.append((math.nextafter(float(v), math.inf), block, None))
-        else:
-            ranges.append((float(v), block, None))
-        block += 1
-    return ranges, block - first
+def _split(df: DataFrame, names: list[str], nblocks: int):
+    """(ranges of the first key, number of blocks); a range is [from, block, deeper ranges or None].
+
+    One pass per key: the values that fill several blocks are split by the next key, all of them together.
+    """
+    ranges: list = []
+    todo = [((), nblocks, ranges)]  # values of the keys before, blocks wanted, the ranges to fill
+    for level, name in enumerate(names):
+        most = max(n for _, n, _ in todo)
+        grid = max(1024, most) if not level else max(256, 4 * most)
+        asked = df.sparkSession.createDataFrame([(i, n, *values) for i, (values, n, _) in enumerate(todo)],
+                                                ", ".join(["__id int", "__n int", *(f"__v{k} double" for k in range(level))]))
+        same = [F.col(names[k]) == F.col(f"__v{k}") for k in range(level)]
+        rows = df.join(F.broadcast(asked), same) if level else df.crossJoin(F.broadcast(asked))
+        sketch = rows.groupBy("__id", "__n").agg(F.percentile_approx(name, F.lit(np.arange(1, grid) / grid), 20 * grid).alias("__g"))
+        places = F.transform(F.sequence(F.lit(1), F.col("__n") - 1), lambda j: F.element_at(
+            "__g", F.least(F.greatest(F.round(j * grid / F.col("__n")).cast("int"), F.lit(1)), F.lit(grid - 1))))
+        found = {r["__id"]: r["at"] or [] for r in sketch.where("__n > 1").select("__id", places.alias("at")).collect()}  # a number per block
+        deeper = []
+        for i, (values, _, own) in enumerate(todo):
+            at = [float(v) for v in found.get(i, ())]
+            own.append([None, 0, None])
+            for v in sorted(set(at)):
+                share = at.count(v)
+                own.append([v, 0, [] if share > 1 and level + 1 < len(names) else None])
+                if own[-1][2] is not None:
+                    deeper.append(((*values, v), share, own[-1][2]))
+                    own.append([math.nextafter(v, math.inf), 0, None])
+            for k in range(len(own) - 1, 1, -1):  # the range above a split value and one that starts at the very next number are one
+                if own[k][0] == own[k - 1][0]:
+                    del own[k - 1]
+        todo = deeper
+        if not todo:
+            break
+    return ranges, _number(ranges, 0)
+
+
+def _number(ranges, first: int) -> int:
+    """Numbers the blocks in order from ``first``; returns the next number."""
+    for r in ranges:
+        r[1] = first
+        first = _number(r[2], first) if r[2] else first + 1
+    return first
+
+
+def _place(ranges, keys: list[np.ndarray]) -> np.ndarray:
+    """The block of every row: of the last range that starts at or below its key (missing keys: the first range)."""
+    at = np.searchsorted(np.array([r[0] for r in ranges[1:]], float), keys[0], side="right")
+    at[np.isnan(keys[0])] = 0
+    out = np.array([r[1] for r in ranges], np.int32)[at]
+    for k in np.unique(at):
+        if ranges[k][2]:
+            own = at == k
+            out[own] = _place(ranges[k][2], [x[own] for x in keys[1:]])
+    return out
 
 
 def _with_block(df: DataFrame, ranges, keys: list[str], out: str) -> DataFrame:
-    """Adds the block id: the last range that starts at or below the row's key, by binary search (null keys: the first)."""
-    from pyspark.ml.feature import Bucketizer
+    """Adds the block id by binary search."""
+    if not any(r[2] for r in ranges):
+        from pyspark.ml.feature import Bucketizer
 
-    place = F.lit(0)
-    tmp = f"{out}_p"
-    if len(ranges) > 1:
-        splits = [float("-inf"), *(r[0] for r in ranges[1:]), float("inf")]
+        if len(ranges) == 1:
+            return df.withColumn(out, F.lit(0))
+        splits, tmp = [float("-inf"), *(r[0] for r in ranges[1:]), float("inf")], f"{out}_p"
         df = Bucketizer(splits=splits, inputCol=keys[0], outputCol=tmp, handleInvalid="keep").transform(df)
         place = F.when(c(keys[0]).isNull() | F.isnan(c(keys[0])), F.lit(0)).otherwise(c(tmp).cast("int"))
-    block = F.element_at(F.array(*[F.lit(r[1]) for r in ranges]), place + 1)
-    inner = []
-    for k, r in enumerate(ranges):
-        if r[2]:
-            inner.append(f"{out}_{k}")
-            df = _with_block(df, r[2], keys[1:], inner[-1])
-            block = F.when(place == k, c(inner[-1])).otherwise(block)
-    return df.withColumn(out, block).drop(*inner, *([tmp] if len(ranges) > 1 else []))
+        return df.withColumn(out, place).drop(tmp)
+
+    @F.pandas_udf("int")
+    def block(*cols: pd.Series) -> pd.Series:
+        return pd.Series(_place(ranges, [x.to_numpy(float, na_value=np.nan) for x in cols]))
+
+    return df.withColumn(out, block(*[c(k) for k in keys]))
 
 
 def _order_cols(order_by):

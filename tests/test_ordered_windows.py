@@ -118,3 +118,16 @@ def test_ema_crossover_reads_rows_as_a_stream(spark, block):
             r = got[key, i]
             assert (r["ema_2"], r["ema_4"]) == (pytest.approx(a[i]) if a[i] == a[i] else None, pytest.approx(b[i]) if b[i] == b[i] else None)
             assert (r["signal"], r["signal_change"]) == (signal[i], change[i])
+
+
+def test_blocks_of_tied_keys_take_one_pass_per_key(spark, monkeypatch):
+    """Values of the first key that fill several blocks are split together, and the plan does not grow with them."""
+    calls, plain = [], F.percentile_approx
+    monkeypatch.setattr(O.F, "percentile_approx", lambda *a: calls.append(a) or plain(*a))
+    df = spark.range(2000).select((F.col("id") % 40).alias("t"), "id")
+    d, n = O.add_blocks(df, ["t", "id"], 10)
+    assert len(calls) <= 3 and len(d._jdf.queryExecution().optimizedPlan().toString()) < 5000
+    rows = d.orderBy("t", "id").collect()
+    blocks = [r["__blk"] for r in rows]
+    assert blocks == sorted(blocks) and max(blocks) < n
+    assert max(np.bincount(blocks)) <= 30
