@@ -1,43 +1,53 @@
-"""Language-model scores by deleted interpolation.
-
-The model is a class n-gram: every frequent word (more than ``CLASS_SHARE`` of
-the training tokens, so a bounded number) is its own class, all other words
-share one.  P(class | class before) mixes the maximum-likelihood estimates of
-orders 2, 1 and 0 with weights that depend on the frequency bucket of the
-context; P(word | other class) mixes the word's maximum-likelihood estimate
-with the uniform one over the known words and one unknown word.  All weights
+"""Language-model scores by deleted interpolation of word bigrams.
+
+P(word | word before) mixes the maximum-likelihood estimates of orders 2, 1 and
+0 with weights that depend on the frequency bucket of the context.  The weights
 are learned by expectation-maximisation on counts held out from the training
 texts (``WEIGHT_FOLD``); scores then use the counts of all training texts.
+Every word of the training texts is a class of its own, and every pair of words
+is counted; words outside the classes (``CLASS_SHARE``) share class 0, within
+which a word's maximum-likelihood estimate is mixed with the uniform one over
+the known words and one unknown word.
 
 Texts are read once into batches of bounded size: a batch is one row with its
 distinct words, their counts, and its texts as numbers of those words.  A word
 is counted over the corpus as one row per batch that has it - never one row
-per text - and the counts go back to the batches, where every text is scored
-in one place.
+per text - and gets a number of the corpus; numbers and counts go back to the
+batches.  Pairs of numbers make one exact 64-bit key: a batch sends its
+distinct pairs in ``part``s of bounded size, where the counts of all batches
+are summed, and gets the sums of its own pairs back.  The batches are kept
+bucketed, so they are not moved again for that.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep
+from tessera.llm.common import keep, slots_for
+from tessera.session import scratch_path
 
 #: Tokens gathered into one batch (bounds a worker's memory).
 BATCH_TOKENS = 1_500_000
 #: Tokens scored together.
 SLICE = 250_000
-#: A word's number in its batch and its corpus count travel in one long; the count has so many bits.
-COUNT_BITS = 42
+#: Words are numbered within so many slots (by checksum); a number has 32 bits: the rank in the slot, then the slot.
+WORD_SLOTS = 1 << 14
+#: Distinct pairs of batches whose counts are summed in one place (on average, at most).
+PART_PAIRS = 4_000_000
 #: Folds of the training texts: counts are held out from the last one to learn the weights.
 FOLDS = 5
 HELD_OUT_FOLD, WEIGHT_FOLD = 1, 4
 ROUNDS = 60
-#: A word with more than this share of the training tokens is a class (fewer than 2,000 words).
-CLASS_SHARE = 1 / 2000
+#: A word with more than this share of the training tokens is a class: with 0 every word of the training texts.
+CLASS_SHARE = 0
+#: Numbers that no word has: of the words outside the classes, and of the start of a text.
+OTHER, START = 0, 1
 #: Least weight of an estimate.
 FLOOR = 1e-6
 
@@ -84,44 +94,153 @@ def _batches(batches):
         yield flush()
 
 
-# ---- class n-grams --------------------------------------------------------------------------
-def _token_classes(number: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, start: int):
-    """(class of every token, class before it, place of each text's first token), given the words' classes.
+# ---- pairs of classes -----------------------------------------------------------------------
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a list column as arrays."""
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a - at[0]:b - at[0]] for a, b in zip(at[:-1], at[1:])]
 
-    A frequent word is its own class, every other word class 0, and the start of a text the last class.
-    """
-    c = number[tokens]
+
+def _table_lists(table: pa.Table, *names: str) -> list[np.ndarray]:
+    """The lists of a one-row table's columns as arrays."""
+    return [_lists(table[n].combine_chunks())[0] for n in names]
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Longs as bytes, the lowest of all first: what is small compresses well."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _numbered(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A batch with, for every word of it and then the start of a text, its number in the corpus and its counts."""
+    place = right["place"].to_numpy()
+    columns = {}
+    for name, start in (("number", START), ("a", 0), ("h", 0)):
+        columns[name] = np.full(len(place) + 1, start, np.int64)
+        columns[name][place] = right[name].to_numpy()
+    return pa.table({**{n: left[n] for n in ("batch", "ids", "folds", "sizes", "tokens")},
+                     **{n: pa.array([x], pa.list_(pa.int64())) for n, x in columns.items()}})
+
+
+def _before(sizes: np.ndarray, tokens: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word before every token, place of each text's first token); the start of a text is the word ``start``."""
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    before = np.concatenate(([0], c[:-1]))
+    before = np.concatenate(([0], tokens[:-1]))
     before[starts] = start
-    return c, before, starts
+    return before, starts
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    """The lists of a list column as arrays."""
-    flat, at = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    return [flat[a - at[0]:b - at[0]] for a, b in zip(at[:-1], at[1:])]
+def _keys(number: np.ndarray, before: np.ndarray, tokens: np.ndarray, base: int) -> np.ndarray:
+    """A key of every pair (number before, number), unique in the corpus: numbers are below ``base`` <= 2 ** 32."""
+    number = number.astype(np.uint64)
+    return number[before] * np.uint64(base) + number[tokens]
+
 
+def _parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of sorted keys by part, where each part begins in it and the end)."""
+    part = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
 
-def _class_pairs(class_of: dict[bytes, int]):
-    """Partial counts of (class before, class): a in the counted folds, h in the weight fold."""
-    size = len(class_of) + 2  # class 0, the classes, the start
 
+def _batch_pairs(base: int, parts: int):
+    """Per batch and part: the batch's distinct pairs as differences of sorted keys, and their counts."""
     def work(batches):
         for b in batches:
-            for words, folds, sizes, tokens in zip(b.column(0).to_pylist(), *(_lists(b.column(k)) for k in (1, 2, 3))):
-                number = np.array([class_of.get(w, 0) for w in words], np.int32)
-                c, before, _ = _token_classes(number, sizes, tokens, size - 1)
+            for batch, number, folds, sizes, tokens in zip(b.column(0).to_pylist(), *(_lists(b.column(k)) for k in (1, 2, 3, 4))):
+                before, _ = _before(sizes, tokens, len(number) - 1)
+                keys, pair = np.unique(_keys(number, before, tokens, base), return_inverse=True)
                 fold = np.repeat(folds, sizes)
-                pair = before.astype(np.int32) * size + c  # below 2 ** 31: at most 2,002 classes
-                a, h = (np.bincount(pair[k], minlength=size * size) for k in ((fold != HELD_OUT_FOLD) & (fold != WEIGHT_FOLD), fold == WEIGHT_FOLD))
-                used = np.flatnonzero(a + h)
-                a, h = a[used], h[used]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (used, a, h)], names=["pair", "a", "h"])
+                counts = [np.bincount(pair[k], minlength=len(keys)) for k in ((fold != HELD_OUT_FOLD) & (fold != WEIGHT_FOLD), fold == WEIGHT_FOLD)]
+                order, at = _parts(keys, parts)
+                used = [(p, order[i:j]) for p, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p for p, _ in used], pa.int32()), pa.array([batch] * len(used), pa.int64()),
+                     pa.array([_pack(np.diff(keys[x], prepend=np.uint64(0))) for _, x in used], pa.binary()),
+                     *(pa.array([_pack(c[x]) for _, x in used], pa.binary()) for c in counts)],
+                    names=["part", "batch", "keys", "a", "h"])
 
     return work
 
 
+def _sum_pairs(table: pa.Table) -> pa.Table:
+    """The pairs of one part: every batch gets the corpus counts of its pairs, in the order in which it sent them."""
+    keys = [np.cumsum(_unpack(k).view(np.uint64), dtype=np.uint64) for k in table["keys"].to_pylist()]
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    distinct, pair = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
+    sums = []
+    for name in ("a", "h"):
+        own = np.concatenate([_unpack(x) for x in table[name].to_pylist()])
+        total = np.bincount(pair, weights=own, minlength=len(distinct)).astype(np.int64)  # exact below 2 ** 53
+        sums.append(pa.array([_pack(x) for x in np.split(total[pair], ends)], pa.binary()))
+    return pa.table({"batch": table["batch"], "part": table["part"], "a": sums[0], "h": sums[1]})
+
+
+def _pair_counts(keys: np.ndarray, parts: int, answers: pa.Table) -> list[np.ndarray]:
+    """The corpus counts a and h of a batch's sorted distinct pairs, from the answers of the parts."""
+    order, _ = _parts(keys, parts)
+    out = []
+    for name in ("a", "h"):
+        by_part = dict(zip(answers["part"].to_pylist(), answers[name].to_pylist()))
+        x = np.empty(len(keys), np.int64)
+        x[order] = np.concatenate([_unpack(by_part[p]) for p in sorted(by_part)])
+        out.append(x)
+    return out
+
+
+def buckets_of(context: np.ndarray) -> np.ndarray:
+    """The frequency bucket of a context (0: never seen; k: seen 2^(k-1) to 2^k - 1 times)."""
+    return np.ceil(np.log2(1 + context)).astype(np.int64)
+
+
+def _events(base: int, parts: int, tokens_a: int, other_a: int, texts_a: int):
+    """Per batch: the tokens of its weight fold as (bucket, estimates of orders 2 and 1, how many)."""
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        number, a, folds, sizes, tokens = _table_lists(left, "number", "a", "folds", "sizes", "tokens")
+        before, _ = _before(sizes, tokens, len(number) - 1)
+        keys, pair = np.unique(_keys(number, before, tokens, base), return_inverse=True)
+        seen = np.where(number == OTHER, other_a, a)
+        seen[-1] = texts_a
+        held = np.repeat(folds, sizes) == WEIGHT_FOLD
+        both = _pair_counts(keys, parts, right)[0][pair[held]]
+        context, word = seen[before[held]], seen[tokens[held]]
+        rows = pa.table({"bucket": buckets_of(context), "order2": both / np.maximum(context, 1), "order1": word / max(tokens_a, 1)})
+        out = rows.group_by(["bucket", "order2", "order1"]).aggregate([([], "count_all")])
+        return pa.table([out[x].cast(t) for x, t in (("bucket", pa.int32()), ("order2", pa.float64()), ("order1", pa.float64()),
+                                                     ("count_all", pa.int64()))], names=["bucket", "order2", "order1", "n"])
+
+    return work
+
+
+def em_step(w: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The next weights (bucket x estimate), given the share of the held-out counts that fell to each."""
+    total = new.sum(axis=1, keepdims=True)
+    w = np.where(total > 0, np.maximum(new / np.maximum(total, 1e-300), FLOOR), w)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def learn_weights(events: DataFrame, order0: float) -> tuple[np.ndarray, np.ndarray]:
+    """(Mixture weights of orders 2, 1 and 0 of every bucket, buckets with events) that maximise the likelihood of
+    the held-out events: as ``em``, with the sums of a round taken over all events by Spark."""
+    seen = np.array(sorted(r[0] for r in events.select("bucket").distinct().collect()), np.int64)  # at most 64 buckets
+    w = np.full((int(seen.max(initial=0)) + 1, 3), 1 / 3)
+    for _ in range(ROUNDS if len(seen) else 0):
+        part = [F.get(F.array(*[F.lit(float(x)) for x in w[:, j]]), F.col("bucket")) * e
+                for j, e in enumerate((F.col("order2"), F.col("order1"), F.lit(order0)))]
+        rows = events.select("bucket", "n", *[p.alias(f"p{j}") for j, p in enumerate(part)])
+        share = F.col("n") / F.greatest(F.col("p0") + F.col("p1") + F.col("p2"), F.lit(1e-300))
+        new = np.zeros_like(w)
+        for r in rows.groupBy("bucket").agg(*[F.sum(F.col(f"p{j}") * share) for j in range(3)]).collect():
+            new[r[0]] = r[1:]
+        w = em_step(w, new)
+    return w, seen
+
+
 def em(estimates: np.ndarray, bucket: np.ndarray, held: np.ndarray) -> np.ndarray:
     """Mixture weights (bucket x estimate) that maximise the likelihood of the held-out counts."""
     buckets, k = int(bucket.max(initial=0)) + 1, estimates.shape[1]
@@ -130,72 +249,85 @@ def em(estimates: np.ndarray, bucket: np.ndarray, held: np.ndarray) -> np.ndarra
         part = w[bucket] * estimates
         part *= (held / np.maximum(part.sum(axis=1), 1e-300))[:, None]
         new = np.stack([np.bincount(bucket, weights=part[:, j], minlength=buckets) for j in range(k)], axis=1)
-        total = new.sum(axis=1, keepdims=True)
-        w = np.where(total > 0, np.maximum(new / np.maximum(total, 1e-300), FLOOR), w)
-        w /= w.sum(axis=1, keepdims=True)
+        w = em_step(w, new)
     return w
 
 
 def pair_estimates(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """From counts (class before x class): maximum-likelihood estimates of orders 2, 1 and 0 of every
-    cell, and the frequency bucket of every context (0: never seen; k: seen 2^(k-1) to 2^k - 1 times)."""
+    cell, and the frequency bucket of every context."""
     context = counts.sum(axis=1, keepdims=True)
     unigram = counts.sum(axis=0) / max(counts.sum(), 1)
     p = np.stack([counts / np.maximum(context, 1), np.broadcast_to(unigram, counts.shape),
                   np.full(counts.shape, 1.0 / (counts.shape[1] - 1))], axis=2)  # no token is the start
-    return p, np.ceil(np.log2(1 + context[:, 0])).astype(np.int64)
+    return p, buckets_of(context[:, 0])
 
 
-def class_model(a: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """log10 P(class | class before): weights learned from held-out counts ``h`` against counts ``a``, then used with all counts.
+def fill_weights(w: np.ndarray, seen: np.ndarray, top: int) -> np.ndarray:
+    """Weights of the buckets 0 to ``top``: one without held-out events takes those of the nearest lower bucket that has some."""
+    filled = np.full((max(top, len(w) - 1) + 1, 3), np.nan)
+    filled[seen] = w[seen]
+    filled[0] = np.where(np.isnan(filled[0]), (FLOOR, 0.5, 0.5 - FLOOR), filled[0])
+    for k in range(1, len(filled)):
+        if np.isnan(filled[k]).any():
+            filled[k] = filled[k - 1]
+    return filled
 
-    A bucket without held-out events takes the weights of the nearest lower bucket that has some.
-    """
+
+def class_model(a: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before) as a table, for few classes: weights learned from held-out counts ``h`` against
+    counts ``a``, then used with all counts.  The last class is the start of a text."""
     p, bucket = pair_estimates(a)
-    size = len(a)
     cells = np.flatnonzero(h)
-    seen = bucket[cells // size]
+    seen = bucket[cells // len(a)]
     w = em(p.reshape(-1, 3)[cells], seen, h.ravel()[cells])
     q, bucket = pair_estimates(a + h)
-    filled = np.full((max(int(bucket.max()), len(w) - 1) + 1, 3), np.nan)
-    filled[np.unique(seen)] = w[np.unique(seen)]
-    filled[0] = np.where(np.isnan(filled[0]), (FLOOR, 0.5, 0.5 - FLOOR), filled[0])
-    for k in range(1, len(filled)):
-        if np.isnan(filled[k]).any():
-            filled[k] = filled[k - 1]
-    return np.log10((q * filled[bucket][:, None, :]).sum(axis=2))
+    return np.log10((q * fill_weights(w, np.unique(seen), int(bucket.max()))[bucket][:, None, :]).sum(axis=2))
 
 
-def _scores(class_of: dict[bytes, int], table: np.ndarray, weight: float, total: int, distinct: int, other_total: int,
-            other_distinct: int):
-    """doc_id, fold, tokens, known tokens, base score and score of every text of a batch, given its words' counts t."""
+def _scores(base: int, parts: int, weights: np.ndarray, weight: float, total: int, distinct: int, classes: int,
+            other_total: int, other_distinct: int, texts: int):
+    """doc_id, held_out, tokens, known tokens, base score and score of every text of a batch, given the counts of its pairs."""
     floor = np.log10(total + 0.5 * (distinct + 1))
 
-    def work(batches):
-        for b in batches:
-            for k, words in enumerate(b.column(0).to_pylist()):
-                folds, sizes, tokens, counts = (_lists(b.column(j).slice(k, 1))[0] for j in (2, 3, 4, 5))
-                t = np.zeros(len(words))
-                t[counts >> COUNT_BITS] = counts & ((1 << COUNT_BITS) - 1)
-                known, base = t > 0, np.log10(t + 0.5) - floor
-                number = np.array([class_of.get(w, 0) for w in words], np.int32)
-                word = np.where(number == 0, np.log10(weight * t / max(other_total, 1) + (1 - weight) / (other_distinct + 1)), 0.0)
-                ends = np.cumsum(sizes)
-                cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist(), len(sizes)]
-                for i, j in zip(cuts, cuts[1:]):  # some texts at a time: bounds what is held per token
-                    part, size = tokens[ends[i] - sizes[i]:ends[j - 1]], sizes[i:j]
-                    c, before, starts = _token_classes(number, size, part, len(class_of) + 1)
-                    model = table[before, c]
-                    model += word[part]
-                    sums = [np.add.reduceat(x, starts) for x in (known[part].astype(np.int64), base[part], model)]
-                    ids = b.column(1).slice(k, 1).flatten().slice(i, j - i)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(folds[i:j] == HELD_OUT_FOLD), pa.array(size.astype(np.int64)),
-                                                      *(pa.array(x) for x in sums)],
-                                                     names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        number, a, h, folds, sizes, tokens = _table_lists(left, "number", "a", "h", "folds", "sizes", "tokens")
+        before, starts = _before(sizes, tokens, len(number) - 1)
+        keys, pair = np.unique(_keys(number, before, tokens, base), return_inverse=True)
+        both = sum(_pair_counts(keys, parts, right)).astype(np.int64)
+        del keys
+        t = a + h
+        known, per_word = t > 0, np.log10(t + 0.5) - floor
+        word = np.where(number == OTHER, np.log10(weight * t / max(other_total, 1) + (1 - weight) / (other_distinct + 1)), 0.0)
+        seen = np.where(number == OTHER, other_total, t)
+        seen[-1] = texts
+        mix = weights[buckets_of(seen)]
+        order2, order1, order0 = mix[:, 0] / np.maximum(seen, 1), seen / max(total, 1), mix[:, 2] / (classes + 1)
+        out = []
+        ends = np.cumsum(sizes)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist(), len(sizes)]
+        for i, j in zip(cuts, cuts[1:]):  # some texts at a time: bounds what is held per token
+            at = slice(starts[i], ends[j - 1])
+            v, w = before[at], tokens[at]
+            model = np.log10(order2[v] * both[pair[at]] + mix[v, 1] * order1[w] + order0[v]) + word[w]
+            out.append([np.add.reduceat(x, starts[i:j] - starts[i]) for x in (known[w].astype(np.int64), per_word[w], model)])
+        ids = left["ids"].combine_chunks().flatten()
+        return pa.table([ids, pa.array(folds == HELD_OUT_FOLD), pa.array(sizes.astype(np.int64)),
+                         *(pa.array(np.concatenate(x)) for x in zip(*out))],
+                        names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return work
 
 
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """``df`` written in buckets of ``batch`` in the shared scratch folder and read back: joins on the batch do not move it."""
+    spark, name = df.sparkSession, f"tessera_lm_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, "batch").option("path", scratch_path(spark, "lm-numbered")).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return out
+
+
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -214,45 +346,60 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def total(c: str) -> Column:
         return F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x))
 
-    tokens = int(batches.agg((total("a") + total("h")).alias("n")).first()[0] or 0)
+    def texts_of(test) -> Column:
+        return F.sum(F.size(F.filter("folds", test)))
+
+    of = batches.agg(total("a").alias("a"), total("h").alias("h"), total("sizes").alias("all"), F.count(F.lit(1)).alias("batches"),
+                     texts_of(lambda f: (f != HELD_OUT_FOLD) & (f != WEIGHT_FOLD)).alias("texts_a"),
+                     texts_of(lambda f: f != HELD_OUT_FOLD).alias("texts")).first()
+    tokens_a, tokens, texts_a, texts = of["a"] or 0, (of["a"] or 0) + (of["h"] or 0), of["texts_a"] or 0, of["texts"] or 0
+    # about one batch in a task: its rows are large, and a task holds what it joins
+    tasks, parts = max(1, of["batches"]), slots_for(of["all"] or 0, PART_PAIRS, least=1)
+
     # one row per (word, batch); the corpus counts are summed over a word's batches
     rows = batches.select("batch", F.posexplode(F.arrays_zip("words", "a", "h")).alias("place", "w"))
-    by_word = Window.partitionBy("word")
     t = F.col("a") + F.col("h")
     rows = rows.select("batch", "place", F.col("w.words").alias("word"), F.col("w.a").cast("long").alias("a"), F.col("w.h").cast("long").alias("h"))
-    rows = rows.select("batch", "place", "word", F.sum("a").over(by_word).alias("a"), F.sum("h").over(by_word).alias("h"),
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("word"), F.lit(WORD_SLOTS)))
+    rows = rows.withColumn("rank", F.dense_rank().over(Window.partitionBy("slot").orderBy("word")))
+    by_word = Window.partitionBy("slot", "word")
+    rows = rows.select("batch", "place", "word", "slot", "rank", F.sum("a").over(by_word).alias("a"), F.sum("h").over(by_word).alias("h"),
                        (F.col("batch") == F.min("batch").over(by_word)).alias("first"))
-    # the frequent words, each a class: fewer than 1 / CLASS_SHARE words can have that share of the tokens
-    frequent = (t > tokens * CLASS_SHARE) | (F.col("word") == F.lit(b""))
-    rows = keep(spark, rows.select("batch", "place", "a", "h", "first", F.when(frequent, F.col("word")).alias("word")), "lm-counts")
+    is_class = (t > tokens * CLASS_SHARE) | (F.col("word") == F.lit(b""))
+    rows = keep(spark, rows.select("batch", "place", "a", "h", "first", F.when(
+        is_class, F.col("rank").cast("long") * WORD_SLOTS + F.col("slot")).otherwise(F.lit(OTHER)).alias("number")), "lm-counts")
 
     types = rows.where("first")
-    class_of = {bytes(r["word"]): k for k, r in enumerate(types.where("word is not null").select("word").orderBy("word").collect(), 1)}
-    class_of.setdefault(b"", len(class_of) + 1)
-    size = len(class_of) + 2
-    pairs = (batches.select("words", "folds", "sizes", "tokens").mapInArrow(_class_pairs(class_of), "pair long, a long, h long")
-             .groupBy("pair").agg(F.sum("a").alias("a"), F.sum("h").alias("h")).toPandas())  # at most size ** 2 rows, whatever the corpus
-    a, h = (np.bincount(pairs["pair"].to_numpy(np.int64), weights=pairs[c].to_numpy(np.float64), minlength=size * size).reshape(size, size)
-            for c in ("a", "h"))
-    table = class_model(a, h)
-
-    # words outside the classes: how many have each count, and how often they occur in the weight fold
     known = F.count(F.when(t > 0, F.lit(1)))
-    others = types.where("word is null")
+    distinct, classes, top = types.agg(known, F.count(F.when(F.col("number") != OTHER, F.lit(1))), F.max("number")).first()
+    base = (top or 0) + 1
+    if base > 1 << 32:
+        raise ValueError(f"{distinct} distinct words: a word's number takes more than 32 bits")
+    # words outside the classes: how many have each count, and how often they occur in the weight fold
+    others = types.where(F.col("number") == OTHER)
     by_count = others.groupBy("a").agg(F.sum("h").alias("h"), F.count(F.lit(1)).alias("types")).toPandas()
     n, held, kinds = (by_count[c].to_numpy(np.float64) for c in ("a", "h", "types"))
     estimates = np.stack([n / max((n * kinds).sum(), 1), np.full(len(n), 1.0 / (kinds[n > 0].sum() + 1))], axis=1)
     weight = float(em(estimates, np.zeros(len(n), np.int64), held)[0, 0]) if held.sum() else 0.5
-    other_total, other_distinct = (int(x or 0) for x in others.agg(F.sum(t), known).first())
-    distinct = int(types.agg(known).first()[0])
-
-    # about one batch in a task: its rows are large, and a task holds what it joins
-    tasks = max(1, batches.count())
-    counts = rows.select("batch", F.shiftleft(F.col("place").cast("long"), COUNT_BITS).bitwiseOR(t).alias("c")).repartition(tasks, "batch")
-    counts = counts.groupBy("batch").agg(F.collect_list("c").alias("counts"))  # one number per distinct word of the batch
-    both = batches.select("batch", "words", "ids", "folds", "sizes", "tokens").repartition(tasks, "batch").join(
-        counts.withColumnRenamed("batch", "batch2"), F.col("batch") == F.col("batch2"))
-    scored = both.select("words", "ids", "folds", "sizes", "tokens", "counts").mapInArrow(
-        _scores(class_of, table, weight, tokens, distinct, other_total, other_distinct),
-        f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    other_a, other_total, other_distinct = (int(x or 0) for x in others.agg(F.sum("a"), F.sum(t), known).first())
+    if not other_total:  # no such word in training: the unknown word is all of class 0
+        weight = 0.0
+
+    counts = rows.select("batch", "place", "number", "a", "h").repartition(tasks, "batch")
+    kept = _bucketed(batches.select("batch", "ids", "folds", "sizes", "tokens").repartition(tasks, "batch").groupBy("batch").cogroup(
+        counts.groupBy("batch")).applyInArrow(_numbered, f"batch long, ids array<{id_type}>, folds array<int>, sizes array<int>, "
+                                                         "tokens array<int>, number array<long>, a array<long>, h array<long>"), tasks)
+    sums = keep(spark, kept.select("batch", "number", "folds", "sizes", "tokens").mapInArrow(
+        _batch_pairs(base, parts), "part int, batch long, keys binary, a binary, h binary").groupBy("part").applyInArrow(
+        _sum_pairs, "batch long, part int, a binary, h binary"), "lm-pairs")
+
+    def joined(left: DataFrame, work, schema: str) -> DataFrame:
+        return left.groupBy("batch").cogroup(sums.repartition(tasks, "batch").groupBy("batch")).applyInArrow(work, schema)
+
+    events = keep(spark, joined(kept, _events(base, parts, tokens_a, other_a, texts_a),
+                                "bucket int, order2 double, order1 double, n long"), "lm-events")
+    w, seen = learn_weights(events, 1.0 / (classes + 1))
+    weights = fill_weights(w, seen, int(buckets_of(np.array(max(tokens, texts)))))
+    scored = joined(kept, _scores(base, parts, weights, weight, tokens, distinct, classes, other_total, other_distinct, texts),
+                    f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
