@@ -10,23 +10,25 @@ which a word's maximum-likelihood estimate is mixed with the uniform one over
 the known words and one unknown word.
 
 Texts are read once into batches of bounded size: a batch is one row with its
-distinct words, their counts, and its texts as numbers of those words.  A word
-is counted over the corpus as one row per batch that has it - never one row
-per text - and gets a number of the corpus; numbers and counts go back to the
-batches.  Pairs of numbers make one exact 64-bit key: a batch sends its
-distinct pairs in ``part``s of bounded size, where the counts of all batches
-are summed, and gets the sums of its own pairs back.  The batches are kept
-bucketed, so they are not moved again for that.
+distinct words, their counts, and its texts as numbers of those words.  A batch
+sends each distinct word once to the ``part`` of the word; there the counts of
+all batches are summed and the word gets a number of the corpus, and the batch
+gets numbers and counts back.  Pairs of numbers make one exact 64-bit key, and
+the batch's distinct pairs go to parts of their own in the same way.  Parts
+have a bounded size on average.  The batches are kept bucketed, so they are
+not moved for that.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import keep, slots_for
@@ -36,10 +38,8 @@ from tessera.session import scratch_path
 BATCH_TOKENS = 1_500_000
 #: Tokens scored together.
 SLICE = 250_000
-#: Words are numbered within so many slots (by checksum); a number has 32 bits: the rank in the slot, then the slot.
-WORD_SLOTS = 1 << 14
-#: Distinct pairs of batches whose counts are summed in one place (on average, at most).
-PART_PAIRS = 4_000_000
+#: Distinct words and pairs of batches whose counts are summed in one place (on average, at most).
+PART_WORDS, PART_PAIRS = 500_000, 2_000_000
 #: Folds of the training texts: counts are held out from the last one to learn the weights.
 FOLDS = 5
 HELD_OUT_FOLD, WEIGHT_FOLD = 1, 4
@@ -58,7 +58,7 @@ def fold_of(doc_id: Column) -> Column:
 
 
 def _batches(batches):
-    """One row per batch of texts: distinct words (the empty word is the end of a text), their counts a and h
+    """One row per batch of texts: distinct words, joined by spaces (the empty word is the end of a text), their counts a and h
     in the counted folds and the weight fold, and per text its id, fold, size and word numbers."""
     place = TaskContext.get().partitionId() * (1 << 32)
     numbers: dict[bytes, int] = {}
@@ -70,11 +70,11 @@ def _batches(batches):
         fold = np.repeat(np.array(folds, np.int32), sizes)
         count = [np.bincount(flat[k], minlength=len(numbers)).astype(np.int32)
                  for k in ((fold != HELD_OUT_FOLD) & (fold != WEIGHT_FOLD), fold == WEIGHT_FOLD)]
-        row = [[place + made], [list(numbers)], *([c] for c in count), [ids], [np.array(folds, np.int32)], [sizes], [flat]]
-        types = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(id_type),
+        row = [[place + made], [b" ".join(numbers)], [len(numbers)], *([c] for c in count), [ids], [np.array(folds, np.int32)], [sizes], [flat]]
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(id_type),
                  pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)],
-                                          names=["batch", "words", "a", "h", "ids", "folds", "sizes", "tokens"])
+                                          names=["batch", "words", "distinct", "a", "h", "ids", "folds", "sizes", "tokens"])
 
     for b in batches:
         id_type = b.schema.field(0).type
@@ -101,29 +101,98 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [flat[a - at[0]:b - at[0]] for a, b in zip(at[:-1], at[1:])]
 
 
-def _table_lists(table: pa.Table, *names: str) -> list[np.ndarray]:
-    """The lists of a one-row table's columns as arrays."""
-    return [_lists(table[n].combine_chunks())[0] for n in names]
+def _one_batch(table: pa.Table, *names: str) -> list[np.ndarray]:
+    """The packed longs of a one-row table's columns, then the lists folds, sizes and tokens."""
+    return [*(_unpack(table[n][0].as_py()) for n in names), *(_lists(table[n].combine_chunks())[0] for n in ("folds", "sizes", "tokens"))]
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Longs as bytes, the lowest of all first: what is small compresses well."""
-    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Longs as bytes: how many bytes a long takes, then the lowest byte of all, the next byte of all ..."""
+    x = np.ascontiguousarray(x).view(np.uint64)
+    width = (int(x.max(initial=0)).bit_length() + 7) // 8
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :max(width, 1)].T.tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(max(data[0], 1), -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :len(planes)] = planes.T
+    return out.view(np.int64).ravel()
 
 
-def _numbered(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A batch with, for every word of it and then the start of a text, its number in the corpus and its counts."""
-    place = right["place"].to_numpy()
-    columns = {}
-    for name, start in (("number", START), ("a", 0), ("h", 0)):
-        columns[name] = np.full(len(place) + 1, start, np.int64)
-        columns[name][place] = right[name].to_numpy()
-    return pa.table({**{n: left[n] for n in ("batch", "ids", "folds", "sizes", "tokens")},
-                     **{n: pa.array([x], pa.list_(pa.int64())) for n, x in columns.items()}})
+def _word_parts(words: bytes, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the words of a batch by part, where each part begins in it and the end)."""
+    part = np.array([zlib.crc32(w) % parts for w in words.split(b" ")], np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _batch_words(parts: int):
+    """Per batch and part: the batch's distinct words and their counts."""
+    def work(batches):
+        for b in batches:
+            for batch, words, a, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(_lists(b.column(k)) for k in (2, 3))):
+                order, at = _word_parts(words, parts)
+                each = words.split(b" ")
+                used = [(p, order[i:j]) for p, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p for p, _ in used], pa.int32()), pa.array([batch] * len(used), pa.int64()),
+                     pa.array([b" ".join([each[k] for k in x]) for _, x in used], pa.binary()),
+                     *(pa.array([_pack(c[x].astype(np.int64)) for _, x in used], pa.binary()) for c in (a, h))],
+                    names=["part", "batch", "words", "a", "h"])
+
+    return work
+
+
+#: What ``_sum_words`` tells: to every batch the numbers and counts of its words; in a row without batch, of the part's
+#: distinct words, how many are known from training, how many are classes and the largest number, and of those outside
+#: the classes how many are known and, by the count ``other_a``, the sum of h and how many.
+WORD_SUMS = ("batch long, part int, number binary, a binary, h binary, known long, classes long, top long, other_known long, "
+             "other_a array<long>, other_h array<long>, other_types array<long>")
+
+
+def _sum_words(parts: int, least: float):
+    """The words of one part: their numbers and corpus counts (``WORD_SUMS``); a word seen more than ``least`` times is a class."""
+    def work(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        lists = pc.split_pattern(table["words"].combine_chunks(), " ")
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())[:-1]
+        coded = lists.flatten().dictionary_encode()
+        del lists
+        word, size = coded.indices.to_numpy(), len(coded.dictionary)
+        a, h = (np.bincount(word, weights=np.concatenate([_unpack(x) for x in table[c].to_pylist()]), minlength=size).astype(np.int64)
+                for c in ("a", "h"))  # exact below 2 ** 53
+        is_class = (a + h > least) | (pc.binary_length(coded.dictionary).to_numpy() == 0)
+        number = np.where(is_class, (np.arange(size) + START + 1) * parts + part, OTHER)
+        other_a, kind = np.unique(a[~is_class], return_inverse=True)
+        sums = {"batch": [*table["batch"].to_pylist(), None], "part": [part] * (len(table) + 1)}
+        for name, x in (("number", number), ("a", a), ("h", h)):
+            sums[name] = [*(_pack(y) for y in np.split(x[word], ends)), None]
+        totals = {"known": int((a + h > 0).sum()), "classes": int(is_class.sum()), "top": int(number.max()),
+                  "other_known": int(((a + h > 0) & ~is_class).sum()), "other_a": other_a.tolist(),
+                  "other_h": np.bincount(kind, weights=h[~is_class], minlength=len(other_a)).astype(np.int64).tolist(),
+                  "other_types": np.bincount(kind, minlength=len(other_a)).tolist()}
+        types = [pa.int64(), pa.int32(), *[pa.binary()] * 3, *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 3]
+        sums |= {n: [None] * len(table) + [x] for n, x in totals.items()}
+        return pa.table([pa.array(x, t) for x, t in zip(sums.values(), types)], names=list(sums))
+
+    return work
+
+
+def _numbered(parts: int):
+    """For every word of a batch and then the start of a text: its number in the corpus and its counts."""
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        order, _ = _word_parts(left["words"][0].as_py(), parts)
+        answers = right["part"].to_pylist()
+        columns = {}
+        for name, start in (("number", START), ("a", 0), ("h", 0)):
+            by_part = dict(zip(answers, right[name].to_pylist()))
+            x = np.full(len(order) + 1, start, np.int64)
+            x[order] = np.concatenate([_unpack(by_part[p]) for p in sorted(by_part)])
+            columns[name] = pa.array([_pack(x)], pa.binary())
+        return pa.table({"batch": left["batch"], **columns})
+
+    return work
 
 
 def _before(sizes: np.ndarray, tokens: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +220,8 @@ def _batch_pairs(base: int, parts: int):
     """Per batch and part: the batch's distinct pairs as differences of sorted keys, and their counts."""
     def work(batches):
         for b in batches:
-            for batch, number, folds, sizes, tokens in zip(b.column(0).to_pylist(), *(_lists(b.column(k)) for k in (1, 2, 3, 4))):
+            for batch, number, folds, sizes, tokens in zip(b.column(0).to_pylist(), map(_unpack, b.column(1).to_pylist()),
+                                                           *(_lists(b.column(k)) for k in (2, 3, 4))):
                 before, _ = _before(sizes, tokens, len(number) - 1)
                 keys, pair = np.unique(_keys(number, before, tokens, base), return_inverse=True)
                 fold = np.repeat(folds, sizes)
@@ -201,7 +271,7 @@ def buckets_of(context: np.ndarray) -> np.ndarray:
 def _events(base: int, parts: int, tokens_a: int, other_a: int, texts_a: int):
     """Per batch: the tokens of its weight fold as (bucket, estimates of orders 2 and 1, how many)."""
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        number, a, folds, sizes, tokens = _table_lists(left, "number", "a", "folds", "sizes", "tokens")
+        number, a, folds, sizes, tokens = _one_batch(left, "number", "a")
         before, _ = _before(sizes, tokens, len(number) - 1)
         keys, pair = np.unique(_keys(number, before, tokens, base), return_inverse=True)
         seen = np.where(number == OTHER, other_a, a)
@@ -291,7 +361,7 @@ def _scores(base: int, parts: int, weights: np.ndarray, weight: float, total: in
     floor = np.log10(total + 0.5 * (distinct + 1))
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        number, a, h, folds, sizes, tokens = _table_lists(left, "number", "a", "h", "folds", "sizes", "tokens")
+        number, a, h, folds, sizes, tokens = _one_batch(left, "number", "a", "h")
         before, starts = _before(sizes, tokens, len(number) - 1)
         keys, pair = np.unique(_keys(number, before, tokens, base), return_inverse=True)
         both = sum(_pair_counts(keys, parts, right)).astype(np.int64)
@@ -319,12 +389,12 @@ def _scores(base: int, parts: int, weights: np.ndarray, weight: float, total: in
     return work
 
 
-def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+def _bucketed(df: DataFrame, buckets: int, name: str) -> DataFrame:
     """``df`` written in buckets of ``batch`` in the shared scratch folder and read back: joins on the batch do not move it."""
-    spark, name = df.sparkSession, f"tessera_lm_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, "batch").option("path", scratch_path(spark, "lm-numbered")).saveAsTable(name)
-    out = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the files stay
+    spark, table = df.sparkSession, f"tessera_lm_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, "batch").option("path", scratch_path(spark, name)).option("compression", "zstd").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay
     return out
 
 
@@ -339,9 +409,11 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = df.sparkSession
     src = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
     id_type = dict(src.dtypes)["doc_id"]
-    batches = keep(spark, src.select("doc_id", fold_of(F.col("doc_id")).alias("fold"), "text").mapInArrow(
-        _batches, f"batch long, words array<binary>, a array<int>, h array<int>, ids array<{id_type}>, folds array<int>, "
-                  "sizes array<int>, tokens array<int>"), "lm-batches")
+    texts = src.select("doc_id", fold_of(F.col("doc_id")).alias("fold"), "text")
+    buckets = 2 * max(1, texts.rdd.getNumPartitions())
+    batches = _bucketed(texts.mapInArrow(
+        _batches, f"batch long, words binary, distinct long, a array<int>, h array<int>, ids array<{id_type}>, folds array<int>, "
+                  "sizes array<int>, tokens array<int>"), buckets, "lm-batches")
 
     def total(c: str) -> Column:
         return F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x))
@@ -349,57 +421,49 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def texts_of(test) -> Column:
         return F.sum(F.size(F.filter("folds", test)))
 
-    of = batches.agg(total("a").alias("a"), total("h").alias("h"), total("sizes").alias("all"), F.count(F.lit(1)).alias("batches"),
+    of = batches.agg(total("a").alias("a"), total("h").alias("h"), total("sizes").alias("tokens"), F.sum("distinct").alias("words"),
                      texts_of(lambda f: (f != HELD_OUT_FOLD) & (f != WEIGHT_FOLD)).alias("texts_a"),
-                     texts_of(lambda f: f != HELD_OUT_FOLD).alias("texts")).first()
-    tokens_a, tokens, texts_a, texts = of["a"] or 0, (of["a"] or 0) + (of["h"] or 0), of["texts_a"] or 0, of["texts"] or 0
-    # about one batch in a task: its rows are large, and a task holds what it joins
-    tasks, parts = max(1, of["batches"]), slots_for(of["all"] or 0, PART_PAIRS, least=1)
-
-    # one row per (word, batch); the corpus counts are summed over a word's batches
-    rows = batches.select("batch", F.posexplode(F.arrays_zip("words", "a", "h")).alias("place", "w"))
-    t = F.col("a") + F.col("h")
-    rows = rows.select("batch", "place", F.col("w.words").alias("word"), F.col("w.a").cast("long").alias("a"), F.col("w.h").cast("long").alias("h"))
-    rows = rows.withColumn("slot", F.pmod(F.xxhash64("word"), F.lit(WORD_SLOTS)))
-    rows = rows.withColumn("rank", F.dense_rank().over(Window.partitionBy("slot").orderBy("word")))
-    by_word = Window.partitionBy("slot", "word")
-    rows = rows.select("batch", "place", "word", "slot", "rank", F.sum("a").over(by_word).alias("a"), F.sum("h").over(by_word).alias("h"),
-                       (F.col("batch") == F.min("batch").over(by_word)).alias("first"))
-    is_class = (t > tokens * CLASS_SHARE) | (F.col("word") == F.lit(b""))
-    rows = keep(spark, rows.select("batch", "place", "a", "h", "first", F.when(
-        is_class, F.col("rank").cast("long") * WORD_SLOTS + F.col("slot")).otherwise(F.lit(OTHER)).alias("number")), "lm-counts")
-
-    types = rows.where("first")
-    known = F.count(F.when(t > 0, F.lit(1)))
-    distinct, classes, top = types.agg(known, F.count(F.when(F.col("number") != OTHER, F.lit(1))), F.max("number")).first()
-    base = (top or 0) + 1
+                     texts_of(lambda f: f != HELD_OUT_FOLD).alias("texts")).first().asDict()
+    of = {k: int(v or 0) for k, v in of.items()}
+    tokens = of["a"] + of["h"]
+    word_parts, parts = (slots_for(of[k], n) for k, n in (("words", PART_WORDS), ("tokens", PART_PAIRS)))
+
+    words = keep(spark, batches.select("batch", "words", "a", "h").mapInArrow(
+        _batch_words(word_parts), "part int, batch long, words binary, a binary, h binary").groupBy("part").applyInArrow(
+        _sum_words(word_parts, tokens * CLASS_SHARE), WORD_SUMS), "lm-words")
+    types = words.where("batch is null")
+    known, classes, top, other_known = (int(x or 0) for x in types.agg(*map(F.sum, ("known", "classes")), F.max("top"), F.sum("other_known")).first())
+    base = top + START + 1
     if base > 1 << 32:
-        raise ValueError(f"{distinct} distinct words: a word's number takes more than 32 bits")
+        raise ValueError(f"{known} distinct words: a word's number takes more than 32 bits")
     # words outside the classes: how many have each count, and how often they occur in the weight fold
-    others = types.where(F.col("number") == OTHER)
-    by_count = others.groupBy("a").agg(F.sum("h").alias("h"), F.count(F.lit(1)).alias("types")).toPandas()
+    by_count = (types.select(F.explode(F.arrays_zip("other_a", "other_h", "other_types")).alias("o")).groupBy(F.col("o.other_a").alias("a"))
+                .agg(F.sum("o.other_h").alias("h"), F.sum("o.other_types").alias("types")).toPandas())
     n, held, kinds = (by_count[c].to_numpy(np.float64) for c in ("a", "h", "types"))
     estimates = np.stack([n / max((n * kinds).sum(), 1), np.full(len(n), 1.0 / (kinds[n > 0].sum() + 1))], axis=1)
     weight = float(em(estimates, np.zeros(len(n), np.int64), held)[0, 0]) if held.sum() else 0.5
-    other_a, other_total, other_distinct = (int(x or 0) for x in others.agg(F.sum("a"), F.sum(t), known).first())
+    other_a, other_total = int((n * kinds).sum()), int((n * kinds).sum() + held.sum())
     if not other_total:  # no such word in training: the unknown word is all of class 0
         weight = 0.0
 
-    counts = rows.select("batch", "place", "number", "a", "h").repartition(tasks, "batch")
-    kept = _bucketed(batches.select("batch", "ids", "folds", "sizes", "tokens").repartition(tasks, "batch").groupBy("batch").cogroup(
-        counts.groupBy("batch")).applyInArrow(_numbered, f"batch long, ids array<{id_type}>, folds array<int>, sizes array<int>, "
-                                                         "tokens array<int>, number array<long>, a array<long>, h array<long>"), tasks)
-    sums = keep(spark, kept.select("batch", "number", "folds", "sizes", "tokens").mapInArrow(
+    def by_batch(df: DataFrame):
+        return df.repartition(buckets, "batch").groupBy("batch")
+
+    numbers = _bucketed(batches.select("batch", "words").groupBy("batch").cogroup(
+        by_batch(words.where("batch is not null").select("batch", "part", "number", "a", "h"))).applyInArrow(
+        _numbered(word_parts), "batch long, number binary, a binary, h binary"), buckets, "lm-numbers")
+    both = batches.select("batch", "ids", "folds", "sizes", "tokens").join(numbers.hint("merge"), "batch")
+    sums = keep(spark, both.select("batch", "number", "folds", "sizes", "tokens").mapInArrow(
         _batch_pairs(base, parts), "part int, batch long, keys binary, a binary, h binary").groupBy("part").applyInArrow(
         _sum_pairs, "batch long, part int, a binary, h binary"), "lm-pairs")
 
-    def joined(left: DataFrame, work, schema: str) -> DataFrame:
-        return left.groupBy("batch").cogroup(sums.repartition(tasks, "batch").groupBy("batch")).applyInArrow(work, schema)
+    def joined(work, schema: str) -> DataFrame:
+        return both.groupBy("batch").cogroup(by_batch(sums)).applyInArrow(work, schema)
 
-    events = keep(spark, joined(kept, _events(base, parts, tokens_a, other_a, texts_a),
-                                "bucket int, order2 double, order1 double, n long"), "lm-events")
+    events = keep(spark, joined(_events(base, parts, of["a"], other_a, of["texts_a"]), "bucket int, order2 double, order1 double, n long")
+                  .groupBy("bucket", "order2", "order1").agg(F.sum("n").alias("n")), "lm-events")
     w, seen = learn_weights(events, 1.0 / (classes + 1))
-    weights = fill_weights(w, seen, int(buckets_of(np.array(max(tokens, texts)))))
-    scored = joined(kept, _scores(base, parts, weights, weight, tokens, distinct, classes, other_total, other_distinct, texts),
+    weights = fill_weights(w, seen, int(buckets_of(np.array(max(tokens, of["texts"])))))
+    scored = joined(_scores(base, parts, weights, weight, tokens, known, classes, other_total, other_known, of["texts"]),
                     f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

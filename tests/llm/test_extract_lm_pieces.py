@@ -229,6 +229,62 @@ def test_model_is_a_distribution_and_beats_the_base_on_held_out_texts(spark):
     assert score > base
 
 
+def brute_bigrams(data):
+    """Deleted interpolation of word bigrams, by dictionaries."""
+    def counts(folds):
+        pairs, words, context = Counter(), Counter(), Counter()
+        for i, t in data:
+            if fold(i) in folds:
+                for v, w in zip([None, *tokens(t)], tokens(t)):
+                    pairs[v, w] += 1
+                    words[w] += 1
+                    context[v] += 1
+        return pairs, words, context
+
+    def bucket(x):
+        return math.ceil(math.log2(1 + x))
+
+    def estimates(c, v, w):
+        pairs, words, context = c
+        return pairs[v, w] / max(context[v], 1), words[w] / max(sum(words.values()), 1), 1 / (vocabulary + 1)
+
+    train, a, held = counts({0, 2, 3, 4}), counts({0, 2, 3}), counts({4})[0]
+    vocabulary = len(train[1].keys() | {""})
+    weights = {}
+    for b in {bucket(a[2][v]) for v, _ in held}:
+        events = [(estimates(a, v, w), n) for (v, w), n in held.items() if bucket(a[2][v]) == b]
+        x = [1 / 3] * 3
+        for _ in range(60):
+            new = [sum(n * x[k] * p[k] / sum(y * q for y, q in zip(x, p)) for p, n in events) for k in range(3)]
+            new = [max(y / sum(new), 1e-6) for y in new]
+            x = [y / sum(new) for y in new]
+        weights[b] = x
+    weights.setdefault(0, [1e-6, 0.5, 0.5 - 1e-6])
+
+    def mix(v):
+        return weights[max(b for b in weights if b <= bucket(train[2][v]))]
+
+    return [(i, sum(math.log10(sum(x * p for x, p in zip(mix(v), estimates(train, v, w if w in train[1] or not w else 0))))
+                    for v, w in zip([None, *((x if x in train[1] else 0) for x in tokens(t))], tokens(t)))) for i, t in data]
+
+
+@pytest.mark.parametrize("sizes", [(700, 500, 300), (10 ** 6, 10 ** 6, 10 ** 6)])
+def test_scores_count_every_pair_of_words(spark, sizes, monkeypatch):
+    for name, x in zip(("BATCH_TOKENS", "PART_PAIRS", "PART_WORDS"), sizes):
+        monkeypatch.setattr(lm, name, x)
+    data = [(k, t) for k, (_, t) in enumerate(rows())]
+    data += [(100, "rareone raretwo " + data[7][1]), (101, "rareone raretwo the"), (102, "raretwo rareone the"), (103, "never seen")]
+    res = got(lm.score_texts(frame(spark, data=data).repartition(3)), "doc_id", "score")
+    for x, y in zip(res, sorted(brute_bigrams(data)), strict=True):
+        assert x[0] == y[0] and x[1] == pytest.approx(y[1], rel=1e-5, abs=1e-6)
+    assert abs(dict(res)[101] - dict(res)[102]) > 0.1  # words in another order
+
+
+def test_packed_longs():
+    for x in ([], [0], [0, 0, 0], [1, 300, 0], [2 ** 62, 5], [255, 256]):
+        assert lm._unpack(lm._pack(np.array(x, np.int64))).tolist() == x
+
+
 # ---- SentencePiece ---------------------------------------------------------------------------------------
 def processor():
     import sentencepiece
