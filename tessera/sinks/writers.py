@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import written
+
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8", header: bool = True,
               mode: str = "overwrite") -> str:
@@ -25,30 +27,37 @@ def write_json(df: DataFrame, path: str, orient: str = "records", lines: bool =
                max_document_rows: int = 1_000_000) -> str:
     """JSON lines / records are written as line-delimited part files by every task.
 
-    The single-document orients (columns, index, split, table) must be one
-    value, so they are assembled for frames up to ``max_document_rows`` rows
+    The orients split and table make one document in part files, one row of
+    the frame in a line, in order: the files joined in the order of their
+    names are the document.  The orients columns and index are one value, so
+    they are assembled for frames up to ``max_document_rows`` rows
     (report-sized outputs) and refused above that.
     """
     if lines or orient == "records":
         df.write.mode(mode).json(path)
         return path
+    idx = df.withColumn("__idx", F.monotonically_increasing_id())
+    cols = df.columns
+    if orient in ("split", "table"):
+        if orient == "split":
+            def cell(x):  # a value as JSON: the only element of a one-element array
+                one = F.to_json(F.array(F.col(f"`{x}`")))
+                return F.substr(one, F.lit(2), F.length(one) - 2)
+            head = f'{{"columns":{json.dumps(cols, ensure_ascii=False)},"data":['
+            row = F.concat(F.lit("["), F.concat_ws(",", *[cell(x) for x in cols]), F.lit("]"))
+        else:
+            head = '{"data":['
+            row = F.to_json(F.struct(F.col("__idx").alias("index"), *[F.col(f"`{x}`") for x in cols]))
+        rows = written(idx.select("__idx", row.alias("value")), "json-rows")
+        first = rows.agg(F.min("__idx")).first()[0]
+        ends = df.sparkSession.createDataFrame([(-1, head), (2 ** 63 - 1, "]}")], "__idx long, value string")
+        doc = rows.withColumn("value", F.concat(F.when(F.col("__idx") == F.lit(first), "").otherwise(","), "value"))
+        doc.unionByName(ends).orderBy("__idx").select("value").write.mode(mode).text(path)
+        return path
     n = df.count()
     if n > max_document_rows:
         raise ValueError(f"orient={orient} makes one JSON document; {n} rows exceed {max_document_rows}")
-    idx = df.withColumn("__idx", F.monotonically_increasing_id())
-    cols = df.columns
-    if orient == "split":
-        def cell(x):  # a value as JSON: the only element of a one-element array
-            one = F.to_json(F.array(F.col(f"`{x}`")))
-            return F.substr(one, F.lit(2), F.length(one) - 2)
-        row = F.concat(F.lit("["), F.concat_ws(",", *[cell(x) for x in cols]), F.lit("]"))
-        rows = idx.agg(F.sort_array(F.collect_list(F.struct("__idx", row.alias("r")))).alias("rows"))
-        doc = rows.select(F.concat(F.lit('{"columns":'), F.to_json(F.array(*[F.lit(x) for x in cols])), F.lit(',"data":['),
-                                   F.array_join(F.transform("rows", lambda x: x["r"]), ","), F.lit("]}")).alias("value"))
-    elif orient == "table":
-        doc = idx.agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("__idx").alias("index"), *[F.col(f"`{x}`") for x in cols]))
-                                         .alias("data"))).alias("value"))
-    elif orient in ("columns", "index"):
+    if orient in ("columns", "index"):
         if orient == "columns":
             doc = idx.agg(F.to_json(F.struct(*[F.map_from_entries(F.collect_list(F.struct(F.col("__idx").cast("string"), F.col(f"`{x}`"))))
                                                .alias(x) for x in cols])).alias("value"))

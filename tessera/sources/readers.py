@@ -1,12 +1,14 @@
 """Readers (SRC1-4, SRC6): CSV / delimited text / JSON orients / Excel workbooks.
 
 All readers return lazy DataFrames split by Spark's file sources.  A JSON
-document in a non-lines orient is one value per file, so such files are read
-whole (one task per file) - inherent to the format.
+document of orient split or table that has one row in a line, as the writers
+make it, is split by lines; other JSON documents in a non-lines orient are one
+value per file, so such files are read whole (one task per file).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +79,30 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, heade
     return read_csv(spark, path, sep=sep or sniff_delimiter(spark, path), header=header, **kw)
 
 
+def _rows_in_lines(spark: SparkSession, path: str, orient: str) -> DataFrame | None:
+    """The rows of a split or table document with one row in a line; None if the document is not laid out so."""
+    lines = spark.read.text(path).select(F.trim("value").alias("value"))
+    start = F.col("value").startswith('{"columns":[' if orient == "split" else '{"data":[') & F.col("value").endswith('"data":[')
+    heads = [r[0] for r in lines.where(start).distinct().limit(2).collect()]
+    if len(heads) != 1:
+        return None
+    try:
+        cols = json.loads(heads[0] + "]}").get("columns")
+    except ValueError:
+        return None
+    row = F.regexp_replace("value", "^,|,$", "")
+    rows = lines.where(~start & ~F.col("value").isin("", "]}")).select((F.concat(F.lit('{"r":'), row, F.lit("}"))).alias("value"))
+    schema = spark.read.option("columnNameOfCorruptRecord", "__broken").json(rows.rdd.map(lambda r: r[0])).schema
+    if not schema.fields:  # no rows
+        return spark.createDataFrame([], T.StructType([T.StructField(x, T.StringType()) for x in cols or []]))
+    if schema.names != ["r"] or not isinstance(schema["r"].dataType, T.ArrayType if orient == "split" else T.StructType):
+        return None
+    r = rows.select(F.from_json("value", schema)["r"].alias("r"))
+    if orient == "table":
+        return r.select("r.*").drop("index")
+    return r.select(*[F.col("r")[i].alias(name) for i, name in enumerate(cols)])
+
+
 def read_json(spark: SparkSession, path: str, orient: str = "records", lines: bool = False) -> DataFrame:
     """pandas-style JSON: lines, records, columns, index, split or table orient."""
     if lines:
@@ -84,6 +110,9 @@ def read_json(spark: SparkSession, path: str, orient: str = "records", lines: bo
     if orient == "records":
         return spark.read.option("multiLine", "true").json(path)
     if orient in ("split", "table"):
+        by_line = _rows_in_lines(spark, path, orient)
+        if by_line is not None:
+            return by_line
         doc = spark.read.option("multiLine", "true").json(path)
         if orient == "table":
             return doc.select(F.explode("data").alias("r")).select("r.*").drop("index")

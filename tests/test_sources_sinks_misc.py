@@ -134,3 +134,42 @@ def test_sample_chunks_keeps_whole_chunks(spark):
         chunks[r["v"] // 100] += 1
     assert chunks and all(n == 100 for n in chunks.values()) and 10 < len(chunks) < 40
     assert SA.sample_on_load(df, 123, seed=1, key="v").count() == 123
+
+
+@pytest.mark.parametrize("orient", ["split", "table"])
+def test_json_document_is_written_and_read_in_many_tasks(spark, orient, tmp_path):
+    import json
+
+    df = spark.range(5000, numPartitions=7).selectExpr("id AS k", "concat('a]},\\n\"[', id) AS s", "IF(id % 7 = 0, NULL, id / 2) AS x")
+    path = str(tmp_path / "doc")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        W.write_json(df, path, orient=orient, lines=False)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = sorted((tmp_path / "doc").glob("part-*"))
+    assert sum(p.stat().st_size > 0 for p in parts) > 1
+    doc = json.loads("".join(p.read_text() for p in parts))
+    want = [tuple(r) for r in df.orderBy("k").collect()]
+    if orient == "split":
+        assert doc["columns"] == df.columns and [tuple(r) for r in doc["data"]] == want
+    else:
+        assert [(r["k"], r["s"], r.get("x")) for r in doc["data"]] == want
+    back = R.read_json(spark, path, orient=orient).selectExpr("CAST(k AS long)", "s", "CAST(x AS double)")
+    assert sorted(tuple(r) for r in back.collect()) == want
+    # a document in one line, and one laid out over lines within rows, are still read
+    for layout in (dict(), dict(indent=1)):
+        one = tmp_path / f"one{len(layout)}.json"
+        one.write_text(json.dumps(doc, **layout))
+        back = R.read_json(spark, str(one), orient=orient).selectExpr("CAST(k AS long)", "s", "CAST(x AS double)")
+        assert sorted(tuple(r) for r in back.collect()) == want
+
+
+def test_json_split_types_and_no_rows(spark, tmp_path):
+    path = str(tmp_path / "doc")
+    W.write_json(spark.range(30).selectExpr("id", "id * 2 AS y"), path, orient="split", lines=False)
+    back = R.read_json(spark, path, orient="split")
+    assert dict(back.dtypes) == {"id": "bigint", "y": "bigint"} and back.count() == 30
+    W.write_json(spark.range(0).selectExpr("id", "id * 2 AS y"), path, orient="split", lines=False)
+    back = R.read_json(spark, path, orient="split")
+    assert back.columns == ["id", "y"] and back.count() == 0
